@@ -45,3 +45,37 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Slots of the prefilter in ``drop_rows``: at most so many numbers are broadcast, whatever the input.
+SLOTS = 2**20
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A row's identity: its id and a hash of its text. As a struct it compares null ids as equal."""
+    return F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
+
+
+def _slot(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SLOTS))
+
+
+def slot_filter(docs: DataFrame, key: Column, keys: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` whose key has (``left_semi``) or hasn't (``left_anti``) a slot in common with
+    a key of ``keys`` (column ``row``). Only slot numbers are broadcast, ``SLOTS`` of them at most."""
+    slots = keys.select(_slot(F.col("row")).alias("__slot")).distinct()
+    return docs.withColumn("__slot", _slot(key)).join(F.broadcast(slots), "__slot", how).drop("__slot")
+
+
+def take_rows(docs: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """``docs`` joined with ``keys`` (column ``row`` and others). Rows that can't match are dropped
+    before the shuffle; ``keys`` is read twice, so store it first if it is costly."""
+    return slot_filter(docs, key, keys, "left_semi").withColumn("row", key).join(keys, "row")
+
+
+def drop_rows(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose key is in ``gone`` (column ``row``). Only rows that share a
+    slot with one of them are shuffled; ``gone`` is read three times, so store it first."""
+    near = slot_filter(docs, key, gone, "left_semi").withColumn("__row", key)
+    left = near.join(gone.select(F.col("row").alias("__row")), "__row", "left_anti").drop("__row")
+    return slot_filter(docs, key, gone, "left_anti").unionByName(left)

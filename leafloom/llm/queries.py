@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm import exact_dedup, line_dedup, mixing
+from leafloom.llm import exact_dedup, line_dedup, minhash, mixing
 from leafloom.llm.sql import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -40,6 +40,16 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(spark, _table(spark, sf_dir, "documents"), percent=85)
+    return found.select(
+        F.col("row.id").alias("doc_id"),
+        "n_shingles",
+        "component_id",
+        F.col("row.id").eqNullSafe(F.col("component_id")).alias("kept"),
+    )
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(spark, _table(spark, sf_dir, "documents"))
 
@@ -47,5 +57,6 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_minhash": op7_minhash,
     "op8_mixing": op8_mixing,
 }
