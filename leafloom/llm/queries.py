@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm import exact_dedup, line_dedup, minhash, mixing
+from leafloom.llm import exact_dedup, line_dedup, lm_score, minhash, mixing
 from leafloom.llm.sql import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
+#: A sentencepiece model on the driver's machine.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -54,9 +57,14 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(spark, _table(spark, sf_dir, "documents"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(spark, _table(spark, sf_dir, "documents"), vocabulary=VOCABULARY)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_minhash": op7_minhash,
     "op8_mixing": op8_mixing,
+    "op10_lm_score": op10_lm_score,
 }
