@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm import exact_dedup, line_dedup, lm_score, minhash, mixing
+from leafloom.llm import decontaminate, exact_dedup, line_dedup, lm_score, minhash, mixing
 from leafloom.llm.sql import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -57,6 +57,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(spark, _table(spark, sf_dir, "documents"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_leaks(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("row.id").alias("doc_id"), "item_id", "score", "end_word")
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(spark, _table(spark, sf_dir, "documents"), vocabulary=VOCABULARY)
 
@@ -66,5 +71,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_minhash": op7_minhash,
     "op8_mixing": op8_mixing,
+    "op9_decontaminate": op9_decontaminate,
     "op10_lm_score": op10_lm_score,
 }
