@@ -95,7 +95,7 @@ def mix_sources(
     ``source``, ``tokens``, ``weight`` (of the source), ``block`` (from 0) and ``place`` (order of the
     block's permutation, in [0, 1)). ``budget`` tokens are spent; by default as many as there are.
 
-    A source's quota is ``weight * budget``. Each whole block holds every document of the source; in
+    A source's quota is ``weight * budget``, in whole tokens. Each whole block holds every document of the source; in
     the last block the permutation is followed as long as the quota isn't exceeded.
 
     Defined cases: a null text has no tokens; documents without tokens cost nothing and come along in
@@ -120,7 +120,7 @@ def mix_sources(
 
     power = F.exp(exponent * F.log(F.col("tokens") / F.lit(float(max(total, 1)))))
     norm = sources.agg(F.sum(power)).first()[0] or 1.0
-    quota = F.col("weight") * F.lit(float(spend))
+    quota = F.floor(F.col("weight") * F.lit(float(spend)) + F.lit(1e-6))
     whole = F.floor(quota / F.col("tokens"))
     plan = stored(
         spark,

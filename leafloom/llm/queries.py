@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm import decontaminate, exact_dedup, license_scan, line_dedup, lm_score, minhash, mixing, pii, toxicity
+from leafloom.llm import decontaminate, exact_dedup, html_extract, license_scan, line_dedup, lm_score, minhash, mixing, pii, toxicity
 from leafloom.llm.sql import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -38,6 +38,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
 
@@ -86,6 +90,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
+    "op3_html_extract": op3_html_extract,
     "op4_license_scan": op4_license_scan,
     "op5_pii": op5_pii,
     "op6_exact_dedup": op6_exact_dedup,
