@@ -1 +1,237 @@
-"""Queries."""
+"""Queries over documents and their pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from leafloom.operators import pages as ops
+from leafloom.plans import REGISTRY
+from leafloom.plans.sql import PAGES, REGIONS, WORDS, norm, tokens
+from leafloom.sources.derived import doc_pages, regions, table, words
+
+
+@REGISTRY.add("normalize_pages", f"SELECT doc_id, {norm('text')} AS text FROM documents")
+def normalize_pages(spark, sf_dir):
+    return ops.normalize_pages(table(spark, sf_dir, "documents").select("doc_id", "text"), nfkc=True)
+
+
+@REGISTRY.add("tokenize_pages", f"WITH {PAGES} SELECT doc_id, page_no, len({tokens(norm('text'))}) AS word_count, array_to_string({tokens(norm('text'))}, ' ') AS tokens FROM pages_")
+def tokenize_pages(spark, sf_dir):
+    return ops.tokenize_pages(doc_pages(spark, sf_dir))
+
+
+def _clean_sql() -> str:
+    x = "html"
+    for name in ops._PAIRED.split("|"):
+        x = rf"regexp_replace({x}, '(?is)<{name}\b[^>]*>.*?</{name}\s*>', '', 'g')"
+    x = rf"regexp_replace({x}, '(?i)</?({'|'.join(ops.ACTIVE_TAGS)})\b[^>]*>', '', 'g')"
+    x = rf"""regexp_replace({x}, '(?i)\s(on\w+|data-[\w-]+|srcdoc)\s*=\s*("[^"]*"|''[^'']*''|[^\s>]+)', '', 'g')"""
+    return rf"""regexp_replace({x}, '(?i)\s(href|src)\s*=\s*("\s*javascript:[^"]*"|''\s*javascript:[^'']*'')', '', 'g')"""
+
+
+@REGISTRY.add(
+    "sanitize_html",
+    rf"""SELECT page_id, len(regexp_extract_all(html, '(?i)<({'|'.join(ops.ACTIVE_TAGS)})\b')) AS tags,
+    len(regexp_extract_all(html, '(?i)\s(on\w+|data-[\w-]+|srcdoc)\s*=\s*("[^"]*"|''[^'']*''|[^\s>]+)')) AS attributes,
+    len(regexp_extract_all(html, '(?i)\s(href|src)\s*=\s*("\s*javascript:[^"]*"|''\s*javascript:[^'']*'')')) AS links,
+    {_clean_sql()} AS clean FROM pages""",
+)
+def sanitize_html(spark, sf_dir):
+    return ops.sanitize_html(table(spark, sf_dir, "pages"))
+
+
+@REGISTRY.add(
+    "pages_needing_ocr",
+    rf"WITH {PAGES} SELECT doc_id, count(*) FILTER (length(regexp_replace(text, '\s', '', 'g')) < 24) AS to_recognise, count(*) FILTER (length(regexp_replace(text, '\s', '', 'g')) >= 24) AS skipped FROM pages_ GROUP BY 1",
+)
+def pages_needing_ocr(spark, sf_dir):
+    return ops.pages_needing_ocr(doc_pages(spark, sf_dir))
+
+
+BLANKED = f"""{PAGES}, ink_ AS (SELECT doc_id, page_no, CASE WHEN (doc_id + page_no) % 13 = 0 THEN '' ELSE text END AS text,
+  CASE WHEN (doc_id + page_no) % 13 = 0 THEN 0.0 ELSE len(regexp_extract_all(text, '[A-Za-z]')) / greatest(length(text), 1)::DOUBLE END AS ink FROM pages_)"""
+
+
+def blanked(spark, sf_dir):
+    blank = (F.col("doc_id") + F.col("page_no")) % 13 == 0
+    ink = F.when(blank, 0.0).otherwise(F.regexp_count("text", F.lit("[A-Za-z]")) / F.greatest(F.length("text"), F.lit(1)))
+    return doc_pages(spark, sf_dir).withColumn("ink", ink).withColumn("text", F.when(blank, "").otherwise(F.col("text")))
+
+
+@REGISTRY.add(
+    "remove_blank_pages",
+    f"""WITH {BLANKED}, m_ AS (SELECT *, length(trim(text)) = 0 AND ink < 0.00135 AS blank FROM ink_),
+    e_ AS (SELECT *, bool_and(blank) OVER (PARTITION BY doc_id) AS error FROM m_)
+    SELECT doc_id, page_no, text, ink::DOUBLE AS ink, error, row_number() OVER (PARTITION BY doc_id ORDER BY page_no) AS new_no FROM e_ WHERE error OR NOT blank""",
+)
+def remove_blank_pages(spark, sf_dir):
+    return ops.remove_blank_pages(blanked(spark, sf_dir))
+
+
+@REGISTRY.add("scrub_metadata", "SELECT doc_id, lang AS kept, 1 AS n_keys, sha256(coalesce(text, '')) AS text_sha256 FROM documents")
+def scrub_metadata(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("meta", F.create_map(F.lit("source"), "source", F.lit("lang"), "lang"))
+    out = ops.scrub_metadata(docs, keep=("lang",))
+    return out.select("doc_id", F.col("meta")["lang"].alias("kept"), F.size("meta").alias("n_keys"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+@REGISTRY.add(
+    "apply_page_plan",
+    f"""WITH {PAGES}, plan_ AS (SELECT doc_id, n - page_no AS ord, page_no - 1 + CASE WHEN page_no % 6 = 0 THEN 2 ELSE 0 END AS source_index, page_no * 90 AS rotation
+      FROM (SELECT *, max(page_no) OVER (PARTITION BY doc_id) AS n FROM pages_))
+    SELECT p.doc_id, row_number() OVER (PARTITION BY p.doc_id ORDER BY ord) AS page_no, source_index, ((g.page_no % 4) * 90 + rotation) % 360 AS rotation, text
+    FROM plan_ p JOIN pages_ g ON p.doc_id = g.doc_id AND source_index + 1 = g.page_no""",
+)
+def apply_page_plan(spark, sf_dir):
+    """Pages in reverse; every sixth item asks for a page two further on."""
+    pages = doc_pages(spark, sf_dir).withColumn("rotation", F.col("page_no") % 4 * 90)
+    from pyspark.sql import Window as W
+
+    n = F.max("page_no").over(W.partitionBy("doc_id"))
+    plan = pages.select("doc_id", (n - F.col("page_no")).alias("ord"), (F.col("page_no") - 1 + F.when(F.col("page_no") % 6 == 0, 2).otherwise(0)).alias("source_index"), (F.col("page_no") * 90).alias("rotation"))
+    return ops.apply_page_plan(pages, plan)
+
+
+@REGISTRY.add(
+    "sentence_paragraphs",
+    r"""WITH s_ AS (SELECT doc_id, string_split(regexp_replace(trim(coalesce(text, '')), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS ps FROM documents)
+    SELECT doc_id, unnest(range(1, len(ps) + 1)) AS par_no, unnest(ps) AS text FROM s_""",
+)
+def sentence_paragraphs(spark, sf_dir):
+    return ops.sentence_paragraphs(table(spark, sf_dir, "documents"))
+
+
+@REGISTRY.add(
+    "wrap_chunks",
+    r"""WITH s_ AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS ws FROM documents),
+    f_ AS (SELECT doc_id, list_reduce(list_transform(ws, lambda w: [w]),
+             lambda acc, x: CASE WHEN acc[len(acc)] = '' THEN list_append(acc[1:len(acc) - 1], x[1])
+                              WHEN length(acc[len(acc)]) + 1 + length(x[1]) <= 94 THEN list_append(acc[1:len(acc) - 1], acc[len(acc)] || ' ' || x[1])
+                              ELSE list_append(acc, x[1]) END, ['']) AS ls FROM s_)
+    SELECT doc_id, unnest(range(1, len(coalesce(ls, [''])) + 1)) AS line_no, unnest(coalesce(ls, [''])) AS line FROM f_""",
+)
+def wrap_chunks(spark, sf_dir):
+    return ops.wrap_chunks(table(spark, sf_dir, "documents"))
+
+
+_PLAIN = "translate(regexp_replace(text, '…', '...', 'g'), '–—―‘’‚“”„', '---''''''\"\"\"')"
+_ASCII = f"regexp_replace(translate({_PLAIN}, 'áàâãäåéèêëíìîïóòôõöúùûüçñÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑ', 'aaaaaaeeeeiiiiooooouuuucnAAAAAAEEEEIIIIOOOOOUUUUCN'), '[^\\x20-\\x7E]', '', 'g')"
+
+
+def _latin(to: str) -> str:
+    return f"regexp_replace({_PLAIN}, '[^\\x09\\x0A\\x0D\\x20-\\x7E\\x{{A0}}-\\x{{FF}}]', '{to}', 'g')"
+
+
+@REGISTRY.add(
+    "latin1_fold",
+    f"""SELECT doc_id, md5({_latin('?')}) AS mark_md5, md5({_latin('')}) AS drop_md5, md5({_ASCII}) AS ascii_md5,
+    {_latin('?')} <> text AS mark_changed, {_latin('')} <> text AS drop_changed, {_ASCII} <> text AS ascii_changed FROM documents""",
+)
+def latin1_fold(spark, sf_dir):
+    return ops.latin1_report(table(spark, sf_dir, "documents"))
+
+
+@REGISTRY.add(
+    "write_document_text",
+    f"WITH {PAGES} SELECT doc_id, string_agg(text, chr(10) || chr(10) || '--- PAGE ---' || chr(10) || chr(10) ORDER BY page_no) AS text FROM pages_ GROUP BY 1",
+)
+def write_document_text(spark, sf_dir):
+    return ops.document_text(doc_pages(spark, sf_dir))
+
+
+@REGISTRY.add(
+    "page_labels",
+    f"WITH {PAGES} SELECT doc_id, page_no, 'p. ' || (page_no + 4) AS label, (page_no + 4) || ' of ' || (count(*) OVER (PARTITION BY doc_id) + 4) AS long_label FROM pages_",
+)
+def page_labels(spark, sf_dir):
+    return ops.page_labels(doc_pages(spark, sf_dir), start=5)
+
+
+@REGISTRY.add(
+    "region_redaction",
+    f"""WITH {WORDS}, {REGIONS}, r_ AS (SELECT * FROM regions_ WHERE w > 0 AND h > 0)
+    SELECT *, EXISTS (SELECT 1 FROM r_ WHERE r_.doc_id = words_.doc_id AND r_.page_no = words_.page_no AND words_.x < r_.x + r_.w AND words_.x + words_.w > r_.x AND words_.y < r_.y + r_.h AND words_.y + words_.h > r_.y) AS hit FROM words_""",
+)
+def region_redaction(spark, sf_dir):
+    return ops.region_redaction(words(doc_pages(spark, sf_dir)), regions(spark, sf_dir))
+
+
+@REGISTRY.add(
+    "redact_pages",
+    f"""WITH {PAGES}, {REGIONS}, r_ AS (SELECT doc_id, page_no, count(*) AS n FROM regions_ WHERE w > 0 AND h > 0 GROUP BY ALL)
+    SELECT p.doc_id, p.page_no, CASE WHEN n > 0 THEN '' ELSE text END AS text, coalesce(n, 0) AS redactions FROM pages_ p LEFT JOIN r_ ON p.doc_id = r_.doc_id AND p.page_no = r_.page_no""",
+)
+def redact_pages(spark, sf_dir):
+    return ops.redact_pages(doc_pages(spark, sf_dir), regions(spark, sf_dir))
+
+
+@REGISTRY.add(
+    "redaction_leak_check",
+    f"""WITH {PAGES} SELECT doc_id, count(*) AS pages_before, count(*) AS pages_after, 0::BIGINT AS left_chars, 0::BIGINT AS secrets, true AS ok FROM pages_ WHERE doc_id % 10 = 0 GROUP BY 1""",
+)
+def redaction_leak_check(spark, sf_dir):
+    pages, marks = doc_pages(spark, sf_dir), regions(spark, sf_dir)
+    return ops.leak_check(pages, ops.redact_pages(pages, marks), marks, secret="password=")
+
+
+@REGISTRY.add(
+    "assemble_lines",
+    f"""WITH {WORDS}, l_ AS (SELECT *, round(y / 0.0083::DOUBLE) AS line FROM words_ WHERE idx % 7 <> 3),
+    g_ AS (SELECT *, x - max(x + w) OVER (PARTITION BY doc_id, page_no, line ORDER BY x, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM l_),
+    n_ AS (SELECT *, CASE WHEN gap IS NULL OR gap <= h * -0.2::DOUBLE OR gap >= h * 1.9::DOUBLE THEN 1 ELSE 0 END AS new FROM g_),
+    r_ AS (SELECT *, (sum(new) OVER (PARTITION BY doc_id, page_no, line ORDER BY x, idx))::BIGINT AS run FROM n_)
+    SELECT doc_id, page_no, line, run, string_agg(text, ' ' ORDER BY x, idx) AS text, min(x) AS x0, max(x + w) AS x1, max(h) AS h FROM r_ GROUP BY ALL""",
+)
+def assemble_lines(spark, sf_dir):
+    """Every seventh word is taken out, so that lines fall into runs."""
+    return ops.assemble_lines(words(doc_pages(spark, sf_dir)).where("idx % 7 <> 3"), high=1.9)
+
+
+TSV = f"""{PAGES}, lines_ AS (SELECT doc_id, page_no, CASE WHEN page_no % 5 = 0 THEN '4' ELSE '5' END || chr(9) || '1' || chr(9) || '1' || chr(9) || '1' || chr(9) || '1' || chr(9) || page_no || chr(9)
+  || CASE WHEN page_no % 3 = 0 THEN 'bad' ELSE (page_no * 10)::VARCHAR END || chr(9) || '2' || chr(9) || '30' || chr(9) || '12' || chr(9) || ((doc_id * 7 + page_no * 13) % 100) || chr(9) || left(text, 40) AS value FROM pages_)"""
+
+
+@REGISTRY.add(
+    "read_ocr_tsv",
+    f"""WITH {TSV}, c_ AS (SELECT doc_id, page_no, string_split(value, chr(9)) AS c FROM lines_)
+    SELECT doc_id, page_no, coalesce(try_cast(c[7] AS DOUBLE), 0) AS x, coalesce(try_cast(c[8] AS DOUBLE), 0) AS y, coalesce(try_cast(c[9] AS DOUBLE), 0) AS w, coalesce(try_cast(c[10] AS DOUBLE), 0) AS h,
+    try_cast(c[11] AS DOUBLE) AS conf, trim(array_to_string(c[12:], chr(9))) AS text FROM c_ WHERE c[1] = '5' AND len(c) >= 12 AND trim(array_to_string(c[12:], chr(9))) <> '' AND try_cast(c[11] AS DOUBLE) >= 20""",
+)
+def read_ocr_tsv(spark, sf_dir):
+    level = F.when(F.col("page_no") % 5 == 0, "4").otherwise("5")
+    x = F.when(F.col("page_no") % 3 == 0, "bad").otherwise((F.col("page_no") * 10).cast("string"))
+    conf = ((F.col("doc_id") * 7 + F.col("page_no") * 13) % 100).cast("string")
+    one = F.lit("1")
+    lines = doc_pages(spark, sf_dir).select("doc_id", "page_no", F.concat_ws("\t", level, one, one, one, one, F.col("page_no").cast("string"), x, F.lit("2"), F.lit("30"), F.lit("12"), conf, F.left("text", F.lit(40))).alias("value"))
+    return ops.read_ocr_tsv(lines)
+
+
+@REGISTRY.add(
+    "capped_lists",
+    f"WITH {PAGES} SELECT doc_id, array_to_string(list(page_no ORDER BY page_no)[1:12], ', ') || CASE WHEN count(*) > 12 THEN '...' ELSE '' END AS pages, count(*) AS n FROM pages_ GROUP BY 1",
+)
+def capped_lists(spark, sf_dir):
+    return ops.capped_lists(doc_pages(spark, sf_dir))
+
+
+@REGISTRY.add(
+    "inspect_corpus",
+    f"""WITH {PAGES}, s_ AS (SELECT doc_id, count(*) AS pages, sum(strlen(text))::BIGINT * 1000 AS bytes, coalesce(sum(length(text)) FILTER (page_no <= 3), 0)::BIGINT AS head_chars FROM pages_ GROUP BY 1),
+    a_ AS (SELECT *, bytes / pages::DOUBLE AS avg_bytes FROM s_)
+    SELECT *, CASE WHEN bytes < 8388608 AND avg_bytes < 75000 AND head_chars > 900 THEN 'basic' WHEN avg_bytes > 700000 AND head_chars < 250 THEN 'maximum'
+                   WHEN avg_bytes > 320000 OR bytes > 125829120 THEN 'high' ELSE 'medium' END AS tier FROM a_""",
+)
+def inspect_corpus(spark, sf_dir):
+    return ops.inspect_corpus(doc_pages(spark, sf_dir))
+
+
+@REGISTRY.add(
+    "target_feasibility",
+    f"""WITH {PAGES}, s_ AS (SELECT doc_id, count(*) AS pages, sum(strlen(text))::BIGINT * 1000 AS bytes FROM pages_ GROUP BY 1),
+    l_ AS (SELECT *, greatest(524288, pages * 7000 + 120000) AS least FROM s_),
+    f_ AS (SELECT *, list_filter([0.5::DOUBLE, 1.0, 1.5, 3.0, 5.0], lambda t: t * 1048576 < bytes AND t * 1048576 >= least) AS fits FROM l_)
+    SELECT doc_id, pages, bytes, least, array_to_string(fits, ',') AS targets,
+           CASE WHEN len(fits) > 0 THEN greatest(6000, floor(list_min(fits) * 1048576 * 0.82::DOUBLE / pages)::BIGINT) END AS page_budget FROM f_""",
+)
+def target_feasibility(spark, sf_dir):
+    return ops.target_feasibility(doc_pages(spark, sf_dir), [0.5, 1.0, 1.5, 3.0, 5.0])
