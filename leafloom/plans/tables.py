@@ -1 +1,85 @@
-"""Queries."""
+"""Queries over keyed tables and graphs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from leafloom.operators import graph, ledger
+from leafloom.plans import REGISTRY
+from leafloom.plans.sql import EDGES
+from leafloom.sources.derived import edges, table
+
+
+@REGISTRY.add("insert_ignore", "SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 > 0 UNION ALL SELECT c_custkey, c_name || '!' FROM customer WHERE c_custkey % 3 = 0")
+def insert_ignore(spark, sf_dir):
+    """Two thirds of the customers are there; all arrive, twice and with another name."""
+    all_ = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    late = all_.withColumn("c_name", F.concat("c_name", F.lit("!")))
+    return ledger.insert_ignore(all_.where("c_custkey % 3 > 0"), late.unionByName(late), "c_custkey")
+
+
+@REGISTRY.add(
+    "registry_upsert",
+    """SELECT p_partkey AS id, p_name AS name, p_partkey AS ord, false AS built_in FROM part WHERE NOT (p_partkey % 5 = 0 AND p_partkey % 15 > 0)
+    UNION ALL SELECT p_partkey, upper(p_name), (SELECT max(p_partkey) FROM part) + row_number() OVER (ORDER BY p_partkey), false FROM part WHERE p_partkey % 5 = 0 AND p_partkey % 15 > 0""",
+)
+def registry_upsert(spark, sf_dir):
+    """Every fifth part is patched; every fifteenth patch is built in."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_partkey").alias("ord"), F.lit(False).alias("built_in"))
+    patch = parts.where("id % 5 = 0").withColumn("name", F.upper("name")).withColumn("built_in", F.col("id") % 15 == 0)
+    return ledger.registry_upsert(parts, patch)
+
+
+_LINES = """l_ AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'oops' WHEN event_id % 5 = 0 THEN '{"settings":{"k":1}}' WHEN event_id % 3 = 0 THEN '{"id":"e' || event_id || '"}' ELSE '{"id":"e' || event_id || '","settings":' || props || '}' END AS value FROM events)"""
+
+
+def _lines(spark, sf_dir):
+    e = F.col("event_id")
+    value = F.when(e % 7 == 0, "oops").when(e % 5 == 0, '{"settings":{"k":1}}').when(e % 3 == 0, F.concat(F.lit('{"id":"e'), e, F.lit('"}'))).otherwise(F.concat(F.lit('{"id":"e'), e, F.lit('","settings":'), "props", F.lit("}")))
+    return table(spark, sf_dir, "events").select("event_id", value.alias("value"))
+
+
+@REGISTRY.add("read_registry_json", f"WITH {_LINES} SELECT event_id, value::JSON->>'$.id' AS id, (value::JSON->>'$.settings.k')::BIGINT AS k FROM l_ WHERE event_id % 7 <> 0 AND event_id % 5 <> 0 AND event_id % 3 <> 0")
+def read_registry_json(spark, sf_dir):
+    good, _ = ledger.read_registry(_lines(spark, sf_dir), "id STRING, settings STRUCT<k: BIGINT>")
+    return good.select("event_id", "id", "settings.k")
+
+
+@REGISTRY.add("registry_rejects", f"WITH {_LINES} SELECT event_id, value FROM l_ WHERE event_id % 7 = 0 OR event_id % 5 = 0 OR event_id % 3 = 0")
+def registry_rejects(spark, sf_dir):
+    return ledger.read_registry(_lines(spark, sf_dir), "id STRING, settings STRUCT<k: BIGINT>")[1]
+
+
+_REACH = f"""{EDGES}, r_(node) AS (SELECT 1::BIGINT UNION SELECT dst FROM r_ JOIN edges_ ON src = node)"""
+
+
+@REGISTRY.add("static_reachability", f"WITH RECURSIVE {_REACH} SELECT node FROM r_")
+def static_reachability(spark, sf_dir):
+    return graph.reachable(spark, edges(spark, sf_dir), [1]).select("node")
+
+
+@REGISTRY.add(
+    "reachable_payload",
+    f"""WITH RECURSIVE {_REACH}, o_ AS (SELECT p_name AS name, p_size * 1000 AS bytes FROM r_ JOIN part ON p_partkey = node)
+    SELECT count(*) AS files, coalesce(sum(bytes), 0)::BIGINT AS bytes, count(*) FILTER (regexp_matches(name, 'widget|bolt')) AS heavy, coalesce(sum(bytes), 0) > 1200000 AS over FROM o_""".replace("AS over FROM", 'AS "over" FROM'),
+)
+def reachable_payload(spark, sf_dir):
+    nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_name").alias("name"), (F.col("p_size").cast("long") * 1000).alias("bytes"))
+    return graph.payload(spark, edges(spark, sf_dir), nodes, [1], "widget|bolt", 1_200_000)
+
+
+@REGISTRY.add(
+    "largest_reached",
+    f"WITH RECURSIVE {_REACH} SELECT node, p_size::BIGINT * 1000 AS bytes FROM r_ JOIN part ON p_partkey = node ORDER BY bytes DESC, node LIMIT 12",
+)
+def largest_reached(spark, sf_dir):
+    """The twelve largest files of the payload."""
+    nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), (F.col("p_size").cast("long") * 1000).alias("bytes"))
+    return nodes.join(graph.reachable(spark, edges(spark, sf_dir), [1]).select("node"), "node").orderBy(F.desc("bytes"), "node").limit(12)
+
+
+@REGISTRY.add("closure_union", f"WITH {EDGES} SELECT src AS node FROM edges_ UNION SELECT dst FROM edges_ UNION SELECT p_partkey FROM part WHERE p_type = 'PROMO'")
+def closure_union(spark, sf_dir):
+    e = edges(spark, sf_dir)
+    extra = table(spark, sf_dir, "part").where("p_type = 'PROMO'").select(F.col("p_partkey").alias("node"))
+    return graph.closure_union([e.select(F.col("src").alias("node")), e.select(F.col("dst").alias("node")), extra])
