@@ -30,8 +30,8 @@ from leafloom.llm.shingles import MinHash, shingle_set
 
 #: Chance that a pair exactly at the threshold agrees in too few coordinates to be looked at.
 MISS = 1e-7
-#: Nodes in a block of a posting.
-BLOCK = 256
+#: Bounds of a block of a posting: nodes, and their shingles in all (so long texts make small blocks).
+BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
 
 
 def match_threshold(coordinates: int, similarity: float) -> int:
@@ -189,7 +189,7 @@ def near_duplicates(
         spark,
         rows.where("key IS NOT NULL")
         .groupBy("key")
-        .agg(F.min("row").alias("row"), F.min("row.id").alias("least"), F.first("sig").alias("sig"))
+        .agg(F.min("row").alias("row"), F.min("row.id").alias("least"), F.first("sig").alias("sig"), F.first("n").alias("size"))
         .withColumn("nid", F.monotonically_increasing_id()),
         "minhash-nodes",
     )
@@ -201,16 +201,17 @@ def near_duplicates(
         shared.groupBy("nid")
         .agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("own"))
         .where(F.size("own") >= matches)
-        .select("nid", F.explode(F.slice("own", F.lit(1), F.size("own") - matches + 1)).alias("own"))
-        .select("nid", "own.token"),
+        .join(nodes.select("nid", "size"), "nid")
+        .select("nid", "size", F.explode(F.slice("own", F.lit(1), F.size("own") - matches + 1)).alias("own"))
+        .select("nid", "size", "own.token"),
         "minhash-prefix",
     )
     held = prefix.groupBy("token").agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("nid")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "nid")).alias("b")
+        F.count(F.lit(1)).alias("n"), F.sum("size").alias("sizes"), F.bit_xor(F.xxhash64("nid")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "nid")).alias("b")
     ).where("n > 1")
-    kept = held.groupBy("n", "a", "b").agg(F.min("token").alias("token"))
-    blocks = F.ceil(F.col("n") / BLOCK)
-    met = prefix.withColumn("k", F.struct("token")).join(kept.select(F.struct("token").alias("k"), "n"), "k")
+    kept = held.groupBy("n", "sizes", "a", "b").agg(F.min("token").alias("token"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("sizes") / BLOCK_SHINGLES))
+    met = prefix.withColumn("k", F.struct("token")).join(kept.select(F.struct("token").alias("k"), "n", "sizes"), "k")
     pairs = (
         met.withColumn("side", F.pmod(F.xxhash64("nid", "token"), blocks))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from leafloom.llm import minhash
 from leafloom.llm.common import LOWER_BYTES
 
@@ -67,10 +69,18 @@ def test_against_brute_force_on_edited_copies(spark):
         assert found(spark, rows, percent) == brute(rows, percent)
 
 
-def test_blocks_of_one_large_group(spark):
+@pytest.mark.parametrize("bound, value", [("BLOCK", 40), ("BLOCK_SHINGLES", 3000)])
+def test_blocks_of_one_large_group(spark, monkeypatch, bound, value):
     """A posting of several blocks, dealt to pairs of blocks."""
+    monkeypatch.setattr(minhash, bound, value)
+    rnd = random.Random(7)
     base = [f"b{i}" for i in range(100)]
-    rows = [(i, " ".join(base + [f"own{i}"])) for i in range(3 * minhash.BLOCK)]
+    rows = []
+    for i in range(150):
+        own = list(base)
+        for _ in range(rnd.randrange(0, 5)):
+            own[rnd.randrange(100)] = f"own{i}"
+        rows.append((i, " ".join(own)))
     assert found(spark, rows, 80) == brute(rows, 80)
 
 
