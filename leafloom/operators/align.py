@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from leafloom.functions.lineage import cut
 from leafloom.functions.text import normalize, tokens
 
 #: Pages with fewer characters are no anchors; pairs with more page cells are matched by position only.
@@ -91,7 +92,7 @@ def page_anchors(a: DataFrame, b: DataFrame, max_cells: int = MAX_CELLS) -> Data
 def align_pages(a: DataFrame, b: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
     """(pair_id, gap, idx, page_a, page_b) in document order: anchors pair up, and between anchors the
     other pages are paired by position; a null page number marks a page of one version only."""
-    anchors = page_anchors(a, b, max_cells)
+    anchors = cut(page_anchors(a, b, max_cells))  # used for both sides; numbers only
 
     def gaps(side: DataFrame, page: str) -> DataFrame:
         own = side.select("pair_id", F.col("page_no").alias(page)).join(anchors.select("pair_id", page, F.lit(1).alias("hit")), ["pair_id", page], "left")
@@ -127,15 +128,21 @@ def word_delta(a: DataFrame, b: DataFrame, snippet: int = SNIPPET) -> DataFrame:
     )
 
 
-def compare_documents(a: DataFrame, b: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
-    """One row per aligned page: its place (gap, idx), ``status`` (unchanged, modified, added, removed),
-    page numbers, word counts of both sides and the change of words."""
+def page_status(a: DataFrame, b: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
+    """Aligned pages with both normalised texts, their word counts and ``status``: unchanged, modified,
+    added or removed."""
     sides = {s: page_signatures(p).select("pair_id", F.col("page_no").alias(f"page_{s}"), F.col("norm").alias(f"norm_{s}"), F.col("words").alias(f"words_{s}")) for s, p in (("a", a), ("b", b))}
     rows = align_pages(a, b, max_cells).join(sides["a"], ["pair_id", "page_a"], "left").join(sides["b"], ["pair_id", "page_b"], "left")
     status = (
         F.when(F.col("page_a").isNull(), "added").when(F.col("page_b").isNull(), "removed").when(F.col("norm_a") == F.col("norm_b"), "unchanged").otherwise("modified")
     )
-    rows = rows.withColumn("status", status)
+    return rows.withColumn("status", status)
+
+
+def compare_documents(a: DataFrame, b: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
+    """One row per aligned page: its place (gap, idx), ``status`` (unchanged, modified, added, removed),
+    page numbers, word counts of both sides and the change of words."""
+    rows = page_status(a, b, max_cells)
     unit = F.struct("gap", "idx").alias("unit")
     changed = rows.where("status = 'modified'")
     delta = word_delta(changed.select("pair_id", unit, F.col("norm_a").alias("norm")), changed.select("pair_id", unit, F.col("norm_b").alias("norm")))
@@ -153,9 +160,9 @@ def compare_documents(a: DataFrame, b: DataFrame, max_cells: int = MAX_CELLS) ->
     )
 
 
-def diff_summary(compared: DataFrame) -> DataFrame:
+def diff_summary(statuses: DataFrame) -> DataFrame:
     """Counts of each status by pair, and of all differences."""
-    counts = compared.groupBy("pair_id").pivot("status", ["unchanged", "modified", "added", "removed"]).count().na.fill(0)
+    counts = statuses.groupBy("pair_id").pivot("status", ["unchanged", "modified", "added", "removed"]).count().na.fill(0)
     return counts.withColumn("differences", F.col("modified") + F.col("added") + F.col("removed"))
 
 

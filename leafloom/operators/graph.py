@@ -5,29 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _cut(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Materialised in the checkpoint folder, so that plans don't grow with the rounds."""
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+from leafloom.functions.lineage import cut
 
 
 def reachable(spark: SparkSession, edges: DataFrame, entry: list[int]) -> DataFrame:
     """(node, depth): all nodes that the entries reach, with their distance. A round joins the frontier
     with the edges and takes out what was seen; cycles end by that, and rounds are as many as the
     longest shortest path."""
-    frontier = _cut(spark, spark.createDataFrame([(e, 0) for e in entry], "node bigint, depth int"))
-    seen, depth = frontier, 0
-    while frontier.take(1):
+    seen, depth = cut(spark.createDataFrame([(e, 0) for e in entry], "node bigint, depth int")), 0
+    while True:
+        frontier = seen.where(F.col("depth") == depth)
+        if not frontier.take(1):
+            return seen
         depth += 1
         following = edges.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        frontier = _cut(spark, following.join(seen.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth")))
-        seen = _cut(spark, seen.unionByName(frontier))
-    return seen
+        seen = cut(seen.unionByName(following.join(seen.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth"))))
 
 
 def payload(spark: SparkSession, edges: DataFrame, nodes: DataFrame, entry: list[int], heavy: str, limit: int) -> DataFrame:

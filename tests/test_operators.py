@@ -29,7 +29,7 @@ def versions(spark, a, b):
     ],
 )
 def test_alignment_cases(spark, a, b, want):
-    row = align.diff_summary(align.compare_documents(*versions(spark, a, b))).first().asDict()
+    row = align.diff_summary(align.page_status(*versions(spark, a, b))).first().asDict()
     assert {k: row[k] for k in want} == want
 
 
