@@ -7,7 +7,8 @@ spans are added where they overlap none of the patterns' spans.
 
 It is trained here, by maximum likelihood, on ``SAMPLE_ROWS`` texts at most. What the patterns find is
 the truth there; copies of those places with the country code left out or with other separators are
-truth too, so that the field learns the forms of a number and not only the patterns themselves.
+truth too, and so are copies in which a second span follows the first: the field learns the forms of
+a number, and to part two that a pattern takes for one.
 
 Texts are scanned where they lie; nothing is shuffled. Only stretches around digits and at-signs are
 run through the field: a segment must hold one, so everything else is outside of every span.
@@ -43,6 +44,8 @@ SAMPLE_ROWS, SAMPLE_PARTS, MAX_ATOMS, MAX_CHARS = 4_000, 20, 24, 64
 #: A segment of the field's own must score so much above leaving it out.
 MARGIN = 2.0
 EPOCHS, RATE, RIDGE = 4, 0.3, 1e-4
+#: How far apart in the sample the spans are that are joined in training.
+JOIN_STEP = 7919
 
 Span = tuple[int, int, int]  # start, end, number of the kind
 
@@ -143,7 +146,8 @@ def features(text: str, start: int, end: int) -> tuple[list[str], list[int]]:
     before, after = text[start - 1 : start], text[end : end + 1]
     own += [f"marks:{marks}", f"first:{first if first in '+(' else 'x'}"]
     own += [f"before:{'alnum' if before.isalnum() else before}", f"after:{'alnum' if after.isalnum() else after if after and after in '.,@+-_' else 'other'}"]
-    own.append(f"word:{(text[max(0, start - 24) : start].lower().split() or [''])[-1][:8]}")
+    word = (text[max(0, start - 24) : start].split() or [""])[-1]
+    own.append("word:" + re.sub("[A-Za-z]+", "a", re.sub("[0-9]", "0", word))[-8:])
     return [*own, "any"], kinds
 
 
@@ -261,6 +265,21 @@ def _varied(text: str, spans: list[Span]) -> tuple[str, list[Span]]:
     return "".join([*out, text[at:]]), moved
 
 
+def _joined(text: str, spans: list[Span], pool: list[tuple[str, int]], first: int) -> tuple[str, list[Span]]:
+    """The text with one more span of ``pool``, from number ``first`` on, after each of its spans and a
+    space, and where all are then. Digits that meet so are one number to a pattern, but not to the field."""
+    out, moved, at, length = [], [], 0, 0
+    for i, (start, end, kind) in enumerate(spans):
+        more, more_kind = pool[(first + i) % len(pool)]
+        out += [text[at:end], " ", more]
+        moved.append((length + start - at, length + end - at, kind))
+        length += end - at + 1
+        moved.append((length, length + len(more), more_kind))
+        length += len(more)
+        at = end
+    return "".join([*out, text[at:]]), moved
+
+
 def disjoint(spans: list[Span]) -> list[Span]:
     """Of overlapping spans the longest, then the first."""
     out: list[Span] = []
@@ -270,6 +289,22 @@ def disjoint(spans: list[Span]) -> list[Span]:
     return sorted(out)
 
 
+def fit(texts: list[str]) -> SemiCrf:
+    """A field fitted to the texts: as the patterns see them, with varied spans, and with a second span
+    after each, every other one varied too."""
+    cases = [(t, disjoint(base_spans(t))) for t in texts]
+    held = [(t, s) for t, s in cases if s]
+    pool = [(t[start:end], kind) for t, s in held for start, end, kind in s]
+    joined = [_joined(t, s, pool, JOIN_STEP * (k + 1)) for k, (t, s) in enumerate(held)]
+    cases += [_varied(t, s) for t, s in held]
+    cases += [_varied(*case) if k % 2 else case for k, case in enumerate(joined)]
+    model, squares = SemiCrf(), defaultdict(lambda: 1e-8)
+    for _ in range(EPOCHS):
+        for text, spans in cases:
+            model.learn(text, spans, squares)
+    return model
+
+
 def train(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> SemiCrf:
     """Fit the field to stretches of ``sample_rows`` texts at most that hold a digit or an at-sign,
     chosen by a hash of the id. Without any, the field has no weights and adds nothing."""
@@ -277,14 +312,7 @@ def train(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_
     chosen = held.select("h").orderBy("h").limit(sample_rows).distinct()
     parts = F.slice(F.regexp_extract_all("text", F.lit(r"(?s)[^0-9@]{0,40}[0-9@].{0,80}"), F.lit(0)), 1, SAMPLE_PARTS)
     rows = held.join(F.broadcast(chosen), "h").dropDuplicates(["h"]).select("h", parts.alias("parts")).orderBy("h").collect()
-    model, squares = SemiCrf(), defaultdict(lambda: 1e-8)
-    texts = [p for r in rows for p in r.parts]
-    cases = [(t, disjoint(base_spans(t))) for t in texts]
-    cases += [_varied(t, s) for t, s in cases if s]
-    for _ in range(EPOCHS):
-        for text, spans in cases:
-            model.learn(text, spans, squares)
-    return model
+    return fit([p for r in rows for p in r.parts])
 
 
 def find_spans(text: str | None, model: SemiCrf) -> tuple[list[Span], list[Span]]:
