@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
 
 1. The word n-grams of the test items are looked up in every text. Around the places they point to, a
-   window of the text is cut out; only windows leave the scan, texts are never shuffled.
-2. How many windows hold each seed is counted over all texts, and each item keeps its rarest seeds.
-3. Windows with a rare seed are aligned with their item, word by word, with gaps: edited and partly
-   rewritten copies keep a high score, chance hits a low one.
+   window of the text is taken that holds every alignment over them of the least score.
+2. A window is left out only if the words that it has in common with its item can't reach that score.
+3. All others are aligned with their item, word by word, with gaps: edited and partly rewritten copies
+   keep a high score, chance hits a low one. Only hits leave the scan, texts are never shuffled.
 
 Items are taken in blocks of ``BLOCK_WORDS`` words or so, one pass over the texts for each, so what is
 broadcast has a bound however large the benchmark is.
@@ -13,7 +13,6 @@ broadcast has a bound however large the benchmark is.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ BLOCK_WORDS = 1_000_000
 SIEVE_BITS = 22
 #: Alignment: points for a match, a mismatch and a gap.
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: The rarest share of an item's seeds that is used, and how many are used at least.
+#: The rarest share of an item's seeds in ``rare_places``, and how many it names at least.
 RARE_SHARE, RARE_LEAST = 0.5, 8
 
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -44,9 +43,11 @@ def plain_words(text: bytes | None) -> list[bytes]:
 class Seeds:
     """The n-grams of a block of items, sorted by hash, each with its item and its place there."""
 
-    def __init__(self, items: list[list[bytes]], n: int):
+    def __init__(self, items: list[list[bytes]], n: int, min_score: float):
         self.items = [word_hashes(ws) for ws in items]
         self.n = n
+        # An alignment of the least score has so many words for a word of the item between its own at most.
+        self.spare = MATCH * (1 - min_score) / -GAP
         grams = [ngrams(h, n) for h in self.items]
         h = np.concatenate([*grams, np.empty(0, np.uint64)])
         order = np.argsort(h, kind="stable")
@@ -56,9 +57,9 @@ class Seeds:
         self.sieve = np.zeros(2**SIEVE_BITS, dtype=bool)
         self.sieve[(h >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)] = True
 
-    def windows(self, hashes: np.ndarray) -> Iterator[tuple[int, int, int, list[int]]]:
-        """(item, start, end, places of the item's seeds) for each stretch of the text that seeds point
-        to, with half an item's length to spare at both ends."""
+    def windows(self, hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, start, end) for each stretch of the text that seeds point to, with as many words to
+        spare at both ends as an alignment of the least score can put in."""
         own = ngrams(hashes, self.n)
         at = np.flatnonzero(self.sieve[(own >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)])
         if not len(at):
@@ -73,17 +74,24 @@ class Seeds:
         group: list[int] = []
         for k in order.tolist():
             if group and (item[k] != item[group[-1]] or start[k] > start[group[-1]] + 2 * len(self.items[item[k]])):
-                yield self._window(group, item, start, place, len(hashes))
+                yield self._window(group, item, start, len(hashes))
                 group = []
             group.append(k)
         if group:
-            yield self._window(group, item, start, place, len(hashes))
+            yield self._window(group, item, start, len(hashes))
 
-    def _window(self, group, item, start, place, n):
+    def _window(self, group, item, start, n):
         i = int(item[group[0]])
         size = len(self.items[i])
-        low, high = int(start[group[0]]) - size // 2, int(start[group[-1]]) + size + size // 2
-        return i, max(0, low), min(n, high), sorted({int(place[k]) for k in group})
+        spare = math.ceil(self.spare * size)
+        return i, max(0, int(start[group[0]]) - spare), min(n, int(start[group[-1]]) + size + spare)
+
+
+def reach(a: np.ndarray, b: np.ndarray) -> int:
+    """What no local alignment of ``a`` in ``b`` scores more than: in the stretch of ``a`` that it
+    takes up, a word that ``b`` has is a match at best, any other a mismatch or a gap."""
+    sums = np.cumsum(np.where(np.isin(a, b), MATCH, max(MISMATCH, GAP)))
+    return int((sums - np.minimum(np.minimum.accumulate(sums - np.diff(sums, prepend=0)), 0)).max(initial=0))
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -103,38 +111,34 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def _find(seeds):
-    schema = pa.schema([("row", _ROW), ("item", pa.int32()), ("start", pa.int64()), ("seeds", pa.list_(pa.int32())), ("passage", pa.list_(pa.int64()))])
+def _find(seeds, min_score):
+    schema = pa.schema([("row", _ROW), ("item", pa.int32()), ("score", pa.float64()), ("end_word", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Seeds = seeds.value
         for batch in batches:
-            at, cols = [], [[], [], [], []]
+            at, cols = [], [[], [], []]
             for i, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
                 hashes = word_hashes(plain_words(text))
-                for item, start, end, places in own.windows(hashes):
-                    at.append(i)
-                    for c, v in zip(cols, (item, start, places, hashes[start:end].view(np.int64))):
-                        c.append(v)
+                for item, start, end in own.windows(hashes):
+                    words, passage = own.items[item], hashes[start:end]
+                    whole = MATCH * len(words)
+                    if reach(words, passage) / whole < min_score:
+                        continue
+                    best, last = align(words, passage)
+                    if best / whole >= min_score:
+                        at.append(i)
+                        for c, v in zip(cols, (item, best / whole, start + last)):
+                            c.append(v)
             rows = batch.column("row").cast(_ROW).take(pa.array(at, pa.int32()))
             yield pa.RecordBatch.from_arrays([rows, *(pa.array(c, f.type) for c, f in zip(cols, list(schema)[1:]))], schema=schema)
 
     return run
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: Counter = Counter()
-    for batch in batches:
-        for item, places in zip(batch.column("item").to_pylist(), batch.column("seeds").to_pylist()):
-            found.update((item, p) for p in places)
-    keys = list(found)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([found[k] for k in keys], pa.int64())], ["item", "place", "n"]
-    )
-
-
 def rare_places(items: list[int], counts: dict[tuple[int, int], int], n: int) -> list[set[int]]:
-    """For each item (by its number of words) the places of its rarest seeds."""
+    """For each item (by its number of words) the places of its rarest seeds. It ranks seeds only: seeds
+    that no text holds are among them, so windows mustn't be chosen by it."""
     out = []
     for i, size in enumerate(items):
         places = sorted(range(max(0, size - n + 1)), key=lambda p: (counts.get((i, p), 0), p))
@@ -142,31 +146,6 @@ def rare_places(items: list[int], counts: dict[tuple[int, int], int], n: int) ->
     return out
 
 
-def _align(seeds, rare):
-    schema = pa.schema([("row", _ROW), ("item", pa.int32()), ("score", pa.float64()), ("end_word", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, used = seeds.value, rare.value
-        for batch in batches:
-            at, scores, ends = [], [], []
-            items, starts, found = (batch.column(c).to_pylist() for c in ("item", "start", "seeds"))
-            passages = batch.column("passage")
-            for i, (item, start, places) in enumerate(zip(items, starts, found)):
-                if used[item].isdisjoint(places):
-                    continue
-                words = own.items[item]
-                best, end = align(words, passages[i].values.to_numpy().view(np.uint64))
-                at.append(i)
-                scores.append(best / (MATCH * len(words)))
-                ends.append(start + end)
-            taken = pa.array(at, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row").cast(_ROW).take(taken), batch.column("item").take(taken), pa.array(scores, pa.float64()), pa.array(ends, pa.int64())], schema=schema
-            )
-
-    return run
-
-
 def find_leaks(
     spark: SparkSession,
     docs: DataFrame,
@@ -182,7 +161,8 @@ def find_leaks(
 ) -> DataFrame:
     """One row per row of ``docs`` and item that it holds a copy of: ``row`` (its key: id and hash of
     its text), ``item_id``, ``score`` (of the best alignment, 1 for a whole exact copy) and
-    ``end_word`` (where that ends, in words). A copy scores ``min_score`` or more.
+    ``end_word`` (where that ends, in words). A copy scores ``min_score`` or more and shares at least
+    one run of ``n`` words with its item; without such a run it isn't looked at.
 
     Defined cases: null and empty texts hold nothing; items of fewer than ``min_words`` words (null
     ones too) are too short to tell a copy and match nothing; items that repeat an id count as one;
@@ -198,18 +178,14 @@ def find_leaks(
     for b in range(blocks):
         table = tests.where(part == b).toArrow()
         items = [(i, ws) for i, ws in zip(table["item_id"].to_pylist(), (plain_words(t) for t in table["text"].cast(pa.binary()).to_pylist())) if len(ws) >= min_words]
-        seeds = spark.sparkContext.broadcast(Seeds([ws for _, ws in items], n))
-        windows = stored(
+        seeds = spark.sparkContext.broadcast(Seeds([ws for _, ws in items], n, min_score))
+        scored = stored(
             spark,
-            texts.mapInArrow(_find(seeds), "row struct<id:bigint,text:bigint>, item int, start bigint, seeds array<int>, passage array<bigint>"),
-            "leaks-windows",
+            texts.mapInArrow(_find(seeds, min_score), "row struct<id:bigint,text:bigint>, item int, score double, end_word bigint"),
+            "leaks-scored",
         )
-        counts = windows.select("item", "seeds").mapInArrow(_count, "item int, place int, n bigint").groupBy("item", "place").agg(F.sum("n").alias("n"))
-        found = {(r.item, r.place): r.n for r in counts.collect()}  # one row per seed of the block at most
-        rare = spark.sparkContext.broadcast(rare_places([len(ws) for _, ws in items], found, n))
-        scored = windows.mapInArrow(_align(seeds, rare), "row struct<id:bigint,text:bigint>, item int, score double, end_word bigint")
         names = spark.createDataFrame([(k, i) for k, (i, _) in enumerate(items)], f"item int, item_id {dict(tests.dtypes)['item_id']}")
-        hits = scored.where(F.col("score") >= min_score).join(names, "item").select("row", "item_id", "score", "end_word")
+        hits = scored.join(names, "item").select("row", "item_id", "score", "end_word")
         result = hits if result is None else result.unionByName(hits)
     best = F.max(F.struct("score", (-F.col("end_word")).alias("e")))
     return result.groupBy("row", "item_id").agg(best.alias("b")).select("row", "item_id", "b.score", (-F.col("b.e")).alias("end_word"))

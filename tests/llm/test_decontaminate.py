@@ -71,6 +71,35 @@ def test_edited_copies_are_found_and_others_left(spark):
     assert {r.doc_id for r in left.collect()} == {d for d, _ in docs} - {d for d, _ in brute(docs, tests)}
 
 
+def test_copies_with_many_edits_are_found(spark):
+    """Copies of which a fifth to a third of the words are edited, none exact: the rest of an item's
+    seeds occurs in no text. The first three words stay, so that each copy has a seed."""
+    rnd = random.Random(11)
+    items = [(i, [f"i{i}w{k}" for k in range(rnd.randrange(15, 60))]) for i in range(40)]
+    spread = [f"s{k}" for k in range(40)]
+    late = [f"l{k}" for k in range(20)]
+    docs = []
+    for i, ws in items:
+        own = list(ws)
+        for p in sorted(rnd.sample(range(3, len(own)), round(len(own) * rnd.uniform(0.2, 0.33))), reverse=True):
+            rnd.choice([lambda: own.pop(p), lambda: own.insert(p, "new"), lambda: own.__setitem__(p, "other")])()
+        docs.append((i, " ".join(["before"] * 70 + own + ["after"] * 70)))
+    docs.append((100, " ".join(w + " new" * (k % 3 == 2) for k, w in enumerate(spread))))
+    docs.append((101, " ".join(w + " new" * (k < 16) for k, w in enumerate(late))))
+    tests = [(i, " ".join(ws)) for i, ws in [*items, (100, spread), (101, late)]]
+    found = dc.find_leaks(spark, spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(tests, "item_id bigint, text string")).collect()
+    assert {(r.row.id, r.item_id) for r in found} == brute(docs, tests)
+    plain = {i: (dict(docs)[i].split(), dict(tests)[i].split()) for i in dict(docs)}
+    assert {r.row.id: r.score for r in found} == {r.row.id: slow_align(plain[r.row.id][1], plain[r.row.id][0]) / (2 * len(plain[r.row.id][1])) for r in found}
+
+
+def test_reach_is_never_below_the_alignment():
+    rnd = random.Random(5)
+    for _ in range(300):
+        a, b = (word_hashes([rnd.choice("abcdefgh").encode() for _ in range(rnd.randrange(1, 20))]) for _ in range(2))
+        assert dc.reach(a, b) >= dc.align(a, b)[0]
+
+
 @pytest.mark.parametrize("docs, tests", [([], [(1, "a b c d e f g h i")]), ([(1, "a b c d e f g h i")], [])])
 def test_empty_tables(spark, docs, tests):
     frame = spark.createDataFrame(docs, "doc_id bigint, text string")
