@@ -1,7 +1,8 @@
 """License scan by ordered signature rules.
 
-A rule is a regular expression with a label, a priority and a keyword and a second string without
-which it can't match. One Aho-Corasick pass over a text finds the keywords in it; only their rules are run. Overlapping
+A rule is a regular expression with a label, a priority, keywords, one of which is in all it matches,
+and a second string without which it can't match. One Aho-Corasick pass over a text finds the keywords
+in it; only their rules are run. Overlapping
 detections are resolved in order: a detection inside a longer one goes, and of detections of equal
 extent the one with the better priority stays.
 
@@ -27,36 +28,36 @@ BASE_PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-# Label, keyword, and the spellings of the license's name as a regular expression over
+# Label, keywords (each spelling has one of them as a whole word), and the spellings of the license's name as a regular expression over
 # lower-case words parted by single spaces.
 LICENSES = [
-    ("mit", "mit", r"(?:mit|expat|mit x11|x11)"),
+    ("mit", "mit expat x11", r"(?:mit|expat|mit x11|x11)"),
     ("apache-1.1", "apache", r"apache(?: software)?(?: license)?(?: version)? v?1 1"),
-    ("apache-2", "apache", r"(?:apache(?: software)?(?: license)?(?: version)? v?2(?: 0)?|asl ?2(?: 0)?)"),
-    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)"),
+    ("apache-2", "apache asl asl2", r"(?:apache(?: software)?(?: license)?(?: version)? v?2(?: 0)?|asl ?2(?: 0)?)"),
+    ("bsd-2-clause", "bsd freebsd", r"(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)"),
     ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd|revised bsd)"),
     ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|four clause bsd|original bsd)"),
     ("gpl-1", "general", r"gnu general public license(?: as published by the free software foundation)?(?: either)? (?:version|v) ?1"),
     ("gpl-2", "general", r"gnu general public license(?: as published by the free software foundation)?(?: either)? (?:version|v) ?2"),
     ("gpl-3", "general", r"gnu general public license(?: as published by the free software foundation)?(?: either)? (?:version|v) ?3"),
-    ("gpl-2", "gpl", r"(?:gnu )?gpl ?(?:version |v)?2(?: 0)?"),
-    ("gpl-3", "gpl", r"(?:gnu )?gpl ?(?:version |v)?3(?: 0)?"),
-    ("lgpl-2", "lgpl", r"(?:gnu )?lgpl ?(?:version |v)?2(?: 0)?"),
-    ("lgpl-2.1", "lgpl", r"(?:gnu )?lgpl ?(?:version |v)?2 1"),
-    ("lgpl-3", "lgpl", r"(?:gnu )?lgpl ?(?:version |v)?3(?: 0)?"),
+    ("gpl-2", "gpl gpl2 gplv2 gplversion", r"(?:gnu )?gpl ?(?:version |v)?2(?: 0)?"),
+    ("gpl-3", "gpl gpl3 gplv3 gplversion", r"(?:gnu )?gpl ?(?:version |v)?3(?: 0)?"),
+    ("lgpl-2", "lgpl lgpl2 lgplv2 lgplversion", r"(?:gnu )?lgpl ?(?:version |v)?2(?: 0)?"),
+    ("lgpl-2.1", "lgpl lgpl2 lgplv2 lgplversion", r"(?:gnu )?lgpl ?(?:version |v)?2 1"),
+    ("lgpl-3", "lgpl lgpl3 lgplv3 lgplversion", r"(?:gnu )?lgpl ?(?:version |v)?3(?: 0)?"),
     ("lgpl-2.1", "lesser", r"gnu lesser general public license (?:version|v) ?2 1"),
     ("lgpl-3", "lesser", r"gnu lesser general public license (?:version|v) ?3"),
     ("lgpl-2", "library", r"gnu library general public license (?:version|v) ?2"),
-    ("agpl-3", "agpl", r"(?:gnu )?agpl ?(?:version |v)?3(?: 0)?"),
+    ("agpl-3", "agpl agpl3 agplv3 agplversion", r"(?:gnu )?agpl ?(?:version |v)?3(?: 0)?"),
     ("agpl-3", "affero", r"gnu affero general public license (?:version|v) ?3"),
     ("mpl-1.1", "mozilla", r"mozilla public license(?: version| v)? ?1 1"),
     ("mpl-2", "mozilla", r"mozilla public license(?: version| v)? ?2(?: 0)?"),
-    ("mpl-1.1", "mpl", r"mpl ?(?:version |v)?1 1"),
-    ("mpl-2", "mpl", r"mpl ?(?:version |v)?2(?: 0)?"),
+    ("mpl-1.1", "mpl mpl1 mplv1 mplversion", r"mpl ?(?:version |v)?1 1"),
+    ("mpl-2", "mpl mpl2 mplv2 mplversion", r"mpl ?(?:version |v)?2(?: 0)?"),
     ("epl-1", "eclipse", r"eclipse public license(?: version| v)? ?1(?: 0)?"),
     ("epl-2", "eclipse", r"eclipse public license(?: version| v)? ?2(?: 0)?"),
     ("cddl-1", "distribution", r"common development and distribution license(?: version| v)? ?1(?: 0)?"),
-    ("cddl-1", "cddl", r"cddl ?(?:version |v)?1(?: 0)?"),
+    ("cddl-1", "cddl cddl1 cddlv1 cddlversion", r"cddl ?(?:version |v)?1(?: 0)?"),
     ("cpl-1", "common", r"common public license(?: version| v)? ?1(?: 0)?"),
     ("artistic-1", "artistic", r"artistic license(?: version| v)? ?1(?: 0)?"),
     ("artistic-2", "artistic", r"artistic license(?: version| v)? ?2(?: 0)?"),
@@ -111,7 +112,7 @@ SINGLES = [
 @dataclass(frozen=True)
 class Rule:
     label: str
-    keyword: str
+    keywords: str
     pattern: str
     priority: int
     weight: float
@@ -129,12 +130,12 @@ def rules() -> list[Rule]:
             names.append((label, "cc", rf"cc {short} {v}"))
             names.append((label, "creative", rf"creative commons {name}(?: {v}|(?: international| unported)? licen[cs]e {v})"))
     for weight_at, (phrase, weight) in enumerate(PHRASES):
-        for label, keyword, name in names:
-            out.append(Rule(label, keyword, phrase.format(name), weight_at, weight, " under " if " under " in phrase else "licen"))
+        for label, keywords, name in names:
+            out.append(Rule(label, keywords, phrase.format(name), weight_at, weight, " under " if " under " in phrase else "licen"))
     for part, name in CC_PARTS:
         out.append(Rule(f"cc-{part}", "cc", rf"cc {part.replace('-', ' ')}(?: \d \d)?", len(PHRASES), 0.7))
         out.append(Rule(f"cc-{part}", "creative", rf"creative commons {name}", len(PHRASES), 0.7))
-    out += [Rule(label, keyword, pattern, len(PHRASES) + 1, weight) for label, keyword, pattern, weight in SINGLES]
+    out += [Rule(label, keywords, pattern, len(PHRASES) + 1, weight) for label, keywords, pattern, weight in SINGLES]
     return out
 
 
@@ -157,7 +158,8 @@ class Scanner:
         self.automaton = ahocorasick.Automaton()
         by: dict[str, list[int]] = {}
         for i, r in enumerate(own):
-            by.setdefault(f" {r.keyword} ", []).append(i)
+            for keyword in r.keywords.split():
+                by.setdefault(f" {keyword} ", []).append(i)
         for phrase in BASE_PHRASES:
             by.setdefault(f" {phrase} ", [])
         for keyword, numbers in by.items():
@@ -178,17 +180,17 @@ class Scanner:
                 for m in re.finditer(rf"(?= {phrase} )", line):
                     starts.append(line.count(" ", 0, m.start()))
                     base.add(label)
-        there = {x for x in ("", "licen", " under ") if x in line}
-        hits = [
-            (m.start(), m.end(), self.own[i].priority, i)
-            for i in sorted({i for numbers in gates.values() for i in numbers if self.own[i].also in there})
-            for m in self.compiled[i].finditer(line)
-        ]
+        hits = [(m.start(), m.end(), self.own[i].priority, i) for i in self.open(gates, line) for m in self.compiled[i].finditer(line)]
         kept = suppress(hits)
         labels = base | {self.own[h[3]].label for h in kept}
         score = max([1.0] * bool(base) + [self.own[h[3]].weight for h in kept], default=0.0)
         return len(found), len(starts), min(starts, default=None), max(starts, default=None), sorted(base), sorted(labels), score
 
+    def open(self, gates: dict[str, list[int]], line: str) -> list[int]:
+        """The rules whose keywords and second string are there."""
+        there = {x for x in ("", "licen", " under ") if x in line}
+        return sorted({i for numbers in gates.values() for i in numbers if self.own[i].also in there})
+
 
 def suppress(hits: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
     """Detections (start, end, priority, rule) that stay: none inside a longer one, and of equal

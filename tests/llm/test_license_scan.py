@@ -49,6 +49,57 @@ def test_gates_turn_no_match_away():
             assert set(scanner(text.encode())[5]) <= ungated and f"cc-{part}-{v.replace(' ', '.')}" in scanner(text.encode())[5]
 
 
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        ("Licensed under GPLv3", "gpl-3"),
+        ("released under GPL2", "gpl-2"),
+        ("distributed under the GNU GPLv2+", "gpl-2"),
+        ("provided under LGPLv3", "lgpl-3"),
+        ("License: LGPLv2.1", "lgpl-2.1"),
+        ("published under AGPLv3", "agpl-3"),
+        ("MPLv2 license", "mpl-2"),
+        ("license CDDLv1.0", "cddl-1"),
+        ("Expat License", "mit"),
+        ("X11 License", "mit"),
+        ("FreeBSD License", "bsd-2-clause"),
+        ("released under ASL 2.0", "apache-2"),
+        ("licensed under the ASL2", "apache-2"),
+    ],
+)
+def test_spellings_in_one_word(text, labels):
+    assert ",".join(ls.Scanner(ls.rules())(text.encode())[5]) == labels
+
+
+def spellings(parsed):
+    """All texts that a parsed pattern matches; a digit stands for all."""
+    out = [""]
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            ways = [chr(arg)]
+        elif op == "IN":
+            ways = [chr(v) if str(o) == "LITERAL" else "7" for o, v in arg]
+        elif op == "SUBPATTERN":
+            ways = spellings(arg[3])
+        elif op == "BRANCH":
+            ways = [w for b in arg[1] for w in spellings(b)]
+        else:
+            assert op == "MAX_REPEAT" and arg[:2] == (0, 1)
+            ways = ["", *spellings(arg[2])]
+        out = [a + w for a in out for w in ways]
+    return out
+
+
+def test_every_spelling_passes_its_gates():
+    scanner = ls.Scanner(ls.rules())
+    for i, r in enumerate(scanner.own):
+        for text in set(spellings(re._parser.parse(r.pattern))):
+            line = f" {text} "
+            assert scanner.compiled[i].search(line)
+            assert i in scanner.open(dict(x[1] for x in scanner.automaton.iter(line)), line), (r.label, text)
+
+
 def test_suppression_by_containment_and_priority():
     assert ls.suppress([(0, 10, 2, 5), (0, 10, 1, 7), (2, 8, 0, 1), (8, 14, 3, 2), (20, 22, 4, 3)]) == [(0, 10, 1, 7), (8, 14, 3, 2), (20, 22, 4, 3)]
 
