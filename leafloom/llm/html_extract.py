@@ -51,8 +51,11 @@ BIAS, WORDS, LINKS, IN_ARTICLE, GOOD, STRONG, WEAK, BAD_TAG, HEADER, HEADING, PR
 NEXT, SIBLING = 1.2, 1.5
 
 _SILENT = "|".join(SILENT_TAGS)
+# A name ends at white space, "/" or ">": <video-player> is no <video>. Only svg and math can close
+# themselves; a slash that ends an unquoted value doesn't do that.
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_SILENT})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/>])(?:[^>=/]|/(?!>)|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*)?)*+/>"
+    rf"|<(?P<raw>{_SILENT})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest2>[^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,

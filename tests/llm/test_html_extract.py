@@ -49,6 +49,31 @@ def test_page_without_article_element():
     assert hx.main_text(page) == " ".join([PROSE] * 3 + ["Yes."] + [PROSE] * 3)
 
 
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<video-player src="a.mp4"></video-player>',
+        "<audio-player>\n</audio-player>",
+        "<button-group></button-group>",
+        "<object-card/>",
+        "<SVG-icon name=x></SVG-icon>",
+        "<title-bar></title-bar>",
+        '<svg class="icon" viewBox="0 0 1 1"/>',
+        "<svg/>",
+        "<math />",
+        '<svg data-path="a>b" width=\'1\' />',
+        "<svg viewBox=0/0 ><path d='M0 0'/>no</svg>",
+        "<svg width=10/>no</svg>",
+        "<svg>no<path d='M0 0'/>no</svg>",
+        "<video src=a.mp4>no</video>",
+        "<video\nsrc=a.mp4>no</video>",
+        "<canvas/>no</canvas>",
+    ],
+)
+def test_raw_elements_end_where_they_should(part):
+    assert hx.main_text(f"<article><p>{PROSE}</p>{part}<p>{PROSE}</p><p>{PROSE}</p></article>") == " ".join([PROSE] * 3)
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<!-- open", "<script>x", "</p></div>", "<p>" * 5000, "<b>" * 5000, "&" * 5000, "<a '" * 2000, "a<b>c</b>d " * 20000])
 def test_odd_pages_do_not_fail(page):
     assert isinstance(hx.main_text(page), str)
