@@ -1,8 +1,10 @@
 """Aligning and comparing two versions of paged documents.
 
-Page tables have the columns (pair_id, page_no, text). Everything is joined and windowed by pair, so
-pairs spread over the cluster; only pairs with repeated pages need the longest-common-subsequence
-table, and they send hashes of pages to it, not their texts.
+Page tables have the columns (pair_id, page_no, text). Texts are read once by side for their facts:
+hash, words and whether they can anchor. Aligning moves and windows facts only, by pair; texts are
+fetched again for pages that differ. Pairs whose shared pages are unique and in order are aligned by
+grouping alone; the page numbers of the others meet in one row a pair, for a longest common
+subsequence. No result depends on the size of a page or a document.
 """
 
 from __future__ import annotations
@@ -15,92 +17,83 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from leafloom.functions.lineage import cut
+from leafloom.functions.sequences import common_subsequence
 from leafloom.functions.text import normalize, tokens
 
-#: Pages with fewer characters are no anchors; pairs with more page cells are matched by position only.
-MIN_SIGNATURE, MAX_CELLS = 8, 2_000_000
-#: Tokens of a snippet; token cells up to which a diff is exact, and how far it looks ahead beyond.
-SNIPPET, MAX_TOKEN_CELLS, LOOK_AHEAD = 28, 650_000, 18
-
-
-def page_signatures(pages: DataFrame, nfkc: bool = False) -> DataFrame:
-    """Pages with ``norm`` (normalised text), ``sig`` (its hash; null for short pages) and ``words``."""
-    norm = normalize(F.col("text"), nfkc)
-    sig = F.when(F.length("norm") >= MIN_SIGNATURE, F.unhex(F.sha2("norm", 256)))
-    return pages.withColumn("norm", norm).withColumns({"sig": sig, "words": F.size(tokens(F.col("norm"))).cast("long")})
-
-
-def lcs_pairs(a: list, b: list) -> list[tuple[int, int]]:
-    """Positions of a longest common subsequence, walked from the end; on ties the step is in ``a``.
-    None stands for entries that match nothing."""
-    n, m = len(a), len(b)
-    rows = [[0] * (m + 1)]
-    for x in a:
-        above, row = rows[-1], [0]
-        for j, y in enumerate(b):
-            row.append(above[j] + 1 if x is not None and x == y else max(above[j + 1], row[j]))
-        rows.append(row)
-    out, i, j = [], n, m
-    while i and j:
-        if a[i - 1] is not None and a[i - 1] == b[j - 1]:
-            i, j = i - 1, j - 1
-            out.append((i, j))
-        elif rows[i - 1][j] >= rows[i][j - 1]:
-            i -= 1
-        else:
-            j -= 1
-    return out[::-1]
-
-
-def _lcs_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+#: Pages with fewer characters are no anchors; tokens of a snippet.
+MIN_SIGNATURE, SNIPPET = 8, 28
+
+
+def page_facts(pages: DataFrame, nfkc: bool = False) -> DataFrame:
+    """(pair_id, page_no, fp, sig, words): hash of the normalised text, the same where it can anchor (null
+    for short pages), and its number of tokens."""
+    own = pages.select("pair_id", "page_no", normalize(F.col("text"), nfkc).alias("norm"))
+    own = own.select("pair_id", "page_no", F.unhex(F.sha2("norm", 256)).alias("fp"), F.length("norm").alias("n"), F.size(tokens(F.col("norm"))).cast("long").alias("words"))
+    return own.select("pair_id", "page_no", "fp", F.when(F.col("n") >= MIN_SIGNATURE, F.col("fp")).alias("sig"), "words")
+
+
+def _walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Anchors of pairs, each a row with the pages of either side for every signature."""
     for part in parts:
-        rows = [(p, i + 1, j + 1) for p, a, b in zip(part.pair_id, part.a, part.b) for i, j in lcs_pairs(list(a), list(b))]
+        rows = []
+        for pair, groups in zip(part.pair_id, part.groups):
+            sides = []
+            for side in ("pages_a", "pages_b"):
+                sides.append(sorted(((page, k if g["shared"] else None) for k, g in enumerate(groups) for page in g[side]), key=lambda x: x[0]))
+            one, two = sides
+            for j, i in common_subsequence([k for _, k in two], [k for _, k in one]):
+                rows.append((pair, one[i][0], two[j][0]))
         yield pd.DataFrame(rows, columns=["pair_id", "page_a", "page_b"])
 
 
-def page_anchors(a: DataFrame, b: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
+def anchors_of(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``page_anchors`` from facts."""
+    number = dict(a.dtypes)["page_no"]
+    mine = a.select("pair_id", "sig", F.col("page_no").alias("page_a"), F.lit(None).cast(number).alias("page_b"))
+    other = b.select("pair_id", "sig", F.lit(None).cast(number).alias("page_a"), F.col("page_no").alias("page_b"))
+    met = mine.unionByName(other).groupBy("pair_id", "sig").agg(F.collect_list("page_a").alias("pages_a"), F.collect_list("page_b").alias("pages_b"))
+    pair = W.partitionBy("pair_id")
+    shared = F.expr("sig IS NOT NULL AND size(pages_a) > 0 AND size(pages_b) > 0")
+    first_a, first_b = F.array_min("pages_a"), F.array_min("pages_b")
+    before = F.last(F.when(shared, first_b), ignorenulls=True).over(pair.orderBy(first_a).rowsBetween(W.unboundedPreceding, -1))
+    knot = shared & ((F.size("pages_a") > 1) | (F.size("pages_b") > 1) | F.coalesce(first_b <= before, F.lit(False)))
+    marked = met.withColumn("knot", knot.cast("int")).withColumn("knots", F.sum("knot").over(pair)).withColumn("shared", shared)
+    easy = marked.where("knots = 0 AND shared").select("pair_id", first_a.alias("page_a"), first_b.alias("page_b"), F.lit("join").alias("method"))
+    lists = marked.where("knots > 0").groupBy("pair_id").agg(F.collect_list(F.struct("shared", "pages_a", "pages_b")).alias("groups"))
+    walked = lists.mapInPandas(_walk, f"pair_id {dict(a.dtypes)['pair_id']}, page_a {number}, page_b {number}")
+    return easy.unionByName(walked.withColumn("method", F.lit("subsequence")))
+
+
+def page_anchors(a: DataFrame, b: DataFrame) -> DataFrame:
     """(pair_id, page_a, page_b, method): equal pages that a longest common subsequence pairs.
 
-    ``join``: all shared pages of the pair are unique and in order, so the join is the answer. ``lcs``:
-    the table is filled for this pair. ``index``: over ``max_cells`` cells only equal pages at the same
-    number are paired.
+    ``join``: all pages that the two share are unique and in order, so that is the subsequence.
+    ``subsequence``: it was walked for this pair, whose page numbers meet in one row for it.
+    A page repeated k times costs k numbers on either side, not k * k rows.
     """
-    one, two = (
-        s.select("pair_id", F.col("page_no").alias(p), "sig", F.max("page_no").over(W.partitionBy("pair_id")).alias(n))
-        for s, p, n in ((page_signatures(a), "page_a", "n"), (page_signatures(b), "page_b", "m"))
-    )
-    shared = one.join(two, ["pair_id", "sig"])
-    pair = W.partitionBy("pair_id")
-    ordered = pair.orderBy("page_a", "page_b")
-    back = (F.col("page_a") <= F.lag("page_a").over(ordered)) | (F.col("page_b") <= F.lag("page_b").over(ordered))
-    big = F.col("n") * F.col("m") > max_cells
-    marked = shared.withColumn("big", big).withColumn("knots", F.sum(F.when(back, 1).otherwise(0)).over(pair))
-    easy = marked.where(~F.col("big") & (F.col("knots") == 0)).select("pair_id", "page_a", "page_b", F.lit("join").alias("method"))
-    placed = marked.where("big AND page_a = page_b").select("pair_id", "page_a", "page_b", F.lit("index").alias("method"))
-    hard = marked.where("NOT big AND knots > 0").select("pair_id").distinct()
-
-    def listed(side: DataFrame, page: str, name: str) -> DataFrame:
-        own = side.join(hard, "pair_id", "left_semi").groupBy("pair_id")
-        return own.agg(F.transform(F.array_sort(F.collect_list(F.struct(page, "sig"))), lambda x: x["sig"]).alias(name))
+    return anchors_of(page_facts(a), page_facts(b))
 
-    lists = listed(one, "page_a", "a").join(listed(two, "page_b", "b"), "pair_id")
-    kind = dict(a.dtypes)["pair_id"]
-    walked = lists.mapInPandas(_lcs_rows, f"pair_id {kind}, page_a int, page_b int").withColumn("method", F.lit("lcs"))
-    return easy.unionByName(placed).unionByName(walked)
 
+def aligned_facts(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``align_pages`` with the facts of both sides."""
+    one, two = cut(page_facts(a)), cut(page_facts(b))
+    anchors = cut(anchors_of(one, two))
 
-def align_pages(a: DataFrame, b: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
-    """(pair_id, gap, idx, page_a, page_b) in document order: anchors pair up, and between anchors the
-    other pages are paired by position; a null page number marks a page of one version only."""
-    anchors = cut(page_anchors(a, b, max_cells))  # used for both sides; numbers only
-
-    def gaps(side: DataFrame, page: str) -> DataFrame:
-        own = side.select("pair_id", F.col("page_no").alias(page)).join(anchors.select("pair_id", page, F.lit(1).alias("hit")), ["pair_id", page], "left")
+    def gaps(side: DataFrame, s: str) -> DataFrame:
+        page = f"page_{s}"
+        own = side.select("pair_id", F.col("page_no").alias(page), F.col("fp").alias(f"fp_{s}"), F.col("words").alias(f"words_{s}"))
+        own = own.join(anchors.select("pair_id", page, F.lit(1).alias("hit")), ["pair_id", page], "left")
         own = own.withColumn("gap", F.count("hit").over(W.partitionBy("pair_id").orderBy(page)))
         within = W.partitionBy("pair_id", "gap", F.col("hit").isNull()).orderBy(page)
-        return own.select("pair_id", "gap", F.when(F.col("hit") == 1, 0).otherwise(F.row_number().over(within)).alias("idx"), page)
+        return own.withColumn("idx", F.when(F.col("hit") == 1, 0).otherwise(F.row_number().over(within))).drop("hit")
 
-    return gaps(a, "page_a").join(gaps(b, "page_b"), ["pair_id", "gap", "idx"], "full")
+    return gaps(one, "a").join(gaps(two, "b"), ["pair_id", "gap", "idx"], "full")
+
+
+def align_pages(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(pair_id, gap, idx, page_a, page_b) in document order: anchors pair up, and between anchors the
+    other pages are paired by position; a null page number marks a page of one version only."""
+    return aligned_facts(a, b).select("pair_id", "gap", "idx", "page_a", "page_b")
 
 
 def token_counts(pages: DataFrame, side: str) -> DataFrame:
@@ -119,44 +112,48 @@ def word_delta(a: DataFrame, b: DataFrame, snippet: int = SNIPPET) -> DataFrame:
     na, nb = F.coalesce("n_a", F.lit(0)), F.coalesce("n_b", F.lit(0))
     both = both.withColumns({"less": F.greatest(na - nb, F.lit(0)), "more": F.greatest(nb - na, F.lit(0))})
 
-    def cut(n: str, first: str) -> Column:
+    def surplus(n: str, first: str) -> Column:
         own = F.array_sort(F.collect_list(F.when(F.col(n) > 0, F.struct(F.col(f"{first}.at"), F.col(f"{first}.token"), F.least(F.col(n), F.lit(snippet)).cast("int").alias("n")))))
-        return F.array_join(F.slice(F.flatten(F.transform(own, lambda x: F.array_repeat(x["token"], x["n"]))), 1, snippet), " ")
+        # No more than ``snippet`` of them can be shown.
+        return F.array_join(F.slice(F.flatten(F.transform(F.slice(own, 1, snippet), lambda x: F.array_repeat(x["token"], x["n"]))), 1, snippet), " ")
 
     return both.groupBy("pair_id", "unit").agg(
-        F.sum("more").alias("added_words"), F.sum("less").alias("removed_words"), cut("more", "first_b").alias("added_snippet"), cut("less", "first_a").alias("removed_snippet")
+        F.sum("more").alias("added_words"), F.sum("less").alias("removed_words"), surplus("more", "first_b").alias("added_snippet"), surplus("less", "first_a").alias("removed_snippet")
     )
 
 
-def page_status(a: DataFrame, b: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
-    """Aligned pages with both normalised texts, their word counts and ``status``: unchanged, modified,
-    added or removed."""
-    sides = {s: page_signatures(p).select("pair_id", F.col("page_no").alias(f"page_{s}"), F.col("norm").alias(f"norm_{s}"), F.col("words").alias(f"words_{s}")) for s, p in (("a", a), ("b", b))}
-    rows = align_pages(a, b, max_cells).join(sides["a"], ["pair_id", "page_a"], "left").join(sides["b"], ["pair_id", "page_b"], "left")
-    status = (
-        F.when(F.col("page_a").isNull(), "added").when(F.col("page_b").isNull(), "removed").when(F.col("norm_a") == F.col("norm_b"), "unchanged").otherwise("modified")
-    )
-    return rows.withColumn("status", status)
+def page_status(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Aligned pages with the word counts of both sides and ``status``: unchanged, modified, added or
+    removed. Numbers only; texts count as equal if their SHA-256 is."""
+    rows = aligned_facts(a, b)
+    status = F.when(F.col("page_a").isNull(), "added").when(F.col("page_b").isNull(), "removed").when(F.col("fp_a") == F.col("fp_b"), "unchanged").otherwise("modified")
+    return rows.select("pair_id", "gap", "idx", "page_a", "page_b", "words_a", "words_b", status.alias("status"))
 
 
-def compare_documents(a: DataFrame, b: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
+def compare_documents(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row per aligned page: its place (gap, idx), ``status`` (unchanged, modified, added, removed),
-    page numbers, word counts of both sides and the change of words."""
-    rows = page_status(a, b, max_cells)
-    unit = F.struct("gap", "idx").alias("unit")
-    changed = rows.where("status = 'modified'")
-    delta = word_delta(changed.select("pair_id", unit, F.col("norm_a").alias("norm")), changed.select("pair_id", unit, F.col("norm_b").alias("norm")))
-    delta = delta.select("pair_id", "unit.gap", "unit.idx", "added_words", "removed_words", "added_snippet", "removed_snippet")
-    head = lambda s: F.array_join(F.slice(tokens(F.col(f"norm_{s}")), 1, SNIPPET), " ")
-    own = rows.join(delta, ["pair_id", "gap", "idx"], "left")
+    page numbers, word counts of both sides and the change of words. The pages are aligned once; texts
+    are fetched for those that differ."""
+    rows = cut(page_status(a, b))
+
+    def texts(pages: DataFrame, s: str, status: str) -> DataFrame:
+        own = rows.where(F.col("status") == status).select("pair_id", F.col(f"page_{s}").alias("page_no"), F.struct("gap", "idx").alias("unit"))
+        return pages.join(own, ["pair_id", "page_no"]).select("pair_id", "unit", normalize(F.col("text")).alias("norm"))
+
+    head = F.array_join(F.slice(tokens(F.col("norm")), 1, SNIPPET), " ")
+    delta = word_delta(texts(a, "a", "modified"), texts(b, "b", "modified"))
+    delta = delta.unionByName(texts(b, "b", "added").select("pair_id", "unit", head.alias("added_snippet")), allowMissingColumns=True)
+    delta = delta.unionByName(texts(a, "a", "removed").select("pair_id", "unit", head.alias("removed_snippet")), allowMissingColumns=True)
+    own = rows.join(delta.select("pair_id", "unit.*", "added_words", "removed_words", "added_snippet", "removed_snippet"), ["pair_id", "gap", "idx"], "left")
+    number = lambda c: F.coalesce(c, F.lit(0))
     return own.select(
         "pair_id", "gap", "idx", "status", "page_a", "page_b",
-        F.coalesce("words_a", F.lit(0)).alias("words_a"),
-        F.coalesce("words_b", F.lit(0)).alias("words_b"),
-        F.when(F.col("status") == "added", F.col("words_b")).otherwise(F.coalesce("added_words", F.lit(0))).alias("added_words"),
-        F.when(F.col("status") == "removed", F.col("words_a")).otherwise(F.coalesce("removed_words", F.lit(0))).alias("removed_words"),
-        F.when(F.col("status") == "added", head("b")).otherwise(F.coalesce("added_snippet", F.lit(""))).alias("added_snippet"),
-        F.when(F.col("status") == "removed", head("a")).otherwise(F.coalesce("removed_snippet", F.lit(""))).alias("removed_snippet"),
+        number("words_a").alias("words_a"),
+        number("words_b").alias("words_b"),
+        F.when(F.col("status") == "added", F.col("words_b")).otherwise(number("added_words")).alias("added_words"),
+        F.when(F.col("status") == "removed", F.col("words_a")).otherwise(number("removed_words")).alias("removed_words"),
+        F.coalesce("added_snippet", F.lit("")).alias("added_snippet"),
+        F.coalesce("removed_snippet", F.lit("")).alias("removed_snippet"),
     )
 
 
@@ -175,77 +172,46 @@ def difference_report(compared: DataFrame) -> DataFrame:
         .otherwise(F.format_string("MODIFIED - original p. %d -> revised p. %d", "page_a", "page_b"))
     )
     words = F.format_string("+%d word(s), -%d word(s)", "added_words", "removed_words")
-    lines = compared.where("status <> 'unchanged'").select(
-        "pair_id", F.row_number().over(W.partitionBy("pair_id").orderBy("gap", "idx")).alias("line"), label.alias("label"), words.alias("words")
+    differs = F.col("status") != "unchanged"
+    # One more row a pair, which stays where the pair has no other.
+    rows = compared.select("pair_id", "gap", "idx", differs.alias("differs"), label.alias("label"), words.alias("words"))
+    pair = W.partitionBy("pair_id")
+    rows = rows.withColumn("any", F.max("differs").over(pair)).withColumn("n", F.row_number().over(pair.orderBy("gap", "idx"))).where("differs OR (NOT any AND n = 1)")
+    return rows.select(
+        "pair_id", F.row_number().over(pair.orderBy("gap", "idx")).alias("line"),
+        F.when(F.col("any"), F.col("label")).otherwise("No differences").alias("label"), F.when(F.col("any"), F.col("words")).otherwise("").alias("words"),
     )
-    none = compared.select("pair_id").distinct().join(lines.select("pair_id"), "pair_id", "left_anti")
-    return lines.unionByName(none.select("pair_id", F.lit(1).alias("line"), F.lit("No differences").alias("label"), F.lit("").alias("words")))
-
-
-def diff_tokens(a: list[str], b: list[str], max_cells: int = MAX_TOKEN_CELLS, ahead: int = LOOK_AHEAD) -> tuple[list[int], list[int]]:
-    """(added places in b, removed places in a). Exact up to ``max_cells`` cells, ties as additions;
-    beyond, a greedy walk that looks ``ahead`` tokens for the next match on either side."""
-    n, m = len(a), len(b)
-    added, removed = [], []
-    if n * m <= max_cells:
-        rows = [[0] * (m + 1)]
-        for x in a:
-            above, row = rows[-1], [0]
-            for j, y in enumerate(b):
-                row.append(above[j] + 1 if x == y else max(above[j + 1], row[j]))
-            rows.append(row)
-        i, j = n, m
-        while i or j:
-            if i and j and a[i - 1] == b[j - 1]:
-                i, j = i - 1, j - 1
-            elif j and (not i or rows[i][j - 1] >= rows[i - 1][j]):
-                j -= 1
-                added.append(j)
-            else:
-                i -= 1
-                removed.append(i)
-        return added[::-1], removed[::-1]
-    i = j = 0
-    while i < n and j < m:
-        if a[i] == b[j]:
-            i, j = i + 1, j + 1
-            continue
-        in_b = next((k for k in range(1, ahead + 1) if j + k < m and b[j + k] == a[i]), None)
-        in_a = next((k for k in range(1, ahead + 1) if i + k < n and a[i + k] == b[j]), None)
-        if in_b and (not in_a or in_b <= in_a):
-            added += range(j, j + in_b)
-            j += in_b
-        elif in_a:
-            removed += range(i, i + in_a)
-            i += in_a
-        else:
-            removed.append(i)
-            added.append(j)
-            i, j = i + 1, j + 1
-    return added + list(range(j, m)), removed + list(range(i, n))
-
-
-def _diff_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+
+def _changed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
         rows = []
-        for p, pa_, pb, a, b in zip(part.pair_id, part.page_a, part.page_b, part.a, part.b):
-            added, removed = diff_tokens(list(a), list(b))
-            rows += [(p, pa_, pb, "added", k, b[k]) for k in added] + [(p, pa_, pb, "removed", k, a[k]) for k in removed]
+        for pair, page_a, page_b, a, b in zip(part.pair_id, part.page_a, part.page_b, part.a, part.b):
+            common = common_subsequence(list(a), list(b))
+            in_a, in_b = {i for i, _ in common}, {j for _, j in common}
+            rows += [(pair, page_a, page_b, "removed", i, x) for i, x in enumerate(a) if i not in in_a]
+            rows += [(pair, page_a, page_b, "added", j, x) for j, x in enumerate(b) if j not in in_b]
         yield pd.DataFrame(rows, columns=["pair_id", "page_a", "page_b", "change", "idx", "token"])
 
 
-def token_diff(compared: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """Ordered token changes of the modified pages: (pair_id, page_a, page_b, change, idx, token).
-    Tokens are compared in lower case."""
-    own = lambda s, p: page_signatures(p).select("pair_id", F.col("page_no").alias(f"page_{s}"), F.transform(tokens(F.col("norm")), F.lower).alias(s))
-    rows = compared.where("status = 'modified'").select("pair_id", "page_a", "page_b").join(own("a", a), ["pair_id", "page_a"]).join(own("b", b), ["pair_id", "page_b"])
-    kind = dict(a.dtypes)["pair_id"]
-    return rows.select("pair_id", "page_a", "page_b", "a", "b").mapInPandas(_diff_rows, f"pair_id {kind}, page_a int, page_b int, change string, idx long, token string")
+def token_diff(statuses: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """Ordered token changes of the modified pages: (pair_id, page_a, page_b, change, idx, token). Tokens
+    are compared in lower case; what isn't in a longest common subsequence is removed or added, on
+    ties what is added stands later. Exact for pages of any length; two pages meet in a task."""
+    rows = statuses.where("status = 'modified'").select("pair_id", "page_a", "page_b")
+    for s, pages in (("a", a), ("b", b)):
+        own = pages.select("pair_id", F.col("page_no").alias(f"page_{s}"), F.transform(tokens(normalize(F.col("text"))), F.lower).alias(s))
+        rows = rows.join(own, ["pair_id", f"page_{s}"])
+    kinds = dict(a.dtypes)
+    return rows.select("pair_id", "page_a", "page_b", "a", "b").mapInPandas(
+        _changed, f"pair_id {kinds['pair_id']}, page_a {kinds['page_no']}, page_b {kinds['page_no']}, change string, idx long, token string"
+    )
 
 
 def change_groups(tokens_: DataFrame, max_groups: int = 220) -> DataFrame:
     """Islands of consecutive changed tokens on one line, from (doc_id, page_no, idx, y, h, x, w) rows:
-    the first ``max_groups`` of a page with their extent, and how many more the page has."""
+    the first ``max_groups`` of a page with their extent, and how many more the page has. Added tokens
+    are shown in 220 groups, removed ones in 6 (``REMOVED_GROUPS``)."""
     page = W.partitionBy("doc_id", "page_no").orderBy("idx")
     apart = (F.col("idx") != F.lag("idx").over(page) + 1) | (F.abs(F.col("y") - F.lag("y").over(page)) > F.greatest("h", F.lag("h").over(page)) * 0.7)
     marked = tokens_.withColumn("new", F.when(F.coalesce(apart, F.lit(True)), 1).otherwise(0)).withColumn("grp", F.sum("new").over(page))
@@ -257,6 +223,10 @@ def change_groups(tokens_: DataFrame, max_groups: int = 220) -> DataFrame:
     return boxes.withColumn("overflow", F.greatest(total - max_groups, F.lit(0))).where(F.col("grp") <= max_groups)
 
 
+#: Groups of removed tokens that a page shows.
+REMOVED_GROUPS = 6
+
+
 def multiset_except(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of ``a`` beyond their number in ``b``."""
     return a.exceptAll(b)
@@ -264,5 +234,5 @@ def multiset_except(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def common_pages(a: DataFrame, b: DataFrame) -> DataFrame:
     """(pair_id, sig) that both versions have."""
-    own = lambda p: page_signatures(p).where("sig IS NOT NULL").select("pair_id", F.lower(F.hex("sig")).alias("sig"))
+    own = lambda p: page_facts(p).where("sig IS NOT NULL").select("pair_id", F.lower(F.hex("sig")).alias("sig"))
     return own(a).intersect(own(b))

@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 from leafloom.functions.text import normalize, tokens
 from leafloom.operators import align
 from leafloom.plans import REGISTRY
-from leafloom.plans.sql import ALIGNED, ANCHORS, COMPARED, REVISED, WORDS, norm
+from leafloom.plans.sql import ALIGNED, ANCHORS, COMPARED, REVISED, grid, norm
 from leafloom.plans.sql import tokens as sql_tokens
-from leafloom.sources.derived import doc_pages, revised_pages, words
+from leafloom.sources.derived import doc_pages, revised_document_pages, words
 
 
 def versions(spark, sf_dir):
-    pages = doc_pages(spark, sf_dir)
-    return pages.withColumnRenamed("doc_id", "pair_id"), revised_pages(pages).withColumnRenamed("doc_id", "pair_id")
+    return tuple(p.withColumnRenamed("doc_id", "pair_id") for p in (doc_pages(spark, sf_dir), revised_document_pages(spark, sf_dir)))
 
 
 @REGISTRY.add("page_anchors", f"WITH RECURSIVE {ANCHORS} SELECT doc_id AS pair_id, page_a, page_b FROM anchors_")
@@ -110,12 +109,24 @@ def common_pages(spark, sf_dir):
 
 @REGISTRY.add(
     "change_groups",
-    f"""WITH {WORDS}, c_ AS (SELECT * FROM words_ WHERE (doc_id + idx) % 5 < 3),
+    f"""WITH {REVISED}, {grid('wa_', 'pages_')}, {grid('wb_', 'revised_')},
+    c_ AS (SELECT 'removed' AS change, 6 AS cap, * FROM wa_ WHERE NOT EXISTS (SELECT 1 FROM wb_ WHERE wb_.doc_id = wa_.doc_id AND wb_.page_no = wa_.page_no AND lower(wb_.text) = lower(wa_.text))
+           UNION ALL
+           SELECT 'added', 220, * FROM wb_ WHERE NOT EXISTS (SELECT 1 FROM wa_ WHERE wb_.doc_id = wa_.doc_id AND wb_.page_no = wa_.page_no AND lower(wb_.text) = lower(wa_.text))),
     m_ AS (SELECT *, CASE WHEN idx <> lag(idx) OVER p + 1 OR abs(y - lag(y) OVER p) > greatest(h, lag(h) OVER p) * 0.7::DOUBLE OR lag(idx) OVER p IS NULL THEN 1 ELSE 0 END AS new
-           FROM c_ WINDOW p AS (PARTITION BY doc_id, page_no ORDER BY idx)),
-    g_ AS (SELECT *, (sum(new) OVER (PARTITION BY doc_id, page_no ORDER BY idx))::BIGINT AS grp FROM m_),
-    b_ AS (SELECT doc_id, page_no, grp, count(*) AS n_tokens, min(idx) AS first_idx, min(x) AS x0, min(y) AS y0, max(x + w) AS x1, max(y + h) AS y1 FROM g_ GROUP BY ALL)
-    SELECT * FROM (SELECT *, greatest(count(*) OVER (PARTITION BY doc_id, page_no) - 220, 0) AS overflow FROM b_) WHERE grp <= 220""",
+           FROM c_ WINDOW p AS (PARTITION BY change, doc_id, page_no ORDER BY idx)),
+    g_ AS (SELECT *, (sum(new) OVER (PARTITION BY change, doc_id, page_no ORDER BY idx))::BIGINT AS grp FROM m_),
+    b_ AS (SELECT change, cap, doc_id, page_no, grp, count(*) AS n_tokens, min(idx) AS first_idx, min(x) AS x0, min(y) AS y0, max(x + w) AS x1, max(y + h) AS y1 FROM g_ GROUP BY ALL)
+    SELECT * EXCLUDE (cap) FROM (SELECT *, greatest(count(*) OVER (PARTITION BY change, doc_id, page_no) - cap, 0) AS overflow FROM b_) WHERE grp <= cap""",
 )
 def change_groups(spark, sf_dir):
-    return align.change_groups(words(doc_pages(spark, sf_dir)).where("(doc_id + idx) % 5 < 3"))
+    """Of each page, the tokens that the page of its number in the other version doesn't have."""
+    pages = doc_pages(spark, sf_dir)
+    a, b = words(pages), words(revised_document_pages(spark, sf_dir))
+
+    def only(own, other, change, most):
+        there = other.select("doc_id", "page_no", F.lower("text").alias("key")).distinct()
+        left = own.withColumn("key", F.lower("text")).join(there, ["doc_id", "page_no", "key"], "left_anti").drop("key")
+        return align.change_groups(left, most).withColumn("change", F.lit(change))
+
+    return only(a, b, "removed", align.REMOVED_GROUPS).unionByName(only(b, a, "added", 220))

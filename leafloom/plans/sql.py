@@ -85,8 +85,14 @@ PAYMENTS = """pay_ AS (SELECT 'pay-' || event_id AS payment_id, user_id, CASE WH
 EDGES = """edges_ AS (SELECT k AS src, unnest(list_filter([CASE WHEN k % 7 <> 3 THEN 2 * k + 1 END, CASE WHEN k % 5 <> 2 THEN 2 * k + 2 END, CASE WHEN k % 9 = 0 THEN k // 2 END], lambda x: x IS NOT NULL AND x <= last)) AS dst
   FROM (SELECT p_partkey AS k, max(p_partkey) OVER () AS last FROM part))"""
 
-WORDS = f"""{PAGES}, words_ AS (SELECT doc_id, page_no, idx, text, (idx % 12) / 12.0::DOUBLE AS x, (idx // 12) / 60.0::DOUBLE AS y, 0.06::DOUBLE AS w, 0.012::DOUBLE AS h
-  FROM (SELECT doc_id, page_no, unnest({tokens('text')}) AS text, unnest(range(len({tokens('text')}))) AS idx FROM pages_))"""
+
+def grid(name: str, pages: str) -> str:
+    """The tokens of a table of pages on a grid."""
+    return f"""{name} AS (SELECT doc_id, page_no, idx, text, (idx % 12) / 12.0::DOUBLE AS x, (idx // 12) / 60.0::DOUBLE AS y, 0.06::DOUBLE AS w, 0.012::DOUBLE AS h
+  FROM (SELECT doc_id, page_no, unnest({tokens('text')}) AS text, unnest(range(len({tokens('text')}))) AS idx FROM {pages}))"""
+
+
+WORDS = f"{PAGES}, {grid('words_', 'pages_')}"
 
 REGIONS = """regions_ AS (SELECT doc_id, 1 AS page_no, 0.05::DOUBLE AS x, 0.0::DOUBLE AS y, unnest(CASE WHEN doc_id % 50 = 0 THEN [0.4, 0.0] ELSE [0.4] END)::DOUBLE AS w, 0.05::DOUBLE AS h
   FROM documents WHERE doc_id % 10 = 0)"""

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from leafloom.functions.text import tokens
 
@@ -19,17 +18,20 @@ def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "text")).select("doc_id", (F.col("at") + 1).alias("page_no"), "text")
 
 
-def revised_pages(pages: DataFrame) -> DataFrame:
-    """A second version of each document: page_no % 7 = 3 is removed; of the others, page_no % 5 = 0
-    has its first word replaced, and page_no % 11 = 5 is followed by a page of its own."""
-    kept = pages.where("page_no % 7 <> 3")
-    edited = F.when(F.col("page_no") % 5 == 0, F.regexp_replace("text", r"^\S+", "alterada")).otherwise(F.col("text"))
-    own = F.format_string("pagina inserida %d %d", "doc_id", "page_no")
-    # Both versions of a page leave one row, so the page's text isn't shuffled twice.
-    parts = F.when(F.col("page_no") % 11 == 5, F.array(edited, own)).otherwise(F.array(edited))
-    rows = kept.select("doc_id", "page_no", F.posexplode(parts).alias("at", "text"))
-    order = W.partitionBy("doc_id").orderBy("page_no", "at")
-    return rows.select("doc_id", F.row_number().over(order).alias("page_no"), "text")
+def revised_document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second version of the pages of each document: page_no % 7 = 3 is removed; of the others,
+    page_no % 5 = 0 has its first word replaced, and page_no % 11 = 5 is followed by a page of its own.
+    Made inside each document's row, so nothing is shuffled."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
+
+    def versions(i: Column) -> Column:
+        line = F.get("lines", i - 1)
+        edited = F.when(i % 5 == 0, F.regexp_replace(line, r"^\S+", "alterada")).otherwise(line)
+        own = F.format_string("pagina inserida %d %d", "doc_id", i)
+        return F.when(i % 11 == 5, F.array(edited, own)).otherwise(F.array(edited))
+
+    kept = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: i % 7 != 3)
+    return docs.select("doc_id", F.posexplode(F.flatten(F.transform(kept, versions))).alias("at", "text")).select("doc_id", (F.col("at") + 1).alias("page_no"), "text")
 
 
 def words(pages: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from leafloom.functions.sequences import common_subsequence
 from leafloom.functions.text import hmac_sha256, human_size, normalize
 from leafloom.operators import align, graph, integrity, ledger, ordering, pages, rules
 
@@ -33,28 +34,74 @@ def test_alignment_cases(spark, a, b, want):
     assert {k: row[k] for k in want} == want
 
 
-def test_lcs_is_longest():
+def subsequence_table(a, b):
+    """The whole table of lengths, and the walk back from its end."""
+    n, m = len(a), len(b)
+    length = [[0] * (m + 1) for _ in range(n + 1)]
+    for i, j in itertools.product(range(n), range(m)):
+        length[i + 1][j + 1] = length[i][j] + 1 if a[i] is not None and a[i] == b[j] else max(length[i][j + 1], length[i + 1][j])
+    out, i, j = [], n, m
+    while i and j:
+        if a[i - 1] is not None and a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+        elif length[i][j - 1] == length[i][j]:
+            j -= 1
+        else:
+            i -= 1
+    return out[::-1]
+
+
+def test_subsequence_is_that_of_the_whole_table():
     rnd = random.Random(1)
-    for _ in range(200):
-        a, b = ([rnd.choice("abc") for _ in range(rnd.randrange(0, 7))] for _ in range(2))
-        pairs = align.lcs_pairs(a, b)
-        assert all(a[i] == b[j] for i, j in pairs) and pairs == sorted(pairs)
-        best = max(k for k in range(min(len(a), len(b)) + 1) for x in itertools.combinations(range(len(a)), k) if any([a[i] for i in x] == [b[j] for j in y] for y in itertools.combinations(range(len(b)), k)))
-        assert len(pairs) == best
+    for kinds in ("ab", "abcdef", ["x", None, "y"]):
+        for _ in range(300):
+            a, b = ([rnd.choice(kinds) for _ in range(rnd.randrange(0, 25))] for _ in range(2))
+            pairs = common_subsequence(a, b)
+            assert pairs == subsequence_table(a, b)
+            assert [a[i] for i, _ in pairs] == [b[j] for _, j in pairs]
 
 
-def test_pairs_over_the_cell_limit_go_by_number(spark):
-    got = align.page_anchors(*versions(spark, "ABCD", "AXCB"), max_cells=4).collect()
-    assert {(r.page_a, r.page_b, r.method) for r in got} == {(1, 1, "index"), (3, 3, "index")}
-
-
-@pytest.mark.parametrize("limit", [10**6, 1])
-def test_token_diff_keeps_the_common_part(limit):
+def test_long_sequences_are_exact_too():
     rnd = random.Random(2)
-    for _ in range(100):
-        a, b = ([rnd.choice("abcdef") for _ in range(rnd.randrange(0, 20))] for _ in range(2))
-        added, removed = align.diff_tokens(a, b, max_cells=limit)
-        assert [x for i, x in enumerate(a) if i not in set(removed)] == [x for j, x in enumerate(b) if j not in set(added)]
+    a = [rnd.randrange(40) for _ in range(3000)]
+    b = [x for x in a if rnd.random() < 0.9] + [41] * 500
+    assert common_subsequence(a, b)[-1][0] == max(i for i, x in enumerate(a) if x == b[-501])
+    assert len(common_subsequence(a, b)) == len(b) - 500
+    assert len(common_subsequence(["x"] * 30_000, ["x"] * 20_000)) == 20_000
+
+
+def test_a_page_that_repeats_very_often(spark):
+    """30,000 equal pages on one side and 20,000 on the other: no row for each pair of them."""
+    pages = lambda n: spark.range(1, n + 1).selectExpr("1L AS pair_id", "CAST(id AS INT) AS page_no", "'one and the same page' AS text")
+    got = align.page_anchors(pages(30_000), pages(20_000))
+    assert {(r.method, r.n) for r in got.groupBy("method").agg(F.count("page_a").alias("n")).collect()} == {("subsequence", 20_000)}
+    row = align.diff_summary(align.page_status(pages(30_000), pages(20_000))).first()
+    assert (row.unchanged, row.removed, row.differences) == (20_000, 10_000, 10_000)
+
+
+def test_token_diff_is_that_of_the_whole_table(spark, sf):
+    """The registered query against the table of each pair of pages, spelled out here."""
+    from leafloom.functions.text import tokens
+    from leafloom.plans import compare
+
+    a, b = compare.versions(spark, sf)
+    own = lambda p: {(r.pair_id, r.page_no): r.t for r in p.select("pair_id", "page_no", F.transform(tokens(normalize(F.col("text"))), F.lower).alias("t")).collect()}
+    one, two = own(a), own(b)
+    want = []
+    for r in align.page_status(a, b).where("status = 'modified'").collect():
+        x, y = one[r.pair_id, r.page_a], two[r.pair_id, r.page_b]
+        common = subsequence_table(x, y)
+        want += [(r.pair_id, r.page_a, r.page_b, "removed", i, t) for i, t in enumerate(x) if i not in {p for p, _ in common}]
+        want += [(r.pair_id, r.page_a, r.page_b, "added", j, t) for j, t in enumerate(y) if j not in {q for _, q in common}]
+    assert sorted(map(tuple, compare.token_diff(spark, sf).collect())) == sorted(want) and want
+
+
+def test_report_of_pairs_without_differences(spark):
+    compared = align.compare_documents(*versions(spark, "AB", "AB"))
+    assert [tuple(r) for r in align.difference_report(compared).collect()] == [(1, 1, "No differences", "")]
+    changed = align.compare_documents(*versions(spark, "ABC", "AXC"))
+    assert [(r.line, r.label) for r in align.difference_report(changed).collect()] == [(1, "MODIFIED - original p. 2 -> revised p. 2")]
 
 
 def test_word_delta_snippets(spark):
