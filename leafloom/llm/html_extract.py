@@ -1,13 +1,18 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is read as a list of text blocks with their chains of elements. A linear classifier over a
-block's text and ancestors gives each block a cost for either label; the costs are the capacities to
-the two terminals. Blocks that follow each other, and blocks next to each other under one element, are
-joined by edges whose capacity falls with their distance in the tree. The minimum cut leaves on the
-source side the blocks of the article; by max-flow, after all blocks whose label is certain from
-their capacities alone have been fixed.
-
-Pages are independent of each other: they are read in place, and nothing is shuffled.
+A page is read as a tree: elements, and text blocks as leaves. A linear classifier over a block's text
+and the elements around it gives the log odds of being content: the capacity of the block's edge to
+one of the two terminals. Smoothness edges run between an element and what it holds (DOM proximity)
+and between neighbours under one element (adjacency), so the graph without terminals is a tree. The
+minimum cut leaves the blocks of the article on the source side.
+
+Terminal and smoothness capacities are on one scale: evidence up to ``LEAF`` is overruled by what
+stands around a block, stronger evidence is not. So a one-word paragraph between paragraphs is
+content, and so is an item of a list in an article, but not a link of a menu.
+
+On a tree a maximum flow takes one pass: from the leaves up, each node hands on what it has left over,
+as far as its edge goes; then sides are read off from the root down. Time and memory are linear in
+the page, however deep or long it is. Pages are read in place, and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ from __future__ import annotations
 import html as markup
 import math
 import re
-from collections import deque
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -46,9 +51,15 @@ WEAK_WORDS = frozenset(
 GOOD_WORDS = frozenset("article content post entry story main body text page".split())
 BAD_TAGS = frozenset("nav aside footer form dialog menu".split())
 
-#: Weights of the classifier, in units of log odds of being content; and of the edges.
-BIAS, WORDS, LINKS, IN_ARTICLE, GOOD, STRONG, WEAK, BAD_TAG, HEADER, HEADING, PROSE = -2.2, 0.9, -3.5, 5.0, 1.0, -14.0, -7.0, -10.0, -6.0, 1.2, 0.8
-NEXT, SIBLING = 1.2, 1.5
+#: Weights of the classifier, in log odds of being content. What a text says by itself ends at TEXT_MOST.
+BIAS, WORDS, TEXT_MOST, PROSE, LINKS, HEADING = -1.7, 0.9, 3.5, 1.2, -5.0, 1.0
+IN_ARTICLE, GOOD, STRONG, WEAK, BAD_TAG, HEADER = 0.4, 0.5, -8.5, -7.5, -7.5, -7.0
+#: What an article element says for itself: all of it is content or none, unless blocks in it say otherwise.
+ARTICLE = 4.0
+#: Capacities of the smoothness edges, in the same unit: a block to its place, a place to the next one
+#: under the same element, an element to its place (parts of lists and tables hold together more).
+LEAF, STEP, ELEMENT, PART = 2.5, 5.0, 2.5, 5.0
+PART_TAGS = frozenset("li ul ol dl dt dd tr td th tbody thead tfoot table blockquote figure pre p".split())
 
 _SILENT = "|".join(SILENT_TAGS)
 # A name ends at white space, "/" or ">": <video-player> is no <video>. Only svg and math can close
@@ -67,39 +78,62 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 class Element:
     """An open element: what its tag and names say about the text in it."""
 
-    __slots__ = ("tag", "names", "depth", "number", "wraps")
+    __slots__ = ("tag", "names", "up", "wraps", "tail", "empty", "says", "article", "at")
 
-    def __init__(self, tag: str, rest: str, depth: int, number: int):
-        self.tag, self.depth, self.number, self.wraps = tag, depth, number, False
+    def __init__(self, tag: str, rest: str, up: Element | None, node: int):
+        self.tag, self.up, self.wraps, self.tail, self.empty = tag, up, False, node, True
+        self.says, self.article, self.at = 0.0, False, node
         self.names: frozenset[str] = frozenset()
         if "=" in rest:
             self.names = frozenset(p.lower() for m in _NAMES.finditer(rest) for p in _PARTS.findall(m[1] or m[2] or m[3] or ""))
 
 
-class Block:
-    __slots__ = ("text", "chain", "links")
+class Page:
+    """The tree of a page. Node 0 is the page; ``parent`` and ``weight`` name each other node's edge
+    upwards, and parents come before their children. ``blocks`` has (node, text, element, share of
+    the text that is in links)."""
 
-    def __init__(self, text: str, chain: tuple[Element, ...], links: float):
-        self.text, self.chain, self.links = text, chain, links
+    def __init__(self):
+        self.parent, self.weight = [-1], [0.0]
+        self.top = Element("", "", None, 0)
+        self.elements: list[Element] = [self.top]
+        self.blocks: list[tuple[int, str, Element, float]] = []
 
+    def node(self, parent: int, weight: float) -> int:
+        self.parent.append(parent)
+        self.weight.append(weight)
+        return len(self.parent) - 1
 
-def read_blocks(page: str) -> list[Block]:
+    def place(self, under: Element, weight: float) -> int:
+        """A node at the next place under an element."""
+        if not under.empty:
+            under.tail = self.node(under.tail, STEP)
+        under.empty = False
+        return self.node(under.tail, weight)
+
+
+def read_page(page: str) -> Page:
     """The blocks of a page in order, each with decoded text in which white space is one space. Broken
     markup is read as a browser would: paragraphs and items end each other, stray end tags are ignored."""
-    blocks: list[Block] = []
-    stack: list[Element] = []
+    tree = Page()
+    stack = [tree.top]
+    held: Counter[str] = Counter()  # tags on the stack
     parts: list[str] = []
-    linked, in_link, count = 0, False, 0
+    linked, in_link = 0, False
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(markup.unescape("".join(parts)).split())
             if text:
-                blocks.append(Block(text, tuple(stack), min(1.0, linked / len(text))))
+                tree.blocks.append((tree.place(stack[-1], LEAF), text, stack[-1], min(1.0, linked / len(text))))
             parts.clear()
         linked = 0
 
+    def close(k: int) -> None:
+        held.subtract(e.tag for e in stack[k:])
+        del stack[k:]
+
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
@@ -120,160 +154,100 @@ def read_blocks(page: str) -> list[Block]:
         flush()
         in_link = False
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            if held[tag]:
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                close(k)
             continue
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k].tag in CLOSES.get(tag, ()) or (tag not in ("body", "html") and stack[k].tag == "p"):
-                del stack[k:]
-                break
-            if stack[k].tag in ("ul", "ol", "dl", "table", "div", "article", "section", "body"):
-                break
+        ends = (*CLOSES.get(tag, ()), *(("p",) if tag not in ("body", "html") else ()))
+        if any(held[x] for x in ends):
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].tag in ends:
+                    close(k)
+                    break
+                if stack[k].tag in ("ul", "ol", "dl", "table", "div", "article", "section", "body"):
+                    break
         if tag in VOID_TAGS:
             continue
-        count += 1
-        element = Element(tag, m["rest"] or m["rest2"] or "", len(stack), count)
+        up = stack[-1]
+        element = Element(tag, m["rest"] or m["rest2"] or "", up, tree.place(up, PART if tag in PART_TAGS else ELEMENT))
         if tag in ("article", "main") or "main" in element.names and "content" in element.names:
-            for e in stack:
+            e = up
+            while e is not None and not e.wraps:
                 e.wraps = True
+                e = e.up
         stack.append(element)
+        held[tag] += 1
+        tree.elements.append(element)
     parts.append(page[at:])
     flush()
-    return blocks
-
-
-def content_score(block: Block) -> float:
-    """Log odds that the block is content, from its text and its ancestors."""
-    words = block.text.count(" ") + 1
-    x = BIAS + WORDS * math.log(words) + LINKS * block.links
-    if block.text[-1] in ".!?…:;\"'”’)":
+    return tree
+
+
+def weigh_elements(elements: list[Element]) -> None:
+    """``says``: what an element and those around it add to the log odds of the text in it."""
+    for e in elements[1:]:
+        x, e.article = e.up.says, e.up.article
+        if e.tag not in ("html", "body"):
+            if e.names & STRONG_WORDS or e.tag == "head":
+                x += STRONG
+            if e.tag in ("article", "main") and not e.article:
+                e.article = True
+                x += IN_ARTICLE
+            if not e.wraps:
+                if e.tag in BAD_TAGS:
+                    x += BAD_TAG
+                if not e.article and e.tag == "header":
+                    x += HEADER
+                if e.names & WEAK_WORDS and not (e.article and e.names & WEAK_WORDS == {"header"}):
+                    x += WEAK
+            if e.names & GOOD_WORDS and not e.names & WEAK_WORDS:
+                x = min(x + GOOD, 1.0) if x <= 1.0 else x
+            if e.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+                x += HEADING
+        e.says = max(x, 2 * STRONG)
+
+
+def content_score(text: str, element: Element, links: float) -> float:
+    """Log odds that a block is content, from its text and what is around it."""
+    x = BIAS + min(WORDS * math.log(text.count(" ") + 1), TEXT_MOST) + LINKS * links
+    if text[-1] in ".!?…:;\"'”’)":
         x += PROSE
-    article = False
-    for e in block.chain:
-        if e.tag in ("html", "body"):
-            continue
-        if e.names & STRONG_WORDS:
-            return x + STRONG
-        if e.tag in ("article", "main") and not article:
-            article = True
-            x += IN_ARTICLE
-        if not e.wraps:
-            if e.tag in BAD_TAGS:
-                x += BAD_TAG
-            if not article and e.tag == "header":
-                x += HEADER
-            if e.names & WEAK_WORDS and not (article and e.names & WEAK_WORDS == {"header"}):
-                x += WEAK
-        if e.names & GOOD_WORDS and not e.names & WEAK_WORDS:
-            x += GOOD
-        if e.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            x += HEADING
-        if e.tag == "head":
-            return x + STRONG
-    return x
-
-
-def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
-    """Smoothness edges: between blocks that follow each other, and between neighbours under one
-    element; the farther two blocks are in the tree, the weaker."""
-    out = []
-    last: dict[int, int] = {}
-    for i, b in enumerate(blocks):
-        if i:
-            a = blocks[i - 1].chain
-            common = sum(1 for _ in _together(a, b.chain))
-            out.append((i - 1, i, NEXT * 0.6 ** (len(a) + len(b.chain) - 2 * common)))
-        if len(b.chain) > 1:
-            parent = b.chain[-2].number
-            if parent in last:
-                out.append((last[parent], i, SIBLING * 0.5))
-            last[parent] = i
-    return out
-
-
-def _together(a, b):
-    for x, y in zip(a, b):
-        if x is not y:
-            return
-        yield x
-
-
-def min_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Labels that minimise the sum of what is cut: for each node its cost's size if its label goes
-    against the cost's sign, and the weight of each edge between different labels. True is the side
-    of positive costs; of several minima the one with the fewest such nodes among the undecided.
-
-    Nodes whose cost outweighs all their edges keep its sign in every minimum; they are fixed first,
-    and their edges added to their neighbours' costs. What is left is cut by max-flow.
-    """
-    n = len(costs)
-    c = list(costs)
-    near: list[dict[int, float]] = [{} for _ in range(n)]
-    for a, b, w in edges:
-        if a != b:
-            near[a][b] = near[a].get(b, 0.0) + w
-            near[b][a] = near[b].get(a, 0.0) + w
-    label: list[bool | None] = [None] * n
-    queue = deque(range(n))
-    while queue:
-        i = queue.popleft()
-        if label[i] is not None or abs(c[i]) < sum(near[i].values()) - 1e-12:
-            continue
-        label[i] = c[i] > 0
-        for j, w in near[i].items():
-            c[j] += w if label[i] else -w
-            del near[j][i]
-            queue.append(j)
-        near[i] = {}
-    rest = [i for i in range(n) if label[i] is None]
-    if rest:
-        side = _max_flow_side(rest, c, near)
-        for i in rest:
-            label[i] = i in side
-    return [bool(x) for x in label]
-
-
-def _max_flow_side(nodes: list[int], c: list[float], near: list[dict[int, float]]) -> set[int]:
-    """The nodes that the source still reaches after a maximum flow (shortest augmenting paths)."""
-    s, t = -1, -2
-    left: dict[int, dict[int, float]] = {s: {}, t: {}}
-    for i in nodes:
-        left[i] = dict(near[i])
-    for i in nodes:
-        if c[i] > 0:
-            left[s][i], left[i][s] = c[i], 0.0
-        else:
-            left[i][t], left[t][i] = -c[i], 0.0
-    while True:
-        came = {s: s}
-        queue = deque([s])
-        while queue and t not in came:
-            u = queue.popleft()
-            for v, w in left[u].items():
-                if w > 1e-12 and v not in came:
-                    came[v] = u
-                    queue.append(v)
-        if t not in came:
-            return set(came) - {s}
-        v, least = t, math.inf
-        while v != s:
-            least = min(least, left[came[v]][v])
-            v = came[v]
-        v = t
-        while v != s:
-            u = came[v]
-            left[u][v] -= least
-            left[v][u] = left[v].get(u, 0.0) + least
-            v = u
+    return x + element.says
+
+
+def min_cut(parent: list[int], weight: list[float], evidence: list[float]) -> list[bool]:
+    """The sides of a minimum cut of a tree with terminals: parents come before their children,
+    ``weight`` is the capacity of each node's edge upwards, and positive evidence is the capacity from
+    the source (True), negative that to the sink. Of several minima the one with the fewest nodes on
+    the source side."""
+    left = list(evidence)
+    for v in range(len(parent) - 1, 0, -1):
+        left[parent[v]] += max(-weight[v], min(weight[v], left[v]))
+    side = [left[0] > 0] if left else []
+    for v in range(1, len(parent)):
+        side.append(left[v] + (weight[v] if side[parent[v]] else -weight[v]) > 0)
+    return side
+
+
+def label_blocks(page: str) -> list[tuple[str, float, bool]]:
+    """(text, log odds, whether the cut leaves it with the content) of each block of a page."""
+    tree = read_page(page)
+    weigh_elements(tree.elements)
+    evidence = [0.0] * len(tree.parent)
+    for e in tree.elements:
+        if e.article and not e.up.article:
+            evidence[e.at] = ARTICLE if e.says > 0 else 0.0
+    for node, text, element, links in tree.blocks:
+        evidence[node] = content_score(text, element, links)
+    side = min_cut(tree.parent, tree.weight, evidence)
+    return [(text, evidence[node], side[node]) for node, text, _, _ in tree.blocks]
 
 
 def main_text(page: str | None) -> str:
     """The text of the page's content blocks, joined by one space; empty if there are none."""
-    blocks = read_blocks(page or "")
-    labels = min_cut([content_score(b) for b in blocks], edges_of(blocks))
-    return " ".join(b.text for b, keep in zip(blocks, labels) if keep)
+    return " ".join(text for text, _, keep in label_blocks(page or "") if keep)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ import html
 import itertools
 import random
 import re
+import time
 
 import pytest
 
@@ -12,18 +13,58 @@ from leafloom.llm import html_extract as hx
 PROSE = "The council met on Tuesday to talk about the new bridge, which had been closed since the spring floods."
 
 
-def cut_cost(labels, costs, edges):
-    return sum(abs(c) for x, c in zip(labels, costs) if x != (c > 0)) + sum(w for a, b, w in edges if labels[a] != labels[b])
-
-
-def test_min_cut_is_a_minimum():
+def cut_cost(labels, parent, weight, evidence):
+    return sum(abs(e) for x, e in zip(labels, evidence) if x != (e > 0)) + sum(w for v, (p, w) in enumerate(zip(parent, weight)) if v and labels[v] != labels[p])
+
+
+def max_flow(parent, weight, evidence):
+    """The most that flows from the source to the sink, by augmenting paths over the whole graph."""
+    n = len(parent)
+    room = [[0.0] * (n + 2) for _ in range(n + 2)]
+    for v in range(n):
+        if v:
+            room[v][parent[v]] = room[parent[v]][v] = weight[v]
+        room[n][v], room[v][n + 1] = max(evidence[v], 0.0), max(-evidence[v], 0.0)
+    total = 0.0
+    while True:
+        came, queue = {n: n}, [n]
+        for u in queue:
+            for v in range(n + 2):
+                if room[u][v] > 1e-9 and v not in came:
+                    came[v] = u
+                    queue.append(v)
+        if n + 1 not in came:
+            return total
+        path, v = [], n + 1
+        while v != n:
+            path.append((came[v], v))
+            v = came[v]
+        least = min(room[u][v] for u, v in path)
+        for u, v in path:
+            room[u][v] -= least
+            room[v][u] += least
+        total += least
+
+
+def test_min_cut_is_a_minimum_and_equals_the_maximum_flow():
     rnd = random.Random(6)
     for _ in range(300):
         n = rnd.randrange(1, 9)
-        costs = [rnd.uniform(-2, 2) for _ in range(n)]
-        edges = [(a, b, rnd.uniform(0, 1.5)) for a in range(n) for b in range(a) if rnd.random() < 0.5]
-        best = min(cut_cost(x, costs, edges) for x in itertools.product([False, True], repeat=n))
-        assert cut_cost(hx.min_cut(costs, edges), costs, edges) == pytest.approx(best)
+        evidence = [rnd.uniform(-2, 2) for _ in range(n)]
+        parent, weight = [-1] + [rnd.randrange(v) for v in range(1, n)], [rnd.uniform(0, 1.5) for _ in range(n)]
+        best = min(cut_cost(x, parent, weight, evidence) for x in itertools.product([False, True], repeat=n))
+        assert cut_cost(hx.min_cut(parent, weight, evidence), parent, weight, evidence) == pytest.approx(best)
+        assert max_flow(parent, weight, evidence) == pytest.approx(best)
+
+
+def test_tree_of_a_page():
+    """Neighbours under one element are places after each other; an element hangs at its place."""
+    tree = hx.read_page("<div>a<p>b</p></div>c")
+    nodes = {text: node for node, text, _, _ in tree.blocks}
+    up = lambda v, k: v if k == 0 else up(tree.parent[v], k - 1)
+    div = up(nodes["a"], 1)
+    assert up(div, 1) == 0 and up(nodes["b"], 3) == div and up(nodes["c"], 2) == 0
+    assert all(p < v for v, p in enumerate(tree.parent))
 
 
 PAGE = f"""<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p><p>no";</script></head>
@@ -49,6 +90,39 @@ def test_page_without_article_element():
     assert hx.main_text(page) == " ".join([PROSE] * 3 + ["Yes."] + [PROSE] * 3)
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<div><p>{PROSE}</p><p>Yes</p><p>{PROSE}</p></div>", f"{PROSE} Yes {PROSE}"),  # a word between paragraphs
+        (f"<div><p>{PROSE}</p><ul><li>salt</li><li>two eggs</li></ul><p>{PROSE}</p></div>", f"{PROSE} salt two eggs {PROSE}"),  # a list in the text
+        (f"<div><h2>Notes</h2><p>{PROSE}</p></div>", f"Notes {PROSE}"),
+        ("<div><div>salt</div><div>two eggs</div></div>", ""),  # the same words with nothing around them
+        (f"<div><p>{PROSE}</p><table><tr><td>A</td><td>12</td></tr></table><p>{PROSE}</p></div>", f"{PROSE} A 12 {PROSE}"),
+    ],
+)
+def test_the_cut_decides_what_the_classifier_leaves_open(page, want):
+    blocks = hx.label_blocks(page)
+    assert hx.main_text(page) == want
+    assert not want or any(keep and odds < 0 for _, odds, keep in blocks)
+
+
+def test_the_cut_changes_labels_of_given_pages():
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()
+    blocks = [b for r in rows for b in hx.label_blocks(r["html"] or "")]
+    assert sum((odds > 0) != keep for _, odds, keep in blocks) >= 50
+    assert all(hx.main_text(r["html"]) == expected(r["html"]) for r in rows)
+
+
+def test_long_and_deep_pages_take_linear_time():
+    began = time.process_time()
+    assert hx.main_text("<article>" + f"<p>{PROSE}</p><p>x</p>" * 25_000 + "</article>").count(" x") == 25_000
+    assert hx.main_text("<div>" * 12_000 + f"<p>{PROSE}</p>") == PROSE
+    hx.main_text("<blockquote>" * 20_000 + "</p></li>" * 20_000 + "<p>" * 20_000 + "x")
+    assert time.process_time() - began < 20
+
+
 @pytest.mark.parametrize(
     "part",
     [
