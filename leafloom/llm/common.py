@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import string
 import tempfile
 import uuid
@@ -27,14 +28,17 @@ def text_or_empty(column: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where the session
-    names none, as in tests, a local folder is made and set for the session's life."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or what the session's
+    ``setCheckpointDir`` was given. A local session that names none gets a temporary one for its life;
+    on a cluster that is an error, since executors would not see each other's files."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf
     made = spark.sparkContext._jsc.sc().getCheckpointDir()
     if made.isDefined():
         return made.get()
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -47,35 +51,66 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Slots of the prefilter in ``drop_rows``: at most so many numbers are broadcast, whatever the input.
-SLOTS = 2**20
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or that with underscores in front, so that no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
-def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """A row's identity: its id and a hash of its text. As a struct it compares null ids as equal."""
-    return F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
-
-
-def _slot(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(SLOTS))
+#: Bits of the prefilter for each key, its bounds, and bits in a row of it (4 KiB, the size that
+#: ``bitmap_construct_agg`` gives): at most 32 MiB are broadcast, whatever the input.
+BITS_A_KEY, LEAST_BITS, MOST_BITS, ROW_BITS = 16, 2**18, 2**28, 32_768
 
 
-def slot_filter(docs: DataFrame, key: Column, keys: DataFrame, how: str) -> DataFrame:
-    """Rows of ``docs`` whose key has (``left_semi``) or hasn't (``left_anti``) a slot in common with
-    a key of ``keys`` (column ``row``). Only slot numbers are broadcast, ``SLOTS`` of them at most."""
-    slots = keys.select(_slot(F.col("row")).alias("__slot")).distinct()
-    return docs.withColumn("__slot", _slot(key)).join(F.broadcast(slots), "__slot", how).drop("__slot")
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A row's identity: its id and a hash of its text. As a struct it compares null ids as equal."""
+    return F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text"))
+
+
+def filter_bits(keys: int) -> int | None:
+    """How many bits the prefilter of so many keys has; None where they need more than is broadcast."""
+    bits = LEAST_BITS
+    while bits < BITS_A_KEY * keys:
+        bits *= 2
+    return bits if bits <= MOST_BITS else None
+
+
+def split_rows(docs: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of ``docs`` whose key may be in ``keys``, those whose key surely isn't), without a shuffle:
+    a key's hash names a bit, and the bits of ``keys`` (column ``row``; stored, read twice) are broadcast
+    as a bitmap of a size that follows their number. Of the other keys one in sixteen shares a bit at
+    most. Where there are too many keys for that, all rows may match, and the second is None."""
+    bits = filter_bits(keys.count())
+    if bits is None:
+        return docs, None
+    row, bit, held = (free_name(docs, x) for x in ("bit_row", "bit", "bit_map"))
+    place = lambda k: F.pmod(F.xxhash64(k), F.lit(bits))
+    maps = keys.select(place(F.col("row")).alias(bit)).groupBy(F.floor(F.col(bit) / ROW_BITS).alias(row)).agg(F.bitmap_construct_agg(F.col(bit) % ROW_BITS).alias(held))
+    met = docs.withColumn(bit, place(key)).withColumn(row, F.floor(F.col(bit) / ROW_BITS)).join(F.broadcast(maps), row, "left")
+    at = F.col(bit) % ROW_BITS
+    byte = F.conv(F.hex(F.substring(F.col(held), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    there = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    return met.where(there).select(*docs.columns), met.where(~there).select(*docs.columns)
 
 
 def take_rows(docs: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
     """``docs`` joined with ``keys`` (column ``row`` and others). Rows that can't match are dropped
-    before the shuffle; ``keys`` is read twice, so store it first if it is costly."""
-    return slot_filter(docs, key, keys, "left_semi").withColumn("row", key).join(keys, "row")
-
-
-def drop_rows(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose key is in ``gone`` (column ``row``). Only rows that share a
-    slot with one of them are shuffled; ``gone`` is read three times, so store it first."""
-    near = slot_filter(docs, key, gone, "left_semi").withColumn("__row", key)
-    left = near.join(gone.select(F.col("row").alias("__row")), "__row", "left_anti").drop("__row")
-    return slot_filter(docs, key, gone, "left_anti").unionByName(left)
+    before the shuffle."""
+    return split_rows(docs, key, keys)[0].withColumn("row", key).join(keys, "row")
+
+
+def drop_rows(docs: DataFrame, key: Column, gone: DataFrame, *, once: DataFrame | None = None) -> DataFrame:
+    """``docs`` without the rows whose key is in ``gone`` (column ``row``), and with one of the rows that
+    share a key of ``once``. Only rows that may have such a key are shuffled; both are stored tables."""
+    row, kind = free_name(docs, "row"), free_name(docs, "kind")
+    told = gone.select(F.col("row").alias(row), F.lit(False).alias(kind))
+    if once is not None:
+        told = told.unionByName(once.select(F.col("row").alias(row), F.lit(True).alias(kind)))
+    near, rest = split_rows(docs, key, told.select(F.col(row).alias("row")))
+    met = near.withColumn(row, key).join(told, row, "left")
+    left = met.where(F.col(kind).isNull()).select(*docs.columns)
+    if once is not None:
+        left = left.unionByName(met.where(kind).dropDuplicates([row]).select(*docs.columns))
+    return left if rest is None else rest.unionByName(left)

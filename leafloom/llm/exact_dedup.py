@@ -13,7 +13,18 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm.common import lower_ascii
+from leafloom.llm.common import drop_rows, free_name, lower_ascii, row_key, stored
+
+#: Digests of a bucket: what one task sorts when it writes the index.
+BUCKET_ROWS = 4_000_000
+
+
+def buckets_for(texts: int, least: int = 64) -> int:
+    """A power of two of buckets with ``BUCKET_ROWS`` digests each at most, for an index of so many texts."""
+    buckets = least
+    while buckets * BUCKET_ROWS < texts:
+        buckets *= 2
+    return buckets
 
 
 def text_digest(text: Column) -> Column:
@@ -22,8 +33,9 @@ def text_digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """The index as a catalogue table, in ``buckets`` buckets. ``path`` puts its files at a place of
-    the caller's choice, where a later session can open them again by the same arguments."""
+    """The index as a catalogue table, in ``buckets`` buckets (``buckets_for`` the texts it shall hold).
+    ``path`` puts its files at a place of the caller's choice, where a later session can open them again
+    by the same arguments. ``drop`` takes it out of the catalogue."""
 
     COLUMNS = "digest BINARY, keep_id BIGINT, group_size BIGINT"
 
@@ -39,13 +51,13 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def candidates(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """One row per distinct text of ``docs``; of equal texts the largest id is kept."""
-        return (
-            docs.select(text_digest(F.col(text_col)).alias("digest"), F.col(id_col).cast("long").alias("id"))
-            .groupBy("digest")
-            .agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        )
+    def digests(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """(digest, id) of each row."""
+        return docs.select(text_digest(F.col(text_col)).alias("digest"), F.col(id_col).cast("long").alias("id"))
+
+    def candidates(self, digests: DataFrame) -> DataFrame:
+        """One row per distinct digest; of equal texts the largest id is kept."""
+        return digests.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
         """Append the texts of ``docs`` that the index doesn't hold. Texts it holds keep their row:
@@ -54,8 +66,11 @@ class DigestIndex:
         An empty table adds nothing. Null ids are allowed: such a row is kept only where no copy has
         an id, and ``keep_id`` is then null.
         """
-        fresh = self.candidates(docs, id_col, text_col)
-        new = fresh.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
+        self.add_digests(self.digests(docs, id_col, text_col))
+
+    def add_digests(self, digests: DataFrame) -> None:
+        """``add`` for rows of which (digest, id) are known."""
+        new = self.candidates(digests).join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
         (
             new.repartition(self.buckets, "digest")
             .sortWithinPartitions("digest")
@@ -76,33 +91,36 @@ def mark_copies(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     Rows that repeat an id with the same text share one answer, so each of them is marked kept:
     a row can't be told from its repetition. A row without an id is kept only if its whole group has none.
     """
-    own = docs.drop("xd_digest", "xd_keep_id", "xd_size", "xd_kept").withColumn(
-        "xd_digest", text_digest(F.col(text_col))
-    )
-    groups = index.rows().select(
-        F.struct("digest").alias("__k"), F.col("keep_id").alias("__keep"), F.col("group_size").alias("__size")
-    )
-    met = own.withColumn("__k", F.struct(F.col("xd_digest").alias("digest"))).join(groups, "__k", "left")
+    own = docs.drop("xd_digest", "xd_keep_id", "xd_size", "xd_kept").withColumn("xd_digest", text_digest(F.col(text_col)))
+    k, keep, size = (free_name(own, x) for x in ("k", "keep", "size"))
+    groups = index.rows().select(F.struct("digest").alias(k), F.col("keep_id").alias(keep), F.col("group_size").alias(size))
+    met = own.withColumn(k, F.struct(F.col("xd_digest").alias("digest"))).join(groups, k, "left")
     return met.withColumns(
-        {
-            "xd_keep_id": F.col("__keep"),
-            "xd_size": F.col("__size"),
-            "xd_kept": F.col("__keep").eqNullSafe(F.col(id_col).cast("long")),
-        }
-    ).drop("__k", "__keep", "__size")
+        {"xd_keep_id": F.col(keep), "xd_size": F.col(size), "xd_kept": F.col(keep).eqNullSafe(F.col(id_col).cast("long"))}
+    ).drop(k, keep, size)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with its columns: of equal texts the one with the largest id.
 
-    Builds a fresh index, marks the copies and takes them out by id and digest, so texts are shuffled
-    only once. Repetitions of a kept row (same id, same text) are reduced to one.
+    Builds an index for the batch, marks the copies by ids and digests only, and takes them out; texts
+    are shuffled for rows that may be copies, and the others stay where they are.
+
+    Defined cases: as for ``mark_copies``; repetitions of a kept row (same id, same text) are reduced to
+    one; columns of any name stay as they are; an empty table gives an empty table.
     """
-    index = DigestIndex(spark)
-    index.add(docs, id_col, text_col)
-    # A struct compares null ids as equal.
-    row = F.struct(F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("digest"))
-    marked = mark_copies(docs.select(id_col, text_col), index, id_col, text_col)
-    gone = marked.where(~F.col("xd_kept")).select(row.alias("__xd_row"))
-    left = docs.withColumn("__xd_row", row).join(gone, "__xd_row", "left_anti")
-    return left.dropDuplicates(["__xd_row"]).drop("__xd_row")
+    rows = docs.select(row_key(id_col, text_col).alias("row"), text_digest(F.col(text_col)).alias("digest"))
+    rows = stored(spark, rows, "exact-rows")
+    index = DigestIndex(spark, buckets=buckets_for(rows.count()))
+    try:
+        index.add_digests(rows.select("digest", F.col("row.id").alias("id")))
+        groups = index.rows().where("group_size > 1").select(F.struct("digest").alias("k"), "keep_id")
+        met = rows.withColumn("k", F.struct("digest")).join(groups, "k").withColumn("kept", F.col("row.id").eqNullSafe(F.col("keep_id")))
+        # Texts that differ in case only are copies of each other: of those with the kept id, one hash stays.
+        best = met.where("kept").groupBy("k").agg(F.max("row.text").alias("text"), F.count(F.lit(1)).alias("n"))
+        told = met.join(best, "k").select("row", (F.col("kept") & (F.col("row.text") == F.col("text"))).alias("stays"), "n")
+        told = stored(spark, told.groupBy("row", "stays").agg(F.max("n").alias("n")), "exact-told")
+    finally:
+        index.drop()
+    gone, once = told.where("NOT stays").select("row"), told.where("stays AND n > 1").select("row")
+    return drop_rows(docs, row_key(id_col, text_col), gone, once=once)

@@ -4,14 +4,14 @@ import hashlib
 
 import pytest
 
-from leafloom.llm import exact_dedup
+from leafloom.llm import common, exact_dedup
 from leafloom.llm.common import LOWER_BYTES
 
-SCHEMA = "doc_id bigint, text string, digest string, k int, keep_id string"
+SCHEMA = "doc_id bigint, text string, digest string, k int, keep_id string, row string, kind int, bit_row int, bit int, bit_map string, `keep` int, size int, __slot string, __xd_row int"
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(d, t, "x", 1, "y") for d, t in rows], SCHEMA)
+    return spark.createDataFrame([(d, t, "x", 1, "y", "r", 2, 3, 4, "m", 5, 6, "s", 7) for d, t in rows], SCHEMA)
 
 
 def norm(t):
@@ -25,7 +25,7 @@ def test_marks_against_a_loop(spark):
     index = exact_dedup.DigestIndex(spark, buckets=4)
     index.add(frame(spark, ROWS))
     got = exact_dedup.mark_copies(frame(spark, ROWS), index)
-    assert got.columns == ["doc_id", "text", "digest", "k", "keep_id", "xd_digest", "xd_keep_id", "xd_size", "xd_kept"]
+    assert got.columns == [*frame(spark, []).columns, "xd_digest", "xd_keep_id", "xd_size", "xd_kept"]
     groups = {}
     for d, t in ROWS:
         groups.setdefault(norm(t), []).append(d)
@@ -39,13 +39,37 @@ def test_marks_against_a_loop(spark):
 
 def test_filter_keeps_one_row_of_each_text(spark):
     left = exact_dedup.drop_copies(spark, frame(spark, ROWS))
-    assert left.columns == ["doc_id", "text", "digest", "k", "keep_id"]
+    assert left.columns == frame(spark, []).columns
+    assert {tuple(r)[2:] for r in left.collect()} == {tuple(r)[2:] for r in frame(spark, ROWS).collect()}
     best = {}
     for d, t in ROWS:
         best[norm(t)] = max(best.get(norm(t), -1), -1 if d is None else d)
     assert sorted((-1 if r.doc_id is None else r.doc_id, norm(r.text)) for r in left.collect()) == sorted((d, t) for t, d in best.items())
 
 
+def test_dropping_leaves_no_table_behind(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    exact_dedup.drop_copies(spark, frame(spark, ROWS)).collect()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_buckets_follow_the_number_of_texts():
+    assert [exact_dedup.buckets_for(n) for n in (0, 64 * exact_dedup.BUCKET_ROWS, 64 * exact_dedup.BUCKET_ROWS + 1, 10**10)] == [64, 64, 128, 4096]
+
+
+@pytest.mark.parametrize("most", [common.MOST_BITS, 1])
+def test_rows_are_dropped_with_and_without_the_prefilter(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "MOST_BITS", most)
+    docs = spark.range(3000).selectExpr("id AS doc_id", "CAST(id AS STRING) AS text", "7 AS bit").unionByName(spark.createDataFrame([(5, "5", 7), (8, "8", 7), (None, None, 7)], "doc_id bigint, text string, bit int"))
+    key = common.row_key()
+    gone = docs.where("doc_id % 3 = 0 OR doc_id IS NULL").select(key.alias("row"))
+    once = docs.where("doc_id = 5").select(key.alias("row")).distinct()
+    left = common.drop_rows(docs, key, common.stored(spark, gone, "gone"), once=common.stored(spark, once, "once"))
+    assert left.columns == docs.columns
+    assert sorted(r.doc_id for r in left.collect()) == sorted([i for i in range(3000) if i % 3] + [8])
+    assert common.filter_bits(10) == (common.LEAST_BITS if most > 1 else None)
+
+
 def test_later_batches_are_deduplicated_against_earlier_ones(spark, tmp_path):
     path = str(tmp_path / "index")
     first = exact_dedup.DigestIndex(spark, "idx_a", path=path, buckets=4)
@@ -71,6 +95,6 @@ def test_empty_table(spark, how):
 def test_plan_is_a_sort_merge_anti_join_on_buckets(spark):
     index = exact_dedup.DigestIndex(spark, buckets=4)
     index.add(frame(spark, [(1, "a")]))
-    fresh = index.candidates(frame(spark, [(2, "b")]))
+    fresh = index.candidates(index.digests(frame(spark, [(2, "b")])))
     plan = fresh.join(index.rows().select("digest").hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "LeftAnti" in plan and "Bucketed: true" in plan
