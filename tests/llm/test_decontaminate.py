@@ -27,7 +27,8 @@ def brute(docs, items, min_score=0.5):
         ws = dc.plain_words((t or "").encode())
         for i, x in items:
             own = dc.plain_words((x or "").encode())
-            if len(own) >= 8 and slow_align(own, ws) / (dc.MATCH * len(own)) >= min_score:
+            phrase = any(ws[k : k + len(own)] == own for k in range(len(ws) - len(own) + 1))
+            if own and (phrase if len(own) < 8 else slow_align(own, ws) / (dc.MATCH * len(own)) >= min_score):
                 out.add((d, i))
     return out
 
@@ -39,8 +40,32 @@ def test_align_is_smith_waterman():
         assert dc.align(word_hashes(a), word_hashes(b))[0] == slow_align(a, b)
 
 
-def test_rare_seeds_are_kept():
-    assert dc.rare_places([22], {(0, p): 100 for p in range(10)}, 3)[0] == set(range(10, 20))
+def test_a_seed_stands_at_every_place_with_a_run_left():
+    """The shortest rare run from each place, or the whole run of three."""
+    item = [w.encode() for w in "a b c d e f g h i j".split()]
+    seeds = dc.Seeds([item], 3, 0.5, 8)
+    number = {(g.n, h): i for g in seeds.counted for i, h in enumerate(g.hash)}
+    words = word_hashes(item)
+    often = {(1, number[1, h]) for h in dc.ngrams(words, 1)[:6]} | {(2, number[2, h]) for h in dc.ngrams(words, 2)[:3]}
+    seeds.choose(often)
+    assert [sorted(places.tolist()) for _, _, places in seeds.seeds] == [[6, 7, 8, 9], [3, 4, 5], [0, 1, 2]]
+
+
+def test_short_items_are_found_as_whole_phrases(spark):
+    docs = spark.createDataFrame([(1, "Say: the answer is Paris."), (2, "the answer was Paris"), (3, "paris"), (4, "the answer is"), (5, None)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, "The answer is Paris"), (2, "Paris?"), (3, "...")], "item_id bigint, text string")
+    got = {(r.row.id, r.item_id, r.score, r.end_word) for r in dc.find_leaks(spark, docs, bench).collect()}
+    assert got == {(1, 1, 1.0, 5), (1, 2, 1.0, 5), (2, 2, 1.0, 4), (3, 2, 1.0, 1)}
+    assert {r.doc_id for r in dc.drop_leaks(spark, docs, bench).collect()} == {4, 5}
+
+
+def test_rare_words_are_seeds_where_no_run_is_left(spark):
+    """Every third word of a copy is changed, so no three stand in a row; most words are in no other text."""
+    item = [f"w{k}" for k in range(30)]
+    copy = [w if k % 3 < 2 else "x" for k, w in enumerate(item)]
+    docs = [(i, f"plain words {i} " * 20) for i in range(200)] + [(500, " ".join(copy))]
+    found = dc.find_leaks(spark, spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")).collect()
+    assert [(r.row.id, r.score) for r in found] == [(500, slow_align(item, copy) / 60)]
 
 
 def test_edited_copies_are_found_and_others_left(spark):
@@ -60,13 +85,14 @@ def test_edited_copies_are_found_and_others_left(spark):
             body[at:at] = own
         docs.append((k, " ".join(body).capitalize() + "."))
     docs += [(100, None), (101, ""), (102, "the " * 5000), (103, " ".join(items[0][1])), (None, " ".join(items[1][1])), (103, " ".join(items[0][1]))]
-    tests = [(i, " ".join(ws)) for i, ws in items] + [(50, None), (51, "too short"), (None, "a b c d e f g h i j")]
+    tests = [(i, " ".join(ws)) for i, ws in items] + [(50, None), (51, "much too short"), (52, "w1 the w2"), (None, "a b c d e f g h i j")]
     frame = spark.createDataFrame([(d, t, 1, "x", 0.5) for d, t in docs], DOCS)
     bench = spark.createDataFrame([(i, t, "y") for i, t in tests], "item_id bigint, text string, row string")
     found = dc.find_leaks(spark, frame, bench).collect()
     assert {(r.row.id, r.item_id) for r in found} == brute(docs, tests)
     assert next(r.score for r in found if r.row.id == 103 and r.item_id == 0) == 1.0
     left = dc.drop_leaks(spark, frame, bench)
+    assert "Exchange" not in left._jdf.queryExecution().executedPlan().toString()
     assert left.columns == frame.columns
     assert {r.doc_id for r in left.collect()} == {d for d, _ in docs} - {d for d, _ in brute(docs, tests)}
 
