@@ -31,6 +31,8 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given labels are 0 and 1, so ``grade`` and ``severity`` above 1 follow from the model's own
+    features (see ``toxicity.train``); ``p_toxic`` is what the labels teach."""
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.train(spark, docs, _table(spark, sf_dir, "labels"))
     return toxicity.score(spark, docs, model).select(

@@ -6,7 +6,7 @@ stem share weight. Candidate features are counted over the training texts by Spa
 differ most between grades are kept, and an L1 penalty leaves few with a weight. Scoring is one scan:
 an Aho-Corasick automaton of the weighted features runs over each whole text; nothing is shuffled.
 
-The model is fitted on ``SAMPLE_ROWS`` labelled rows at most, chosen by a hash of their id.
+The model is fitted on ``SAMPLE_ROWS`` labelled rows at most, chosen by hashes of their ids and texts.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm.common import drop_rows, row_key, stored
+from leafloom.llm.common import row_key, stored
 
 #: Bounds of the fit: labelled rows, and features among which the penalty chooses.
 SAMPLE_ROWS, MAX_FEATURES = 12_000, 3_000
@@ -146,8 +146,12 @@ def train(
     themselves they are the grades; with a single one (0 and 1), its texts are graded by the number of
     features they hold that stand almost only in labelled texts (``GRADE_STEPS``).
 
-    Null labels and ids are left out; an id with several labels takes the largest, and all its texts
-    that the sample has are used. Without labelled texts the model finds nothing toxic.
+    With 0 and 1 the higher grades, and so the severity above 1, are told by the model's own features:
+    they order texts by how many marked words they hold, and are no evidence of severity from outside.
+
+    Null labels and ids are left out; an id with several labels takes the largest; rows that repeat id
+    and text count once; ``sample_rows`` rows are used at most, by a hash of id and text. Without
+    labelled texts, or with labels of one kind only, the model finds nothing toxic.
     """
     chosen = (
         labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic"))
@@ -155,11 +159,11 @@ def train(
         .groupBy("id").agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     )
-    sample = stored(
-        spark,
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("text", "toxic").repartition(8),
-        "toxicity-sample",
-    )
+    # An id may stand on many rows: equal ones count once, and of all others the bound holds as well.
+    met = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    met = stored(spark, met.select(F.xxhash64("id", "text").alias("h"), "text", "toxic"), "toxicity-labelled")
+    rows = met.select("h").distinct().orderBy("h").limit(sample_rows)
+    sample = stored(spark, met.join(F.broadcast(rows), "h").dropDuplicates(["h"]).select("text", "toxic").repartition(8), "toxicity-sample")
     total = {r.t: r.n for r in sample.groupBy((F.col("toxic") > 0).alias("t")).agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = float(total.get(False, 0)), float(total.get(True, 0))
     if not n0 or not n1:
@@ -170,7 +174,7 @@ def train(
     best = counts.where(F.col("a") + F.col("b") >= MIN_TEXTS).withColumn("z", z).orderBy(F.abs("z").desc(), "feature").limit(max_features).collect()
     matcher = Matcher([r.feature for r in best])
     marks = np.array([r.z > 0 and r.a / n0 <= 0.05 * r.b / n1 for r in best], bool)
-    rows = sample.mapInArrow(_encode(spark.sparkContext.broadcast(matcher)), "toxic int, held array<int>").collect()  # sample_rows at most
+    rows = sample.mapInArrow(_encode(spark.sparkContext.broadcast(matcher)), "toxic int, held array<int>").collect()  # sample_rows rows at most
     held, toxic = [r.held for r in rows], np.array([r.toxic for r in rows])
     if toxic.max() > 1:
         kinds = np.unique(np.concatenate([[0], toxic]))
@@ -208,8 +212,20 @@ def score(spark: SparkSession, docs: DataFrame, model: OrdinalModel, *, id_col:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_p: float = 0.5) -> DataFrame:
-    """``docs`` with its columns, without the rows that are toxic with a probability over ``max_p``."""
+    """``docs`` with its columns, without the rows that are toxic with a probability over ``max_p``, told in
+    the scan: nothing is joined.
+
+    Defined cases: as for ``train`` and ``score``; a row with a null or empty text scores like one without
+    features; rows that repeat go or stay alike; columns of any name stay as they are; with empty labels
+    all rows stay.
+    """
     model = train(spark, docs, labels, id_col=id_col, text_col=text_col)
-    gone = stored(spark, score(spark, docs, model, id_col=id_col, text_col=text_col).where(F.col("p_toxic") > max_p).select("row").distinct(), "toxicity-gone")
-    key = F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text"))
-    return drop_rows(docs, key, gone)
+    held, matcher = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(Matcher(model.features))
+
+    @F.arrow_udf("double")
+    def p_toxic(texts: pa.Array) -> pa.Array:
+        m, find = held.value, matcher.value
+        eta = np.array([m.weights[find(plain(t))].sum() for t in texts.to_pylist()], float)
+        return pa.array(m.above(eta)[:, 0])
+
+    return docs.where(p_toxic(F.col(text_col)) <= max_p)

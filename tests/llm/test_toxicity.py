@@ -58,6 +58,7 @@ def test_odd_rows_and_filter(spark):
     assert {r.row.id for r in got if r.p_toxic > 0.5} == {i for i in range(90) if i % 3 == 0} | {None, 102}
     left = tx.drop_toxic(spark, docs, labels)
     assert left.columns == docs.columns
+    assert "Exchange" not in left._jdf.queryExecution().executedPlan().toString()
     assert sorted(r.doc_id for r in left.collect()) == sorted([i for i in range(90) if i % 3] + [100, 101])
 
 
@@ -75,3 +76,16 @@ def test_given_grades_are_used(spark):
 def test_empty_tables(spark):
     docs, labels = spark.createDataFrame([], "doc_id bigint, text string"), spark.createDataFrame([], "doc_id bigint, toxic int")
     assert tx.score(spark, docs, tx.train(spark, docs, labels)).collect() == []
+    row = [(1, "some text")]
+    assert tx.drop_toxic(spark, spark.createDataFrame(row, "doc_id bigint, text string"), labels).count() == 1
+
+
+def test_the_sample_is_bounded_by_rows(spark, monkeypatch):
+    """An id on thousands of rows, equal and different ones: no more rows than asked for are fitted."""
+    rows = [(1, f"vile text {i % 700}") for i in range(5001)] + [(i, f"kind words {i}") for i in range(2, 120)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i == 1)) for i in range(1, 120)], "doc_id bigint, toxic int")
+    seen = []
+    monkeypatch.setattr(tx, "fit", lambda held, grades, features, **how: seen.append(len(held)) or tx.OrdinalModel([], np.zeros(0), np.array([50.0])))
+    tx.train(spark, docs, labels, sample_rows=119)
+    assert seen == [119]
