@@ -9,6 +9,10 @@ The piece probabilities start from the vocabulary's own order (the scores of the
 ranks, not probabilities: they become a Zipf prior) and are re-estimated by one expectation step
 over all training words, weighted with their counts.
 
+Words are run many at a time: those of like length are a matrix of characters, every substring is
+looked up by a rolling hash, and the recursions go over positions with all words of a batch at once.
+Words over ``LONG`` characters take the plain recursion one by one, which gives the same numbers.
+
 Data flow. Words are counted inside each task before they are shuffled. Words frequent enough for a
 table of ``TOP_WORDS`` entries at most are broadcast and summed inside the scan; all other words meet
 their counts in an ordinary join on a 64-bit hash, so nothing is cut off.
@@ -35,6 +39,8 @@ FLUSH = 500_000
 #: Weight of the prior, in pieces, and the share of the byte pieces in it.
 PRIOR, BYTES = 10_000.0, 1e-4
 SPACE = "▁"
+#: Characters of the longest word that is run in a batch, and characters times pieces of a batch.
+LONG, BATCH = 64, 2_000_000
 
 _LN10 = math.log(10)
 
@@ -138,6 +144,128 @@ class Lattice:
                     into[p] += share
 
 
+class Batches:
+    """The recursions of a ``Lattice`` over many words at once."""
+
+    _BASE = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, lattice: Lattice):
+        self.lattice = lattice
+        self.widest = max((len(p) for p in lattice.pieces), default=1)
+        self.powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(self.widest, self._BASE)]), dtype=np.uint64)
+        # A piece's hash is that of its characters; hashes of one length are sorted for the search.
+        self.known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for k in sorted({len(p) for p in lattice.pieces}):
+            own = [i for i, p in enumerate(lattice.pieces) if len(p) == k]
+            h = self.hashes(np.array([lattice.pieces[i] for i in own]).view(np.uint32).reshape(len(own), k))[k - 1][:, 0]
+            order = np.argsort(h)
+            self.known[k] = h[order], np.array(own)[order]
+        self.logp = np.array(lattice.logp)
+
+    def hashes(self, codes: np.ndarray) -> list[np.ndarray]:
+        """For each length up to the widest, the hash of the substring of that length from each place."""
+        n, m = codes.shape
+        values = codes.astype(np.uint64) + np.uint64(1)
+        prefix = np.zeros((n, m + 1), np.uint64)
+        for j in range(m):
+            prefix[:, j + 1] = prefix[:, j] * self._BASE + values[:, j]
+        out = []
+        for k in range(1, min(self.widest, m) + 1):
+            out.append(prefix[:, k:] - prefix[:, :-k] * self.powers[k])
+        return out
+
+    def groups(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+        """(places in ``texts``, characters as a matrix) of texts of one length; no matrix for long ones."""
+        sizes = np.array([len(t) for t in texts])
+        for size in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes == size)
+            step = max(1, BATCH // (size * min(size, self.widest)))
+            for low in range(0, len(own), step):
+                at = own[low : low + step]
+                yield at, None if size > LONG else np.array([texts[i] for i in at.tolist()]).view(np.uint32).reshape(len(at), size)
+
+    def edges(self, codes: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """For each length the piece at each place (-1: none); for each place the log probability of the
+        bytes where its character is no piece (-inf elsewhere); the characters spelled so."""
+        pieces = []
+        for k, h in enumerate(self.hashes(codes), 1):
+            if k not in self.known:
+                pieces.append(np.full(h.shape, -1))
+                continue
+            keys, numbers = self.known[k]
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            pieces.append(np.where(keys[at] == h, numbers[at], -1))
+        own, which = np.unique(codes, return_inverse=True)
+        spelled = np.array([sum(self.lattice.logp[self.lattice.base + b] for b in chr(c).encode("utf-8", "surrogatepass")) for c in own.tolist()])
+        odd = np.where(pieces[0] < 0, spelled[which.reshape(codes.shape)], -np.inf)
+        return pieces, odd, own, which.reshape(codes.shape)
+
+    def forward(self, codes: np.ndarray, pieces: list[np.ndarray], odd: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Log of the summed probability of each prefix, and the log probabilities of the pieces."""
+        n, m = codes.shape
+        logs = [np.where(p < 0, -np.inf, self.logp[p]) for p in pieces]
+        logs[0] = np.where(pieces[0] < 0, odd, logs[0])
+        alpha = np.full((m + 1, n), -np.inf)
+        alpha[0] = 0.0
+        for j in range(1, m + 1):
+            alpha[j] = _log_sum([alpha[j - k] + logs[k - 1][:, j - k] for k in range(1, min(j, len(logs)) + 1)])
+        return alpha, logs
+
+    def log10(self, words: list[str]) -> np.ndarray:
+        """``Lattice.log10`` of each word."""
+        texts = [SPACE + w for w in words]
+        out = np.empty(len(texts))
+        for at, codes in self.groups(texts):
+            if codes is None:
+                out[at] = [self.lattice.forward(texts[i])[-1] for i in at.tolist()]
+            else:
+                pieces, odd, _, _ = self.edges(codes)
+                out[at] = self.forward(codes, pieces, odd)[0][-1]
+        return out / _LN10
+
+    def expect(self, words: list[str], counts: np.ndarray, into: np.ndarray) -> None:
+        """``Lattice.expect`` of all words: expected uses of pieces and bytes, added to ``into``."""
+        texts = [SPACE + w for w in words]
+        for at, codes in self.groups(texts):
+            if codes is None:
+                found: dict[int, float] = defaultdict(float)
+                for i in at.tolist():
+                    self.lattice.expect(words[i], float(counts[i]), found)
+                for piece, x in found.items():
+                    into[piece] += x
+                continue
+            n, m = codes.shape
+            pieces, odd, own, which = self.edges(codes)
+            alpha, logs = self.forward(codes, pieces, odd)
+            beta = np.full((m + 1, n), -np.inf)
+            beta[m] = 0.0
+            for i in range(m - 1, -1, -1):
+                beta[i] = _log_sum([beta[i + k] + logs[k - 1][:, i] for k in range(1, min(m - i, len(logs)) + 1)])
+            weight = np.log(counts[at]) - alpha[m]
+            for k, (p, log) in enumerate(zip(pieces, logs), 1):
+                share = np.exp((alpha[: m + 1 - k] + beta[k:] + weight).T + log)
+                there = p >= 0
+                into += np.bincount(p[there], share[there], minlength=len(into))
+                if k == 1 and not there.all():
+                    by_char = np.bincount(which[~there], share[~there], minlength=len(own))
+                    for c in np.flatnonzero(by_char).tolist():
+                        for b in chr(int(own[c])).encode("utf-8", "surrogatepass"):
+                            into[self.lattice.base + b] += by_char[c]
+
+
+def _log_sum(terms: list[np.ndarray]) -> np.ndarray:
+    """Log of the sum of exponentials, place by place."""
+    if len(terms) == 1:
+        return terms[0]
+    x = np.stack(terms)
+    top = x.max(axis=0)
+    top[top == -np.inf] = 0.0
+    x -= top
+    np.exp(x, out=x)
+    with np.errstate(divide="ignore"):
+        return top + np.log(x.sum(axis=0))
+
+
 def load_pieces(path: str) -> list[str]:
     """Pieces of a sentencepiece model in their order, without control, byte and white-space pieces."""
     import sentencepiece
@@ -167,24 +295,23 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _expect(lattice):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Lattice = lattice.value
-        found: dict[int, float] = defaultdict(float)
+        own = Batches(lattice.value)
+        found = np.zeros(own.lattice.base + 256)
         for batch in batches:
-            for word, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist()):
-                own.expect(word, c, found)
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(list(found.values()), pa.float64())], ["piece", "n"])
+            own.expect(batch.column("word").to_pylist(), batch.column("c").to_numpy().astype(float), found)
+        used = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(found[used])], ["piece", "n"])
 
     return run
 
 
 def _score_words(lattice):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Lattice = lattice.value
+        own = Batches(lattice.value)
         for batch in batches:
             text = batch.column("word")
             h = word_hashes(text.cast(pa.binary()).to_pylist()).view(np.int64)
-            lat = np.fromiter((own.log10(w) for w in text.to_pylist()), np.float64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(h), batch.column("c"), batch.column("n"), pa.array(lat)], ["h", "c", "n", "lat"])
+            yield pa.RecordBatch.from_arrays([pa.array(h), batch.column("c"), batch.column("n"), pa.array(own.log10(text.to_pylist()))], ["h", "c", "n", "lat"])
 
     return run
 
