@@ -31,6 +31,8 @@ from leafloom.llm.common import LOWER_BYTES, row_key, stored
 from leafloom.llm.shingles import ngrams, word_hashes
 
 BLOCK_WORDS = 1_000_000
+#: Windows a document, on average, that the rare runs of a block may point to, and words looked up at once.
+RARE_WINDOWS, PACK_WORDS = 0.25, 1_000_000
 #: Bits of the table that turns away most n-grams before the exact search.
 SIEVE_BITS = 22
 #: Alignment: points for a match, a mismatch and a gap.
@@ -55,21 +57,40 @@ class Grams:
         self.sieve = np.zeros(2**SIEVE_BITS, dtype=bool)
         self.sieve[(hashes >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)] = True
 
-    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places in the text, numbers of the grams there), for every gram of equal hash."""
+    def hits(self, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, numbers of the grams there), for every gram of equal hash in texts that stand one
+        after the other and end at ``ends``."""
         own = ngrams(words, self.n)
         at = np.flatnonzero(self.sieve[(own >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)])
+        if self.n > 1:
+            at = at[at + self.n <= ends[np.searchsorted(ends, at, "right")]]
         low, high = np.searchsorted(self.hash, own[at], "left"), np.searchsorted(self.hash, own[at], "right")
         times = high - low
+        if times.max(initial=0) <= 1:
+            return at[times > 0], self.order[low[times > 0]]
         at, low = np.repeat(at, times), np.repeat(low, times)
         return at, self.order[low + np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)]
 
 
+def packs(texts: list[bytes | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the first text, hashes of the words of some texts one after the other, their ends)."""
+    first, found, ends = 0, [], []
+    for i, text in enumerate(texts):
+        found += plain_words(text)
+        ends.append(len(found))
+        if len(found) >= PACK_WORDS:
+            yield first, word_hashes(found), np.array(ends)
+            first, found, ends = i + 1, [], []
+    if ends:
+        yield first, word_hashes(found), np.array(ends)
+
+
 class Seeds:
     """The seeds of a block of items, each with its item and its place there."""
 
     def __init__(self, items: list[list[bytes]], n: int, min_score: float, min_words: int):
         self.items = [word_hashes(ws) for ws in items]
+        self.lists = [h.tolist() for h in self.items]
         self.n, self.min_score, self.min_words = n, min_score, min_words
         # An alignment of the least score has so many words for a word of the item between its own at most.
         self.spare = MATCH * (1 - min_score) / -GAP
@@ -103,46 +124,55 @@ class Seeds:
             self.seeds.append((Grams(k, self.runs[k][own]), self.of_item[own], self.place[own]))
         del self.runs, self.counted
 
-    def windows(self, hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, start, end) for each stretch of the text that seeds point to, with as many words to
+    def windows(self, hashes: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, start, end) for each stretch of a text that seeds point to, with as many words to
         spare at both ends as an alignment of the least score can put in."""
         found = []
         for grams, items, places in self.seeds:
-            at, which = grams.hits(hashes)
+            at, which = grams.hits(hashes, ends)
             if len(at):
-                found.append((items[which], at - places[which]))
+                found.append((np.searchsorted(ends, at, "right"), items[which], at - places[which]))
         if not found:
             return
-        item, start = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((start, item))
-        item, start = item[order], start[order]
-        sizes = np.array([len(self.items[i]) for i in item.tolist()])
-        ends = np.flatnonzero((np.diff(item) != 0) | (np.diff(start) > 2 * sizes[:-1]))
-        for low, high in zip([0, *(ends + 1).tolist()], [*ends.tolist(), len(item) - 1]):
-            size = int(sizes[low])
-            spare = math.ceil(self.spare * size)
-            yield int(item[low]), max(0, int(start[low]) - spare), min(len(hashes), int(start[high]) + size + spare)
-
-    def leaks(self, hashes: np.ndarray) -> Iterator[tuple[int, float, int]]:
-        """(item, score, end) of each copy of an item in a text, given as the hashes of its words."""
-        for item, start, end in self.windows(hashes):
-            words, passage = self.items[item], hashes[start:end]
-            whole = MATCH * len(words)
-            if reach(words, passage) / whole >= self.min_score:
-                best, last = align(words, passage)
+        text, item, start = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((start, item, text))
+        text, item, start = text[order], item[order], start[order]
+        sizes = np.array([len(x) for x in self.lists])[item]
+        cuts = np.flatnonzero((np.diff(text) != 0) | (np.diff(item) != 0) | (np.diff(start) > 2 * sizes[:-1]))
+        low, high = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(item) - 1]])
+        text, item, size = text[low], item[low], sizes[low]
+        spare = np.ceil(self.spare * size).astype(np.int64)
+        first = np.concatenate([[0], ends])[text]
+        yield from zip(text.tolist(), item.tolist(), np.maximum(first, start[low] - spare).tolist(), np.minimum(ends[text], start[high] + size + spare).tolist())
+
+    def leaks(self, hashes: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, float, int]]:
+        """(text, item, score, end) of each copy of an item in texts that stand one after the other, given
+        as the hashes of their words and their ends."""
+        first = [0, *ends.tolist()]
+        for text, item, start, end in self.windows(hashes, ends):
+            passage, whole = hashes[start:end], MATCH * len(self.lists[item])
+            if reach(self.lists[item], set(passage.tolist())) / whole >= self.min_score:
+                best, last = align(self.items[item], passage)
                 if best / whole >= self.min_score:
-                    yield item, best / whole, start + last
+                    yield text, item, best / whole, start + last - first[text]
         for grams, items in self.whole:
-            at, which = grams.hits(hashes)
-            for a, w in zip(at.tolist(), which.tolist()):
-                yield int(items[w]), 1.0, a + grams.n
+            at, which = grams.hits(hashes, ends)
+            for a, t, w in zip(at.tolist(), np.searchsorted(ends, at, "right").tolist(), which.tolist()):
+                yield t, int(items[w]), 1.0, a + grams.n - first[t]
 
 
-def reach(a: np.ndarray, b: np.ndarray) -> int:
-    """What no local alignment of ``a`` in ``b`` scores more than: in the stretch of ``a`` that it
-    takes up, a word that ``b`` has is a match at best, any other a mismatch or a gap."""
-    sums = np.cumsum(np.where(np.isin(a, b), MATCH, max(MISMATCH, GAP)))
-    return int((sums - np.minimum(np.minimum.accumulate(sums - np.diff(sums, prepend=0)), 0)).max(initial=0))
+def reach(a: list[int], b: set[int]) -> int:
+    """What no local alignment of ``a`` in the words ``b`` scores more than: in the stretch of ``a`` that
+    it takes up, a word that ``b`` has is a match at best, any other a mismatch or a gap."""
+    best = now = 0
+    for x in a:
+        if x in b:
+            now += MATCH
+            if now > best:
+                best = now
+        else:
+            now = max(0, now + max(MISMATCH, GAP))
+    return best
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -171,10 +201,11 @@ def _count(seeds):
         totals, docs = [np.zeros(len(g.hash), np.int64) for g in own.counted], 0
         for batch in batches:
             docs += batch.num_rows
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                hashes = word_hashes(plain_words(text))
+            for _, hashes, ends in packs(batch.column("text").cast(pa.binary()).to_pylist()):
                 for grams, total in zip(own.counted, totals):
-                    total[np.unique(grams.hits(hashes)[1])] += 1
+                    at, which = grams.hits(hashes, ends)
+                    once = np.unique(np.searchsorted(ends, at, "right") * len(grams.hash) + which) % len(grams.hash)
+                    total += np.bincount(once, minlength=len(total))
         rows = [(0, 0, docs)] + [(k, i, int(total[i])) for k, total in enumerate(totals, 1) for i in np.flatnonzero(total).tolist()]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
@@ -188,9 +219,9 @@ def _find(seeds):
         own: Seeds = seeds.value
         for batch in batches:
             at, cols = [], [[], [], []]
-            for i, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
-                for leak in own.leaks(word_hashes(plain_words(text))):
-                    at.append(i)
+            for first, hashes, ends in packs(batch.column("text").cast(pa.binary()).to_pylist()):
+                for text, *leak in own.leaks(hashes, ends):
+                    at.append(first + text)
                     for c, v in zip(cols, leak):
                         c.append(v)
             rows = batch.column("row").cast(_ROW).take(pa.array(at, pa.int32()))
@@ -205,7 +236,8 @@ def _clean(seeds):
     @F.arrow_udf("boolean")
     def clean(texts: pa.Array) -> pa.Array:
         own: Seeds = seeds.value
-        return pa.array([next(own.leaks(word_hashes(plain_words(t))), None) is None for t in texts.cast(pa.binary()).to_pylist()], pa.bool_())
+        found = {first + text for first, hashes, ends in packs(texts.cast(pa.binary()).to_pylist()) for text, *_ in own.leaks(hashes, ends)}
+        return pa.array([i not in found for i in range(len(texts))], pa.bool_())
 
     return clean
 
@@ -222,8 +254,8 @@ def item_blocks(
     spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 3, min_score: float = 0.5, min_words: int = 8
 ) -> Iterator[Block]:
     """The items in blocks, with seeds chosen by a count over all of ``docs``. A run of fewer than ``n``
-    words is rare if it is in so few documents that all rare runs of the block together point to one
-    window a document at most, on average."""
+    words is rare if it is in so few documents that all rare runs of the block together point to
+    ``RARE_WINDOWS`` windows a document at most, on average."""
     texts = docs.select(F.col(text_col).alias("text"))
     tests = stored(spark, benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")), "leaks-items")
     words = tests.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0] or 0
@@ -237,7 +269,7 @@ def item_blocks(
         runs = sum(len(g.hash) for g in seeds.counted)
         counts = stored(spark, counts, "leaks-counts")
         total = counts.where("length = 0").agg(F.sum("n")).first()[0] or 0
-        often = counts.where((F.col("length") > 0) & (F.col("n") > total / max(runs, 1))).select("length", "run").toArrow()  # two runs a word of the block at most
+        often = counts.where((F.col("length") > 0) & (F.col("n") > RARE_WINDOWS * total / max(runs, 1))).select("length", "run").toArrow()  # two runs a word of the block at most
         seeds.choose(set(zip(often["length"].to_pylist(), often["run"].to_pylist())))
         yield Block([i for i, _ in items], spark.sparkContext.broadcast(seeds))
 
