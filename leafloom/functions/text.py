@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,9 +37,24 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
+@functools.cache
+def accented_letters() -> tuple[str, str]:
+    """Two parallel strings: every character that decomposes into one other and combining marks
+    (U+0300 to U+036F), and what it then is."""
+    pairs = []
+    for code in range(0xA0, 0x30000):
+        if 0xAC00 <= code <= 0xDFFF:
+            continue  # Hangul syllables, surrogates
+        left = re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFD", chr(code)))
+        if len(left) == 1 and left != chr(code):
+            pairs.append((chr(code), left))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
 def strip_accents(text: Column) -> Column:
-    """Accents of Latin letters removed; fixed letters in two parallel strings."""
-    return F.translate(text, "áàâãäåéèêëíìîïóòôõöúùûüçñÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑ", "aaaaaaeeeeiiiiooooouuuucnAAAAAAEEEEIIIIOOOOOUUUUCN")
+    """Accents taken off, as by canonical decomposition and dropping the combining marks; letters that
+    don't decompose (such as o with a stroke) stay."""
+    return F.regexp_replace(F.translate(text, *accented_letters()), r"[\x{300}-\x{36F}]", "")
 
 
 def human_size(size: Column) -> Column:
@@ -69,3 +87,41 @@ def hmac_sha256(secret: str, message: Column) -> Column:
     key = key.ljust(64, b"\0")
     inner, outer = (F.lit(bytes(b ^ pad for b in key)) for pad in (0x36, 0x5C))
     return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
+
+
+def output_name(number: Column, stem: Column, suffix: str) -> Column:
+    """``001-name<suffix>``: the place of an output, in three digits or more, and its name."""
+    digits = number.cast("string")
+    return F.concat(F.when(F.length(digits) < 3, F.lpad(digits, 3, "0")).otherwise(digits), F.lit("-"), stem, F.lit(suffix))
+
+
+def is_letter_spaced(text: Column) -> Column:
+    """Whether a text is three or more single signs parted by single spaces, or two capital letters so."""
+    return F.coalesce(text.rlike(r"^(\S ){2,}\S$") | text.rlike(r"^\p{Lu} \p{Lu}$"), F.lit(False))
+
+
+# Words of font names, words that rule them out, and the font that stands for them; of
+# several the last counts, without any the first name does.
+FONTS = [
+    ("", None, "Arial"),
+    (r"times|serif(?!-)|georgia|garamond|cambria|roman", "sans", "Times New Roman"),
+    (r"courier|mono", None, "Courier New"),
+    (r"calibri", None, "Calibri"),
+    (r"verdana", None, "Verdana"),
+    (r"tahoma", None, "Tahoma"),
+]
+
+
+def font_class(name: Column, family: Column) -> Column:
+    """``font``, ``bold`` and ``italic`` as told by a font's name and family."""
+    words = F.lower(F.concat_ws(" ", F.coalesce(name, F.lit("")), F.coalesce(family, F.lit(""))))
+    font = F.lit(None).cast("string")
+    for pattern, unless, label in FONTS:
+        met = words.rlike(pattern) if unless is None else words.rlike(pattern) & ~words.rlike(unless)
+        font = F.when(met, label).otherwise(font)
+    return F.struct(font.alias("font"), words.rlike("bold|black|heavy|semibold|demi").alias("bold"), words.rlike("italic|oblique").alias("italic"))
+
+
+def setting_labels(settings: Column, labels: list[tuple[str, str]]) -> Column:
+    """Labels of the settings (a map from name to on or off) that are on, in the order of ``labels``."""
+    return F.array_compact(F.array(*(F.when(F.coalesce(settings[name], F.lit(False)), F.lit(label)) for name, label in labels)))

@@ -7,19 +7,26 @@ from pyspark.sql import functions as F
 
 from leafloom.functions.lineage import cut
 
+#: Rounds after which the frontiers so far are written as one table.
+MERGE_ROUNDS = 50
+
 
 def reachable(spark: SparkSession, edges: DataFrame, entry: list[int]) -> DataFrame:
     """(node, depth): all nodes that the entries reach, with their distance. A round joins the frontier
     with the edges and takes out what was seen; cycles end by that, and rounds are as many as the
-    longest shortest path."""
-    seen, depth = cut(spark.createDataFrame([(e, 0) for e in entry], "node bigint, depth int")), 0
-    while True:
-        frontier = seen.where(F.col("depth") == depth)
-        if not frontier.take(1):
-            return seen
+    longest shortest path. Each round writes its frontier only: what was seen is the union of them,
+    so all that is written is as large as the result."""
+    edges = cut(edges.select("src", "dst").distinct())
+    frontier, depth = cut(spark.createDataFrame([(e, 0) for e in sorted(set(entry))], "node bigint, depth int")), 0
+    seen = frontier
+    while frontier.take(1):
         depth += 1
         following = edges.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        seen = cut(seen.unionByName(following.join(seen.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth"))))
+        frontier = cut(following.join(seen.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth")))
+        seen = seen.unionByName(frontier)
+        if depth % MERGE_ROUNDS == 0:
+            seen = cut(seen)  # a union of very many parts is slow to plan
+    return seen
 
 
 def payload(spark: SparkSession, edges: DataFrame, nodes: DataFrame, entry: list[int], heavy: str, limit: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -19,6 +19,31 @@ def quarantine(files: DataFrame, marker: str, min_bytes: int = 8, head: int = 10
     return files.withColumn("ok", (F.octet_length("content") >= min_bytes) & F.contains(start, F.lit(marker)))
 
 
+#: Outputs shorter than this are taken for empty ones.
+OUTPUT_BYTES = 100
+
+
+def read_files(spark: SparkSession, path: str, marker: str, *, min_bytes: int = 8, pattern: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(good, rejected) files (path, length, content) under ``path``. Files that are too short are told by
+    their length alone, so their content isn't read."""
+    reader = spark.read.format("binaryFile")
+    files = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path).select("path", "length", "content")
+    short = files.where(F.col("length") < min_bytes)
+    marked = quarantine(files.where(F.col("length") >= min_bytes), marker, min_bytes)
+    rejected = short.withColumn("why", F.lit("short")).unionByName(marked.where("NOT ok").drop("ok").withColumn("why", F.lit("marker")))
+    return marked.where("ok").drop("ok"), rejected.select("path", "length", "why")
+
+
+def write_rejects(rejected: DataFrame, path: str) -> None:
+    """Append rejected files to a table by reason."""
+    rejected.write.mode("append").partitionBy("why").parquet(path)
+
+
+def check_outputs(files: DataFrame, marker: str) -> DataFrame:
+    """``quarantine`` for files that were written: shorter ones than ``OUTPUT_BYTES`` aren't ok."""
+    return quarantine(files, marker, OUTPUT_BYTES)
+
+
 def build_manifest(docs: DataFrame, name: Column) -> DataFrame:
     """Name, size in bytes, number of pages (lines) and SHA-256 of each text."""
     text = F.coalesce("text", F.lit(""))
@@ -37,6 +62,16 @@ def batch_run_report(rows: DataFrame, target: int) -> DataFrame:
     return rows.select("doc_id", state.alias("state"), "before", F.when(state == "OK", after).alias("after"), reduction.alias("reduction"))
 
 
+def write_batch_report(report: DataFrame, path: str) -> None:
+    """The report as Parquet, in a folder for each state, so that failed files are found without a scan."""
+    report.write.mode("overwrite").partitionBy("state").parquet(path)
+
+
+def read_report_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``read_reports`` over files of JSON lines."""
+    return read_reports(spark.read.text(path))
+
+
 def read_reports(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(reports, rejected lines): JSON lines (``value``) with the right schema tag, an id and both hashes."""
     rows = lines.withColumn("r", F.from_json("value", REPORT_SCHEMA, {"mode": "PERMISSIVE"}))
@@ -100,10 +135,11 @@ def issue_reports(manifest: DataFrame, issued: Column) -> DataFrame:
 
 def verify_reports(reports: DataFrame, actual: DataFrame) -> DataFrame:
     """One row per check of each report (doc_id, report_sha256, computed_sha256, sha256, size_bytes,
-    pages) against the actual manifest: expected, actual, ok, and whether all of the report's are."""
+    pages) against the actual manifest: expected, actual, ok, and whether all of the report's are. Where
+    the file is missing ``actual`` is null and the check fails; two nulls are equal."""
     a = actual.select("doc_id", F.col("sha256").alias("a_sha"), F.col("size_bytes").alias("a_size"), F.col("pages").alias("a_pages"))
     check = lambda key, expected, got: F.struct(
-        F.lit(key).alias("key"), expected.cast("string").alias("expected"), got.cast("string").alias("actual"), (F.lower(expected.cast("string")) == F.lower(got.cast("string"))).alias("ok")
+        F.lit(key).alias("key"), expected.cast("string").alias("expected"), got.cast("string").alias("actual"), F.lower(expected.cast("string")).eqNullSafe(F.lower(got.cast("string"))).alias("ok")
     )
     checks = F.array(
         check("report-sha256", F.col("report_sha256"), F.col("computed_sha256")),
@@ -111,5 +147,5 @@ def verify_reports(reports: DataFrame, actual: DataFrame) -> DataFrame:
         check("size", F.col("size_bytes"), F.col("a_size")),
         check("pages", F.col("pages"), F.col("a_pages")),
     )
-    rows = reports.join(a, "doc_id").withColumn("checks", checks)
+    rows = reports.join(a, "doc_id", "left").withColumn("checks", checks)
     return rows.select("doc_id", F.forall("checks", lambda c: c["ok"]).alias("matched"), F.inline("checks"))

@@ -6,11 +6,12 @@ The batch forms are windows and folds by user or payment. The streaming forms of
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from leafloom.functions.text import hmac_sha256
+from leafloom.operators.ordering import running_sum
 
 # Prices and days of a period, levels in order, days of grace, minutes a charge lives.
 PERIODS = {"month": ("19.90", 30), "year": ("199.00", 365)}
@@ -31,7 +32,7 @@ def entitlement_check(uses: DataFrame, profiles: DataFrame, required: DataFrame,
     stated; a small table) and ``allowed``. A premium plan without an end has no deadline."""
     premium = (F.col("plan") == "premium") & (F.col("premium_until").isNull() | (F.col("premium_until") > now))
     level = F.when(F.col("user_id").isNull() | F.col("plan").isNull(), "visitor").when(premium, "premium").otherwise("account")
-    rows = uses.join(profiles, "user_id", "left").join(F.broadcast(required), "tool", "left")
+    rows = uses.join(profiles, "user_id", "left").join(required, "tool", "left")
     rows = rows.withColumn("level", level).withColumn("need", F.coalesce("need", F.lit("visitor")))
     return rows.withColumn("allowed", rank(F.col("level")) >= rank(F.col("need"))).drop("plan", "premium_until")
 
@@ -99,23 +100,35 @@ def approved_purchases(payments: DataFrame, prefix: str) -> DataFrame:
 
 
 def apply_once(payments: DataFrame) -> DataFrame:
-    """The first approved notice of each payment; later ones, of whatever status, change nothing."""
-    first = F.row_number().over(W.partitionBy("payment_id").orderBy("ts"))
+    """The first approved notice of each payment; later ones, of whatever status, change nothing. Of several
+    at one time the least by user and period, and then by all else."""
+    ties = [c for c in ("ts", "user_id", "period") if c in payments.columns]
+    ties += sorted(c for c in payments.columns if c not in (*ties, "payment_id", "status"))
+    first = F.row_number().over(W.partitionBy("payment_id").orderBy(*ties))
     return payments.where("status = 'approved'").withColumn("n", first).where("n = 1").drop("n")
 
 
-def premium_ledger(credits: DataFrame) -> DataFrame:
+def premium_ledger(credits: DataFrame, initial: DataFrame | None = None, *, keep_unlimited: bool = False) -> DataFrame:
     """The end of premium after each credit (user_id, ts, payment_id, period): each adds its days to the
-    later of its own time and the end so far.
+    later of its own time and the end so far. ``initial`` (user_id, plan, premium_until) has what users
+    start with; an end counts for users whose plan is premium. Premium without an end starts anew with
+    the first credit, or with ``keep_unlimited`` stays without an end.
 
     Closed form: with S the running sum of days, the end after the k-th credit is S_k plus the
-    largest of t_j - S_(j-1) for j up to k.
+    largest of t_j - S_(j-1) for j up to k, and of the initial end.
     """
     length = F.when(F.col("period") == "month", PERIODS["month"][1]).otherwise(PERIODS["year"][1]).cast("long") * 86_400_000_000
     order = W.partitionBy("user_id").orderBy("ts", "payment_id").rowsBetween(W.unboundedPreceding, 0)
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     rows = credits.withColumn("len", length).withColumn("sum", F.sum("len").over(order)).withColumn("lead", F.max(at - (F.col("sum") - F.col("len"))).over(order))
-    return rows.withColumn("premium_until", F.timestamp_micros(F.col("sum") + F.col("lead")).cast("timestamp_ntz")).drop("len", "sum", "lead")
+    end = lambda lead: F.timestamp_micros(F.col("sum") + lead).cast("timestamp_ntz")
+    if initial is None:
+        return rows.withColumn("premium_until", end(F.col("lead"))).drop("len", "sum", "lead")
+    held = initial.where("plan = 'premium'").select("user_id", F.unix_micros(F.col("premium_until").cast("timestamp")).alias("held"), F.col("premium_until").isNull().alias("unlimited"))
+    rows = rows.join(held, "user_id", "left").withColumn("premium_until", end(F.greatest("lead", "held")))  # greatest passes over nulls
+    if keep_unlimited:
+        rows = rows.withColumn("premium_until", F.when(F.coalesce("unlimited", F.lit(False)), None).otherwise(F.col("premium_until")))
+    return rows.drop("len", "sum", "lead", "held", "unlimited")
 
 
 def subscription_state(events: DataFrame) -> DataFrame:
@@ -136,19 +149,28 @@ def expire_charges(charges: DataFrame, approvals: DataFrame, minutes: int = CHAR
     return rows.withColumn("status", F.when(F.col("paid_ts").isNotNull(), "paid").otherwise("expired"))
 
 
-def insert_ignore(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """The table with the rows whose key it hasn't; of rows that share a key one is taken."""
-    return table.unionByName(rows.dropDuplicates([key]).join(table.select(key), key, "left_anti"), allowMissingColumns=False)
+def insert_ignore(table: DataFrame, rows: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
+    """The table with the rows whose key it hasn't; of rows that share a key the first by ``order``, or by
+    all columns where none is named. Rows without a key aren't inserted."""
+    first = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*table.columns), F.struct(*(order or rows.columns))).alias("r")).select("r.*")
+    return table.unionByName(first.join(table.select(key), key, "left_anti"))
 
 
 def registry_upsert(registry: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
     """Entries (key, ord, built_in, ..) with those of ``rows`` put in place of old ones and at the end, in
-    their order; built-in rows are never stored."""
+    their order; built-in rows are never stored. New entries are numbered by ranges."""
     new = rows.where("NOT built_in")
     old = registry.join(new.select(key), key, "left_anti")
     last = registry.agg(F.coalesce(F.max("ord"), F.lit(0)).alias("last"))
-    placed = new.withColumn("n", F.row_number().over(W.orderBy("ord", key))).join(F.broadcast(last)).withColumn("ord", F.col("last") + F.col("n")).drop("n", "last")
-    return old.unionByName(placed)
+    numbered = running_sum(new.select("*", F.lit(0).alias("all"), F.lit(1).alias("one"), F.struct("ord", key).alias("place")), ["all"], "place", "one")
+    placed = numbered.join(last).withColumn("ord", F.col("last") + F.col("before") + 1)  # one row
+    return old.unionByName(placed.select(*registry.columns))
+
+
+def touch_registry(registry: DataFrame, uses: DataFrame, key: str = "id") -> DataFrame:
+    """Entries with ``last_used``: the latest use (key, ts) that is on record, or what they had."""
+    latest = uses.groupBy(key).agg(F.max("ts").alias("used"))
+    return registry.join(latest, key, "left").withColumn("last_used", F.greatest("last_used", "used")).select(*registry.columns)
 
 
 def read_registry(lines: DataFrame, fields: str) -> tuple[DataFrame, DataFrame]:
@@ -157,3 +179,8 @@ def read_registry(lines: DataFrame, fields: str) -> tuple[DataFrame, DataFrame]:
     ok = F.coalesce(F.col("r._corrupt").isNull() & F.col("r.id").isNotNull() & F.col("r.settings").isNotNull(), F.lit(False))
     own = [c for c in lines.columns if c != "value"]
     return rows.where(ok).select(*own, "r.id", "r.settings"), rows.where(~ok).select(*lines.columns)
+
+
+def read_registry_files(spark: SparkSession, path: str, fields: str) -> tuple[DataFrame, DataFrame]:
+    """``read_registry`` over files of JSON lines."""
+    return read_registry(spark.read.text(path), fields)

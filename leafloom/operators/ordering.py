@@ -1,8 +1,8 @@
 """Order: concatenating, page offsets, tables of contents, outlines, packing under budgets.
 
-Running sums over the pages or files of one source are windows. Packing is sequential by nature: it is
-a fold over each key's items in order, keys in parallel; short keys fold in an expression, long ones in
-Python on sorted batches with constant memory.
+Running sums over the files of one source are windows, those over pages are summed by ranges. Packing is
+sequential by nature: it is a fold over each key's items in order, keys in parallel, in Python on sorted
+batches with constant memory.
 """
 
 from __future__ import annotations
@@ -10,22 +10,42 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from leafloom.functions.lineage import cut
+
 #: Entries on a page of contents.
 TOC_ROWS = 27
 
 
 def append_ordered(sources: list[DataFrame]) -> DataFrame:
     """Sources (doc_id, page_no, text) one after the other, with ``src_ord`` and the page's number in
-    its source's order (``src_page``, by doc_id and page_no)."""
+    its source's order (``src_page``, by doc_id and page_no). Pages are counted by document, counts
+    are summed up over ranges of documents, and a page adds its own number in its document: no source
+    is sorted as a whole, and a text moves once, to the pages of its document."""
     out = None
     for k, s in enumerate(sources):
         own = s.withColumn("src_ord", F.lit(k))
         out = own if out is None else out.unionByName(own)
-    return out.withColumn("src_page", F.row_number().over(W.partitionBy("src_ord").orderBy("doc_id", "page_no")))
+    before = running_sum(out.groupBy("src_ord", "doc_id").agg(F.count(F.lit(1)).alias("n")), ["src_ord"], "doc_id", "n")
+    inside = F.row_number().over(W.partitionBy("src_ord", "doc_id").orderBy("page_no"))
+    rows = out.withColumn("inside", inside).join(before.select("src_ord", "doc_id", "before"), ["src_ord", "doc_id"])
+    return rows.select(*sources[0].columns, "src_ord", (F.col("before") + F.col("inside")).cast("int").alias("src_page"))
+
+
+def running_sum(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """``rows`` with ``before``: the sum of ``value`` over the rows of the same keys that come earlier in
+    ``order`` (unique by key). Rows are dealt by ranges of (keys, order); a sum a range and key is all that
+    meets in one window, as many rows as there are ranges and keys."""
+    rows = cut(rows.repartitionByRange(*keys, order).withColumn("range", F.spark_partition_id()))
+    part = W.partitionBy("range", *keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    sums = rows.groupBy("range", *keys).agg(F.sum(value).alias("sum"))
+    upto = W.partitionBy(*keys).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    earlier = sums.withColumn("earlier", F.coalesce(F.sum("sum").over(upto), F.lit(0))).drop("sum")
+    own = rows.join(earlier, ["range", *keys]).withColumn("before", F.coalesce(F.sum(value).over(part), F.lit(0)) + F.col("earlier"))
+    return own.drop("range", "earlier")
 
 
 def page_offsets(files: DataFrame) -> DataFrame:
@@ -85,27 +105,11 @@ def pack_sequential(items: DataFrame, key: str, order: list[str], max_items: int
     return own.mapInPandas(_pack_rows(key, max_items, max_size), schema)
 
 
-def pack_lists(sizes: Column, max_size: int) -> Column:
-    """The group (from 1) of each element of an array of sizes, by size only, as one expression."""
-    zero = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("grp"), F.lit(0).cast("long").alias("used"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fits = (acc["grp"] > 0) & (acc["used"] + s <= max_size)
-        grp = F.when(fits, acc["grp"]).otherwise(acc["grp"] + 1)
-        return F.struct(F.array_append(acc["out"], grp).alias("out"), grp.alias("grp"), F.when(fits, acc["used"] + s).otherwise(s).cast("long").alias("used"))
-
-    return F.aggregate(sizes, zero, step, lambda acc: acc["out"])
-
-
 def split_by_budget(pages: DataFrame, budget: int) -> DataFrame:
     """Parts of each document: the longest runs of pages (``size``) within the budget; a page over it is
-    a part of its own, and no page is lost."""
-    own = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "size"))).alias("p"))
-    grp = pack_lists(F.transform("p", lambda x: x["size"].cast("long")), budget)
-    rows = own.select("doc_id", F.explode(F.arrays_zip("p", grp.alias("g"))).alias("x"))
-    return rows.groupBy("doc_id", F.col("x.g").alias("part")).agg(
-        F.min("x.p.page_no").alias("first_page"), F.max("x.p.page_no").alias("last_page"), F.sum("x.p.size").cast("long").alias("bytes")
-    )
+    a part of its own, and no page is lost. Pages are walked in order, with the open part in memory."""
+    packed = pack_sequential(pages.select("doc_id", "page_no", F.col("size").cast("long").alias("size")), "doc_id", ["page_no"], 2**62, budget)
+    return packed.groupBy("doc_id", F.col("grp").alias("part")).agg(F.min("page_no").alias("first_page"), F.max("page_no").alias("last_page"), F.sum("size").alias("bytes"))
 
 
 def run_totals(files: DataFrame, massive_files: int = 100, massive_bytes: int = 128 * 2**20, direct_files: int = 48, direct_bytes: int = 96 * 2**20) -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -15,6 +19,9 @@ BLANK_INK = {"low": 0.00045, "medium": 0.00135, "high": 0.0032}
 # Elements and attributes that a clean page doesn't have.
 ACTIVE_TAGS = "script iframe object embed form input button textarea select option meta link base".split()
 _PAIRED = "script|iframe|object|embed|form|button|textarea|select|option"
+# An attribute comes after white space or a slash; its value may stand without quotes.
+ATTRIBUTE = r"(?i)[\s/]+(on\w+|data-[\w-]+|srcdoc)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)"
+SCRIPT_LINK = r"(?i)[\s/]+(href|src)\s*=\s*(\"\s*javascript:[^\"]*\"|'\s*javascript:[^']*'|javascript:[^\s>]*)"
 
 
 def normalize_pages(pages: DataFrame, nfkc: bool = False) -> DataFrame:
@@ -32,15 +39,13 @@ def sanitize_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     taken out by pattern, and how many of each there were. A pattern job, not a parser."""
     html = F.col(html_col)
     tag = rf"(?i)<({'|'.join(ACTIVE_TAGS)})\b"
-    attribute = r"(?i)\s(on\w+|data-[\w-]+|srcdoc)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)"
-    link = r"(?i)\s(href|src)\s*=\s*(\"\s*javascript:[^\"]*\"|'\s*javascript:[^']*')"
     clean = html
     for name in _PAIRED.split("|"):
         clean = F.regexp_replace(clean, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>", "")
     clean = F.regexp_replace(clean, rf"(?i)</?({'|'.join(ACTIVE_TAGS)})\b[^>]*>", "")
-    clean = F.regexp_replace(F.regexp_replace(clean, attribute, ""), link, "")
+    clean = F.regexp_replace(F.regexp_replace(clean, ATTRIBUTE, ""), SCRIPT_LINK, "")
     count = lambda p: F.regexp_count(html, F.lit(p)).cast("long")
-    return pages.select(id_col, count(tag).alias("tags"), count(attribute).alias("attributes"), count(link).alias("links"), clean.alias("clean"))
+    return pages.select(id_col, count(tag).alias("tags"), count(ATTRIBUTE).alias("attributes"), count(SCRIPT_LINK).alias("links"), clean.alias("clean"))
 
 
 def pages_needing_ocr(pages: DataFrame, min_chars: int = OCR_CHARS) -> DataFrame:
@@ -79,25 +84,37 @@ def sentence_paragraphs(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split(text, r"(?<=[.!?])\s+", -1)).alias("ord", "text")).select("doc_id", (F.col("ord") + 1).alias("par_no"), "text")
 
 
-def wrap_chunks(docs: DataFrame, width: int = 94) -> DataFrame:
-    """(doc_id, line_no, line): words filled greedily into lines of ``width`` characters; a longer word
-    stands alone, and an empty text is one empty line.
-
-    One fold per text over its words keeps the lines done and the line at work, so the cost grows with
-    the number of lines times their number of appends; texts are independent rows.
-    """
-    words = F.filter(F.split(F.col("text"), r"\s+"), lambda w: w != "")
-    zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+def _fill(words: list[str], width: int) -> Iterator[str]:
+    line = ""
+    for w in words:
+        if line and len(line) + 1 + len(w) > width:
+            yield line
+            line = w
+        else:
+            line = f"{line} {w}" if line else w
+    yield line
 
-    def step(acc: Column, w: Column) -> Column:
-        longer = F.when(acc["now"] == "", w).otherwise(F.concat(acc["now"], F.lit(" "), w))
-        fits = (F.length(longer) <= width) | (acc["now"] == "")
-        return F.struct(
-            F.when(fits, acc["done"]).otherwise(F.array_append(acc["done"], acc["now"])).alias("done"), F.when(fits, longer).otherwise(w).alias("now")
-        )
 
-    lines = F.aggregate(words, zero, step, lambda acc: F.array_append(acc["done"], acc["now"]))
-    return docs.select("doc_id", F.posexplode(F.coalesce(lines, F.array(F.lit("")))).alias("ord", "line")).select("doc_id", (F.col("ord") + 1).alias("line_no"), "line")
+def wrap_chunks(docs: DataFrame, width: int = 94) -> DataFrame:
+    """(doc_id, line_no, line): words filled greedily into lines of ``width`` characters; a longer word
+    stands alone, and an empty text is one empty line. Each text is walked once, line by line, so the
+    cost is in proportion to it; only the open line is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, numbers, lines = [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                for n, line in enumerate(_fill(re.split(r"[ \t\n\x0b\f\r]+", (text or "").strip(" \t\n\x0b\f\r")) if text else [], width), 1):
+                    ids.append(i)
+                    numbers.append(n)
+                    lines.append(line)
+                if len(lines) >= 100_000:
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(numbers, pa.int32()), pa.array(lines, pa.string())], ["doc_id", "line_no", "line"])
+                    ids, numbers, lines = [], [], []
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(numbers, pa.int32()), pa.array(lines, pa.string())], ["doc_id", "line_no", "line"])
+
+    own = docs.select("doc_id", "text")
+    return own.mapInArrow(run, f"doc_id {dict(own.dtypes)['doc_id']}, line_no int, line string")
 
 
 def latin1_report(docs: DataFrame) -> DataFrame:
@@ -113,6 +130,17 @@ def document_text(pages: DataFrame, separator: str = PAGE_SEPARATOR) -> DataFram
     return pages.groupBy("doc_id").agg(F.array_join(F.transform(own, lambda x: x["text"]), separator).alias("text"))
 
 
+def write_document_text(pages: DataFrame, path: str, separator: str = PAGE_SEPARATOR, *, per_file: int = 1) -> None:
+    """A text file for each document under ``path`` (``doc_id=...`` folders), or, with ``per_file`` over 1,
+    that many documents in a compressed Parquet file: very many small files are no way to keep a corpus.
+    What the folder holds is replaced."""
+    texts = document_text(pages, separator)
+    if per_file == 1:
+        texts.write.mode("overwrite").partitionBy("doc_id").option("lineSep", "\n").text(path)
+    else:
+        texts.write.mode("overwrite").option("maxRecordsPerFile", per_file).option("compression", "zstd").parquet(path)
+
+
 def page_labels(pages: DataFrame, start: int = 1, prefix: str = "p. ") -> DataFrame:
     """``label`` (prefix and number, from ``start``) and ``long_label`` ("n of last")."""
     first = max(1, start)
@@ -131,14 +159,16 @@ def valid_regions(regions: DataFrame) -> DataFrame:
 
 
 def region_redaction(words: DataFrame, regions: DataFrame) -> DataFrame:
-    """Words with ``hit``: whether their box meets a valid region of their page."""
-    r = valid_regions(regions).select("doc_id", "page_no", F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("w").alias("rw"), F.col("h").alias("rh"))
-    meets = (words.x < F.col("rx") + F.col("rw")) & (words.x + words.w > F.col("rx")) & (words.y < F.col("ry") + F.col("rh")) & (words.y + words.h > F.col("ry"))
-    same = (words.doc_id == r.doc_id) & (words.page_no == r.page_no)
-    # The semi join stops at a word's first region; words are unique by (doc_id, page_no, idx).
-    hits = words.join(r, same & meets, "left_semi").withColumn("hit", F.lit(True))
-    rest = words.join(r, same & meets, "left_anti").withColumn("hit", F.lit(False))
-    return hits.unionByName(rest)
+    """Words with ``hit``: whether their box meets a valid region of their page. Regions meet as one list
+    a page, so each word is read and joined once."""
+    box = F.struct("x", "y", "w", "h")
+    lists = valid_regions(regions).groupBy("doc_id", "page_no").agg(F.collect_list(box).alias("boxes"))
+
+    def meets(r: Column) -> Column:
+        across = (F.col("x") < r["x"] + r["w"]) & (F.col("x") + F.col("w") > r["x"])
+        return across & (F.col("y") < r["y"] + r["h"]) & (F.col("y") + F.col("h") > r["y"])
+
+    return words.join(lists, ["doc_id", "page_no"], "left").withColumn("hit", F.coalesce(F.exists("boxes", meets), F.lit(False))).drop("boxes")
 
 
 def redact_pages(pages: DataFrame, regions: DataFrame) -> DataFrame:
@@ -187,6 +217,11 @@ def read_ocr_tsv(lines: DataFrame) -> DataFrame:
     )
 
 
+def read_ocr_files(spark: SparkSession, path: str) -> DataFrame:
+    """``read_ocr_tsv`` over text files (a folder or a pattern), each word row with the ``file`` it is from."""
+    return read_ocr_tsv(spark.read.text(path).withColumn("file", F.input_file_name()))
+
+
 def capped_lists(pages: DataFrame, cap: int = 12) -> DataFrame:
     """By document the first ``cap`` page numbers, with an ellipsis where there are more."""
     own = F.array_sort(F.collect_list("page_no"))

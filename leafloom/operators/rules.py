@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from leafloom.functions.text import strip_accents
 
+# The patterns of an id and of an address.
 UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 EMAIL = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
 
@@ -46,13 +50,14 @@ def valid_identity(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"uuid_ok": F.col("uid").rlike(UUID), "email_ok": F.col("email").rlike(EMAIL) & (F.length("email") <= 254)})
 
 
-def preset_compliance(docs: DataFrame, presets: DataFrame) -> DataFrame:
-    """Every document (doc_id, bytes) against every size preset (preset, target_mb; a small table):
-    ``passes``, and by document the tightest preset that it passes."""
-    limit = F.greatest(F.lit(0.1), F.col("target_mb")) * 1_048_576
-    # A stated list of presets per row, not a join of two tables that grow.
-    rows = docs.join(F.broadcast(presets)).withColumn("passes", F.col("bytes") <= limit)
-    return rows.withColumn("tightest", F.min_by("preset", F.when(F.col("passes"), F.struct("target_mb", "preset"))).over(W.partitionBy("doc_id")))
+def preset_compliance(docs: DataFrame, presets: list[tuple[str, float]]) -> DataFrame:
+    """Every document (doc_id, bytes) against every size preset (name, target in MB), a stated list that is
+    laid beside each row: ``passes``, and by document the tightest preset that it passes."""
+    listed = F.array(*(F.struct(F.lit(name).alias("preset"), F.lit(float(mb)).alias("target_mb")) for name, mb in presets))
+    fits = lambda p: F.col("bytes") <= F.greatest(F.lit(0.1), p["target_mb"]) * 1_048_576
+    passed = F.transform(F.filter(listed, fits), lambda p: F.struct(p["target_mb"], p["preset"]))
+    rows = docs.select("*", F.array_min(passed)["preset"].alias("tightest"), F.explode(listed).alias("own"))
+    return rows.select(*docs.columns, "own.preset", "own.target_mb", fits(F.col("own")).alias("passes"), "tightest")
 
 
 def allowlist(rows: DataFrame, column: str, allowed: list[str]) -> DataFrame:
@@ -90,9 +95,9 @@ def row_level_view(rows: DataFrame, owner: str, principal: int | None) -> DataFr
 
 
 def quota_check(use: DataFrame, limits: DataFrame) -> DataFrame:
-    """Uses (level, files, ocr_pages, mode) against the limits of their level (a small table; null: no
-    limit): ``blocked`` and the reason."""
-    rows = use.join(F.broadcast(limits), "level", "left")
+    """Uses (level, files, ocr_pages, mode) against the limits of their level (null: no limit): ``blocked``
+    and the reason."""
+    rows = use.join(limits, "level", "left")
     reason = (
         F.when(F.col("files") > F.col("max_files"), "files").when(F.col("ocr_pages") > F.col("max_ocr_pages"), "ocr")
         .when(F.array_contains("blocked_modes", F.col("mode")), "mode")
@@ -174,9 +179,12 @@ def upper_median_gap(rows: DataFrame, slack: float) -> DataFrame:
     are where a gap is over it by more than ``slack``."""
     order = W.partitionBy("key").orderBy("ts", "id")
     gaps = rows.withColumn("gap", F.col("ts") - F.lag("ts").over(order)).where("gap IS NOT NULL")
-    mids = gaps.groupBy("key").agg(F.array_sort(F.collect_list("gap")).alias("g")).select("key", F.get("g", F.floor(F.size("g") / 2).cast("int")).alias("median"), F.size("g").alias("gaps"))
-    split = gaps.join(mids, "key").groupBy("key", "median", "gaps").agg(F.count_if(F.col("gap") > F.col("median") + slack).alias("splits"))
-    return split
+    # Gaps are counted by size, so the middle one is found on sorted rows and no key's gaps meet in an array.
+    counts = gaps.groupBy("key", "gap").agg(F.count(F.lit(1)).alias("n"))
+    key = W.partitionBy("key")
+    counts = counts.withColumns({"upto": F.sum("n").over(key.orderBy("gap")), "gaps": F.sum("n").over(key)})
+    counts = counts.withColumn("median", F.min(F.when(F.col("upto") > F.floor(F.col("gaps") / 2), F.col("gap"))).over(key))
+    return counts.groupBy("key", "median", "gaps").agg(F.coalesce(F.sum(F.when(F.col("gap") > F.col("median") + slack, F.col("n"))), F.lit(0)).alias("splits"))
 
 
 def recent_items(uses: DataFrame, keep: int = 8) -> DataFrame:
@@ -186,10 +194,32 @@ def recent_items(uses: DataFrame, keep: int = 8) -> DataFrame:
     return ranked.where(F.col("pos") <= keep).select("user_id", "pos", "item")
 
 
+def _fold_favorites(keep: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, held, begun = None, [], False  # a user may go on in the next batch
+        for batch in batches:
+            done = []
+            for u, item in zip(batch.column("user_id").to_pylist(), batch.column("item").to_pylist()):
+                if not begun or u != user:
+                    if begun:
+                        done.append((user, held))
+                    user, held, begun = u, [], True
+                held = [x for x in held if x != item] if item in held else [item, *held][:keep]
+            yield out(done)
+        yield out([(user, held)] if begun else [])
+
+    def out(done: list[tuple[int, list[int]]]) -> pa.RecordBatch:
+        cols = [pa.array([u for u, _ in done], pa.int64()), pa.array([",".join(map(str, h)) for _, h in done], pa.string()), pa.array([len(h) for _, h in done], pa.int32())]
+        return pa.RecordBatch.from_arrays(cols, ["user_id", "favorites", "n"])
+
+    return run
+
+
 def favorites_fold(toggles: DataFrame, keep: int = 12) -> DataFrame:
-    """Favourites of each user after all toggles in order: a held item is taken out, another one goes in
-    front and what is beyond ``keep`` falls off. A fold over each user's toggles."""
-    own = toggles.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "id", "item"))), lambda x: x["item"]).alias("items"))
-    step = lambda acc, x: F.when(F.array_contains(acc, x), F.array_remove(acc, x)).otherwise(F.slice(F.array_prepend(acc, x), 1, keep))
-    folded = F.aggregate("items", F.array().cast("array<bigint>"), step)
-    return own.select("user_id", F.array_join(folded.cast("array<string>"), ",").alias("favorites"), F.size(folded).alias("n"))
+    """Favourites of each user after all toggles (user_id, item: numbers) in order: a held item is taken
+    out, another one goes in front and what is beyond ``keep`` falls off. Toggles are walked in order of
+    (ts, id) with ``keep`` items in memory, however long a user's history is; those without an item are
+    left out."""
+    own = toggles.where("item IS NOT NULL").select(F.col("user_id").cast("long").alias("user_id"), F.col("item").cast("long").alias("item"), "ts", "id")
+    ordered = own.repartition("user_id").sortWithinPartitions("user_id", "ts", "id").select("user_id", "item")
+    return ordered.mapInArrow(_fold_favorites(keep), "user_id bigint, favorites string, n int")

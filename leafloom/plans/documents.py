@@ -25,15 +25,19 @@ def _clean_sql() -> str:
     for name in ops._PAIRED.split("|"):
         x = rf"regexp_replace({x}, '(?is)<{name}\b[^>]*>.*?</{name}\s*>', '', 'g')"
     x = rf"regexp_replace({x}, '(?i)</?({'|'.join(ops.ACTIVE_TAGS)})\b[^>]*>', '', 'g')"
-    x = rf"""regexp_replace({x}, '(?i)\s(on\w+|data-[\w-]+|srcdoc)\s*=\s*("[^"]*"|''[^'']*''|[^\s>]+)', '', 'g')"""
-    return rf"""regexp_replace({x}, '(?i)\s(href|src)\s*=\s*("\s*javascript:[^"]*"|''\s*javascript:[^'']*'')', '', 'g')"""
+    for p in (ops.ATTRIBUTE, ops.SCRIPT_LINK):
+        x = f"regexp_replace({x}, '{_quoted(p)}', '', 'g')"
+    return x
+
+
+def _quoted(pattern: str) -> str:
+    return pattern.replace("'", "''")
 
 
 @REGISTRY.add(
     "sanitize_html",
     rf"""SELECT page_id, len(regexp_extract_all(html, '(?i)<({'|'.join(ops.ACTIVE_TAGS)})\b')) AS tags,
-    len(regexp_extract_all(html, '(?i)\s(on\w+|data-[\w-]+|srcdoc)\s*=\s*("[^"]*"|''[^'']*''|[^\s>]+)')) AS attributes,
-    len(regexp_extract_all(html, '(?i)\s(href|src)\s*=\s*("\s*javascript:[^"]*"|''\s*javascript:[^'']*'')')) AS links,
+    len(regexp_extract_all(html, '{_quoted(ops.ATTRIBUTE)}')) AS attributes, len(regexp_extract_all(html, '{_quoted(ops.SCRIPT_LINK)}')) AS links,
     {_clean_sql()} AS clean FROM pages""",
 )
 def sanitize_html(spark, sf_dir):
@@ -115,7 +119,7 @@ def wrap_chunks(spark, sf_dir):
 
 
 _PLAIN = "translate(regexp_replace(text, '…', '...', 'g'), '–—―‘’‚“”„', '---''''''\"\"\"')"
-_ASCII = f"regexp_replace(translate({_PLAIN}, 'áàâãäåéèêëíìîïóòôõöúùûüçñÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑ', 'aaaaaaeeeeiiiiooooouuuucnAAAAAAEEEEIIIIOOOOOUUUUCN'), '[^\\x20-\\x7E]', '', 'g')"
+_ASCII = f"regexp_replace(strip_accents({_PLAIN}), '[^\\x20-\\x7E]', '', 'g')"
 
 
 def _latin(to: str) -> str:
@@ -176,19 +180,20 @@ def redaction_leak_check(spark, sf_dir):
 
 @REGISTRY.add(
     "assemble_lines",
-    f"""WITH {WORDS}, l_ AS (SELECT *, round(y / 0.0083::DOUBLE) AS line FROM words_ WHERE idx % 7 <> 3),
+    f"""WITH {WORDS}, l_ AS (SELECT * REPLACE (x + CASE WHEN idx % 7 = 3 THEN 0.02::DOUBLE ELSE 0.0::DOUBLE END AS x), round(y / 0.0083::DOUBLE) AS line FROM words_),
     g_ AS (SELECT *, x - max(x + w) OVER (PARTITION BY doc_id, page_no, line ORDER BY x, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM l_),
-    n_ AS (SELECT *, CASE WHEN gap IS NULL OR gap <= h * -0.2::DOUBLE OR gap >= h * 1.9::DOUBLE THEN 1 ELSE 0 END AS new FROM g_),
+    n_ AS (SELECT *, CASE WHEN gap IS NULL OR gap <= h * -0.2::DOUBLE OR gap >= h * 2.0::DOUBLE THEN 1 ELSE 0 END AS new FROM g_),
     r_ AS (SELECT *, (sum(new) OVER (PARTITION BY doc_id, page_no, line ORDER BY x, idx))::BIGINT AS run FROM n_)
     SELECT doc_id, page_no, line, run, string_agg(text, ' ' ORDER BY x, idx) AS text, min(x) AS x0, max(x + w) AS x1, max(h) AS h FROM r_ GROUP BY ALL""",
 )
 def assemble_lines(spark, sf_dir):
-    """Every seventh word is taken out, so that lines fall into runs."""
-    return ops.assemble_lines(words(doc_pages(spark, sf_dir)).where("idx % 7 <> 3"), high=1.9)
+    """Every seventh word is moved to the right, so that lines fall into runs."""
+    moved = F.when(F.col("idx") % 7 == 3, 0.02).otherwise(0.0)
+    return ops.assemble_lines(words(doc_pages(spark, sf_dir)).withColumn("x", F.col("x") + moved), high=2.0)
 
 
 TSV = f"""{PAGES}, lines_ AS (SELECT doc_id, page_no, CASE WHEN page_no % 5 = 0 THEN '4' ELSE '5' END || chr(9) || '1' || chr(9) || '1' || chr(9) || '1' || chr(9) || '1' || chr(9) || page_no || chr(9)
-  || CASE WHEN page_no % 3 = 0 THEN 'bad' ELSE (page_no * 10)::VARCHAR END || chr(9) || '2' || chr(9) || '30' || chr(9) || '12' || chr(9) || ((doc_id * 7 + page_no * 13) % 100) || chr(9) || left(text, 40) AS value FROM pages_)"""
+  || CASE WHEN page_no % 3 = 0 THEN 'bad' ELSE (page_no * 10)::VARCHAR END || chr(9) || '2' || chr(9) || '30' || chr(9) || '12' || chr(9) || ((doc_id * 7 + page_no * 13) % 100) || chr(9) || text AS value FROM pages_)"""
 
 
 @REGISTRY.add(
@@ -202,7 +207,7 @@ def read_ocr_tsv(spark, sf_dir):
     x = F.when(F.col("page_no") % 3 == 0, "bad").otherwise((F.col("page_no") * 10).cast("string"))
     conf = ((F.col("doc_id") * 7 + F.col("page_no") * 13) % 100).cast("string")
     one = F.lit("1")
-    lines = doc_pages(spark, sf_dir).select("doc_id", "page_no", F.concat_ws("\t", level, one, one, one, one, F.col("page_no").cast("string"), x, F.lit("2"), F.lit("30"), F.lit("12"), conf, F.left("text", F.lit(40))).alias("value"))
+    lines = doc_pages(spark, sf_dir).select("doc_id", "page_no", F.concat_ws("\t", level, one, one, one, one, F.col("page_no").cast("string"), x, F.lit("2"), F.lit("30"), F.lit("12"), conf, "text").alias("value"))
     return ops.read_ocr_tsv(lines)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from leafloom.functions.text import hmac_sha256
 from leafloom.operators import ledger as ops
 from leafloom.plans import REGISTRY
+from leafloom.plans.entitlements import _PROFILES, profiles
 from leafloom.plans.sql import PAYMENTS
 from leafloom.sources.derived import payments, table
 
@@ -55,7 +56,7 @@ def approved_purchases(spark, sf_dir):
     return ops.approved_purchases(rows, "shop-pix").select("payment_id", "ts", "period", "owner")
 
 
-_ONCE = f"{PAYMENTS}, once_ AS (SELECT * FROM pay_ WHERE status = 'approved' QUALIFY row_number() OVER (PARTITION BY payment_id ORDER BY ts) = 1)"
+_ONCE = f"{PAYMENTS}, once_ AS (SELECT * FROM pay_ WHERE status = 'approved' QUALIFY row_number() OVER (PARTITION BY payment_id ORDER BY ts, user_id, period, amount) = 1)"
 
 
 @REGISTRY.add("apply_once", f"WITH {_ONCE} SELECT * FROM once_")
@@ -74,6 +75,33 @@ def premium_ledger(spark, sf_dir):
     return ops.premium_ledger(ops.apply_once(payments(spark, sf_dir))).select("payment_id", "user_id", "premium_until")
 
 
+def _from_initial(unlimited: str) -> str:
+    """Ends of premium of users who start with what their profile says."""
+    return f"""WITH {_ONCE}, {_PROFILES}, l_ AS (SELECT o.*, CASE period WHEN 'month' THEN 30 ELSE 365 END * 86400000000 AS len, epoch_us(CASE WHEN plan = 'premium' THEN premium_until END) AS held,
+      coalesce(plan = 'premium' AND premium_until IS NULL, false) AS unlimited FROM once_ o LEFT JOIN p_ USING (user_id)),
+    s_ AS (SELECT *, sum(len) OVER w AS total FROM l_ WINDOW w AS (PARTITION BY user_id ORDER BY ts, payment_id ROWS UNBOUNDED PRECEDING)),
+    m_ AS (SELECT *, max(greatest(epoch_us(ts) - (total - len), held)) OVER w AS lead FROM s_ WINDOW w AS (PARTITION BY user_id ORDER BY ts, payment_id ROWS UNBOUNDED PRECEDING))
+    SELECT payment_id, user_id, {unlimited} AS premium_until FROM m_"""
+
+
+@REGISTRY.add("premium_ledger_from", _from_initial("make_timestamp((total + lead)::BIGINT)"))
+def premium_ledger_from(spark, sf_dir):
+    return ops.premium_ledger(ops.apply_once(payments(spark, sf_dir)), profiles(spark, sf_dir)).select("payment_id", "user_id", "premium_until")
+
+
+@REGISTRY.add("premium_ledger_unlimited", _from_initial("CASE WHEN NOT unlimited THEN make_timestamp((total + lead)::BIGINT) END"))
+def premium_ledger_unlimited(spark, sf_dir):
+    """Premium without an end stays so."""
+    return ops.premium_ledger(ops.apply_once(payments(spark, sf_dir)), profiles(spark, sf_dir), keep_unlimited=True).select("payment_id", "user_id", "premium_until")
+
+
+def subscription_events(spark, sf_dir):
+    e = F.col("event_id")
+    return table(spark, sf_dir, "events").where("event_type = 'signup'").select(
+        e, "user_id", "ts", F.when(e % 4 == 0, "paused").when(e % 4 == 1, "cancelled").otherwise("authorized").alias("status"), (e % 6 != 3).alias("price_ok"), F.when(e % 5 > 0, F.col("ts") + ops.days(e % 40 - 5)).alias("next_ts")
+    )
+
+
 @REGISTRY.add(
     "subscription_state",
     """WITH s_ AS (SELECT event_id, user_id, ts, CASE event_id % 4 WHEN 0 THEN 'paused' WHEN 1 THEN 'cancelled' ELSE 'authorized' END AS status, event_id % 6 <> 3 AS price_ok, CASE WHEN event_id % 5 > 0 THEN ts + to_days((event_id % 40)::INT - 5) END AS next_ts FROM events WHERE event_type = 'signup')
@@ -81,11 +109,7 @@ def premium_ledger(spark, sf_dir):
       max(CASE WHEN next_ts IS NULL THEN ts + INTERVAL 31 DAY ELSE greatest(next_ts, ts) END + INTERVAL 3 DAY) FILTER (status = 'authorized' AND price_ok) AS premium_until FROM s_ GROUP BY 1""",
 )
 def subscription_state(spark, sf_dir):
-    e = F.col("event_id")
-    rows = table(spark, sf_dir, "events").where("event_type = 'signup'").select(
-        e, "user_id", "ts", F.when(e % 4 == 0, "paused").when(e % 4 == 1, "cancelled").otherwise("authorized").alias("status"), (e % 6 != 3).alias("price_ok"), F.when(e % 5 > 0, F.col("ts") + ops.days(e % 40 - 5)).alias("next_ts")
-    )
-    return ops.subscription_state(rows)
+    return ops.subscription_state(subscription_events(spark, sf_dir))
 
 
 @REGISTRY.add(

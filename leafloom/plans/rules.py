@@ -9,7 +9,7 @@ from leafloom.operators import rules as ops
 from leafloom.plans import REGISTRY
 from leafloom.sources.derived import table
 
-FOLD = "lower(translate({0}, 'áàâãäåéèêëíìîïóòôõöúùûüçñÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑ', 'aaaaaaeeeeiiiiooooouuuucnAAAAAAEEEEIIIIOOOOOUUUUCN'))"
+FOLD = "lower(strip_accents({0}))"
 K = """(props::JSON->>'$.k')::BIGINT"""
 
 
@@ -59,15 +59,18 @@ def category_dictionary(spark, sf_dir):
 
 @REGISTRY.add(
     "valid_identity",
-    r"""WITH i_ AS (SELECT doc_id, regexp_extract(text, '\S*@\S*') AS email, md5(doc_id::VARCHAR) AS h FROM documents),
-    u_ AS (SELECT doc_id, email, CASE WHEN doc_id % 4 = 0 THEN h ELSE h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] END AS uid FROM i_)
-    SELECT doc_id, uid, email, regexp_matches(uid, '(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$') AS uuid_ok, regexp_matches(email, '^[^\s@]+@[^\s@]+\.[^\s@]+$') AND length(email) <= 254 AS email_ok FROM u_""",
+    r"""WITH i_ AS (SELECT doc_id, regexp_extract_all(text, '\S*@\S*') AS es, md5(doc_id::VARCHAR) AS h FROM documents),
+    e_ AS (SELECT doc_id, h, unnest(CASE WHEN len(es) > 0 THEN es ELSE [NULL] END) AS email, unnest(range(greatest(len(es), 1))) AS pos FROM i_),
+    u_ AS (SELECT doc_id, pos, email, CASE WHEN doc_id % 4 = 0 THEN h ELSE h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] END AS uid FROM e_)
+    SELECT doc_id, pos, uid, email, regexp_matches(uid, '(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$') AS uuid_ok, regexp_matches(email, '^[^\s@]+@[^\s@]+\.[^\s@]+$') AND length(email) <= 254 AS email_ok FROM u_""",
 )
 def valid_identity(spark, sf_dir):
+    """Every word with an @ of every document, and the document's id in two spellings."""
     h = F.md5(F.col("doc_id").cast("string"))
     uid = F.when(F.col("doc_id") % 4 == 0, h).otherwise(F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12)))
-    rows = table(spark, sf_dir, "documents").select("doc_id", uid.alias("uid"), F.regexp_extract("text", r"\S*@\S*", 0).alias("email"))
-    return ops.valid_identity(rows)
+    found = F.regexp_extract_all("text", F.lit(r"\S*@\S*"), F.lit(0))
+    rows = table(spark, sf_dir, "documents").select("doc_id", uid.alias("uid"), F.posexplode_outer(found).alias("pos", "email"))
+    return ops.valid_identity(rows.withColumn("pos", F.coalesce("pos", F.lit(0))))
 
 
 PRESETS = [("tiny", 0.1), ("small", 0.5), ("medium", 1.5), ("large", 3.0), ("huge", 10.0)]
@@ -81,7 +84,7 @@ PRESETS = [("tiny", 0.1), ("small", 0.5), ("medium", 1.5), ("large", 3.0), ("hug
 )
 def preset_compliance(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length("text").cast("long") * 500).alias("bytes"))
-    return ops.preset_compliance(docs, spark.createDataFrame(PRESETS, "preset string, target_mb double"))
+    return ops.preset_compliance(docs, PRESETS)
 
 
 @REGISTRY.add("allowlist_filter", "SELECT event_id, event_type FROM events WHERE event_type IN ('click', 'purchase')")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from leafloom.functions.text import font_class, is_letter_spaced, output_name, setting_labels
 from leafloom.operators import graph, ledger
 from leafloom.plans import REGISTRY
 from leafloom.plans.sql import EDGES
@@ -30,6 +31,36 @@ def registry_upsert(spark, sf_dir):
     return ledger.registry_upsert(parts, patch)
 
 
+@REGISTRY.add(
+    "registry_touch",
+    "WITH u_ AS (SELECT o_custkey AS id, max(o_orderdate) AS ts FROM orders GROUP BY 1) SELECT c_custkey AS id, c_name AS name, greatest(CASE WHEN c_custkey % 2 = 0 THEN DATE '1995-01-01' END, ts) AS last_used FROM customer LEFT JOIN u_ ON id = c_custkey",
+)
+def registry_touch(spark, sf_dir):
+    """Half of the customers were used in 1995, as the registry says; orders are later or earlier uses."""
+    own = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 2 == 0, F.lit("1995-01-01").cast("date")).alias("last_used"))
+    return ledger.touch_registry(own, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderdate").alias("ts")))
+
+
+@REGISTRY.add(
+    "output_names",
+    r"""SELECT doc_id, CASE WHEN row_number() OVER s < 1000 THEN lpad((row_number() OVER s)::VARCHAR, 3, '0') ELSE (row_number() OVER s)::VARCHAR END || '-' || lang || '_small.txt' AS name,
+      regexp_matches(left(text, 9), '^(\S ){2,}\S$') AS spaced, CASE WHEN lang = 'de' THEN 'Times New Roman' WHEN lang = 'fr' THEN 'Courier New' ELSE 'Arial' END AS font, lang = 'en' AS bold, lang = 'es' AS italic,
+      array_to_string(list_filter([CASE WHEN doc_id % 2 = 0 THEN 'OCR' END, CASE WHEN doc_id % 3 = 0 THEN 'Metadata' END], lambda x: x IS NOT NULL), ', ') AS labels
+    FROM documents WINDOW s AS (PARTITION BY source, lang ORDER BY doc_id)""",
+)
+def output_names(spark, sf_dir):
+    """Numbered outputs of each source and language, and the small classifiers of names and settings."""
+    from pyspark.sql import Window as W
+
+    number = F.row_number().over(W.partitionBy("source", "lang").orderBy("doc_id"))
+    name = F.when(F.col("lang") == "de", "Georgia").when(F.col("lang") == "fr", "Mono").when(F.col("lang") == "en", "Sans-Bold").otherwise("Sans-Oblique")
+    font = font_class(name, F.when(F.col("lang") == "de", "serif"))
+    settings = F.create_map(F.lit("metadata"), F.col("doc_id") % 3 == 0, F.lit("ocr"), F.col("doc_id") % 2 == 0)
+    labels = setting_labels(settings, [("ocr", "OCR"), ("metadata", "Metadata"), ("pdfa", "Archive")])
+    rows = table(spark, sf_dir, "documents").withColumns({"number": number, "f": font})
+    return rows.select("doc_id", output_name(F.col("number"), F.col("lang"), "_small.txt").alias("name"), is_letter_spaced(F.left("text", F.lit(9))).alias("spaced"), "f.font", "f.bold", "f.italic", F.array_join(labels, ", ").alias("labels"))
+
+
 _LINES = """l_ AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'oops' WHEN event_id % 5 = 0 THEN '{"settings":{"k":1}}' WHEN event_id % 3 = 0 THEN '{"id":"e' || event_id || '"}' ELSE '{"id":"e' || event_id || '","settings":' || props || '}' END AS value FROM events)"""
 
 

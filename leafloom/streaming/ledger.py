@@ -14,9 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, StructField, StructType, TimestampNTZType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType, TimestampNTZType
 
-from leafloom.operators.ledger import CHARGE_MINUTES, PERIODS, insert_ignore, route_events, verify_signatures
+from leafloom.operators.ledger import CHARGE_MINUTES, GRACE_DAYS, OPEN_DAYS, PERIODS, insert_ignore, route_events, verify_signatures
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CREDIT = "payment_id string, user_id bigint, period string, ts timestamp_ntz"
@@ -34,8 +34,8 @@ class ApplyOnce(StatefulProcessor):
             return
         best = None
         for part in rows:
-            good = part[part["status"] == "approved"].sort_values("ts")
-            if len(good) and (best is None or good.iloc[0]["ts"] < best["ts"]):
+            good = part[part["status"] == "approved"].sort_values(["ts", "user_id", "period"])
+            if len(good) and (best is None or (good.iloc[0]["ts"], good.iloc[0]["user_id"], good.iloc[0]["period"]) < (best["ts"], best["user_id"], best["period"])):
                 best = good.iloc[0]
         if best is not None:
             self.done.update((True,))
@@ -47,21 +47,62 @@ class ApplyOnce(StatefulProcessor):
 
 class Premium(StatefulProcessor):
     """Each credit adds its days to the later of its own time and the end so far; credits of one batch
-    are taken in order of time."""
+    are taken in order of time. The contract is that of a feed: a credit of a later batch counts after
+    those of earlier ones, whatever its time; fed in order of time, ends are those of the batch form."""
+
+    def __init__(self, keep_unlimited: bool = False):
+        self.keep_unlimited = keep_unlimited
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.until = handle.getValueState("until", StructType([StructField("until", TimestampNTZType())]))
+        self.until = handle.getValueState("until", StructType([StructField("until", TimestampNTZType()), StructField("unlimited", BooleanType())]))
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        held = initialState[initialState["plan"] == "premium"]
+        if not len(held):
+            return
+        end = held["premium_until"].iloc[0]
+        if not pd.isna(end):
+            self.until.update((pd.Timestamp(end).to_pydatetime(), False))
+        elif self.keep_unlimited:
+            self.until.update((None, True))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         credits = pd.concat(list(rows)).sort_values(["ts", "payment_id"])  # the credits of one user in one batch
-        end = pd.Timestamp(self.until.get()[0]) if self.until.exists() else None
+        end, unlimited = self.until.get() if self.until.exists() else (None, False)
+        end = None if end is None else pd.Timestamp(end)
         out = []
         for c in credits.itertuples():
-            start = c.ts if end is None else max(end, c.ts)
-            end = start + pd.Timedelta(days=PERIODS[c.period][1])
+            if not unlimited:
+                start = c.ts if end is None else max(end, c.ts)
+                end = start + pd.Timedelta(days=PERIODS[c.period][1])
             out.append((int(key[0]), c.payment_id, end))
-        self.until.update((end.to_pydatetime(),))
-        yield pd.DataFrame(out, columns=["user_id", "payment_id", "premium_until"])
+        self.until.update((None if end is None else end.to_pydatetime(), unlimited))
+        yield pd.DataFrame(out, columns=["user_id", "payment_id", "premium_until"]).astype({"premium_until": "datetime64[us]"})
+
+    def close(self) -> None:
+        pass
+
+
+class Subscription(StatefulProcessor):
+    """Of each user the latest status by (ts, event_id), and the latest end of premium that an authorized
+    event gave: events may come in any order and more than once."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        fields = [StructField("status", StringType()), StructField("ts", TimestampNTZType()), StructField("event_id", LongType()), StructField("until", TimestampNTZType())]
+        self.held = handle.getValueState("held", StructType(fields))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        status, ts, event_id, until = self.held.get() if self.held.exists() else (None, None, None, None)
+        for part in rows:
+            for e in part.itertuples():
+                if ts is None or (e.ts, e.event_id) > (pd.Timestamp(ts), event_id):
+                    status, ts, event_id = e.status, e.ts.to_pydatetime(), int(e.event_id)
+                if e.status == "authorized" and e.price_ok:
+                    base = e.ts + pd.Timedelta(days=OPEN_DAYS) if pd.isna(e.next_ts) else max(e.next_ts, e.ts)
+                    end = (base + pd.Timedelta(days=GRACE_DAYS)).to_pydatetime()
+                    until = end if until is None else max(until, end)
+        self.held.update((status, ts, event_id, until))
+        yield pd.DataFrame({"user_id": [int(key[0])], "status": [status], "premium_until": pd.Series([until], dtype="datetime64[us]")})
 
     def close(self) -> None:
         pass
@@ -72,9 +113,17 @@ def credits(notices: DataFrame) -> DataFrame:
     return notices.groupBy("payment_id").transformWithStateInPandas(ApplyOnce(), outputStructType=CREDIT, outputMode="append", timeMode="none")
 
 
-def premium(credited: DataFrame) -> DataFrame:
-    """Stream of credits to a stream of each user's end of premium after each of them."""
-    return credited.groupBy("user_id").transformWithStateInPandas(Premium(), outputStructType=LEDGER, outputMode="append", timeMode="none")
+def premium(credited: DataFrame, initial: DataFrame | None = None, *, keep_unlimited: bool = False) -> DataFrame:
+    """Stream of credits to a stream of each user's end of premium after each of them. ``initial``
+    (user_id, plan, premium_until: a table) has what users start with, as in the batch form."""
+    held = None if initial is None else initial.groupBy("user_id")
+    return credited.groupBy("user_id").transformWithStateInPandas(Premium(keep_unlimited), outputStructType=LEDGER, outputMode="append", timeMode="none", initialState=held)
+
+
+def subscriptions(events: DataFrame) -> DataFrame:
+    """Stream of subscription events (event_id, user_id, ts, status, price_ok, next_ts) to a stream of each
+    user's state, a row for each batch that has events of the user; the last one holds."""
+    return events.groupBy("user_id").transformWithStateInPandas(Subscription(), outputStructType="user_id bigint, status string, premium_until timestamp_ntz", outputMode="append", timeMode="none")
 
 
 def expire_charges(charges: DataFrame, approvals: DataFrame, late: str = "10 minutes", minutes: int = CHARGE_MINUTES) -> DataFrame:
