@@ -6,6 +6,7 @@ import re
 import string
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,12 +44,28 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+#: Where ``stored`` has put the tables that are still in use.
+_PLACES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back: it cuts the lineage, so that
-    a lost executor costs no more than the tasks that read from it."""
+    a lost executor costs no more than the tasks that read from it. The files stay as long as a result
+    may read them; ``discard`` removes those of steps that nothing reads any more."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PLACES[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of tables that ``stored`` has returned."""
+    for t in tables:
+        path = _PLACES.pop(t, None)
+        if path:
+            place = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm.common import stored
+from leafloom.llm.common import discard, stored
 
 
 def _with_least(pairs: DataFrame) -> DataFrame:
@@ -31,7 +31,8 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         star = _with_least(large)
         small = star.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(star.select("u", F.col("m").alias("v")))
-        now = stored(spark, small.where("u <> v").distinct(), "edges")
+        old, now = now, stored(spark, small.where("u <> v").distinct(), "edges")
+        discard(old)
         after = mark(now)
         if after == before:
             break

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm.common import LOWER_BYTES, row_key, stored
+from leafloom.llm.common import LOWER_BYTES, discard, row_key, stored
 from leafloom.llm.shingles import ngrams, word_hashes
 
 BLOCK_WORDS = 1_000_000
@@ -270,8 +270,10 @@ def item_blocks(
         counts = stored(spark, counts, "leaks-counts")
         total = counts.where("length = 0").agg(F.sum("n")).first()[0] or 0
         often = counts.where((F.col("length") > 0) & (F.col("n") > RARE_WINDOWS * total / max(runs, 1))).select("length", "run").toArrow()  # two runs a word of the block at most
+        discard(counts)
         seeds.choose(set(zip(often["length"].to_pylist(), often["run"].to_pylist())))
         yield Block([i for i, _ in items], spark.sparkContext.broadcast(seeds))
+    discard(tests)
 
 
 def find_leaks(

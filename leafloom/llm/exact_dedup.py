@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm.common import drop_rows, free_name, lower_ascii, row_key, stored
+from leafloom.llm.common import discard, drop_rows, free_name, lower_ascii, row_key, stored
 
 #: Digests of a bucket: what one task sorts when it writes the index.
 BUCKET_ROWS = 4_000_000
@@ -122,5 +122,6 @@ def drop_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
         told = stored(spark, told.groupBy("row", "stays").agg(F.max("n").alias("n")), "exact-told")
     finally:
         index.drop()
+        discard(rows)
     gone, once = told.where("NOT stays").select("row"), told.where("stays AND n > 1").select("row")
     return drop_rows(docs, row_key(id_col, text_col), gone, once=once)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafloom.llm.common import SPACES, lower_ascii
+from leafloom.llm.common import SPACES, free_name, lower_ascii
 
 
 def _lines(text: Column) -> Column:
@@ -58,14 +58,16 @@ def drop_common_lines(
         .select(F.struct("a", "b").alias("h"))
     )
     places = (
-        docs.select(row.alias("__ld_row"), F.posexplode(keys).alias("pos", "key"))
+        docs.select(row.alias("row"), F.posexplode(keys).alias("pos", "key"))
         .where(F.length("key") >= least)
-        .select("__ld_row", "pos", _hash(F.col("key")).alias("h"))
+        .select("row", "pos", _hash(F.col("key")).alias("h"))
     )
-    hits = places.join(common, "h", "left_semi").groupBy("__ld_row").agg(F.collect_list("pos").alias("__ld_gone"))
-    met = docs.drop("ld_kept", "ld_lines", "ld_dropped").withColumn("__ld_row", row).join(hits, "__ld_row", "left")
+    hits = places.join(common, "h", "left_semi").groupBy("row").agg(F.collect_list("pos").alias("gone"))
+    own = docs.drop("ld_kept", "ld_lines", "ld_dropped")
+    told, lost = free_name(own, "row"), free_name(own, "gone")
+    met = own.withColumn(told, row).join(hits.withColumnsRenamed({"row": told, "gone": lost}), told, "left")
     # Equal rows share one row of hits, which then holds each position once for each of them.
-    gone = F.array_distinct(F.coalesce("__ld_gone", F.array().cast("array<int>")))
+    gone = F.array_distinct(F.coalesce(F.col(lost), F.array().cast("array<int>")))
     lines = _lines(F.col(text_col))
     stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone))
     return met.withColumns(
@@ -74,4 +76,4 @@ def drop_common_lines(
             "ld_lines": F.size(lines).cast("long"),
             "ld_dropped": F.size(gone).cast("long"),
         }
-    ).drop("__ld_row", "__ld_gone")
+    ).drop(told, lost)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm.common import stored
+from leafloom.llm.common import discard, stored
 from leafloom.llm.shingles import word_hashes, words
 
 #: Bound of the broadcast word table.
@@ -389,6 +389,7 @@ def score_documents(
         vocab.select("word", "c", "n").mapInArrow(_score_words(sc.broadcast(lattice)), "h bigint, c bigint, n bigint, lat double"),
         "lm-scored",
     )
+    discard(vocab)
     # The most frequent words, as many whole classes of like frequency as the table has room for.
     level = F.floor(F.log2("n") * 8)
     cut, room = None, top_words

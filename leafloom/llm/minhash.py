@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm.common import drop_rows, row_key, stored, take_rows
+from leafloom.llm.common import discard, drop_rows, row_key, stored, take_rows
 from leafloom.llm.components import connected_components
 from leafloom.llm.shingles import MinHash, shingle_set
 
@@ -232,6 +232,7 @@ def near_duplicates(
     )
     links = groups.mapInArrow(_confirm(size, percent, matches), "u bigint, v bigint")
     members = connected_components(spark, links).withColumnRenamed("node", "nid")
+    discard(prefix, pairs, looked)
     named = members.join(nodes.select("nid", "least"), "nid")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     final = (

@@ -307,10 +307,13 @@ def fit(texts: list[str]) -> SemiCrf:
 
 def train(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> SemiCrf:
     """Fit the field to stretches of ``sample_rows`` texts at most that hold a digit or an at-sign,
-    chosen by a hash of the id. Without any, the field has no weights and adds nothing."""
+    chosen by a hash of the id; of each text ``SAMPLE_PARTS`` stretches at most, drawn by hash from the
+    whole of it. Without any, the field has no weights and adds nothing."""
     held = docs.where(F.col(text_col).rlike("[0-9@]")).select(F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text"))
     chosen = held.select("h").orderBy("h").limit(sample_rows).distinct()
-    parts = F.slice(F.regexp_extract_all("text", F.lit(r"(?s)[^0-9@]{0,40}[0-9@].{0,80}"), F.lit(0)), 1, SAMPLE_PARTS)
+    every = F.regexp_extract_all("text", F.lit(r"(?s)[^0-9@]{0,40}[0-9@].{0,80}"), F.lit(0))
+    drawn = F.slice(F.array_sort(F.transform(every, lambda p, i: F.struct(F.xxhash64("h", i).alias("place"), p.alias("part")))), 1, SAMPLE_PARTS)
+    parts = F.transform(drawn, lambda x: x["part"])
     rows = held.join(F.broadcast(chosen), "h").dropDuplicates(["h"]).select("h", parts.alias("parts")).orderBy("h").collect()
     return fit([p for r in rows for p in r.parts])
 

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafloom.llm import decontaminate, exact_dedup, html_extract, license_scan, line_dedup, lm_score, minhash, mixing, pii, toxicity
+from leafloom.llm.common import stored
 from leafloom.llm.sql import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
-#: A sentencepiece model on the driver's machine.
-VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+#: A sentencepiece model on the driver's machine; a session's ``VOCABULARY_CONF`` names another.
+VOCABULARY, VOCABULARY_CONF = "/opt/tokenizers/piece_bpe_32k.model", "spark.leafloom.vocabulary"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,15 +56,18 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    index = exact_dedup.DigestIndex(spark)
+    index = exact_dedup.DigestIndex(spark, buckets=exact_dedup.buckets_for(docs.count()))
     index.add(docs)
-    return exact_dedup.mark_copies(docs, index).select(
+    marked = exact_dedup.mark_copies(docs, index).select(
         "doc_id",
         F.col("xd_keep_id").alias("keep_id"),
         F.col("xd_size").alias("group_size"),
         F.col("xd_kept").alias("kept"),
         F.lower(F.hex("xd_digest")).alias("text_sha256"),
     )
+    done = stored(spark, marked, "exact-marked")
+    index.drop()  # it served this query only
+    return done
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +90,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score_documents(spark, _table(spark, sf_dir, "documents"), vocabulary=VOCABULARY)
+    return lm_score.score_documents(spark, _table(spark, sf_dir, "documents"), vocabulary=spark.conf.get(VOCABULARY_CONF, VOCABULARY))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

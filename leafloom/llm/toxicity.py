@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm.common import row_key, stored
+from leafloom.llm.common import discard, row_key, stored
 
 #: Bounds of the fit: labelled rows, and features among which the penalty chooses.
 SAMPLE_ROWS, MAX_FEATURES = 12_000, 3_000
@@ -164,6 +164,7 @@ def train(
     met = stored(spark, met.select(F.xxhash64("id", "text").alias("h"), "text", "toxic"), "toxicity-labelled")
     rows = met.select("h").distinct().orderBy("h").limit(sample_rows)
     sample = stored(spark, met.join(F.broadcast(rows), "h").dropDuplicates(["h"]).select("text", "toxic").repartition(8), "toxicity-sample")
+    discard(met)
     total = {r.t: r.n for r in sample.groupBy((F.col("toxic") > 0).alias("t")).agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = float(total.get(False, 0)), float(total.get(True, 0))
     if not n0 or not n1:
@@ -175,6 +176,7 @@ def train(
     matcher = Matcher([r.feature for r in best])
     marks = np.array([r.z > 0 and r.a / n0 <= 0.05 * r.b / n1 for r in best], bool)
     rows = sample.mapInArrow(_encode(spark.sparkContext.broadcast(matcher)), "toxic int, held array<int>").collect()  # sample_rows rows at most
+    discard(sample)
     held, toxic = [r.held for r in rows], np.array([r.toxic for r in rows])
     if toxic.max() > 1:
         kinds = np.unique(np.concatenate([[0], toxic]))

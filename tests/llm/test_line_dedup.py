@@ -6,7 +6,7 @@ from collections import Counter
 from leafloom.llm import line_dedup
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-SCHEMA = "doc_id bigint, text string, h string, pos int, n bigint, key string, gone string"
+SCHEMA = "doc_id bigint, text string, h string, pos int, n bigint, key string, gone string, row int, __ld_row string"
 
 
 def brute(rows, min_docs=10):
@@ -21,7 +21,7 @@ def brute(rows, min_docs=10):
 
 
 def found(spark, rows, **how):
-    docs = spark.createDataFrame([(d, t, "a", 1, 2, "k", "g") for d, t in rows], SCHEMA)
+    docs = spark.createDataFrame([(d, t, "a", 1, 2, "k", "g", 7, "r") for d, t in rows], SCHEMA)
     out = line_dedup.drop_common_lines(docs, **how)
     assert out.columns == [*docs.columns, "ld_kept", "ld_lines", "ld_dropped"]
     return sorted(((r.doc_id, r.ld_lines, r.ld_dropped, r.ld_kept) for r in out.collect()), key=repr)

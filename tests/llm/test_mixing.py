@@ -62,6 +62,24 @@ def test_mixture(spark, budget, entropy, repeats, ranges):
         assert met or at_limit
 
 
+@pytest.mark.parametrize("entropy, repeats", [(0.95, 4.0), (0.99, 4.0), (0.5, 4.0), (0.999, 1.3), (0.95, 1.05)])
+def test_the_exponent_is_the_largest_that_meets_the_entropy(spark, entropy, repeats):
+    """Found here by a plain search over the curve: entropy falls and repetition falls as it rises."""
+    tokens = {"a": 70_000, "b": 9_000, "c": 4_000, "d": 900}
+    total = sum(tokens.values())
+
+    def at(x):
+        z = sum((n / total) ** x for n in tokens.values())
+        w = {s: (n / total) ** x / z for s, n in tokens.items()}
+        return -sum(v * math.log(v) for v in w.values()), max(w[s] * total / n for s, n in tokens.items())
+
+    grid = [i / 100_000 for i in range(100_001)]
+    by_entropy = max((x for x in grid if at(x)[0] >= entropy * math.log(len(tokens))), default=0.0)
+    by_repeats = min((x for x in grid if at(x)[1] <= repeats), default=1.0)
+    sources = spark.createDataFrame(list(tokens.items()), "k string, tokens bigint")
+    assert mixing.solve_exponent(spark, sources, total, entropy, repeats) == pytest.approx(max(by_entropy, by_repeats), abs=2e-5)
+
+
 def test_the_last_block_follows_its_permutation(spark):
     rows = [(i, "w w w", "a") for i in range(1000)]
     got = mixing.mix_sources(spark, frame(spark, rows), budget=1500, range_rows=20).collect()

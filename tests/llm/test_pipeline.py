@@ -60,8 +60,16 @@ def test_run_is_the_stages_in_order(spark, sf, steps):
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == sorted(map(tuple, steps[-1].collect()))
 
 
-def test_empty_documents(spark, sf, tmp_path):
+@pytest.mark.parametrize("empty", ["documents", "labels", "benchmark"])
+def test_empty_tables(spark, sf, tmp_path, empty):
     for name in ("documents", "labels", "benchmark"):
         df = spark.read.parquet(f"{sf}/{name}.parquet")
-        (df.limit(0) if name == "documents" else df).write.parquet(str(tmp_path / f"{name}.parquet"))
-    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+        (df.limit(0) if name == empty else df).write.parquet(str(tmp_path / f"{name}.parquet"))
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert bool(rows) == (empty != "documents")
+    if empty == "labels":  # nothing is toxic
+        docs = corpus_pipeline.reject_toxic(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path))
+        assert docs.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+    if empty == "benchmark":  # nothing is leaked
+        docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+        assert corpus_pipeline.drop_benchmark_leaks(spark, docs, str(tmp_path)).count() == docs.count()
