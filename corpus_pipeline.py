@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from leafloom.llm import decontaminate, exact_dedup, minhash, mixing, toxicity
-from leafloom.llm.common import stored
+from leafloom.llm.common import discard, stored
 
 #: SQL can't express the fitted model, MinHash or alignments: the tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -56,5 +56,6 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(spark, stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        before, docs = docs, stored(spark, stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        discard(before)  # what a stage kept is whole in its own table
     return STAGES[-1][1](spark, docs, sf_dir)
