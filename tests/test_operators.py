@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafloom.functions.sequences import common_subsequence
-from leafloom.functions.text import hmac_sha256, human_size, normalize
+from leafloom.functions.text import font_class, hmac_sha256, human_size, is_letter_spaced, normalize, output_name, strip_accents
 from leafloom.operators import align, graph, integrity, ledger, ordering, pages, rules
 
 NOW = dt.datetime(2026, 7, 1, 12)
@@ -137,6 +137,78 @@ def test_sanitize_removes_active_content(spark):
     assert r.clean == "<p>Safe</p><a>link</a><div>t</div>" and (r.tags, r.attributes, r.links) == (4, 3, 1)
 
 
+@pytest.mark.parametrize(
+    "html, clean",
+    [
+        ("<a href=javascript:x()>t</a>", "<a>t</a>"),
+        ("<a HREF = JavaScript:x() class=k>t</a>", "<a class=k>t</a>"),
+        ("<img/onerror=alert(1)/src=x>", "<img>"),
+        ("<img src=x onerror='a()'>", "<img src=x>"),
+        ("<svg/onload=x()>t</svg>", "<svg>t</svg>"),
+        ("<a href='ok.html'>javascript: a word</a>", "<a href='ok.html'>javascript: a word</a>"),
+    ],
+)
+def test_sanitize_without_quotes_and_after_slashes(spark, html, clean):
+    r = pages.sanitize_html(spark.createDataFrame([(1, html)], "page_id int, html string")).first()
+    assert r.clean == clean and (r.attributes + r.links > 0) == (html != clean)
+
+
+def test_accents_are_taken_off_by_decomposition(spark):
+    import unicodedata
+
+    text = "čČąőűŐřŁøßÅéñǘ ẽ ﬁ e\u0301 中 ΐ"
+    want = "".join(c for c in unicodedata.normalize("NFD", text) if not "\u0300" <= c <= "\u036f")
+    df = spark.createDataFrame([(text,), (None,)], "t string")
+    assert [r.s for r in df.select(strip_accents(F.col("t")).alias("s")).collect()] == [want, None]
+    got = rules.facet_search(spark.createDataFrame([(1, "Dvořák", "c"), (2, "other", "c")], "id int, name string, category string"), spark.createDataFrame([], "id int, rank int"), None, "DVORAK", ["name"])
+    assert [r.id for r in got.collect()] == [1]
+
+
+def test_names_and_labels(spark):
+    df = spark.createDataFrame([(7, "a"), (1234, "b")], "n int, s string")
+    assert [r.o for r in df.select(output_name(F.col("n"), F.col("s"), "_x.txt").alias("o")).collect()] == ["007-a_x.txt", "1234-b_x.txt"]
+    df = spark.createDataFrame([("T I T",), ("E M",), ("e m",), ("a bc d",), ("AB",), (None,)], "t string")
+    assert [r.s for r in df.select(is_letter_spaced(F.col("t")).alias("s")).collect()] == [True, True, False, False, False, False]
+    df = spark.createDataFrame([("ABC+Georgia-BoldItalic", None), ("x", "sans-serif"), ("Courier", "serif"), ("Calibri", "monospace"), (None, None)], "n string, f string")
+    got = [tuple(r.f) for r in df.select(font_class(F.col("n"), F.col("f")).alias("f")).collect()]
+    assert got == [("Times New Roman", True, True), ("Arial", False, False), ("Courier New", False, False), ("Calibri", False, False), ("Arial", False, False)]
+
+
+def test_files_are_read_and_bad_ones_go_to_a_table(spark, tmp_path):
+    for name, content in (("a.bin", b"%%MARK and more"), ("b.bin", b"MARK"), ("c.bin", b"no such thing here"), ("d.txt", b"MARK but another kind")):
+        (tmp_path / name).write_bytes(content)
+    good, bad = integrity.read_files(spark, str(tmp_path), "MARK", pattern="*.bin")
+    assert [r.path.rsplit("/", 1)[1] for r in good.collect()] == ["a.bin"]
+    integrity.write_rejects(bad, str(tmp_path / "rejects"))
+    assert {(r.path.rsplit("/", 1)[1], r.why) for r in spark.read.parquet(str(tmp_path / "rejects")).collect()} == {("b.bin", "short"), ("c.bin", "marker")}
+    out = spark.createDataFrame([(1, b"MARK" + b"x" * 95), (2, b"MARK" + b"x" * 96)], "id int, content binary")
+    assert [r.ok for r in integrity.check_outputs(out, "MARK").orderBy("id").collect()] == [False, True]
+
+
+def test_texts_and_reports_are_written_and_read_back(spark, tmp_path):
+    own = spark.createDataFrame([(1, 1, "first"), (1, 2, "second é"), (2, 1, "")], "doc_id int, page_no int, text string")
+    pages.write_document_text(own, str(tmp_path / "t"), " | ")
+    files = list((tmp_path / "t" / "doc_id=1").glob("*.txt"))
+    assert len(files) == 1 and files[0].read_text() == "first | second é\n"
+    pages.write_document_text(own, str(tmp_path / "p"), " | ", per_file=1000)
+    assert {(r.doc_id, r.text) for r in spark.read.parquet(str(tmp_path / "p")).collect()} == {(1, "first | second é"), (2, "")}
+    rows = spark.createDataFrame([(1, 900, 300), (2, 900, None), (3, 10, 1)], "doc_id int, before long, after long")
+    integrity.write_batch_report(integrity.batch_run_report(rows, 100), str(tmp_path / "r"))
+    assert {p.name for p in (tmp_path / "r").glob("state=*")} == {"state=OK", "state=ERROR"}
+    (tmp_path / "ocr").mkdir()
+    (tmp_path / "ocr" / "x.tsv").write_text("level\tpage\n" + "\t".join(["5", *"12345", "10", "20", "30", "40", "91.5", "word\twith tab"]) + "\n4\t1\n")
+    got = pages.read_ocr_files(spark, str(tmp_path / "ocr")).collect()
+    assert [(r.x, r.h, r.conf, r.text, r.file.rsplit("/", 1)[1]) for r in got] == [(10.0, 40.0, 91.5, "word\twith tab", "x.tsv")]
+
+
+def test_a_report_without_its_file_is_not_matched(spark):
+    reports = spark.createDataFrame([(1, "r", "r", "S", 5, 2), (2, "r", "r", "s", 5, 2), (3, "r", "r", None, 5, 2)], "doc_id int, report_sha256 string, computed_sha256 string, sha256 string, size_bytes long, pages long")
+    actual = spark.createDataFrame([(1, "s", 5, 2), (3, None, 5, 2)], "doc_id int, sha256 string, size_bytes long, pages long")
+    rows = integrity.verify_reports(reports, actual).collect()
+    assert {r.doc_id: r.matched for r in rows} == {1: True, 2: False, 3: True} and len(rows) == 12
+    assert all(r.ok is not None for r in rows)
+
+
 def test_all_blank_document_is_an_error(spark):
     df = spark.createDataFrame([(1, 1, "", 0.0), (1, 2, " ", 0.0), (2, 1, "", 0.0), (2, 2, "x", 0.5), (2, 3, "", 0.9)], "doc_id int, page_no int, text string, ink double")
     got = {(r.doc_id, r.page_no, r.new_no, r.error) for r in pages.remove_blank_pages(df).collect()}
@@ -189,6 +261,74 @@ def test_ledger_adds_to_the_later_of_now_and_end(spark):
     assert got == {"a": t(30), "b": t(395), "c": t(530)}
 
 
+@pytest.mark.parametrize("keep, want", [(False, {"a": 40, "b": 70, "c": 32, "d": 31, "e": 32}), (True, {"a": 40, "b": 70, "c": 32, "d": None, "e": 32})])
+def test_ledger_goes_on_from_what_a_user_has(spark, keep, want):
+    t = lambda d: NOW + dt.timedelta(days=d)
+    rows = [(1, "a", "month", t(0)), (1, "b", "month", t(20)), (2, "c", "month", t(2)), (3, "d", "month", t(1)), (4, "e", "month", t(2))]
+    initial = spark.createDataFrame([(1, "premium", t(10)), (2, "premium", t(-5)), (3, "premium", None), (4, "free", t(90))], "user_id long, plan string, premium_until timestamp_ntz")
+    credits = spark.createDataFrame(rows, "user_id long, payment_id string, period string, ts timestamp_ntz")
+    got = {r.payment_id: r.premium_until for r in ledger.premium_ledger(credits, initial, keep_unlimited=keep).collect()}
+    assert got == {k: None if d is None else t(d) for k, d in want.items()}
+
+
+def test_first_of_repeated_keys_is_inserted(spark):
+    table = spark.createDataFrame([(1, "old", 0)], "id int, name string, at int")
+    rows = spark.createDataFrame([(2, "later", 5), (2, "first", 3), (1, "no", 1), (None, "no", 1), (3, "b", 1), (3, "a", 1)], "id int, name string, at int")
+    assert {tuple(r) for r in ledger.insert_ignore(table, rows, "id", ["at", "name"]).collect()} == {(1, "old", 0), (2, "first", 3), (3, "a", 1)}
+
+
+def test_notices_of_one_time_have_an_order(spark):
+    rows = [("p", 2, "year", "approved", NOW), ("p", 1, "month", "approved", NOW), ("p", 1, "month", "rejected", NOW - dt.timedelta(1))]
+    got = ledger.apply_once(spark.createDataFrame(rows, "payment_id string, user_id long, period string, status string, ts timestamp_ntz")).collect()
+    assert [(r.user_id, r.period) for r in got] == [(1, "month")]
+
+
+def test_entries_go_to_the_end_in_their_order(spark):
+    registry = spark.createDataFrame([(i, i, False) for i in range(50)], "id int, ord long, built_in boolean")
+    rows = spark.createDataFrame([(i, 100 - i, i == 7) for i in range(0, 60, 7)], "id int, ord long, built_in boolean")
+    got = {r.id: r.ord for r in ledger.registry_upsert(registry, rows).collect()}
+    new = sorted((i for i in range(0, 60, 7) if i != 7), key=lambda i: 100 - i)
+    assert {i: got[i] for i in new} == {i: 50 + k for k, i in enumerate(new)} and len(got) == 51 and got[7] == 7
+
+
+def test_pages_of_sources_are_numbered_by_ranges(spark):
+    sources = [spark.createDataFrame([(d, p, f"{k}-{d}-{p}") for d in range(40) for p in range(1, 2 + (d + k) % 4)], "doc_id long, page_no int, text string") for k in range(2)]
+    rows = ordering.append_ordered(sources).collect()
+    for k in range(2):
+        own = sorted((r.doc_id, r.page_no, r.src_page) for r in rows if r.src_ord == k)
+        assert [n for _, _, n in own] == list(range(1, len(own) + 1))
+
+
+def test_middle_gap_and_favourites_of_long_histories(spark):
+    rnd = random.Random(4)
+    ts = sorted(rnd.randrange(10**6) for _ in range(5000))
+    rows = [("k", i, t) for i, t in enumerate(ts)] + [("one", 0, 5), ("two", 0, 5), ("two", 1, 9)]
+    got = {r.key: (r.median, r.gaps, r.splits) for r in rules.upper_median_gap(spark.createDataFrame(rows, "key string, id long, ts long"), 100).collect()}
+    gaps = sorted(b - a for a, b in zip(ts, ts[1:]))
+    middle = gaps[len(gaps) // 2]
+    assert got == {"k": (middle, 4999, sum(g > middle + 100 for g in gaps)), "two": (4, 1, 0)}
+    toggles = [(u, i, rnd.randrange(30)) for u in (1, 2) for i in range(15_000)]
+    held = {1: [], 2: []}
+    for u, _, x in toggles:
+        held[u] = [y for y in held[u] if y != x] if x in held[u] else [x, *held[u]][:12]
+    df = spark.createDataFrame(toggles, "user_id long, ts long, item long").withColumn("id", F.col("ts"))
+    assert {r.user_id: r.favorites for r in rules.favorites_fold(df).collect()} == {u: ",".join(map(str, h)) for u, h in held.items()}
+
+
+def test_long_texts_wrap_in_linear_time(spark):
+    text = " ".join(f"w{i % 97}" for i in range(400_000))
+    rows = pages.wrap_chunks(spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "a" * 200 + " b")], "doc_id int, text string")).collect()
+    lines = [r.line for r in sorted((r for r in rows if r.doc_id == 1), key=lambda r: r.line_no)]
+    assert " ".join(lines) == text and max(map(len, lines)) <= 94
+    assert {(r.doc_id, r.line_no, r.line) for r in rows if r.doc_id > 1} == {(2, 1, ""), (3, 1, ""), (4, 1, "a" * 200), (4, 2, "b")}
+
+
+def test_change_groups_of_a_page_have_a_cap(spark):
+    rows = [(1, 1, i, 0.5, 0.1, i / 100, 0.01) for i in range(0, 40, 2)]
+    got = align.change_groups(spark.createDataFrame(rows, "doc_id int, page_no int, idx int, y double, h double, x double, w double"), align.REMOVED_GROUPS).collect()
+    assert len(got) == 6 and {r.overflow for r in got} == {14}
+
+
 @pytest.mark.parametrize("amount, currency, reference, ok", [("19.90", "BRL", "pay:month:" + "a" * 8 + "-bbbb-cccc-dddd-" + "e" * 12, True), ("19.89", None, "pay:month:" + "a" * 8 + "-bbbb-cccc-dddd-" + "e" * 12, False), ("199.00", None, "PAY:YEAR:" + "A" * 8 + "-BBBB-CCCC-DDDD-" + "E" * 12, True), ("500.00", "USD", "pay:year:" + "a" * 8 + "-bbbb-cccc-dddd-" + "e" * 12, False), ("500.00", None, "pay:week:x", False)])
 def test_approved_purchases(spark, amount, currency, reference, ok):
     df = spark.createDataFrame([("1", "approved", reference, currency, amount), ("2", "rejected", reference, currency, amount)], "payment_id string, status string, reference string, currency string, amount string")
@@ -214,6 +354,13 @@ def test_reachability_ends_on_cycles(spark):
     assert {(r.node, r.depth) for r in graph.reachable(spark, edges, [1]).collect()} == {(1, 0), (2, 1), (3, 2), (4, 3)}
 
 
+def test_reachability_over_many_rounds(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MERGE_ROUNDS", 3)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(8)] + [(8, 0), (2, 5)], "src long, dst long")
+    got = sorted((r.node, r.depth) for r in graph.reachable(spark, edges, [0, 0]).collect())
+    assert got == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (5, 3), (6, 4), (7, 5), (8, 6)]
+
+
 def test_candidates_stop_at_the_first_within_target(spark):
     rows = [("a", 1, 90, 100, 50), ("a", 2, 40, 100, 50), ("a", 3, 10, 100, 50), ("b", 1, 90, 100, 50), ("b", 2, 80, 100, 50), ("c", 1, 120, 100, 50)]
     got = {r.key: (r.rank, r.size, r.tried, r.met) for r in rules.select_candidate(spark.createDataFrame(rows, "key string, rank int, size long, original long, target long")).collect()}

@@ -43,6 +43,37 @@ def test_premium_stream_ends_where_the_batch_does(spark, sf, tmp_path):
     assert got == {r.payment_id: r.premium_until for r in ledger.premium_ledger(once).collect()}
 
 
+def test_premium_stream_goes_on_from_what_users_have(spark, sf, tmp_path):
+    from leafloom.plans.entitlements import profiles
+
+    once = ledger.apply_once(payments(spark, sf)).select("payment_id", "user_id", "period", "ts")
+    held = profiles(spark, sf)
+    for keep in (False, True):
+        base = tmp_path / str(keep)
+        for k, (low, high) in enumerate([("2024-01-01", "2024-01-12"), ("2024-01-12", "2024-02-28")]):
+            once.where((F.col("ts") >= low) & (F.col("ts") < high)).coalesce(1).write.parquet(f"{base}/in/part{k}")
+        stream = spark.readStream.schema(once.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in/part*")
+        drain(live.premium(stream, held, keep_unlimited=keep), base / "out", base / "cp")
+        got = {r.payment_id: r.premium_until for r in spark.read.parquet(str(base / "out")).collect()}
+        assert got == {r.payment_id: r.premium_until for r in ledger.premium_ledger(once, held, keep_unlimited=keep).collect()}
+        assert keep == (None in got.values())
+
+
+def test_subscriptions_as_a_stream(spark, sf, tmp_path):
+    """Batches in any order of time, with repeats and a restart: the last row of a user is the batch form's."""
+    from leafloom.plans.payments import subscription_events
+
+    events = subscription_events(spark, sf)
+    out, cp = tmp_path / "out", tmp_path / "cp"
+    drain(live.subscriptions(in_batches(spark, events, tmp_path / "in")).withColumn("seen", F.current_timestamp()), out, cp)
+    events.where("event_id % 3 = 0").coalesce(1).write.parquet(str(tmp_path / "in" / "part9"))
+    again = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/part*")
+    drain(live.subscriptions(again).withColumn("seen", F.current_timestamp()), out, cp)
+    rows = spark.read.parquet(str(out)).groupBy("user_id").agg(F.max_by(F.struct("status", "premium_until"), "seen").alias("r")).select("user_id", "r.*")
+    want = ledger.subscription_state(events).select("user_id", "status", "premium_until")
+    assert sorted(map(tuple, rows.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
 def test_charges_expire_by_watermark(spark, tmp_path):
     charges = spark.createDataFrame([(1, 7, "2024-01-01 00:00:00"), (2, 8, "2024-01-01 00:00:00"), (3, 9, "2024-01-03 00:00:00")], "charge_id long, user_id long, ts string").withColumn("ts", F.to_timestamp("ts"))
     paid = spark.createDataFrame([(7, "2024-01-01 00:59:00"), (8, "2024-01-01 01:01:00"), (9, "2024-01-04 00:00:00")], "user_id long, ts string").withColumn("ts", F.to_timestamp("ts"))
