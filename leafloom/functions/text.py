@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # The white space of ECMAScript, and the pattern of a token.
+_OTHER_WHITE = r"\t\n\x0B\f\r\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 _WHITE = r"\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 SPACE = f"[{_WHITE}]"
 TOKEN = rf"[\p{{L}}\p{{N}}]+(?:[.,:/_-][\p{{L}}\p{{N}}]+)*|[^{_WHITE}]"
@@ -29,7 +30,8 @@ def normalize(text: Column, nfkc: bool = False) -> Column:
     first; only texts with a character outside ASCII go through Python for it."""
     if nfkc:
         text = F.when(text.rlike(r"[^\x00-\x7F]"), _nfkc(text)).otherwise(text)
-    return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
+    # A single space stays as it is, so most texts match nowhere.
+    return F.trim(F.regexp_replace(text, f"[{_OTHER_WHITE}]{SPACE}*+| {SPACE}++", " "))
 
 
 def tokens(text: Column) -> Column:

@@ -18,17 +18,18 @@ from pyspark.sql import Window as W
 
 from leafloom.functions.lineage import cut
 from leafloom.functions.sequences import common_subsequence
-from leafloom.functions.text import normalize, tokens
+from leafloom.functions.text import TOKEN, normalize, tokens
 
 #: Pages with fewer characters are no anchors; tokens of a snippet.
 MIN_SIGNATURE, SNIPPET = 8, 28
 
 
-def page_facts(pages: DataFrame, nfkc: bool = False) -> DataFrame:
+def page_facts(pages: DataFrame, nfkc: bool = False, count_words: bool = True) -> DataFrame:
     """(pair_id, page_no, fp, sig, words): hash of the normalised text, the same where it can anchor (null
-    for short pages), and its number of tokens."""
+    for short pages), and its number of tokens (null unless they shall be counted)."""
     own = pages.select("pair_id", "page_no", normalize(F.col("text"), nfkc).alias("norm"))
-    own = own.select("pair_id", "page_no", F.unhex(F.sha2("norm", 256)).alias("fp"), F.length("norm").alias("n"), F.size(tokens(F.col("norm"))).cast("long").alias("words"))
+    words = F.regexp_count("norm", F.lit(TOKEN)).cast("long") if count_words else F.lit(None).cast("long")
+    own = own.select("pair_id", "page_no", F.unhex(F.sha2("norm", 256)).alias("fp"), F.length("norm").alias("n"), words.alias("words"))
     return own.select("pair_id", "page_no", "fp", F.when(F.col("n") >= MIN_SIGNATURE, F.col("fp")).alias("sig"), "words")
 
 
@@ -71,12 +72,14 @@ def page_anchors(a: DataFrame, b: DataFrame) -> DataFrame:
     ``subsequence``: it was walked for this pair, whose page numbers meet in one row for it.
     A page repeated k times costs k numbers on either side, not k * k rows.
     """
-    return anchors_of(page_facts(a), page_facts(b))
+    return anchors_of(*(page_facts(p, count_words=False) for p in (a, b)))
 
 
-def aligned_facts(a: DataFrame, b: DataFrame) -> DataFrame:
+def aligned_facts(a: DataFrame, b: DataFrame, count_words: bool = True) -> DataFrame:
     """``align_pages`` with the facts of both sides."""
-    one, two = cut(page_facts(a)), cut(page_facts(b))
+    # Both sides in one job, so that their scans run side by side.
+    facts = cut(page_facts(a, count_words=count_words).withColumn("side", F.lit("a")).unionByName(page_facts(b, count_words=count_words).withColumn("side", F.lit("b"))))
+    one, two = (facts.where(F.col("side") == s).drop("side") for s in "ab")
     anchors = cut(anchors_of(one, two))
 
     def gaps(side: DataFrame, s: str) -> DataFrame:
@@ -93,7 +96,7 @@ def aligned_facts(a: DataFrame, b: DataFrame) -> DataFrame:
 def align_pages(a: DataFrame, b: DataFrame) -> DataFrame:
     """(pair_id, gap, idx, page_a, page_b) in document order: anchors pair up, and between anchors the
     other pages are paired by position; a null page number marks a page of one version only."""
-    return aligned_facts(a, b).select("pair_id", "gap", "idx", "page_a", "page_b")
+    return aligned_facts(a, b, count_words=False).select("pair_id", "gap", "idx", "page_a", "page_b")
 
 
 def token_counts(pages: DataFrame, side: str) -> DataFrame:
@@ -122,10 +125,10 @@ def word_delta(a: DataFrame, b: DataFrame, snippet: int = SNIPPET) -> DataFrame:
     )
 
 
-def page_status(a: DataFrame, b: DataFrame) -> DataFrame:
+def page_status(a: DataFrame, b: DataFrame, count_words: bool = True) -> DataFrame:
     """Aligned pages with the word counts of both sides and ``status``: unchanged, modified, added or
     removed. Numbers only; texts count as equal if their SHA-256 is."""
-    rows = aligned_facts(a, b)
+    rows = aligned_facts(a, b, count_words)
     status = F.when(F.col("page_a").isNull(), "added").when(F.col("page_b").isNull(), "removed").when(F.col("fp_a") == F.col("fp_b"), "unchanged").otherwise("modified")
     return rows.select("pair_id", "gap", "idx", "page_a", "page_b", "words_a", "words_b", status.alias("status"))
 
@@ -234,5 +237,5 @@ def multiset_except(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def common_pages(a: DataFrame, b: DataFrame) -> DataFrame:
     """(pair_id, sig) that both versions have."""
-    own = lambda p: page_facts(p).where("sig IS NOT NULL").select("pair_id", F.lower(F.hex("sig")).alias("sig"))
+    own = lambda p: page_facts(p, count_words=False).where("sig IS NOT NULL").select("pair_id", F.lower(F.hex("sig")).alias("sig"))
     return own(a).intersect(own(b))

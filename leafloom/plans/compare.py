@@ -40,7 +40,7 @@ def compare_documents(spark, sf_dir):
     FROM s_ GROUP BY 1""",
 )
 def diff_summary(spark, sf_dir):
-    return align.diff_summary(align.page_status(*versions(spark, sf_dir)))
+    return align.diff_summary(align.page_status(*versions(spark, sf_dir), count_words=False))
 
 
 @REGISTRY.add(
@@ -83,7 +83,7 @@ def word_delta(spark, sf_dir):
 @REGISTRY.add("token_diff")
 def token_diff(spark, sf_dir):
     a, b = versions(spark, sf_dir)
-    return align.token_diff(align.page_status(a, b), a, b)
+    return align.token_diff(align.page_status(a, b, count_words=False), a, b)
 
 
 @REGISTRY.add(
