@@ -66,14 +66,17 @@ def drop_common_lines(
     own = docs.drop("ld_kept", "ld_lines", "ld_dropped")
     told, lost = free_name(own, "row"), free_name(own, "gone")
     met = own.withColumn(told, row).join(hits.withColumnsRenamed({"row": told, "gone": lost}), told, "left")
+    # A column of its own that is read more than once: a text is split once, not for every line of it.
+    parts = free_name(met, "parts")
+    met = met.withColumn(parts, _lines(F.col(text_col)))
     # Equal rows share one row of hits, which then holds each position once for each of them.
     gone = F.array_distinct(F.coalesce(F.col(lost), F.array().cast("array<int>")))
-    lines = _lines(F.col(text_col))
-    stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone))
+    stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone))
+    kept = F.array_join(F.transform(stay, lambda i: F.get(F.col(parts), i)), "\n")
     return met.withColumns(
         {
-            "ld_kept": F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"),
-            "ld_lines": F.size(lines).cast("long"),
+            "ld_kept": F.when(F.col(lost).isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(kept),
+            "ld_lines": F.size(parts).cast("long"),
             "ld_dropped": F.size(gone).cast("long"),
         }
-    ).drop(told, lost)
+    ).drop(told, lost, parts)

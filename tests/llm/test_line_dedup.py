@@ -1,6 +1,7 @@
 """Line deduplication against a plain loop."""
 
 import random
+import time
 from collections import Counter
 
 from leafloom.llm import line_dedup
@@ -27,6 +28,14 @@ def found(spark, rows, **how):
     return sorted(((r.doc_id, r.ld_lines, r.ld_dropped, r.ld_kept) for r in out.collect()), key=repr)
 
 
+def test_a_text_of_very_many_lines(spark):
+    """40,000 lines, every other one common: its lines are read once, not once for each of them."""
+    rows = [(i, "common") for i in range(12)] + [(99, "\n".join(f"line {i}" if i % 2 else "common" for i in range(40_000)))]
+    began = time.monotonic()
+    assert found(spark, rows) == brute(rows)
+    assert time.monotonic() - began < 60
+
+
 def test_against_a_loop(spark):
     rnd = random.Random(1)
     pool = ["Common line", "  common LINE\t", "\x0bÉtait", "était", "x", "", " ", "\r"] + [f"own {i}" for i in range(60)]
