@@ -142,10 +142,14 @@ def subscription_state(events: DataFrame) -> DataFrame:
 
 def expire_charges(charges: DataFrame, approvals: DataFrame, minutes: int = CHARGE_MINUTES) -> DataFrame:
     """Charges (charge_id, user_id, ts): ``paid`` by an approval of the user within the minutes after it,
-    the first of them, or expired."""
-    b = approvals.select(F.col("user_id").alias("u"), F.col("ts").alias("paid_ts"))
-    within = (F.col("user_id") == F.col("u")) & (F.col("paid_ts") >= F.col("ts")) & (F.col("paid_ts") <= F.col("ts") + F.make_dt_interval(mins=F.lit(minutes)))
-    rows = charges.join(b, within, "left").groupBy("charge_id", "user_id", "ts").agg(F.min("paid_ts").alias("paid_ts"))
+    the first of them, or expired. Both are cut into spans of so many minutes, and a charge is held against
+    its own span and the next: a user's charges never meet all of that user's approvals."""
+    at, width = F.unix_micros(F.col("ts").cast("timestamp")), minutes * 60_000_000
+    span = F.floor(at / width)
+    a = charges.select("charge_id", "user_id", "ts", F.explode(F.array(span, span + 1)).alias("span"))
+    b = approvals.select(F.col("user_id").alias("u"), F.col("ts").alias("paid_ts"), span.alias("s")).distinct()
+    within = (F.col("user_id") == F.col("u")) & (F.col("span") == F.col("s")) & (F.col("paid_ts") >= F.col("ts")) & (F.col("paid_ts") <= F.col("ts") + F.make_dt_interval(mins=F.lit(minutes)))
+    rows = a.join(b, within, "left").groupBy("charge_id", "user_id", "ts").agg(F.min("paid_ts").alias("paid_ts"))
     return rows.withColumn("status", F.when(F.col("paid_ts").isNotNull(), "paid").otherwise("expired"))
 
 

@@ -1,8 +1,8 @@
 """Order: concatenating, page offsets, tables of contents, outlines, packing under budgets.
 
-Running sums over the files of one source are windows, those over pages are summed by ranges. Packing is
-sequential by nature: it is a fold over each key's items in order, keys in parallel, in Python on sorted
-batches with constant memory.
+Numbers and sums over all files of a source are taken by ranges: one source may hold most of the files, and
+no window holds more than a range of them. Packing is sequential by nature: it is a fold over each key's
+items in order, keys in parallel, in Python on sorted batches with constant memory.
 """
 
 from __future__ import annotations
@@ -35,39 +35,54 @@ def append_ordered(sources: list[DataFrame]) -> DataFrame:
     return rows.select(*sources[0].columns, "src_ord", (F.col("before") + F.col("inside")).cast("int").alias("src_page"))
 
 
+def _ranges(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """``rows`` dealt by ranges of (keys, order), with the number of each row's ``range``."""
+    return cut(rows.repartitionByRange(*keys, order).withColumn("range", F.spark_partition_id()))
+
+
+def _with_ends(rows: DataFrame, ends: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows joined to what is known of their range and keys; null keys are keys like others."""
+    span = F.struct("range", *keys)
+    return rows.withColumn("span", span).join(ends.withColumn("span", span).drop("range", *keys), "span").drop("span")
+
+
 def running_sum(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """``rows`` with ``before``: the sum of ``value`` over the rows of the same keys that come earlier in
     ``order`` (unique by key). Rows are dealt by ranges of (keys, order); a sum a range and key is all that
-    meets in one window, as many rows as there are ranges and keys."""
-    rows = cut(rows.repartitionByRange(*keys, order).withColumn("range", F.spark_partition_id()))
+    meets in one window, as many rows as there are ranges and keys. Rows of a null key belong together."""
+    rows = _ranges(rows, keys, order)
     part = W.partitionBy("range", *keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     sums = rows.groupBy("range", *keys).agg(F.sum(value).alias("sum"))
     upto = W.partitionBy(*keys).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     earlier = sums.withColumn("earlier", F.coalesce(F.sum("sum").over(upto), F.lit(0))).drop("sum")
-    own = rows.join(earlier, ["range", *keys]).withColumn("before", F.coalesce(F.sum(value).over(part), F.lit(0)) + F.col("earlier"))
+    own = _with_ends(rows, earlier, keys).withColumn("before", F.coalesce(F.sum(value).over(part), F.lit(0)) + F.col("earlier"))
     return own.drop("range", "earlier")
 
 
 def page_offsets(files: DataFrame) -> DataFrame:
-    """Files (source, doc_id, pages, title, category) with ``first_page``: pages before it in its source."""
-    before = F.sum("pages").over(W.partitionBy("source").orderBy("doc_id").rowsBetween(W.unboundedPreceding, -1))
+    """Files (source, doc_id, pages, title, category) with ``first_page``: pages before it in its source,
+    by doc_id."""
     title = F.coalesce(F.nullif(F.trim(F.regexp_replace("title", r"(?i)\.(txt|pdf)$", "")), F.lit("")), F.format_string("Document %d", F.col("doc_id")))
-    return files.select("source", "doc_id", title.alias("title"), F.nullif(F.trim("category"), F.lit("")).alias("category"), F.coalesce(before, F.lit(0)).alias("first_page"), "pages")
+    own = files.select("source", "doc_id", title.alias("title"), F.nullif(F.trim("category"), F.lit("")).alias("category"), "pages")
+    return running_sum(own, ["source"], "doc_id", "pages").select("source", "doc_id", "title", "category", F.col("before").alias("first_page"), "pages")
 
 
 def table_of_contents(specs: DataFrame, rows: int = TOC_ROWS) -> DataFrame:
     """Entries of each source's contents: on which contents page, in which row, and the page shown
     (contents pages come first)."""
-    src = W.partitionBy("source")
-    n = F.row_number().over(src.orderBy("first_page", "doc_id"))
-    toc_pages = F.ceil(F.count(F.lit(1)).over(src) / F.lit(rows))
-    return specs.select("source", "doc_id", "title", (F.floor((n - 1) / rows) + 1).alias("toc_page"), ((n - 1) % rows + 1).alias("row"), (toc_pages + F.col("first_page") + 1).alias("shown_page"))
+    own = specs.select(F.struct("source").alias("key"), "source", "doc_id", "title", "first_page", F.struct("first_page", "doc_id").alias("place"), F.lit(1).alias("one"))
+    pages = specs.groupBy(F.struct("source").alias("key")).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).alias("toc_pages"))
+    n = F.col("before").cast("int")
+    return running_sum(own, ["source"], "place", "one").join(pages, "key").select(
+        "source", "doc_id", "title", (F.floor(n / rows) + 1).alias("toc_page"), (n % rows + 1).alias("row"), (F.col("toc_pages") + F.col("first_page") + 1).alias("shown_page")
+    )
 
 
 def outline_tree(specs: DataFrame) -> DataFrame:
     """Two-level outline of each source: a category stands where its first member does, members under
     it in order; specs without a category, and root ones, stay on top. ``prev`` and ``next`` are the
-    neighbours on the same level, ``children`` the members of a category."""
+    neighbours on the same level, ``children`` the members of a category. Levels are walked by ranges, and
+    a range's first and last node are neighbours of those beside it."""
     top = F.coalesce("root", F.lit(False)) | F.col("category").isNull()
     own = specs.withColumn("top", top)
     cats = own.where(~F.col("top")).groupBy("source", "category").agg(F.min("first_page").alias("at"), F.min("doc_id").alias("tie"), F.count(F.lit(1)).alias("children"))
@@ -75,9 +90,18 @@ def outline_tree(specs: DataFrame) -> DataFrame:
     doc_nodes = own.select(
         "source", F.concat(F.lit("d:"), "doc_id").alias("node"), F.when(~F.col("top"), F.concat(F.lit("c:"), "category")).alias("parent"), F.col("first_page").alias("at"), F.col("doc_id").alias("tie"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("children")
     )
-    level = W.partitionBy("source", "parent").orderBy("at", "tie", "kind")
-    nodes = cat_nodes.unionByName(doc_nodes)
-    return nodes.select("source", "node", "parent", F.row_number().over(level).alias("ord"), F.lag("node").over(level).alias("prev"), F.lead("node").over(level).alias("next"), "children")
+    level = ["source", "parent"]
+    nodes = cat_nodes.unionByName(doc_nodes).select(*level, "node", F.struct("at", "tie", "kind").alias("place"), "children")
+    nodes = _ranges(nodes, level, "place")
+    ends = nodes.groupBy("range", *level).agg(F.count(F.lit(1)).alias("n"), F.min_by("node", "place").alias("first"), F.max_by("node", "place").alias("last"))
+    beside = W.partitionBy(*level).orderBy("range")
+    earlier = F.coalesce(F.sum("n").over(beside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ends = ends.select("range", *level, earlier.alias("earlier"), F.lag("last").over(beside).alias("left"), F.lead("first").over(beside).alias("right"))
+    inside = W.partitionBy("range", *level).orderBy("place")
+    number = (F.col("earlier") + F.row_number().over(inside)).cast("int")
+    return _with_ends(nodes, ends, level).select(
+        "source", "node", "parent", number.alias("ord"), F.coalesce(F.lag("node").over(inside), "left").alias("prev"), F.coalesce(F.lead("node").over(inside), "right").alias("next"), "children"
+    )
 
 
 def _pack_rows(key: str, max_items: int, max_size: int):

@@ -376,3 +376,55 @@ def test_library_works_without_the_corpus_package():
     for f in root.rglob("*.py"):
         if (root / "llm") not in f.parents:
             assert name not in f.read_text(), f
+
+
+@pytest.fixture
+def many_ranges(spark):
+    """Ranges that small tables would otherwise be put together from."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_order_over_many_ranges(spark, many_ranges):
+    """Offsets, contents and outlines of a hot source, a null one and a single file, against plain loops."""
+    rnd = random.Random(8)
+    own = [("hot", d, rnd.randrange(1, 9), rnd.choice(["a.PDF", " ", "b"]), rnd.choice(["x", "y", " ", None])) for d in range(300)]
+    own += [(None, d, 2, "n", "x") for d in range(7)] + [("one", 5, 3, "t.txt", None)]
+    specs = ordering.page_offsets(spark.createDataFrame(own, "source string, doc_id long, pages long, title string, category string"))
+    at, first = {}, {}
+    for s, d, n, _, _ in own:
+        first[s, d] = at.get(s, 0)
+        at[s] = first[s, d] + n
+    assert {(r.source, r.doc_id): r.first_page for r in specs.collect()} == first
+    toc = {(r.source, r.doc_id): (r.toc_page, r.row, r.shown_page) for r in ordering.table_of_contents(specs).collect()}
+    for s in ("hot", None, "one"):
+        docs = sorted(d for t, d in first if t == s)
+        assert [toc[s, d] for d in docs] == [(k // 27 + 1, k % 27 + 1, -(-len(docs) // 27) + first[s, d] + 1) for k, d in enumerate(docs)]
+    tree = ordering.outline_tree(specs.withColumn("root", F.col("doc_id") % 5 == 0)).collect()
+    levels = {}
+    for s, d, _, _, c in own:
+        top = d % 5 == 0 or not (c or "").strip()
+        levels.setdefault((s, None if top else f"c:{c}"), []).append((first[s, d], d, 1, f"d:{d}"))
+    for (s, c), nodes in [x for x in levels.items() if x[0][1]]:
+        levels.setdefault((s, None), []).append((min(nodes)[0], min(n[1] for n in nodes), 0, c))
+    want = set()
+    for (s, c), nodes in levels.items():
+        names = [None, *(n for *_, n in sorted(nodes)), None]
+        want |= {(s, c, n, k, names[k - 1], names[k + 1]) for k, n in enumerate(names) if n}
+    assert {(r.source, r.parent, r.node, r.ord, r.prev, r.next) for r in tree} == want and len(tree) == len(want)
+
+
+def test_charges_meet_approvals_of_their_hour(spark):
+    """Against all pairs: at the charge's own time, at the last minute, one second later, before it."""
+    rnd = random.Random(6)
+    when = lambda: NOW + dt.timedelta(seconds=rnd.choice([0, 1, 3599, 3600, 3601, rnd.randrange(50_000)]))
+    charges = [(i, rnd.choice([1, 1, 1, 2, None]), when()) for i in range(200)] + [(900, 1, None)]
+    paid = [(rnd.choice([1, 1, 2, None]), when()) for _ in range(60)] + [(1, None)]
+    got = ledger.expire_charges(spark.createDataFrame(charges, "charge_id long, user_id long, ts timestamp_ntz"), spark.createDataFrame(paid, "user_id long, ts timestamp_ntz")).collect()
+    want = {}
+    for i, u, t in charges:
+        met = [p for v, p in paid if t and p and u and u == v and t <= p <= t + dt.timedelta(hours=1)]
+        want[i] = (u, t, min(met, default=None), "paid" if met else "expired")
+    assert {r.charge_id: (r.user_id, r.ts, r.paid_ts, r.status) for r in got} == want and len(got) == len(want)
+    assert {s for *_, s in want.values()} == {"paid", "expired"}
