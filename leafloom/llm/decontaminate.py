@@ -254,8 +254,9 @@ def item_blocks(
     spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 3, min_score: float = 0.5, min_words: int = 8
 ) -> Iterator[Block]:
     """The items in blocks, with seeds chosen by a count over all of ``docs``. A run of fewer than ``n``
-    words is rare if it is in so few documents that all rare runs of the block together point to
-    ``RARE_WINDOWS`` windows a document at most, on average."""
+    words is rare up to the largest number of documents for which all rare runs of the block together
+    point to ``RARE_WINDOWS`` windows a document at most, on average, or to as many as there are runs where
+    that is more: a run that a single document holds is rare in a corpus of any size."""
     texts = docs.select(F.col(text_col).alias("text"))
     tests = stored(spark, benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")), "leaks-items")
     words = tests.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0] or 0
@@ -266,10 +267,14 @@ def item_blocks(
         items = [(i, ws) for i, ws in zip(table["item_id"].to_pylist(), (plain_words(t) for t in table["text"].cast(pa.binary()).to_pylist())) if ws]
         seeds = Seeds([ws for _, ws in items], n, min_score, min_words)
         counts = texts.mapInArrow(_count(spark.sparkContext.broadcast(seeds)), "length int, run int, n bigint").groupBy("length", "run").agg(F.sum("n").alias("n"))
-        runs = sum(len(g.hash) for g in seeds.counted)
         counts = stored(spark, counts, "leaks-counts")
         total = counts.where("length = 0").agg(F.sum("n")).first()[0] or 0
-        often = counts.where((F.col("length") > 0) & (F.col("n") > RARE_WINDOWS * total / max(runs, 1))).select("length", "run").toArrow()  # two runs a word of the block at most
+        held = counts.where("length > 0")  # two runs a word of the block at most
+        sizes = held.groupBy("n").agg(F.count(F.lit(1)).alias("runs")).orderBy("n").toArrow()
+        held_by, runs = (sizes[c].to_numpy() for c in ("n", "runs"))
+        windows = max(RARE_WINDOWS * total, sum(len(g.hash) for g in seeds.counted))
+        limit = int(held_by[np.cumsum(held_by * runs) <= windows].max(initial=0))
+        often = held.where(F.col("n") > limit).select("length", "run").toArrow()
         discard(counts)
         seeds.choose(set(zip(often["length"].to_pylist(), often["run"].to_pylist())))
         yield Block([i for i, _ in items], spark.sparkContext.broadcast(seeds))

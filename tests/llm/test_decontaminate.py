@@ -68,6 +68,15 @@ def test_rare_words_are_seeds_where_no_run_is_left(spark):
     assert [(r.row.id, r.score) for r in found] == [(5000, slow_align(item, copy) / 60)]
 
 
+def test_runs_of_a_single_text_are_rare_in_a_corpus_of_any_size(spark):
+    item = [f"w{k}" for k in range(30)]
+    copy = [w if k % 3 < 2 else "x" for k, w in enumerate(item)]
+    for others in (0, 3, 40):
+        docs = [(i, f"plain words {i}") for i in range(others)] + [(5000, " ".join(copy))]
+        found = dc.find_leaks(spark, spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")).collect()
+        assert [(r.row.id, r.score) for r in found] == [(5000, slow_align(item, copy) / 60)]
+
+
 def test_edited_copies_are_found_and_others_left(spark):
     rnd = random.Random(9)
     vocab = [f"w{i}" for i in range(500)] + ["the", "of", "and"] * 100
