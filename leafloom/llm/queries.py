@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm import decontaminate, exact_dedup, html_extract, license_scan, line_dedup, lm_score, minhash, mixing, pii, toxicity
+from leafloom.llm import (
+    decontaminate,
+    divergence,
+    exact_dedup,
+    html_extract,
+    license_scan,
+    line_dedup,
+    lm_score,
+    minhash,
+    mixing,
+    pii,
+    simhash,
+    token_alignment,
+    toxicity,
+)
 from leafloom.llm.common import stored
 from leafloom.llm.sql import ORACLE_SQL
 
@@ -15,6 +29,8 @@ __all__ = ["ORACLE_SQL", "QUERIES"]
 
 #: A sentencepiece model on the driver's machine; a session's ``VOCABULARY_CONF`` names another.
 VOCABULARY, VOCABULARY_CONF = "/opt/tokenizers/piece_bpe_32k.model", "spark.leafloom.vocabulary"
+#: A byte-level vocabulary there, and the setting that names another.
+BYTE_LEVEL, BYTE_LEVEL_CONF = "/opt/tokenizers/byte_bpe_50k.json", "spark.leafloom.byte_level"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +109,19 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(spark, _table(spark, sf_dir, "documents"), vocabulary=spark.conf.get(VOCABULARY_CONF, VOCABULARY))
 
 
+def op11_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprint_documents(spark, _table(spark, sf_dir, "documents"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(spark, _table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = {"byte_level": spark.conf.get(BYTE_LEVEL_CONF, BYTE_LEVEL), "pieces": spark.conf.get(VOCABULARY_CONF, VOCABULARY)}
+    return token_alignment.align_tokenizers(spark, _table(spark, sf_dir, "documents"), **files)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
@@ -104,4 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_decontaminate": op9_decontaminate,
     "op10_lm_score": op10_lm_score,
+    "op11_fingerprint": op11_fingerprint,
+    "op12_divergence": op12_divergence,
+    "op13_token_alignment": op13_token_alignment,
 }
