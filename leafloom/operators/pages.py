@@ -10,19 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from leafloom.functions.text import latin1_fold, normalize, tokens
+from leafloom.functions.markup import Cleaner
+from leafloom.functions.text import SPACE, is_letter_spaced, latin1_fold, normalize, tokens
 
 #: Separator of pages in a whole text; characters that make OCR needless; ink ratios of blank pages.
 PAGE_SEPARATOR, OCR_CHARS = "\n\n--- PAGE ---\n\n", 24
 BLANK_INK = {"low": 0.00045, "medium": 0.00135, "high": 0.0032}
 
-# Elements and attributes that a clean page doesn't have.
-ACTIVE_TAGS = "script iframe object embed form input button textarea select option meta link base".split()
-_PAIRED = "script|iframe|object|embed|form|button|textarea|select|option"
-# An attribute comes after white space or a slash; its value may stand without quotes.
-ATTRIBUTE = r"(?i)[\s/]+(on\w+|data-[\w-]+|srcdoc)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)"
-SCRIPT_LINK = r"(?i)[\s/]+(href|src)\s*=\s*(\"\s*javascript:[^\"]*\"|'\s*javascript:[^']*'|javascript:[^\s>]*)"
-
 
 def normalize_pages(pages: DataFrame, nfkc: bool = False) -> DataFrame:
     return pages.withColumn("text", normalize(F.col("text"), nfkc))
@@ -35,29 +29,40 @@ def tokenize_pages(pages: DataFrame) -> DataFrame:
 
 
 def sanitize_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Active elements with their content, event, data and source-document attributes and script links
-    taken out by pattern, and how many of each there were. A pattern job, not a parser."""
-    html = F.col(html_col)
-    tag = rf"(?i)<({'|'.join(ACTIVE_TAGS)})\b"
-    clean = html
-    for name in _PAIRED.split("|"):
-        clean = F.regexp_replace(clean, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>", "")
-    clean = F.regexp_replace(clean, rf"(?i)</?({'|'.join(ACTIVE_TAGS)})\b[^>]*>", "")
-    clean = F.regexp_replace(F.regexp_replace(clean, ATTRIBUTE, ""), SCRIPT_LINK, "")
-    count = lambda p: F.regexp_count(html, F.lit(p)).cast("long")
-    return pages.select(id_col, count(tag).alias("tags"), count(ATTRIBUTE).alias("attributes"), count(SCRIPT_LINK).alias("links"), clean.alias("clean"))
+    """(id, tags, attributes, links, clean): pages without elements and attributes that aren't on the lists of
+    ``functions.markup`` (active ones never are), without links of other schemes, comments and declarations, and
+    how many start tags, attributes and links went. What forms and unknown elements hold stays as content; of
+    scripts, frames, vector graphics and templates nothing stays. A null page stays null, with zeros."""
+    own = pages.select(id_col, html_col)
+    schema = own.schema[id_col].dataType.simpleString()
+    return own.mapInArrow(_sanitize, f"`{id_col}` {schema}, tags bigint, attributes bigint, links bigint, clean string")
+
+
+def _sanitize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cleaner = Cleaner()
+    for batch in batches:
+        for low in range(0, batch.num_rows, 256):
+            some, rows = batch.slice(low, 256), []
+            for html in some.column(1).to_pylist():
+                clean = None if html is None else cleaner.clean(html)
+                rows.append((0, 0, 0, None) if html is None else (cleaner.tags, cleaner.attributes, cleaner.links, clean))
+            cols = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([some.column(0), *cols], [batch.schema.names[0], "tags", "attributes", "links", "clean"])
 
 
 def pages_needing_ocr(pages: DataFrame, min_chars: int = OCR_CHARS) -> DataFrame:
-    """By document, how many pages hold too little text (``to_recognise``), and how many don't."""
-    little = F.length(F.regexp_replace("text", r"\s", "")) < min_chars
+    """By document, how many pages hold too little text (``to_recognise``), and how many don't; a page
+    without a text (null) holds too little."""
+    little = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s", "")) < min_chars
     return pages.groupBy("doc_id").agg(F.count_if(little).alias("to_recognise"), F.count_if(~little).alias("skipped"))
 
 
 def remove_blank_pages(pages: DataFrame, sensitivity: str = "medium") -> DataFrame:
     """Pages without text and with an ``ink`` ratio under the threshold go, and the rest is numbered
-    anew (``new_no``). A document with nothing but blank pages keeps them all, marked as an error."""
-    blank = (F.length(F.trim("text")) == 0) & (F.col("ink") < BLANK_INK[sensitivity])
+    anew (``new_no``). A document with nothing but blank pages keeps them all, marked as an error. A null
+    text is an empty one, and a page whose ink wasn't measured (null or NaN) has none."""
+    ink = F.nanvl(F.coalesce(F.col("ink").cast("double"), F.lit(0.0)), F.lit(0.0))
+    blank = (F.length(F.trim(F.coalesce("text", F.lit("")))) == 0) & (ink < BLANK_INK[sensitivity])
     doc = W.partitionBy("doc_id")
     marked = pages.withColumn("blank", blank).withColumn("error", F.min(F.col("blank").cast("int")).over(doc) == 1)
     kept = marked.where("error OR NOT blank")
@@ -158,25 +163,44 @@ def valid_regions(regions: DataFrame) -> DataFrame:
     return own.select("doc_id", "page_no", edge("x").alias("x"), edge("y").alias("y"), size("x", "w").alias("w"), size("y", "h").alias("h")).where("w > 0 AND h > 0")
 
 
-def region_redaction(words: DataFrame, regions: DataFrame) -> DataFrame:
-    """Words with ``hit``: whether their box meets a valid region of their page. Regions meet as one list
-    a page, so each word is read and joined once."""
-    box = F.struct("x", "y", "w", "h")
-    lists = valid_regions(regions).groupBy("doc_id", "page_no").agg(F.collect_list(box).alias("boxes"))
+#: Cells of a page along each side, for finding what lies near a word.
+GRID = 32
 
-    def meets(r: Column) -> Column:
-        across = (F.col("x") < r["x"] + r["w"]) & (F.col("x") + F.col("w") > r["x"])
-        return across & (F.col("y") < r["y"] + r["h"]) & (F.col("y") + F.col("h") > r["y"])
 
-    return words.join(lists, ["doc_id", "page_no"], "left").withColumn("hit", F.coalesce(F.exists("boxes", meets), F.lit(False))).drop("boxes")
+def _cells(x: Column, y: Column, w: Column, h: Column) -> Column:
+    """The cells (column * GRID + row) that a box touches, as far as it lies on the page; none without numbers."""
+    at = lambda v: F.greatest(F.lit(0), F.least(F.lit(GRID - 1), F.floor(v * GRID))).cast("int")
+    across = F.sequence(at(F.least(x, x + w)), at(F.greatest(x, x + w)), F.lit(1))
+    down = F.sequence(at(F.least(y, y + h)), at(F.greatest(y, y + h)), F.lit(1))
+    cells = F.flatten(F.transform(across, lambda i: F.transform(down, lambda j: i * GRID + j)))
+    total = (x + y + w + h).cast("double")
+    return F.when(~F.isnan(total), cells)
+
+
+def region_redaction(words: DataFrame, regions: DataFrame) -> DataFrame:
+    """Words (doc_id, page_no, idx, x, y, w, h, ..) with ``hit``: whether their box meets a valid region of
+    their page. Words and regions are dealt to the cells of a grid over the page, so a word is held against
+    the regions in its own cells only, and a crowded page is split by cells. A word without numbers isn't hit."""
+    boxed = valid_regions(regions).select("doc_id", "page_no", F.struct("x", "y", "w", "h").alias("r"))
+    near = boxed.select("doc_id", "page_no", F.explode(_cells(F.col("r.x"), F.col("r.y"), F.col("r.w"), F.col("r.h"))).alias("cell"), "r").distinct()
+    key = F.struct("doc_id", "page_no", "idx", "x", "y", "w", "h")
+    dealt = words.select(key.alias("k"), F.explode(_cells(F.col("x"), F.col("y"), F.col("w"), F.col("h"))).alias("cell"))
+    across = (F.col("k.x") < F.col("r.x") + F.col("r.w")) & (F.col("k.x") + F.col("k.w") > F.col("r.x"))
+    down = (F.col("k.y") < F.col("r.y") + F.col("r.h")) & (F.col("k.y") + F.col("k.h") > F.col("r.y"))
+    place = F.struct(F.col("k.doc_id").alias("doc_id"), F.col("k.page_no").alias("page_no"), "cell")
+    met = dealt.withColumn("place", place).join(near.select(F.struct("doc_id", "page_no", "cell").alias("place"), "r"), "place").where(across & down)
+    hits = met.select("k").distinct().withColumn("hit", F.lit(True))
+    return words.withColumn("k", key).join(hits, "k", "left").withColumn("hit", F.coalesce("hit", F.lit(False))).drop("k")
 
 
 def redact_pages(pages: DataFrame, regions: DataFrame) -> DataFrame:
     """Pages with a valid region lose all their text; the others stay byte for byte. ``redactions`` is
-    the number of regions of the page."""
+    the number of regions of the page. ``error`` marks the pages of documents without any valid region on one
+    of their pages: nothing was redacted there, which the caller surely didn't mean."""
     marked = valid_regions(regions).groupBy("doc_id", "page_no").agg(F.count(F.lit(1)).alias("redactions"))
     own = pages.join(marked, ["doc_id", "page_no"], "left").withColumn("redactions", F.coalesce("redactions", F.lit(0)))
-    return own.withColumn("text", F.when(F.col("redactions") > 0, "").otherwise(F.col("text")))
+    none = F.max("redactions").over(W.partitionBy("doc_id")) == 0
+    return own.withColumn("error", F.when(none, "no region")).withColumn("text", F.when(F.col("redactions") > 0, "").otherwise(F.col("text")))
 
 
 def leak_check(before: DataFrame, after: DataFrame, regions: DataFrame, secret: str | None = None) -> DataFrame:
@@ -205,15 +229,72 @@ def assemble_lines(words: DataFrame, line_height: float = 0.0083, low: float = -
     return own.groupBy("doc_id", "page_no", "line", "run").agg(text.alias("text"), F.min("x").alias("x0"), F.max(F.col("x") + F.col("w")).alias("x1"), F.max("h").alias("h"))
 
 
+def merge_runs(items: DataFrame, line_height: float) -> DataFrame:
+    """Items (doc_id, page_no, idx, text, x, baseline, width, font, size) of one line joined to runs: those
+    whose baselines round to the same step are taken in order of x, and an item goes to the open run if it has
+    the run's font, a size within 0.5 of that of the run's first item, its baseline, and a gap from the right
+    edge of the item before it between -0.3 and 0.9 sizes. A gap over 0.12 sizes becomes a space unless one is
+    there. Letter-spaced items lose their spaces. Items without a text, place or size are left out.
+
+    The open run (its font, size, baseline and right edge) is all that is held: items are walked in sorted
+    batches, line by line. Gives (doc_id, page_no, line, run, items, text, x, width, baseline, font, size)."""
+    text = F.when(is_letter_spaced(F.col("text")), F.replace("text", F.lit(" "))).otherwise(F.col("text"))
+    number = lambda c: F.col(c).cast("double").alias(c)
+    own = items.where("text IS NOT NULL").select("doc_id", "page_no", F.round(F.col("baseline") / line_height).alias("line"), "idx", text.alias("text"), number("x"), number("baseline"), number("width"), "font", number("size"))
+    total = F.col("x") + F.col("baseline") + F.col("width") + F.col("size")
+    own = own.where(total.isNotNull() & ~F.isnan(total))
+    place = ["doc_id", "page_no", "line"]
+    sorted_ = own.repartition(*place).sortWithinPartitions(*place, "x", "idx")
+    types = dict(own.dtypes)
+    ddl = f"doc_id {types['doc_id']}, page_no {types['page_no']}, line double, run int, items int, text string, x double, width double, baseline double, font {types['font']}, size double"
+    return sorted_.mapInArrow(_merge_runs, ddl)
+
+
+def _joins(run: dict, item: dict) -> bool:
+    """Whether an item of the run's line goes on with it."""
+    size = item["size"]
+    alike = run["font"] == item["font"] and abs(run["size"] - size) < 0.5 and abs(run["baseline"] - item["baseline"]) < 0.35 * size
+    return alike and -0.3 * size < item["x"] - run["right"] < 0.9 * size
+
+
+def _merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    place, run, schema = None, None, None
+    for batch in batches:
+        if schema is None:
+            kinds = [(n, batch.schema.field(n).type) for n in ("doc_id", "page_no", "line")] + [("run", pa.int32()), ("items", pa.int32()), ("text", pa.string())]
+            schema = pa.schema([*kinds, ("x", pa.float64()), ("width", pa.float64()), ("baseline", pa.float64()), ("font", batch.schema.field("font").type), ("size", pa.float64())])
+        done = []
+        for item in batch.to_pylist():
+            here, right = (item["doc_id"], item["page_no"], item["line"]), item["x"] + item["width"]
+            if run and here == place and _joins(run, item):
+                glue = item["x"] - run["right"] > 0.12 * item["size"] and not run["parts"][-1].endswith(" ") and not item["text"].startswith(" ")
+                run["parts"] += [" ", item["text"]] if glue else [item["text"]] if item["text"] else []
+                run |= {"right": right, "items": run["items"] + 1}
+                continue
+            if run:
+                done.append(_run_row(run))
+            run = item | {"run": run["run"] + 1 if run and here == place else 1, "items": 1, "parts": [item["text"]], "right": right}
+            place = here
+        yield pa.RecordBatch.from_pylist(done, schema)
+    if run:
+        yield pa.RecordBatch.from_pylist([_run_row(run)], schema)
+
+
+def _run_row(run: dict) -> dict:
+    return run | {"text": "".join(run["parts"]), "width": run["right"] - run["x"]}
+
+
 def read_ocr_tsv(lines: DataFrame) -> DataFrame:
     """Word rows (``value`` lines of tab-separated values): those of level 5 with 12 columns or more, a
-    text that isn't blank and a finite confidence of 20 or more; bad numbers become 0, tabs stay in texts."""
+    text that isn't blank and a finite confidence of 20 or more; bad numbers, NaN among them, become 0, tabs
+    inside texts stay and white space at their ends goes."""
     c = F.split("value", "\t", 12)
-    number = lambda i: F.coalesce(F.get(c, F.lit(i)).try_cast("double"), F.lit(0.0))
+    number = lambda i: F.nanvl(F.coalesce(F.get(c, F.lit(i)).try_cast("double"), F.lit(0.0)), F.lit(0.0))
     conf = F.get(c, F.lit(10)).try_cast("double")
-    rows = lines.where((F.get(c, F.lit(0)) == "5") & (F.size(c) >= 12)).where((F.trim(F.get(c, F.lit(11))) != "") & (conf >= 20) & (conf < float("inf")))
+    text = F.regexp_replace(F.get(c, F.lit(11)), f"^{SPACE}+|{SPACE}+$", "")
+    rows = lines.where((F.get(c, F.lit(0)) == "5") & (F.size(c) >= 12)).where((text != "") & (conf >= 20) & (conf < float("inf")))
     return rows.select(
-        *[x for x in lines.columns if x != "value"], number(6).alias("x"), number(7).alias("y"), number(8).alias("w"), number(9).alias("h"), conf.alias("conf"), F.trim(F.get(c, F.lit(11))).alias("text")
+        *[x for x in lines.columns if x != "value"], number(6).alias("x"), number(7).alias("y"), number(8).alias("w"), number(9).alias("h"), conf.alias("conf"), text.alias("text")
     )
 
 
@@ -223,10 +304,12 @@ def read_ocr_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def capped_lists(pages: DataFrame, cap: int = 12) -> DataFrame:
-    """By document the first ``cap`` page numbers, with an ellipsis where there are more."""
-    own = F.array_sort(F.collect_list("page_no"))
-    text = F.array_join(F.slice(own, 1, cap).cast("array<string>"), ", ")
-    return pages.groupBy("doc_id").agg(F.concat(text, F.when(F.size(own) > cap, "...").otherwise("")).alias("pages"), F.count(F.lit(1)).alias("n"))
+    """By document the first ``cap`` page numbers, with an ellipsis where there are more: pages are numbered
+    in order, and only the first of them are put in a list."""
+    number = F.row_number().over(W.partitionBy("doc_id").orderBy("page_no"))
+    own = pages.select("doc_id", "page_no", number.alias("number")).groupBy("doc_id").agg(F.collect_list(F.when(F.col("number") <= cap, F.col("page_no"))).alias("first"), F.count(F.lit(1)).alias("n"))
+    text = F.array_join(F.array_sort("first").cast("array<string>"), ", ")
+    return own.select("doc_id", F.concat(text, F.when(F.col("n") > cap, "...").otherwise("")).alias("pages"), "n")
 
 
 def inspect_corpus(pages: DataFrame, scale: int = 1000) -> DataFrame:

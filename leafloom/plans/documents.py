@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from leafloom.functions.text import SPACE
 from leafloom.operators import pages as ops
 from leafloom.plans import REGISTRY
 from leafloom.plans.sql import PAGES, REGIONS, WORDS, norm, tokens
@@ -20,51 +22,76 @@ def tokenize_pages(spark, sf_dir):
     return ops.tokenize_pages(doc_pages(spark, sf_dir))
 
 
-def _clean_sql() -> str:
-    x = "html"
-    for name in ops._PAIRED.split("|"):
-        x = rf"regexp_replace({x}, '(?is)<{name}\b[^>]*>.*?</{name}\s*>', '', 'g')"
-    x = rf"regexp_replace({x}, '(?i)</?({'|'.join(ops.ACTIVE_TAGS)})\b[^>]*>', '', 'g')"
-    for p in (ops.ATTRIBUTE, ops.SCRIPT_LINK):
-        x = f"regexp_replace({x}, '{_quoted(p)}', '', 'g')"
-    return x
+#: What is planted behind the pages, by page_id modulo their number: markup, what is left of it, and the tags,
+#: attributes and links that go.
+PLANTED = [
+    ("<p>plain</p>", "<p>plain</p>", 0, 0, 0),
+    ("<scr<meta>ipt>alert(1)</script>", "ipt>alert(1)", 1, 0, 0),
+    ('<a href="x"onclick=alert(1)>y</a>', '<a href="x">y</a>', 0, 1, 0),
+    ('<a href="&#106;avascript:alert(1)">y</a>', "<a>y</a>", 0, 0, 1),
+    ('<a href="java\nscript:alert(1)">y</a>', "<a>y</a>", 0, 0, 1),
+    ("<p>There is only = one way, once = two, data-set = 5</p>", "<p>There is only = one way, once = two, data-set = 5</p>", 0, 0, 0),
+    ("<form><p>keep this text</p></form>", "<p>keep this text</p>", 1, 0, 0),
+    ("<svg><script>x</script><a href=y>z</a></svg><p data-k='1' title='a\"b'>q</p>", '<p title="a&quot;b">q</p>', 1, 1, 0),
+    ("<iframe srcdoc='<p>no</p>'></iframe>1 < 2<img src=x onerror=y>", '1 &lt; 2<img src="x">', 1, 1, 0),
+]
 
 
-def _quoted(pattern: str) -> str:
-    return pattern.replace("'", "''")
+def planted_pages(spark, sf_dir):
+    more = F.array(*(F.lit(p[0]) for p in PLANTED))
+    return table(spark, sf_dir, "pages").withColumn("html", F.concat("html", F.get(more, (F.col("page_id") % len(PLANTED)).cast("int"))))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+_REST = ", ".join(f"({k}, {_quoted(p[1])}, {p[2]}, {p[3]}, {p[4]})" for k, p in enumerate(PLANTED))
 
 
 @REGISTRY.add(
     "sanitize_html",
-    rf"""SELECT page_id, len(regexp_extract_all(html, '(?i)<({'|'.join(ops.ACTIVE_TAGS)})\b')) AS tags,
-    len(regexp_extract_all(html, '{_quoted(ops.ATTRIBUTE)}')) AS attributes, len(regexp_extract_all(html, '{_quoted(ops.SCRIPT_LINK)}')) AS links,
-    {_clean_sql()} AS clean FROM pages""",
+    f"""WITH rest_(k, html, tags, attributes, links) AS (VALUES {_REST})
+    SELECT page_id, len(regexp_extract_all(p.html, '<(script|meta)[ >]')) + tags AS tags, attributes::BIGINT AS attributes, links::BIGINT AS links,
+    regexp_replace(p.html, '(?s)<script>.*?</script>|<meta[^>]*>|<!--.*?-->|<!DOCTYPE[^>]*>', '', 'g') || r.html AS clean FROM pages p JOIN rest_ r ON k = page_id % {len(PLANTED)}""",
 )
 def sanitize_html(spark, sf_dir):
-    return ops.sanitize_html(table(spark, sf_dir, "pages"))
+    """Pages, each with a piece of active or harmless markup behind it."""
+    return ops.sanitize_html(planted_pages(spark, sf_dir))
+
+
+def holes(pages):
+    """Pages of which every seventeenth by number and document has no text at all."""
+    return pages.withColumn("text", F.when((F.col("doc_id") + 3 * F.col("page_no")) % 17 != 0, F.col("text")))
+
+
+HOLES = f"{PAGES}, holes_ AS (SELECT * REPLACE (CASE WHEN (doc_id + 3 * page_no) % 17 <> 0 THEN text END AS text) FROM pages_)"
 
 
 @REGISTRY.add(
     "pages_needing_ocr",
-    rf"WITH {PAGES} SELECT doc_id, count(*) FILTER (length(regexp_replace(text, '\s', '', 'g')) < 24) AS to_recognise, count(*) FILTER (length(regexp_replace(text, '\s', '', 'g')) >= 24) AS skipped FROM pages_ GROUP BY 1",
+    rf"""WITH {HOLES}, n_ AS (SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE length(regexp_replace(text, '\s', '', 'g')) END AS n FROM holes_)
+    SELECT doc_id, count(*) FILTER (n < 24) AS to_recognise, count(*) FILTER (n >= 24) AS skipped FROM n_ GROUP BY 1""",
 )
 def pages_needing_ocr(spark, sf_dir):
-    return ops.pages_needing_ocr(doc_pages(spark, sf_dir))
+    return ops.pages_needing_ocr(holes(doc_pages(spark, sf_dir)))
 
 
-BLANKED = f"""{PAGES}, ink_ AS (SELECT doc_id, page_no, CASE WHEN (doc_id + page_no) % 13 = 0 THEN '' ELSE text END AS text,
-  CASE WHEN (doc_id + page_no) % 13 = 0 THEN 0.0 ELSE len(regexp_extract_all(text, '[A-Za-z]')) / greatest(length(text), 1)::DOUBLE END AS ink FROM pages_)"""
+BLANKED = f"""{PAGES}, ink_ AS (SELECT doc_id, page_no, CASE WHEN (doc_id + page_no) % 26 = 0 THEN NULL WHEN (doc_id + page_no) % 13 = 0 THEN '' ELSE text END AS text,
+  CASE WHEN (doc_id + page_no) % 39 = 0 THEN NULL WHEN (doc_id + page_no) % 13 = 0 THEN 0.0 ELSE len(regexp_extract_all(text, '[A-Za-z]')) / greatest(length(text), 1)::DOUBLE END AS ink FROM pages_)"""
 
 
 def blanked(spark, sf_dir):
-    blank = (F.col("doc_id") + F.col("page_no")) % 13 == 0
-    ink = F.when(blank, 0.0).otherwise(F.regexp_count("text", F.lit("[A-Za-z]")) / F.greatest(F.length("text"), F.lit(1)))
-    return doc_pages(spark, sf_dir).withColumn("ink", ink).withColumn("text", F.when(blank, "").otherwise(F.col("text")))
+    """Every thirteenth page is blank, of which some have no text or no ink that was measured."""
+    n = F.col("doc_id") + F.col("page_no")
+    blank = n % 13 == 0
+    ink = F.when(n % 39 == 0, None).when(blank, 0.0).otherwise(F.regexp_count("text", F.lit("[A-Za-z]")) / F.greatest(F.length("text"), F.lit(1)))
+    return doc_pages(spark, sf_dir).withColumn("ink", ink).withColumn("text", F.when(n % 26 == 0, None).when(blank, "").otherwise(F.col("text")))
 
 
 @REGISTRY.add(
     "remove_blank_pages",
-    f"""WITH {BLANKED}, m_ AS (SELECT *, length(trim(text)) = 0 AND ink < 0.00135 AS blank FROM ink_),
+    f"""WITH {BLANKED}, m_ AS (SELECT *, length(trim(coalesce(text, ''))) = 0 AND coalesce(ink, 0) < 0.00135 AS blank FROM ink_),
     e_ AS (SELECT *, bool_and(blank) OVER (PARTITION BY doc_id) AS error FROM m_)
     SELECT doc_id, page_no, text, ink::DOUBLE AS ink, error, row_number() OVER (PARTITION BY doc_id ORDER BY page_no) AS new_no FROM e_ WHERE error OR NOT blank""",
 )
@@ -163,7 +190,8 @@ def region_redaction(spark, sf_dir):
 @REGISTRY.add(
     "redact_pages",
     f"""WITH {PAGES}, {REGIONS}, r_ AS (SELECT doc_id, page_no, count(*) AS n FROM regions_ WHERE w > 0 AND h > 0 GROUP BY ALL)
-    SELECT p.doc_id, p.page_no, CASE WHEN n > 0 THEN '' ELSE text END AS text, coalesce(n, 0) AS redactions FROM pages_ p LEFT JOIN r_ ON p.doc_id = r_.doc_id AND p.page_no = r_.page_no""",
+    SELECT p.doc_id, p.page_no, CASE WHEN n > 0 THEN '' ELSE text END AS text, coalesce(n, 0) AS redactions, CASE WHEN p.doc_id NOT IN (SELECT doc_id FROM r_) THEN 'no region' END AS error
+    FROM pages_ p LEFT JOIN r_ ON p.doc_id = r_.doc_id AND p.page_no = r_.page_no""",
 )
 def redact_pages(spark, sf_dir):
     return ops.redact_pages(doc_pages(spark, sf_dir), regions(spark, sf_dir))
@@ -171,11 +199,22 @@ def redact_pages(spark, sf_dir):
 
 @REGISTRY.add(
     "redaction_leak_check",
-    f"""WITH {PAGES} SELECT doc_id, count(*) AS pages_before, count(*) AS pages_after, 0::BIGINT AS left_chars, 0::BIGINT AS secrets, true AS ok FROM pages_ WHERE doc_id % 10 = 0 GROUP BY 1""",
+    f"""WITH {PAGES}, c_ AS (SELECT doc_id, count(*) AS pages_before, count(*) - CASE WHEN doc_id % 70 = 0 AND count(*) > 1 THEN 1 ELSE 0 END AS pages_after,
+      coalesce(max(CASE WHEN page_no = 1 AND doc_id % 30 = 0 THEN length(trim(text)) + 12 WHEN page_no = 1 AND doc_id % 40 = 0 THEN length(trim(text)) END), 0)::BIGINT AS left_chars,
+      coalesce(max(CASE WHEN page_no = 1 AND (doc_id % 30 = 0 OR doc_id % 40 = 0 AND contains(text, 'password=')) THEN 1 END), 0)::BIGINT AS secrets FROM pages_ WHERE doc_id % 10 = 0 GROUP BY 1)
+    SELECT *, left_chars = 0 AND secrets = 0 AND pages_before = pages_after AS ok FROM c_""",
 )
 def redaction_leak_check(spark, sf_dir):
+    """Redacted pages, of which some get their text back, with and without a secret, and some documents lose
+    their last page."""
     pages, marks = doc_pages(spark, sf_dir), regions(spark, sf_dir)
-    return ops.leak_check(pages, ops.redact_pages(pages, marks), marks, secret="password=")
+    d, first = F.col("doc_id"), F.col("page_no") == 1
+    own = pages.select("doc_id", "page_no", F.col("text").alias("was"))
+    done = ops.redact_pages(pages, marks).join(own, ["doc_id", "page_no"])
+    leak = F.when(first & (d % 30 == 0), F.concat(F.lit("password=abc"), F.trim("was"))).when(first & (d % 40 == 0), F.col("was")).otherwise(F.col("text"))
+    last = F.max("page_no").over(W.partitionBy("doc_id"))
+    done = done.withColumn("text", leak).withColumn("last", last).where((d % 70 != 0) | (F.col("last") == 1) | (F.col("page_no") < F.col("last"))).drop("was", "last")
+    return ops.leak_check(pages, done, marks, secret="password=")
 
 
 @REGISTRY.add(
@@ -193,24 +232,60 @@ def assemble_lines(spark, sf_dir):
 
 
 TSV = f"""{PAGES}, lines_ AS (SELECT doc_id, page_no, CASE WHEN page_no % 5 = 0 THEN '4' ELSE '5' END || chr(9) || '1' || chr(9) || '1' || chr(9) || '1' || chr(9) || '1' || chr(9) || page_no || chr(9)
-  || CASE WHEN page_no % 3 = 0 THEN 'bad' ELSE (page_no * 10)::VARCHAR END || chr(9) || '2' || chr(9) || '30' || chr(9) || '12' || chr(9) || ((doc_id * 7 + page_no * 13) % 100) || chr(9) || text AS value FROM pages_)"""
+  || CASE WHEN page_no % 3 = 0 THEN 'bad' WHEN page_no % 4 = 0 THEN 'NaN' ELSE (page_no * 10)::VARCHAR END || chr(9) || '2' || chr(9) || '30' || chr(9) || '12' || chr(9) || ((doc_id * 7 + page_no * 13) % 100) || chr(9) || CASE WHEN doc_id % 9 = 0 THEN chr(9) || ' ' WHEN doc_id % 9 = 1 THEN chr(9) || text || chr(160) ELSE text END AS value FROM pages_)"""
 
 
 @REGISTRY.add(
     "read_ocr_tsv",
-    f"""WITH {TSV}, c_ AS (SELECT doc_id, page_no, string_split(value, chr(9)) AS c FROM lines_)
-    SELECT doc_id, page_no, coalesce(try_cast(c[7] AS DOUBLE), 0) AS x, coalesce(try_cast(c[8] AS DOUBLE), 0) AS y, coalesce(try_cast(c[9] AS DOUBLE), 0) AS w, coalesce(try_cast(c[10] AS DOUBLE), 0) AS h,
-    try_cast(c[11] AS DOUBLE) AS conf, trim(array_to_string(c[12:], chr(9))) AS text FROM c_ WHERE c[1] = '5' AND len(c) >= 12 AND trim(array_to_string(c[12:], chr(9))) <> '' AND try_cast(c[11] AS DOUBLE) >= 20""",
+    f"""WITH {TSV}, c_ AS (SELECT doc_id, page_no, string_split(value, chr(9)) AS c FROM lines_),
+    d_ AS (SELECT *, CASE WHEN page_no % 12 IN (4, 8) OR page_no % 3 = 0 THEN 0 ELSE try_cast(c[7] AS DOUBLE) END AS x, regexp_replace(array_to_string(c[12:], chr(9)), '^{SPACE}+|{SPACE}+$', '', 'g') AS text FROM c_)
+    SELECT doc_id, page_no, x, coalesce(try_cast(c[8] AS DOUBLE), 0) AS y, coalesce(try_cast(c[9] AS DOUBLE), 0) AS w, coalesce(try_cast(c[10] AS DOUBLE), 0) AS h,
+    try_cast(c[11] AS DOUBLE) AS conf, text FROM d_ WHERE c[1] = '5' AND len(c) >= 12 AND text <> '' AND try_cast(c[11] AS DOUBLE) >= 20""",
 )
 def read_ocr_tsv(spark, sf_dir):
+    """Lines of words: some with bad numbers, some of a tab and a space alone, some with white space around."""
     level = F.when(F.col("page_no") % 5 == 0, "4").otherwise("5")
-    x = F.when(F.col("page_no") % 3 == 0, "bad").otherwise((F.col("page_no") * 10).cast("string"))
+    x = F.when(F.col("page_no") % 3 == 0, "bad").when(F.col("page_no") % 4 == 0, "NaN").otherwise((F.col("page_no") * 10).cast("string"))
     conf = ((F.col("doc_id") * 7 + F.col("page_no") * 13) % 100).cast("string")
     one = F.lit("1")
-    lines = doc_pages(spark, sf_dir).select("doc_id", "page_no", F.concat_ws("\t", level, one, one, one, one, F.col("page_no").cast("string"), x, F.lit("2"), F.lit("30"), F.lit("12"), conf, "text").alias("value"))
+    text = F.when(F.col("doc_id") % 9 == 0, "\t ").when(F.col("doc_id") % 9 == 1, F.concat(F.lit("\t"), "text", F.lit("\u00a0"))).otherwise(F.col("text"))
+    lines = doc_pages(spark, sf_dir).select("doc_id", "page_no", F.concat_ws("\t", level, one, one, one, one, F.col("page_no").cast("string"), x, F.lit("2"), F.lit("30"), F.lit("12"), conf, text).alias("value"))
     return ops.read_ocr_tsv(lines)
 
 
+ITEMS = f"""{WORDS}, i_ AS (SELECT doc_id, page_no, idx, CASE WHEN idx % 11 = 5 THEN 'A B C' WHEN idx % 6 = 0 THEN text || ' ' ELSE text END AS text, (idx % 12) * 50.0::DOUBLE + ((idx * idx) % 5) * 3.0::DOUBLE AS x,
+  (idx // 12) * 10.0::DOUBLE AS baseline, CASE WHEN idx % 4 = 1 THEN 49.0::DOUBLE ELSE 36.0::DOUBLE END AS width, CASE WHEN idx % 10 = 0 THEN 'Bold' ELSE 'Plain' END AS font, 16.0::DOUBLE + 0.3::DOUBLE * (idx % 3) AS size FROM words_)"""
+
+
+def items(spark, sf_dir):
+    """Words as items of a layout in points, with other fonts, sizes, gaps and letter-spaced ones by rule."""
+    i = F.col("idx")
+    text = F.when(i % 11 == 5, "A B C").when(i % 6 == 0, F.concat("text", F.lit(" "))).otherwise(F.col("text"))
+    return words(doc_pages(spark, sf_dir)).select(
+        "doc_id", "page_no", "idx", text.alias("text"), ((i % 12) * F.lit(50.0) + ((i * i) % 5) * F.lit(3.0)).alias("x"), (F.floor(i / 12) * F.lit(10.0)).alias("baseline"),
+        F.when(i % 4 == 1, 49.0).otherwise(36.0).alias("width"), F.when(i % 10 == 0, "Bold").otherwise("Plain").alias("font"), (F.lit(16.0) + F.lit(0.3) * (i % 3)).alias("size"),
+    )
+
+
+@REGISTRY.add(
+    "merge_runs",
+    f"""WITH RECURSIVE {ITEMS}, l_ AS (SELECT *, round(baseline / 5.0::DOUBLE) AS line, row_number() OVER (PARTITION BY doc_id, page_no, round(baseline / 5.0::DOUBLE) ORDER BY x, idx) AS rn,
+      CASE WHEN regexp_matches(text, '^(\\S ){{2,}}\\S$') THEN replace(text, ' ', '') ELSE text END AS t FROM i_),
+    w_ AS (SELECT doc_id, page_no, line, rn, 1 AS run, font, size, baseline, x + width AS "right", t, t AS part FROM l_ WHERE rn = 1
+      UNION ALL
+      SELECT n.doc_id, n.page_no, n.line, n.rn, CASE WHEN joins THEN n.run ELSE n.run + 1 END, n.own_font, CASE WHEN joins THEN n.size ELSE own_size END, CASE WHEN joins THEN n.baseline ELSE own_base END, own_right, own_t,
+        CASE WHEN joins AND gap > 0.12::DOUBLE * own_size AND n.t NOT LIKE '% ' AND own_t NOT LIKE ' %' THEN ' ' || own_t ELSE own_t END
+      FROM (SELECT w_.doc_id, w_.page_no, w_.line, l_.rn, w_.run, w_.size, w_.baseline, w_.t, l_.font AS own_font, l_.size AS own_size, l_.baseline AS own_base, l_.x + l_.width AS own_right, l_.t AS own_t, l_.x - w_."right" AS gap,
+              w_.font = l_.font AND abs(w_.size - l_.size) < 0.5 AND abs(w_.baseline - l_.baseline) < 0.35::DOUBLE * l_.size AND l_.x - w_."right" > -0.3::DOUBLE * l_.size AND l_.x - w_."right" < 0.9::DOUBLE * l_.size AS joins
+            FROM w_ JOIN l_ ON l_.doc_id = w_.doc_id AND l_.page_no = w_.page_no AND l_.line = w_.line AND l_.rn = w_.rn + 1) n)
+    SELECT w_.doc_id, w_.page_no, w_.line, run, count(*)::INT AS items, string_agg(part, '' ORDER BY w_.rn) AS text, arg_min(l_.x, w_.rn) AS x, arg_max(w_."right", w_.rn) - arg_min(l_.x, w_.rn) AS width,
+      arg_min(w_.baseline, w_.rn) AS baseline, arg_min(w_.font, w_.rn) AS font, arg_min(w_.size, w_.rn) AS size
+    FROM w_ JOIN l_ ON l_.doc_id = w_.doc_id AND l_.page_no = w_.page_no AND l_.line = w_.line AND l_.rn = w_.rn GROUP BY ALL""",
+)
+def merge_runs(spark, sf_dir):
+    return ops.merge_runs(items(spark, sf_dir), line_height=5.0)
+
+
 @REGISTRY.add(
     "capped_lists",
     f"WITH {PAGES} SELECT doc_id, array_to_string(list(page_no ORDER BY page_no)[1:12], ', ') || CASE WHEN count(*) > 12 THEN '...' ELSE '' END AS pages, count(*) AS n FROM pages_ GROUP BY 1",
