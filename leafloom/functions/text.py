@@ -127,3 +127,10 @@ def font_class(name: Column, family: Column) -> Column:
 def setting_labels(settings: Column, labels: list[tuple[str, str]]) -> Column:
     """Labels of the settings (a map from name to on or off) that are on, in the order of ``labels``."""
     return F.array_compact(F.array(*(F.when(F.coalesce(settings[name], F.lit(False)), F.lit(label)) for name, label in labels)))
+
+
+def canonical_json(text: Column) -> Column:
+    """A JSON text in one spelling: a variant keeps the fields of its objects sorted by name, at any depth, so
+    texts that differ in the order of fields or in white space come out alike. Nulls stay; of numbers that are
+    equal, 1.0 and 1 come out alike. What isn't JSON, or names a field twice, is null."""
+    return F.to_json(F.try_parse_json(text))

@@ -24,6 +24,19 @@ from leafloom.functions.text import TOKEN, normalize, tokens
 MIN_SIGNATURE, SNIPPET = 8, 28
 
 
+def _join(a: DataFrame, b: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join by columns that both have, of which ``pair_id`` may be null: a pair without an id is one like others."""
+    other = b.select(*(F.col(c).alias(f"_{c}" if c in keys else c) for c in b.columns))
+    met = F.col("pair_id").eqNullSafe(F.col("_pair_id"))
+    for k in keys:
+        if k != "pair_id":
+            met &= F.col(k) == F.col(f"_{k}")
+    rows = a.join(other, met, how)
+    if how == "full":  # pair_id is null on the side that is missing, too
+        rows = rows.withColumns({k: F.coalesce(F.col(k), F.col(f"_{k}")) for k in keys})
+    return rows.drop(*(f"_{k}" for k in keys))
+
+
 def page_facts(pages: DataFrame, nfkc: bool = False, count_words: bool = True) -> DataFrame:
     """(pair_id, page_no, fp, sig, words): hash of the normalised text, the same where it can anchor (null
     for short pages), and its number of tokens (null unless they shall be counted)."""
@@ -85,12 +98,12 @@ def aligned_facts(a: DataFrame, b: DataFrame, count_words: bool = True) -> DataF
     def gaps(side: DataFrame, s: str) -> DataFrame:
         page = f"page_{s}"
         own = side.select("pair_id", F.col("page_no").alias(page), F.col("fp").alias(f"fp_{s}"), F.col("words").alias(f"words_{s}"))
-        own = own.join(anchors.select("pair_id", page, F.lit(1).alias("hit")), ["pair_id", page], "left")
+        own = _join(own, anchors.select("pair_id", page, F.lit(1).alias("hit")), ["pair_id", page], "left")
         own = own.withColumn("gap", F.count("hit").over(W.partitionBy("pair_id").orderBy(page)))
         within = W.partitionBy("pair_id", "gap", F.col("hit").isNull()).orderBy(page)
         return own.withColumn("idx", F.when(F.col("hit") == 1, 0).otherwise(F.row_number().over(within))).drop("hit")
 
-    return gaps(one, "a").join(gaps(two, "b"), ["pair_id", "gap", "idx"], "full")
+    return _join(gaps(one, "a"), gaps(two, "b"), ["pair_id", "gap", "idx"], "full")
 
 
 def align_pages(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -111,7 +124,7 @@ def word_delta(a: DataFrame, b: DataFrame, snippet: int = SNIPPET) -> DataFrame:
     """Multiset difference of tokens both ways by (pair_id, unit), from (pair_id, unit, norm) tables:
     ``added_words``, ``removed_words`` and snippets of the first surplus tokens, each as often as it is
     in surplus and spelled as where it first stands."""
-    both = token_counts(a, "a").join(token_counts(b, "b"), ["pair_id", "unit", "key"], "full")
+    both = _join(token_counts(a, "a"), token_counts(b, "b"), ["pair_id", "unit", "key"], "full")
     na, nb = F.coalesce("n_a", F.lit(0)), F.coalesce("n_b", F.lit(0))
     both = both.withColumns({"less": F.greatest(na - nb, F.lit(0)), "more": F.greatest(nb - na, F.lit(0))})
 
@@ -141,13 +154,13 @@ def compare_documents(a: DataFrame, b: DataFrame) -> DataFrame:
 
     def texts(pages: DataFrame, s: str, status: str) -> DataFrame:
         own = rows.where(F.col("status") == status).select("pair_id", F.col(f"page_{s}").alias("page_no"), F.struct("gap", "idx").alias("unit"))
-        return pages.join(own, ["pair_id", "page_no"]).select("pair_id", "unit", normalize(F.col("text")).alias("norm"))
+        return _join(pages, own, ["pair_id", "page_no"], "inner").select("pair_id", "unit", normalize(F.col("text")).alias("norm"))
 
     head = F.array_join(F.slice(tokens(F.col("norm")), 1, SNIPPET), " ")
     delta = word_delta(texts(a, "a", "modified"), texts(b, "b", "modified"))
     delta = delta.unionByName(texts(b, "b", "added").select("pair_id", "unit", head.alias("added_snippet")), allowMissingColumns=True)
     delta = delta.unionByName(texts(a, "a", "removed").select("pair_id", "unit", head.alias("removed_snippet")), allowMissingColumns=True)
-    own = rows.join(delta.select("pair_id", "unit.*", "added_words", "removed_words", "added_snippet", "removed_snippet"), ["pair_id", "gap", "idx"], "left")
+    own = _join(rows, delta.select("pair_id", "unit.*", "added_words", "removed_words", "added_snippet", "removed_snippet"), ["pair_id", "gap", "idx"], "left")
     number = lambda c: F.coalesce(c, F.lit(0))
     return own.select(
         "pair_id", "gap", "idx", "status", "page_a", "page_b",

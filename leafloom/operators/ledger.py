@@ -160,12 +160,13 @@ def insert_ignore(table: DataFrame, rows: DataFrame, key: str, order: list[str]
     return table.unionByName(first.join(table.select(key), key, "left_anti"))
 
 
-def registry_upsert(registry: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
+def registry_upsert(registry: DataFrame, rows: DataFrame, key: str = "id", last: DataFrame | None = None) -> DataFrame:
     """Entries (key, ord, built_in, ..) with those of ``rows`` put in place of old ones and at the end, in
-    their order; built-in rows are never stored. New entries are numbered by ranges."""
+    their order; built-in rows are never stored. New entries are numbered by ranges. ``last`` (one row) has the
+    last number where ``registry`` is a part of a table."""
     new = rows.where("NOT built_in")
     old = registry.join(new.select(key), key, "left_anti")
-    last = registry.agg(F.coalesce(F.max("ord"), F.lit(0)).alias("last"))
+    last = registry.agg(F.coalesce(F.max("ord"), F.lit(0)).alias("last")) if last is None else last
     numbered = running_sum(new.select("*", F.lit(0).alias("all"), F.lit(1).alias("one"), F.struct("ord", key).alias("place")), ["all"], "place", "one")
     placed = numbered.join(last).withColumn("ord", F.col("last") + F.col("before") + 1)  # one row
     return old.unionByName(placed.select(*registry.columns))
@@ -188,3 +189,24 @@ def read_registry(lines: DataFrame, fields: str) -> tuple[DataFrame, DataFrame]:
 def read_registry_files(spark: SparkSession, path: str, fields: str) -> tuple[DataFrame, DataFrame]:
     """``read_registry`` over files of JSON lines."""
     return read_registry(spark.read.text(path), fields)
+
+
+def read_registry_arrays(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entries, rejected files) of whole files (``value``), each of which has to be one JSON array. A file that is
+    none, or isn't JSON, gives no entries; of an array, entries without a string ``id`` or without ``settings``
+    (null, false, 0 and "" count as none) are left out. ``entry`` numbers them from 1 as they stand in the file;
+    ``settings`` is a variant."""
+    own = [c for c in files.columns if c != "value"]
+    items = F.try_parse_json("value").try_cast("array<variant>")
+    is_array = F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("ARRAY"), F.lit(False))
+    marked = files.withColumns({"is_array": is_array, "items": items})
+    each = marked.where("is_array").select(*own, F.posexplode("items").alias("at", "item"))
+    told = each.select(*own, (F.col("at") + 1).alias("entry"), F.try_variant_get("item", "$.id", "variant").alias("id"), F.try_variant_get("item", "$.settings", "variant").alias("settings"))
+    empty = F.is_variant_null("settings") | F.to_json("settings").isin("false", "0", '""')
+    good = told.where((F.schema_of_variant("id") == "STRING") & F.col("settings").isNotNull() & ~empty)
+    return good.select(*own, "entry", F.try_variant_get("id", "$", "string").alias("id"), "settings"), marked.where("NOT is_array").select(*files.columns)
+
+
+def read_registry_array_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``read_registry_arrays`` over files, each read whole, with the ``file`` that an entry is from."""
+    return read_registry_arrays(spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name()))

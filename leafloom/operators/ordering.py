@@ -31,7 +31,8 @@ def append_ordered(sources: list[DataFrame]) -> DataFrame:
         out = own if out is None else out.unionByName(own)
     before = running_sum(out.groupBy("src_ord", "doc_id").agg(F.count(F.lit(1)).alias("n")), ["src_ord"], "doc_id", "n")
     inside = F.row_number().over(W.partitionBy("src_ord", "doc_id").orderBy("page_no"))
-    rows = out.withColumn("inside", inside).join(before.select("src_ord", "doc_id", "before"), ["src_ord", "doc_id"])
+    place = F.struct("src_ord", "doc_id")  # a document without an id is one like others
+    rows = out.withColumns({"inside": inside, "place": place}).join(before.select(place.alias("place"), "before"), "place")
     return rows.select(*sources[0].columns, "src_ord", (F.col("before") + F.col("inside")).cast("int").alias("src_page"))
 
 
@@ -69,7 +70,11 @@ def page_offsets(files: DataFrame) -> DataFrame:
 
 def table_of_contents(specs: DataFrame, rows: int = TOC_ROWS) -> DataFrame:
     """Entries of each source's contents: on which contents page, in which row, and the page shown
-    (contents pages come first)."""
+    (contents pages come first). Entries whose first page isn't one of the source's pages (the sum of
+    ``pages``) are left out and take no row."""
+    totals = specs.groupBy(F.struct("source").alias("key")).agg(F.sum("pages").alias("total"))
+    inside = (F.col("first_page") >= 0) & (F.col("first_page") < F.col("total"))
+    specs = specs.withColumn("key", F.struct("source")).join(totals, "key").where(inside).drop("key", "total")
     own = specs.select(F.struct("source").alias("key"), "source", "doc_id", "title", "first_page", F.struct("first_page", "doc_id").alias("place"), F.lit(1).alias("one"))
     pages = specs.groupBy(F.struct("source").alias("key")).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).alias("toc_pages"))
     n = F.col("before").cast("int")
@@ -106,12 +111,12 @@ def outline_tree(specs: DataFrame) -> DataFrame:
 
 def _pack_rows(key: str, max_items: int, max_size: int):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, group, items, size = None, 0, 0, 0  # a key may go on in the next batch
+        begun, now, group, items, size = False, None, 0, 0, 0  # a key may go on in the next batch
         for part in parts:
             groups = []
-            for k, s in zip(part[key], part["size"]):
-                if k != now:
-                    now, group, items, size = k, 1, 0, 0
+            for k, s in zip(part[key].astype(object).where(part[key].notna(), None), part["size"]):
+                if not begun or k != now:
+                    begun, now, group, items, size = True, k, 1, 0, 0
                 elif items >= max_items or size + s > max_size:
                     group, items, size = group + 1, 0, 0
                 items, size = items + 1, size + s
@@ -123,7 +128,9 @@ def _pack_rows(key: str, max_items: int, max_size: int):
 
 def pack_sequential(items: DataFrame, key: str, order: list[str], max_items: int, max_size: int) -> DataFrame:
     """Next-fit: each key's items (``size``) in order into groups (``grp`` from 1); a new group starts
-    when the open one is full or would go over ``max_size``, and an item over it stands alone."""
+    when the open one is full or would go over ``max_size``, and an item over it stands alone. Items without a
+    key belong together; an item without a size has none."""
+    items = items.withColumn("size", F.coalesce("size", F.lit(0).cast(items.schema["size"].dataType)))
     own = items.repartition(F.col(key)).sortWithinPartitions(key, *order)
     schema = ", ".join(f"`{c}` {t}" for c, t in own.dtypes) + ", grp int"
     return own.mapInPandas(_pack_rows(key, max_items, max_size), schema)

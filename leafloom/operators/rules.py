@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,14 +18,18 @@ EMAIL = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
 
 
 def fold(text: Column) -> Column:
-    return F.lower(strip_accents(text))
+    """Lower case without accents; plain ASCII texts take the short way."""
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.lower(strip_accents(text))).otherwise(F.lower(text))
 
 
-def facet_search(items: DataFrame, ranks: DataFrame, facet: str | None, needle: str, fields: list[str]) -> DataFrame:
+def facet_search(items: DataFrame, ranks: DataFrame, facet: str | None, needle: str, fields: list[str], collation: str | None = None) -> DataFrame:
     """Items of the facet (all, if None) whose fields hold the needle, case and accents aside, by rank
-    (999 for items without one). ``ranks`` is a small table (id, rank)."""
+    (999 for items without one). ``ranks`` is a small table (id, rank). Accents are taken off by decomposition;
+    with a ``collation`` such as UNICODE_CI_AI its rules hold, by which ss is found in a sharp s and ae in its
+    ligature."""
     text = F.concat_ws(" ", *fields)
-    own = items.where(F.contains(fold(text), fold(F.lit(needle))))
+    met = F.contains(fold(text), fold(F.lit(needle))) if collation is None else F.contains(F.collate(text, collation), F.collate(F.lit(needle), collation))
+    own = items.where(met)
     own = own if facet is None else own.where(F.col("category") == facet)
     return own.join(ranks, "id", "left").withColumn("rank", F.coalesce("rank", F.lit(999)))
 
@@ -66,23 +71,28 @@ def allowlist(rows: DataFrame, column: str, allowed: list[str]) -> DataFrame:
 
 def violations(tables: dict[str, DataFrame], enums: list[tuple[str, str, list[str]]], required: list[tuple[str, str]], unique: list[tuple[str, str]], foreign: list[tuple[str, str, str, str]]) -> DataFrame:
     """(rule, key, n) of rows that break a constraint: values outside a list, nulls, values that repeat
-    (nulls aside), and references without a target."""
-    parts = [
-        *(tables[t].where(~F.col(c).isin(v)).select(F.lit(f"enum {t}.{c}").alias("rule"), F.col(c).cast("string").alias("key")) for t, c, v in enums),
-        *(tables[t].where(F.col(c).isNull()).select(F.lit(f"null {t}.{c}").alias("rule"), F.lit(None).cast("string").alias("key")) for t, c in required),
-        *(
-            tables[t].where(F.col(c).isNotNull()).groupBy(c).count().where("count > 1").select(F.lit(f"unique {t}.{c}").alias("rule"), F.col(c).cast("string").alias("key"))
-            for t, c in unique
-        ),
-        *(
-            tables[t].where(F.col(c).isNotNull()).join(tables[p].select(F.col(k).alias(c)), c, "left_anti").select(F.lit(f"foreign {t}.{c}").alias("rule"), F.col(c).cast("string").alias("key"))
-            for t, c, p, k in foreign
-        ),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("rule", "key").agg(F.count(F.lit(1)).alias("n"))
+    (nulls aside), and references without a target.
+
+    Each table is read once: a row gives what it breaks, and for unique and foreign keys the value that it
+    holds or refers to; all of that is counted by rule and value in one shuffle, combined before it."""
+    parts = []
+    for name, rows in tables.items():
+        say = lambda rule, key, kind, when: F.when(when, F.struct(F.lit(rule).alias("rule"), key.cast("string").alias("key"), F.lit(kind).alias("kind")))
+        none = F.lit(None).cast("string")
+        told = [
+            *(say(f"enum {t}.{c}", F.col(c), "broken", ~F.col(c).isin(v)) for t, c, v in enums if t == name),
+            *(say(f"null {t}.{c}", none, "broken", F.col(c).isNull()) for t, c in required if t == name),
+            *(say(f"unique {t}.{c}", F.col(c), "held", F.col(c).isNotNull()) for t, c in unique if t == name),
+            *(say(f"foreign {t}.{c}", F.col(c), "refers", F.col(c).isNotNull()) for t, c, _, _ in foreign if t == name),
+            *(say(f"foreign {t}.{c}", F.col(k), "target", F.col(k).isNotNull()) for t, c, p, k in foreign if p == name),
+        ]
+        if told:
+            parts.append(rows.select(F.explode(F.array_compact(F.array(*told))).alias("x")).select("x.*"))
+    every = functools.reduce(DataFrame.unionByName, parts)
+    count = lambda kind: F.count_if(F.col("kind") == kind)
+    n = F.when(F.col("broken") > 0, F.col("broken")).when(F.col("held") > 1, F.lit(1)).when((F.col("refers") > 0) & (F.col("target") == 0), F.col("refers"))
+    counted = every.groupBy("rule", "key").agg(*(count(k).alias(k) for k in ("broken", "held", "refers", "target")))
+    return counted.select("rule", "key", n.cast("long").alias("n")).where("n IS NOT NULL")
 
 
 def cascade_delete(children: DataFrame, child_key: str, deleted: DataFrame, key: str) -> DataFrame:
@@ -150,11 +160,15 @@ def object_audit(objects: DataFrame, version: int, cap: int = 5) -> DataFrame:
 
 def asset_inventory(assets: DataFrame, least: float) -> DataFrame:
     """Assets (doc, page, pos, ref, width, height) with both sides of ``least`` or more: the first one of
-    each reference, numbered in its page by appearance."""
+    each reference, numbered in its page by appearance. A document of which none is left gives one row with an
+    ``error`` instead; it is null in all others."""
     ref = F.coalesce("ref", F.concat_ws(":", "page", "pos"))
     big = assets.where((F.col("width") >= least) & (F.col("height") >= least)).withColumn("ref", ref)
     first = big.withColumn("seen", F.row_number().over(W.partitionBy("doc", "ref").orderBy("page", "pos", "width", "height"))).where("seen = 1").drop("seen")
-    return first.withColumn("number", F.row_number().over(W.partitionBy("doc", "page").orderBy("pos", "width", "height")))
+    numbered = first.withColumn("number", F.row_number().over(W.partitionBy("doc", "page").orderBy("pos", "width", "height"))).withColumn("error", F.lit(None).cast("string"))
+    kept = F.coalesce((F.col("width") >= least) & (F.col("height") >= least), F.lit(False))
+    bare = assets.groupBy("doc").agg(F.count_if(kept).alias("kept")).where("kept = 0").select("doc", F.lit("no image").alias("error"))
+    return numbered.unionByName(bare, allowMissingColumns=True)
 
 
 def dominant_bucket(rows: DataFrame, shift: int = 3) -> DataFrame:
@@ -167,10 +181,12 @@ def dominant_bucket(rows: DataFrame, shift: int = 3) -> DataFrame:
 
 def array_change_ratio(pairs: DataFrame, threshold: float, stride: int = 1) -> DataFrame:
     """Percentage of sampled places at which arrays ``a`` and ``b`` differ by more than the threshold
-    (100 for different lengths), and the label that follows from it."""
-    at = F.sequence(F.lit(0), F.size("a") - 1, F.lit(stride))
+    (100 for different lengths), and the label that follows from it. Of two empty arrays nothing differs; a
+    missing array is an empty one."""
+    pairs = pairs.withColumns({c: F.coalesce(F.col(c), F.array().cast(pairs.schema[c].dataType)) for c in ("a", "b")})
+    at = F.when(F.size("a") > 0, F.sequence(F.lit(0), F.size("a") - 1, F.lit(stride))).otherwise(F.array().cast("array<int>"))
     far = F.filter(at, lambda i: F.abs(F.get("a", i) - F.get("b", i)) > threshold)
-    ratio = F.when(F.size("a") != F.size("b"), 100.0).otherwise(F.size(far) * 100.0 / F.size(at))
+    ratio = F.when(F.size("a") != F.size("b"), 100.0).otherwise(F.size(far) * 100.0 / F.greatest(F.size(at), F.lit(1)))
     return pairs.withColumn("ratio", ratio).withColumn("status", F.when(F.col("ratio") >= 0.8, "modified").otherwise("unchanged")).drop("a", "b")
 
 
@@ -196,9 +212,10 @@ def recent_items(uses: DataFrame, keep: int = 8) -> DataFrame:
 
 def _fold_favorites(keep: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nonlocal kind
         user, held, begun = None, [], False  # a user may go on in the next batch
         for batch in batches:
-            done = []
+            done, kind = [], batch.schema.field("user_id").type
             for u, item in zip(batch.column("user_id").to_pylist(), batch.column("item").to_pylist()):
                 if not begun or u != user:
                     if begun:
@@ -206,20 +223,23 @@ def _fold_favorites(keep: int):
                     user, held, begun = u, [], True
                 held = [x for x in held if x != item] if item in held else [item, *held][:keep]
             yield out(done)
-        yield out([(user, held)] if begun else [])
+        if begun:
+            yield out([(user, held)])
 
-    def out(done: list[tuple[int, list[int]]]) -> pa.RecordBatch:
-        cols = [pa.array([u for u, _ in done], pa.int64()), pa.array([",".join(map(str, h)) for _, h in done], pa.string()), pa.array([len(h) for _, h in done], pa.int32())]
+    kind = None
+
+    def out(done: list[tuple[int | str, list[int | str]]]) -> pa.RecordBatch:
+        cols = [pa.array([u for u, _ in done], kind), pa.array([",".join(map(str, h)) for _, h in done], pa.string()), pa.array([len(h) for _, h in done], pa.int32())]
         return pa.RecordBatch.from_arrays(cols, ["user_id", "favorites", "n"])
 
     return run
 
 
 def favorites_fold(toggles: DataFrame, keep: int = 12) -> DataFrame:
-    """Favourites of each user after all toggles (user_id, item: numbers) in order: a held item is taken
+    """Favourites of each user after all toggles (user_id, item: numbers or texts) in order: a held item is taken
     out, another one goes in front and what is beyond ``keep`` falls off. Toggles are walked in order of
     (ts, id) with ``keep`` items in memory, however long a user's history is; those without an item are
     left out."""
-    own = toggles.where("item IS NOT NULL").select(F.col("user_id").cast("long").alias("user_id"), F.col("item").cast("long").alias("item"), "ts", "id")
+    own = toggles.where("item IS NOT NULL").select("user_id", "item", "ts", "id")
     ordered = own.repartition("user_id").sortWithinPartitions("user_id", "ts", "id").select("user_id", "item")
-    return ordered.mapInArrow(_fold_favorites(keep), "user_id bigint, favorites string, n int")
+    return ordered.mapInArrow(_fold_favorites(keep), f"user_id {dict(own.dtypes)['user_id']}, favorites string, n int")

@@ -76,5 +76,7 @@ def pending_topk(spark, sf_dir):
 
 @REGISTRY.add("create_profiles", f"WITH p_ AS (SELECT user_id, min(ts) AS created FROM events WHERE event_type = 'signup' GROUP BY 1) SELECT * FROM p_")
 def create_profiles(spark, sf_dir):
-    """One profile for each user at the first sign-up; the streaming form is in leafloom.streaming."""
-    return table(spark, sf_dir, "events").where("event_type = 'signup'").groupBy("user_id").agg(F.min("ts").alias("created"))
+    """One profile for each user at the first sign-up, put into a table that is empty at first; the streaming form
+    is in leafloom.streaming."""
+    signups = table(spark, sf_dir, "events").where("event_type = 'signup'").select("user_id", F.col("ts").alias("created"))
+    return ops.insert_ignore(signups.limit(0), signups, "user_id", ["created"])

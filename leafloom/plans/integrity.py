@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from leafloom.functions.text import canonical_json
 from leafloom.operators import integrity as ops
 from leafloom.plans import REGISTRY
 from leafloom.sources.derived import table
@@ -155,3 +156,17 @@ def verify_reports(spark, sf_dir):
         F.when(d % 2 == 0, F.upper("sha256")).otherwise(F.col("sha256")).alias("sha256"), (F.col("size_bytes") + F.when(d % 29 == 0, 1).otherwise(0)).alias("size_bytes"), "pages",
     )
     return ops.verify_reports(reports, manifest(spark, sf_dir))
+
+
+@REGISTRY.add(
+    "canonical_payloads",
+    """WITH c_ AS (SELECT event_id, '{"a":{"amount":' || event_id || ',"note":null,"tags":["x",{"p":1,"q":2}]},"type":"' || event_type || '"}' AS canonical FROM events)
+    SELECT event_id, sha256(canonical) AS payload_sha256 FROM c_ WHERE event_id % 13 <> 0 UNION ALL SELECT event_id, NULL FROM c_ WHERE event_id % 13 = 0""",
+)
+def canonical_payloads(spark, sf_dir):
+    """Hashes of nested payloads whose fields stand in another order by rule; some aren't JSON."""
+    k, kind = F.col("event_id"), F.col("event_type")
+    one = F.format_string('{"type":"%s","a":{"note":null,"tags":["x",{"q":2,"p":1}],"amount":%d}}', kind, k)
+    two = F.format_string('{ "a" : {"tags": ["x", {"p": 1, "q": 2}], "amount": %2$d, "note": null}, "type": "%1$s" }', kind, k)
+    text = F.when(k % 13 == 0, "{not json").when(k % 2 == 0, one).otherwise(two)
+    return table(spark, sf_dir, "events").select("event_id", F.sha2(canonical_json(text), 256).alias("payload_sha256"))

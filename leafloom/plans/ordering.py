@@ -27,11 +27,13 @@ def files(spark, sf_dir):
 @REGISTRY.add(
     "append_ordered_sources",
     f"""WITH {PAGES}, d_ AS (SELECT p.*, CASE WHEN lang = 'fr' THEN 0 WHEN lang = 'en' THEN 1 ELSE 2 END AS src_ord FROM pages_ p JOIN documents USING (doc_id))
-    SELECT doc_id, page_no, text, src_ord, row_number() OVER (PARTITION BY src_ord ORDER BY doc_id, page_no) AS src_page FROM d_""",
+    SELECT doc_id, page_no, text, src_ord, row_number() OVER (PARTITION BY src_ord ORDER BY doc_id NULLS FIRST, page_no) AS src_page FROM (SELECT * REPLACE (nullif(doc_id, (SELECT max(doc_id) FROM documents)) AS doc_id) FROM d_)""",
 )
 def append_ordered_sources(spark, sf_dir):
+    """Three sources by language; the last document has no id."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    pages = doc_pages(spark, sf_dir).join(docs, "doc_id")
+    last = docs.agg(F.max("doc_id").alias("last"))
+    pages = doc_pages(spark, sf_dir).join(docs, "doc_id").join(last).withColumn("doc_id", F.when(F.col("doc_id") != F.col("last"), F.col("doc_id"))).drop("last")  # one row
     parts = [pages.where("lang = 'fr'"), pages.where("lang = 'en'"), pages.where("lang NOT IN ('fr', 'en')")]
     return ops.append_ordered([p.drop("lang") for p in parts])
 
@@ -43,11 +45,15 @@ def page_offsets(spark, sf_dir):
 
 @REGISTRY.add(
     "table_of_contents",
-    f"""WITH {SPECS}, n_ AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY first_page, doc_id) AS n, ceil(count(*) OVER (PARTITION BY source) / 27.0)::BIGINT AS tp FROM s_)
+    f"""WITH {SPECS}, o_ AS (SELECT * REPLACE (CASE WHEN doc_id % 19 = 0 THEN -5 WHEN doc_id % 23 = 0 THEN first_page + 1000000000 WHEN doc_id % 29 = 0 THEN NULL ELSE first_page END AS first_page), sum(pages) OVER (PARTITION BY source) AS total FROM s_),
+    n_ AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY first_page, doc_id) AS n, ceil(count(*) OVER (PARTITION BY source) / 27.0)::BIGINT AS tp FROM o_ WHERE first_page >= 0 AND first_page < total)
     SELECT source, doc_id, title, (n - 1) // 27 + 1 AS toc_page, (n - 1) % 27 + 1 AS row, tp + first_page + 1 AS shown_page FROM n_""",
 )
 def table_of_contents(spark, sf_dir):
-    return ops.table_of_contents(ops.page_offsets(files(spark, sf_dir)))
+    """Of the entries some lie before the first page, some behind the last, and some have no page."""
+    d, first = F.col("doc_id"), F.col("first_page")
+    moved = F.when(d % 19 == 0, F.lit(-5)).when(d % 23 == 0, first + 1_000_000_000).when(d % 29 != 0, first)
+    return ops.table_of_contents(ops.page_offsets(files(spark, sf_dir)).withColumn("first_page", moved))
 
 
 @REGISTRY.add(
@@ -70,12 +76,14 @@ def _fold(size_list: str, max_items: int, max_size: int) -> str:
 
 @REGISTRY.add(
     "pack_sequential",
-    f"""WITH {FILES}, l_ AS (SELECT source, list(doc_id ORDER BY doc_id) AS ids, list(size ORDER BY doc_id) AS sizes FROM f_ GROUP BY 1),
+    f"""WITH {FILES}, l_ AS (SELECT nullif(source, 'src3') AS source, list(doc_id ORDER BY doc_id) AS ids, list(size ORDER BY doc_id) AS sizes FROM f_ GROUP BY 1),
     p_ AS (SELECT source, ids, sizes, {_fold('sizes', 20, 20480)} AS g FROM l_)
     SELECT source, unnest(ids) AS doc_id, unnest(sizes) AS size, unnest(list_transform(g[2:], lambda x: x[1])) AS grp FROM p_""",
 )
 def pack_sequential(spark, sf_dir):
-    return ops.pack_sequential(files(spark, sf_dir).select("source", "doc_id", "size"), "source", ["doc_id"], 20, 20_480)
+    """Files by source; one of the sources has no name."""
+    own = files(spark, sf_dir).select(F.nullif("source", F.lit("src3")).alias("source"), "doc_id", "size")
+    return ops.pack_sequential(own, "source", ["doc_id"], 20, 20_480)
 
 
 @REGISTRY.add(

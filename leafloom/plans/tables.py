@@ -81,6 +81,36 @@ def registry_rejects(spark, sf_dir):
     return ledger.read_registry(_lines(spark, sf_dir), "id STRING, settings STRUCT<k: BIGINT>")[1]
 
 
+_FILES = f"""{_LINES}, f_ AS (SELECT event_id // 20 AS file, CASE WHEN (event_id // 20) % 9 = 4 THEN '{{"entries":' ELSE '' END || '[' || string_agg(CASE WHEN event_id % 7 = 0 AND (event_id // 20) % 9 <> 8 THEN '{{"id":' || event_id || ',"settings":{{"k":1}}}}' ELSE value END, ', ' ORDER BY event_id) || ']'
+    || CASE WHEN (event_id // 20) % 9 = 4 THEN '}}' ELSE '' END AS value FROM l_ GROUP BY event_id // 20)"""
+
+
+def _files(spark, sf_dir):
+    """Twenty lines each in one JSON array; of nine files one has lines that aren't JSON and one is an object."""
+    e, f = F.col("event_id"), F.floor(F.col("event_id") / 20)
+    number = F.concat(F.lit('{"id":'), e, F.lit(',"settings":{"k":1}}'))
+    lines = _lines(spark, sf_dir).select(f.alias("file"), e, F.when((e % 7 == 0) & (f % 9 != 8), number).otherwise(F.col("value")).alias("value"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"]), ", ")
+    array = F.concat(F.lit("["), "listed", F.lit("]"))
+    return lines.groupBy("file").agg(listed.alias("listed")).select("file", F.when(F.col("file") % 9 == 4, F.concat(F.lit('{"entries":'), array, F.lit("}"))).otherwise(array).alias("value"))
+
+
+@REGISTRY.add(
+    "read_registry_files",
+    f"""WITH {_FILES}, g_ AS (SELECT file, CASE WHEN json_valid(value) AND file % 9 <> 4 THEN value::JSON END AS v FROM f_),
+    e_ AS (SELECT file, unnest(json_extract(v, '$[*]')) AS item, unnest(range(1, json_array_length(v)::BIGINT + 1)) AS entry FROM g_ WHERE v IS NOT NULL)
+    SELECT file, entry::INT AS entry, item->>'$.id' AS id, (item->>'$.settings.k')::BIGINT AS k FROM e_ WHERE json_type(item, '$.id') = 'VARCHAR' AND json_type(item, '$.settings') <> 'NULL'""",
+)
+def read_registry_files(spark, sf_dir):
+    good, _ = ledger.read_registry_arrays(_files(spark, sf_dir))
+    return good.select("file", "entry", "id", F.try_variant_get("settings", "$.k", "bigint").alias("k"))
+
+
+@REGISTRY.add("registry_file_rejects", f"WITH {_FILES} SELECT file, value FROM f_ WHERE file % 9 = 4 OR NOT json_valid(value)")
+def registry_file_rejects(spark, sf_dir):
+    return ledger.read_registry_arrays(_files(spark, sf_dir))[1]
+
+
 _REACH = f"""{EDGES}, r_(node) AS (SELECT 1::BIGINT UNION SELECT dst FROM r_ JOIN edges_ ON src = node)"""
 
 

@@ -13,10 +13,11 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType, TimestampNTZType
 
-from leafloom.operators.ledger import CHARGE_MINUTES, GRACE_DAYS, OPEN_DAYS, PERIODS, insert_ignore, route_events, verify_signatures
+from leafloom.operators.ledger import CHARGE_MINUTES, GRACE_DAYS, OPEN_DAYS, PERIODS, route_events, verify_signatures
+from leafloom.operators.keyed import KeyedTable
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CREDIT = "payment_id string, user_id bigint, period string, ts timestamp_ntz"
@@ -128,7 +129,8 @@ def subscriptions(events: DataFrame) -> DataFrame:
 
 def expire_charges(charges: DataFrame, approvals: DataFrame, late: str = "10 minutes", minutes: int = CHARGE_MINUTES) -> DataFrame:
     """Interval join of two streams: each charge with the approvals of its user within the minutes after
-    it; a charge without one comes out, as expired, once the watermark has passed its last minute."""
+    it; a charge without one comes out, as expired, once the watermark has passed its last minute. Charges and
+    approvals behind the watermark are dropped; ``LateRows`` counts them."""
     a = charges.withWatermark("ts", late)
     b = approvals.select(F.col("user_id").alias("u"), F.col("ts").alias("paid_ts")).withWatermark("paid_ts", late)
     within = F.expr(f"user_id = u AND paid_ts >= ts AND paid_ts <= ts + INTERVAL {minutes} MINUTES")
@@ -157,21 +159,33 @@ def by_route(sinks: dict[str, Callable[[DataFrame, int], None]], rejected: Calla
     return run
 
 
-def create_profiles(path: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that appends a profile (user_id, ts) for each new user to the table at
-    ``path``; users it holds are left as they are."""
+def create_profiles(table: KeyedTable) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that adds a profile (user_id, created) for each new user; users that the table
+    holds are left as they are. Only the buckets of a batch's users are read, and only those with a new one get
+    a file, so a batch that is fed again changes nothing."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        first = batch.groupBy("user_id").agg(F.min("ts").alias("created"))
-        try:
-            held = spark.read.parquet(path)
-        except Exception as e:  # no table yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            first.write.mode("append").parquet(path)
-            return
-        new = insert_ignore(held, first, "user_id").join(held.select("user_id"), "user_id", "left_anti")
-        new.write.mode("append").parquet(path)
+        table.insert_ignore(batch.groupBy("user_id").agg(F.min("ts").alias("created")))
 
     return run
+
+
+class LateRows(StreamingQueryListener):
+    """Counts, by query name, the rows that came after their watermark and were dropped. Add it to
+    ``spark.streams`` before the queries start; progress arrives a moment after each batch."""
+
+    def __init__(self) -> None:
+        self.dropped: dict[str | None, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.dropped.setdefault(event.name, 0)
+
+    def onQueryProgress(self, event) -> None:
+        late = sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+        self.dropped[event.progress.name] = self.dropped.get(event.progress.name, 0) + late
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from leafloom.operators import ledger
+from leafloom.operators.keyed import KeyedTable
 from leafloom.sources.derived import payments
 from leafloom.streaming import ledger as live
 
@@ -99,7 +100,7 @@ def test_notices_are_checked_and_routed(spark, tmp_path):
 
 def test_profiles_are_created_once(spark, sf, tmp_path):
     signups = spark.read.parquet(f"{sf}/events.parquet").where("event_type = 'signup'").select("user_id", "ts")
-    q = in_batches(spark, signups, tmp_path / "in").writeStream.foreachBatch(live.create_profiles(str(tmp_path / "profiles"))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q = in_batches(spark, signups, tmp_path / "in").writeStream.foreachBatch(live.create_profiles(KeyedTable(spark, str(tmp_path / "profiles"), "user_id bigint, created timestamp_ntz", "user_id", buckets=4))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     rows = [r.user_id for r in spark.read.parquet(str(tmp_path / "profiles")).collect()]
     assert sorted(rows) == sorted(r.user_id for r in signups.select("user_id").distinct().collect())
