@@ -212,7 +212,6 @@ def recent_items(uses: DataFrame, keep: int = 8) -> DataFrame:
 
 def _fold_favorites(keep: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nonlocal kind
         user, held, begun = None, [], False  # a user may go on in the next batch
         for batch in batches:
             done, kind = [], batch.schema.field("user_id").type
@@ -222,13 +221,11 @@ def _fold_favorites(keep: int):
                         done.append((user, held))
                     user, held, begun = u, [], True
                 held = [x for x in held if x != item] if item in held else [item, *held][:keep]
-            yield out(done)
+            yield out(done, kind)
         if begun:
-            yield out([(user, held)])
+            yield out([(user, held)], kind)
 
-    kind = None
-
-    def out(done: list[tuple[int | str, list[int | str]]]) -> pa.RecordBatch:
+    def out(done: list[tuple[int | str, list[int | str]]], kind: pa.DataType) -> pa.RecordBatch:
         cols = [pa.array([u for u, _ in done], kind), pa.array([",".join(map(str, h)) for _, h in done], pa.string()), pa.array([len(h) for _, h in done], pa.int32())]
         return pa.RecordBatch.from_arrays(cols, ["user_id", "favorites", "n"])
 
