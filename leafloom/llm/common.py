@@ -59,13 +59,18 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove the files of tables that ``stored`` has returned."""
     for t in tables:
         path = _PLACES.pop(t, None)
         if path:
-            place = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            remove(t.sparkSession, path)
 
 
 def free_name(df: DataFrame, name: str) -> str:

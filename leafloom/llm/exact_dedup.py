@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm.common import discard, drop_rows, free_name, lower_ascii, row_key, stored
+from leafloom.llm.common import discard, drop_rows, free_name, lower_ascii, remove, row_key, shared_dir, stored
 
 #: Digests of a bucket: what one task sorts when it writes the index.
 BUCKET_ROWS = 4_000_000
@@ -35,17 +35,18 @@ def text_digest(text: Column) -> Column:
 class DigestIndex:
     """The index as a catalogue table, in ``buckets`` buckets (``buckets_for`` the texts it shall hold).
     ``path`` puts its files at a place of the caller's choice, where a later session can open them again
-    by the same arguments. ``drop`` takes it out of the catalogue."""
+    by the same arguments; it has to be one that all executors share. Without it they lie under the shared
+    folder and go with ``drop``, which takes the index out of the catalogue."""
 
     COLUMNS = "digest BINARY, keep_id BIGINT, group_size BIGINT"
 
     def __init__(self, spark: SparkSession, table: str | None = None, *, path: str | None = None, buckets: int = 64):
         self.spark, self.buckets = spark, buckets
         self.table = table or f"digest_index_{uuid.uuid4().hex}"
-        place = f" LOCATION '{path}'" if path else ""
+        self.own = None if path else f"{shared_dir(spark).rstrip('/')}/{self.table}"
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.table} ({self.COLUMNS}) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS{place}"
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path or self.own}'"
         )
 
     def rows(self) -> DataFrame:
@@ -79,6 +80,8 @@ class DigestIndex:
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        if self.own:
+            remove(self.spark, self.own)
 
 
 def mark_copies(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

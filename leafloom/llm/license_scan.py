@@ -192,8 +192,8 @@ SPELLINGS = [
     ("mpl-2", "mpl", r"mplv2(?: 0)?", 0.8),
     ("gpl-2-classpath", "classpath", r"gpl ?(?:v ?|version )?2(?: 0)? (?:only )?with (?:the )?classpath exception", 1.0),
     ("gpl-3-gcc", "gcc", r"gpl ?(?:v ?|version )?3(?: 0)? with (?:the )?gcc (?:runtime library )?exception", 1.0),
-    ("mit-or-apache-2", "mit", r"mit (?:or|and) apache(?: license)?(?: version)? ?2(?: 0)?", 0.9),
-    ("mit-or-apache-2", "apache", r"apache(?: license)?(?: version)? ?2(?: 0)? (?:or|and) mit", 0.9),
+    ("mit-or-apache-2", "mit", r"(?<!identifier )(?<!or )(?<!and )mit (?:or|and) apache(?: license)?(?: version)? ?2(?: 0)?", 0.9),
+    ("mit-or-apache-2", "apache", r"(?<!identifier )(?<!or )(?<!and )apache(?: license)?(?: version)? ?2(?: 0)? (?:or|and) mit", 0.9),
     ("mit-or-gpl", "mit", r"(?:dual licensed|licensed) under (?:both )?(?:the )?mit (?:or|and) (?:the )?gpl(?: version ?[23])?(?: licenses?)?", 0.9),
     ("bsd-2-clause", "bsd", r"bsd 2 clause", 0.8),
     ("bsd-3-clause", "bsd", r"bsd 3 clause", 0.8),
@@ -214,6 +214,35 @@ SPELLINGS = [
     ("gfdl", "documentation", r"gnu free documentation license", 0.6),
     ("mpl", "mozilla", r"mozilla public license", 0.6),
     ("epl", "eclipse", r"eclipse public license", 0.6),
+    ("gpl-1", "general", r"gnu general public license(?: version| v)? ?1(?: 0)?", 0.8),
+    ("gpl-2", "general", r"gnu general public license(?: version| v)? ?2(?: 0)?(?: only)?", 0.8),
+    ("gpl-3", "general", r"gnu general public license(?: version| v)? ?3(?: 0)?(?: only)?", 0.8),
+    ("gpl-2-or-later", "general", r"gnu general public license(?: version| v)? ?2(?: 0)? or (?:any )?later(?: version)?", 0.9),
+    ("gpl-3-or-later", "general", r"gnu general public license(?: version| v)? ?3(?: 0)? or (?:any )?later(?: version)?", 0.9),
+    ("lgpl-2.1", "lesser", r"gnu lesser general public license(?: version| v)? ?2 1(?: only)?", 0.8),
+    ("lgpl-3", "lesser", r"gnu lesser general public license(?: version| v)? ?3(?: 0)?(?: only)?", 0.8),
+    ("lgpl-2", "library", r"gnu library general public license(?: version| v)? ?2(?: 0)?(?: only)?", 0.8),
+    ("agpl-3", "affero", r"gnu affero general public license(?: version| v)? ?3(?: 0)?(?: only)?", 0.8),
+    ("gpl-2", "gnu", r"gnu gpl ?(?:version |v ?)?2(?: 0)?(?: only)?", 0.8),
+    ("gpl-3", "gnu", r"gnu gpl ?(?:version |v ?)?3(?: 0)?(?: only)?", 0.8),
+    ("lgpl-2.1", "lgpl", r"(?:gnu )?lgpl ?(?:version |v ?)?2 1(?: only)?", 0.8),
+    ("lgpl-3", "lgpl", r"(?:gnu )?lgpl ?(?:version |v ?)?3(?: 0)?(?: only)?", 0.8),
+    ("agpl-3", "agpl", r"(?:gnu )?agpl ?(?:version |v ?)?3(?: 0)?(?: only)?", 0.8),
+    ("gpl", "gpl", r"gpl", 0.4),
+    ("lgpl", "lgpl", r"lgpl", 0.4),
+    ("agpl", "agpl", r"agpl", 0.4),
+    ("artistic-2", "artistic", r"artistic license(?: version| v)? ?2(?: 0)?", 0.8),
+    ("elastic-2", "elastic", r"elastic license(?: version| v)? ?2(?: 0)?", 0.8),
+    ("elastic", "elastic", r"elastic license", 0.6),
+    ("sspl-1", "sspl", r"sspl ?(?:version |v ?)?1(?: 0)?", 0.8),
+    ("sspl", "side", r"server side public license", 0.8),
+    ("busl-1.1", "business", r"business source license(?: version| v)? ?1 1", 0.9),
+    ("busl", "business", r"business source license", 0.7),
+    ("mulan-psl-2", "mulan", r"mulan (?:permissive software license|psl)(?: version| v)? ?2(?: 0)?", 0.9),
+    ("blueoak-1", "blue", r"blue oak model license(?: version| v)? ?1(?: 0)?(?: 0)?", 0.9),
+    ("upl-1", "universal", r"universal permissive license(?: version| v)? ?1(?: 0)?", 0.9),
+    ("polyform-noncommercial-1", "polyform", r"polyform non ?commercial license(?: version| v)? ?1(?: 0)?(?: 0)?", 0.9),
+    ("openrail", "openrail", r"(?:creativeml )?(?:big ?science )?openrail(?: ?m)?", 0.8),
 ]
 
 # Label, keywords, and the spellings of the license's name, to be put into each of ``PHRASES``.
@@ -269,6 +298,17 @@ LICENSES = [
     ("afl-3", "academic", r"academic free license(?: version| v)? ?3(?: 0)?"),
     ("gfdl-1.2", "documentation", r"gnu free documentation license(?: version| v)? ?1 2"),
     ("gfdl-1.3", "documentation", r"gnu free documentation license(?: version| v)? ?1 3"),
+    ("elastic-2", "elastic", r"elastic(?: license)?(?: version| v)? ?2(?: 0)?"),
+    ("sspl-1", "side", r"server side public license(?: version| v)? ?1(?: 0)?"),
+    ("ncsa", "ncsa", r"(?:university of illinois )?ncsa(?: open source)?"),
+    ("bsd", "bsd", r"bsd(?: style)?"),
+    ("apache", "apache", r"apache(?: software)?"),
+    ("gpl", "gpl", r"(?:gnu )?gpl"),
+    ("lgpl", "lgpl", r"(?:gnu )?lgpl"),
+    ("agpl", "agpl", r"(?:gnu )?agpl"),
+    ("mpl", "mpl", r"mpl"),
+    ("epl", "epl", r"epl"),
+    ("artistic", "artistic", r"artistic"),
 ]
 
 # The parts of the Creative Commons names, and the versions.
@@ -285,6 +325,12 @@ PHRASES = [
 ]
 
 
+#: How an identifier begins.
+SPDX = "spdx license identifier "
+# Labels and spellings of the exceptions that follow "with" in an identifier's expression.
+EXCEPTIONS = [("classpath-exception", "classpath exception 2 0"), ("gcc-exception", "gcc exception 3 1"), ("llvm-exception", "llvm exception"), ("linux-syscall-note", "linux syscall note")]
+
+
 @dataclass(frozen=True)
 class Rule:
     label: str
@@ -319,6 +365,15 @@ def rules() -> list[Rule]:
         for label, keywords, name in names:
             out.append(Rule(label, keywords_of(keywords), phrase.format(name), at, weight, also))
     last = 2 + len(PHRASES)
+    # Behind the first name of an identifier's expression stand others; a detection is the name alone.
+    named = [(r.label, r.pattern.removeprefix(SPDX)) for r in out if r.priority == 1 and r.pattern.startswith(SPDX)]
+    first = "|".join(sorted((p for _, p in named), key=len, reverse=True))
+    for label, name in [*named, *EXCEPTIONS]:
+        out.append(Rule(label, (" spdx",), rf"{SPDX}(?:(?:{first}) (?:or|and|with) )(?:(?:{first}|{'|'.join(p for _, p in EXCEPTIONS)}) (?:or|and|with) ){{0,6}}(?P<name>{name})", last, 1.0))
+    for part, name in CC_PARTS:
+        for v in CC_VERSIONS:
+            label = f"cc-{part}-{v.replace(' ', '.')}"
+            out.append(Rule(label, (" attribution",), rf"{name} {v}(?: international| unported| generic)?(?: public)? licen[cs]e", last, 0.8))
     for part, name in CC_PARTS:
         out.append(Rule(f"cc-{part}", (" cc",), rf"cc {part.replace('-', ' ')}(?: \d \d)?", last, 0.7))
         out.append(Rule(f"cc-{part}", (" creative",), rf"creative commons {name}", last, 0.7))
@@ -342,6 +397,7 @@ class Scanner:
     def __init__(self, own: list[Rule]):
         self.own = own
         self.compiled = [re.compile(rf"(?<= ){r.pattern}(?= )") for r in own]
+        self.named = ["name" if "name" in c.groupindex else 0 for c in self.compiled]  # where a detection lies
         self.automaton = ahocorasick.Automaton()
         by: dict[str, list[int]] = {}
         for i, r in enumerate(own):
@@ -365,14 +421,14 @@ class Scanner:
         starts, base = [], set()
         for phrase, label in BASE_PHRASES.items():
             if f" {phrase} " in gates:
-                for m in re.finditer(rf"(?= {phrase} )", line):
-                    starts.append(line.count(" ", 0, m.start()))
-                    base.add(label)
-        hits = [(m.start(), m.end(), self.own[i].priority, i) for i in self.open(gates, line) for m in self.compiled[i].finditer(line)]
+                starts += [m.start() for m in re.finditer(rf"(?= {phrase} )", line)]
+                base.add(label)
+        first, last = (line.count(" ", 0, at(starts)) if starts else None for at in (min, max))
+        hits = [(m.start(self.named[i]), m.end(self.named[i]), self.own[i].priority, i) for i in self.open(gates, line) for m in self.compiled[i].finditer(line)]
         kept = suppress(hits)
         labels = base | {self.own[h[3]].label for h in kept}
         score = max([1.0] * bool(base) + [self.own[h[3]].weight for h in kept], default=0.0)
-        return len(found), len(starts), min(starts, default=None), max(starts, default=None), sorted(base), sorted(labels), score
+        return len(found), len(starts), first, last, sorted(base), sorted(labels), score
 
     def open(self, gates: dict[str, list[int]], line: str) -> list[int]:
         """The rules one of whose keywords is there, and their second string too."""

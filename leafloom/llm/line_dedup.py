@@ -57,20 +57,22 @@ def drop_common_lines(
         # A key of another form: both sides of the join below are then dealt anew, and can be split.
         .select(F.struct("a", "b").alias("h"))
     )
+    # The row's hash is taken below the explosion, once for a text and not for each of its lines.
     places = (
-        docs.select(row.alias("row"), F.posexplode(keys).alias("pos", "key"))
+        docs.select(row.alias("row"), keys.alias("keys"))
+        .select("row", F.posexplode("keys").alias("pos", "key"))
         .where(F.length("key") >= least)
         .select("row", "pos", _hash(F.col("key")).alias("h"))
     )
-    hits = places.join(common, "h", "left_semi").groupBy("row").agg(F.collect_list("pos").alias("gone"))
+    hits = places.join(common, "h", "left_semi").groupBy("row").agg(F.collect_set("pos").alias("gone"))
     own = docs.drop("ld_kept", "ld_lines", "ld_dropped")
     told, lost = free_name(own, "row"), free_name(own, "gone")
     met = own.withColumn(told, row).join(hits.withColumnsRenamed({"row": told, "gone": lost}), told, "left")
     # A column of its own that is read more than once: a text is split once, not for every line of it.
     parts = free_name(met, "parts")
     met = met.withColumn(parts, _lines(F.col(text_col)))
-    # Equal rows share one row of hits, which then holds each position once for each of them.
-    gone = F.array_distinct(F.coalesce(F.col(lost), F.array().cast("array<int>")))
+    # Equal rows share one row of hits, which holds each position once, however many they are.
+    gone = F.coalesce(F.col(lost), F.array().cast("array<int>"))
     stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone))
     kept = F.array_join(F.transform(stay, lambda i: F.get(F.col(parts), i)), "\n")
     return met.withColumns(

@@ -73,17 +73,18 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     index = exact_dedup.DigestIndex(spark, buckets=exact_dedup.buckets_for(docs.count()))
-    index.add(docs)
-    marked = exact_dedup.mark_copies(docs, index).select(
-        "doc_id",
-        F.col("xd_keep_id").alias("keep_id"),
-        F.col("xd_size").alias("group_size"),
-        F.col("xd_kept").alias("kept"),
-        F.lower(F.hex("xd_digest")).alias("text_sha256"),
-    )
-    done = stored(spark, marked, "exact-marked")
-    index.drop()  # it served this query only
-    return done
+    try:
+        index.add(docs)
+        marked = exact_dedup.mark_copies(docs, index).select(
+            "doc_id",
+            F.col("xd_keep_id").alias("keep_id"),
+            F.col("xd_size").alias("group_size"),
+            F.col("xd_kept").alias("kept"),
+            F.lower(F.hex("xd_digest")).alias("text_sha256"),
+        )
+        return stored(spark, marked, "exact-marked")
+    finally:
+        index.drop()  # it served this query only
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,3 +98,28 @@ def test_plan_is_a_sort_merge_anti_join_on_buckets(spark):
     fresh = index.candidates(index.digests(frame(spark, [(2, "b")])))
     plan = fresh.join(index.rows().select("digest").hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "LeftAnti" in plan and "Bucketed: true" in plan
+
+
+def test_the_index_lies_in_the_shared_folder_and_goes_on_failure(spark, sf, monkeypatch):
+    from pathlib import Path
+
+    from leafloom.llm import queries
+    from leafloom.llm.common import shared_dir
+
+    index = exact_dedup.DigestIndex(spark, buckets=2)
+    place = Path(f"{shared_dir(spark).removeprefix('file:')}/{index.table}")
+    index.add(spark.createDataFrame([(1, "a"), (2, "A")], "doc_id bigint, text string"))
+    assert list(place.glob("*.parquet"))
+    index.drop()
+    assert not place.exists()
+
+    def fail(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(queries, "stored", fail)
+    tables = {t.name for t in spark.catalog.listTables()}
+    before = {f.name for f in place.parent.iterdir() if f.name.startswith("digest_index")}
+    with pytest.raises(RuntimeError, match="lost"):
+        queries.op6_exact_dedup(spark, sf)
+    assert {f.name for f in place.parent.iterdir() if f.name.startswith("digest_index")} == before
+    assert {t.name for t in spark.catalog.listTables()} == tables

@@ -36,6 +36,26 @@ def test_a_text_of_very_many_lines(spark):
     assert time.monotonic() - began < 60
 
 
+def seconds(spark, rows):
+    docs = spark.createDataFrame([(d, t, "a", 1, 2, "k", "g", 7, "r") for d, t in rows], SCHEMA).repartition(4).cache()
+    docs.count()
+    began = time.monotonic()
+    out = line_dedup.drop_common_lines(docs).selectExpr("sum(ld_lines)", "sum(ld_dropped)", "sum(length(ld_kept))").first()
+    took = time.monotonic() - began
+    docs.unpersist()
+    return took, tuple(out)
+
+
+def test_equal_rows_and_dropped_lines_take_time_in_proportion(spark):
+    text = "\n".join(f"shared line {i}" for i in range(200))
+    seconds(spark, [(1, text)] * 1000)  # code is compiled
+    few, many = (seconds(spark, [(1, text)] * n) for n in (2000, 8000))
+    assert many[1] == (1_600_000, 1_600_000, 0) and many[0] < 6 * few[0] + 2
+    lines = lambda n: [(i, "\n".join(f"common {k}" for k in range(n))) for i in range(10)]
+    few, many = (seconds(spark, lines(n)) for n in (10_000, 40_000))
+    assert many[1] == (400_000, 400_000, 0) and many[0] < 6 * few[0] + 2
+
+
 def test_against_a_loop(spark):
     rnd = random.Random(1)
     pool = ["Common line", "  common LINE\t", "\x0bÉtait", "était", "x", "", " ", "\r"] + [f"own {i}" for i in range(60)]
