@@ -6,6 +6,9 @@ one of the two terminals. Smoothness edges run between an element and what it ho
 and between neighbours under one element (adjacency), so the graph without terminals is a tree. The
 minimum cut leaves the blocks of the article on the source side.
 
+Names of elements are evidence, not verdicts: but for those of comments, adverts and consent, they count only
+where the element doesn't hold the page's prose itself.
+
 Terminal and smoothness capacities are on one scale: evidence up to ``LEAF`` is overruled by what
 stands around a block, stronger evidence is not. So a one-word paragraph between paragraphs is
 content, and so is an item of a list in an article, but not a link of a menu.
@@ -37,23 +40,36 @@ SILENT_TAGS = "script style noscript template svg math iframe object canvas audi
 VOID_TAGS = frozenset("hr".split())
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "body": ("head",)}
 
-# Words of class, id and role that tell what an element holds. Strong ones always count;
-# weak ones don't where the element also holds the article.
+# Words of class, id and role that tell what an element holds, in English, German, French,
+# Spanish, Italian and Portuguese. What readers, advertisers and consent managers write is prose, too, so
+# their names count wherever they stand, unless the element holds the article. All other names are judged by
+# what the element holds: they don't count for one that has the page's prose in it.
 STRONG_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsored sponsor comment comments commentlist disqus respond reply replies "
-    "cookie cookies consent gdpr newsletter subscribe signup popup modal promo promotion related recommended breadcrumb breadcrumbs "
-    "pagination pager share sharing social skip".split()
+    "ad ads adv advert adverts advertisement advertising sponsored sponsor werbung anzeige anzeigen publicite publicidad pubblicita publicidade anuncio anuncios "
+    "comment comments commentlist disqus kommentar kommentare commentaire commentaires comentario comentarios commenti comentarios "
+    "cookie cookies consent gdpr dsgvo rgpd".split()
+)
+JUDGED_WORDS = frozenset(
+    "respond reply replies newsletter subscribe signup popup modal promo promotion related recommended breadcrumb breadcrumbs pagination pager share sharing social skip "
+    "teilen verwandt verwandte empfohlen partager similaires compartir relacionados condividi correlati compartilhar".split()
 )
 WEAK_WORDS = frozenset(
     "nav navbar navigation menu sidebar aside side footer header masthead banner notice alert overlay login search widget toolbar "
-    "copyright legal disclaimer complementary contentinfo topbar bottombar".split()
+    "copyright legal disclaimer complementary contentinfo topbar bottombar rail "
+    "seitenleiste fusszeile kopfzeile hinweis suche impressum navigazione navegacion navegacao barre pied entete barra pie cabecera rodape".split()
 )
-GOOD_WORDS = frozenset("article content post entry story main body text page".split())
+GOOD_WORDS = frozenset("article content post entry story main body text page artikel beitrag inhalt contenu texte articulo contenido texto articolo contenuto testo artigo conteudo".split())
+# Words of consent notices.
+CONSENT_WORDS = re.compile(r"\bcookies?\b", re.I)
+CONSENT_ACTS = re.compile(r"\b(?:accept|agree|consent|preferences|privacy|akzeptier|einverstanden|zustimm|datenschutz|accepte[rz]?|confidentialit|acepta|privacidad|accett|aceita)", re.I)
 BAD_TAGS = frozenset("nav aside footer form dialog menu".split())
 
 #: Weights of the classifier, in log odds of being content. What a text says by itself ends at TEXT_MOST.
 BIAS, WORDS, TEXT_MOST, PROSE, LINKS, HEADING = -1.7, 0.9, 3.5, 1.2, -5.0, 1.0
-IN_ARTICLE, GOOD, STRONG, WEAK, BAD_TAG, HEADER = 0.4, 0.5, -8.5, -7.5, -7.5, -7.0
+IN_ARTICLE, GOOD, STRONG, WEAK, BAD_TAG, HEADER, CONSENT = 0.4, 0.5, -8.5, -7.5, -7.5, -7.0, -7.0
+#: A block is prose from so many words on if less than that share of it is links; an element has the page's
+#: prose if so much of it is in there, and that is a paragraph at least.
+PROSE_WORDS, PROSE_LINKS, PRINCIPAL, PARAGRAPH = 8, 0.3, 0.4, 120
 #: What an article element says for itself: all of it is content or none, unless blocks in it say otherwise.
 ARTICLE = 4.0
 #: Capacities of the smoothness edges, in the same unit: a block to its place, a place to the next one
@@ -78,11 +94,11 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 class Element:
     """An open element: what its tag and names say about the text in it."""
 
-    __slots__ = ("tag", "names", "up", "wraps", "tail", "empty", "says", "article", "at")
+    __slots__ = ("tag", "names", "up", "wraps", "tail", "empty", "says", "article", "at", "prose")
 
     def __init__(self, tag: str, rest: str, up: Element | None, node: int):
         self.tag, self.up, self.wraps, self.tail, self.empty = tag, up, False, node, True
-        self.says, self.article, self.at = 0.0, False, node
+        self.says, self.article, self.at, self.prose = 0.0, False, node, 0
         self.names: frozenset[str] = frozenset()
         if "=" in rest:
             self.names = frozenset(p.lower() for m in _NAMES.finditer(rest) for p in _PARTS.findall(m[1] or m[2] or m[3] or ""))
@@ -185,22 +201,33 @@ def read_page(page: str) -> Page:
     return tree
 
 
+def count_prose(page: Page) -> None:
+    """``prose``: the characters of prose in each element."""
+    for _, text, element, links in page.blocks:
+        if text.count(" ") + 1 >= PROSE_WORDS and links < PROSE_LINKS:
+            element.prose += len(text)
+    for e in reversed(page.elements[1:]):
+        e.up.prose += e.prose
+
+
 def weigh_elements(elements: list[Element]) -> None:
     """``says``: what an element and those around it add to the log odds of the text in it."""
+    least = max(PARAGRAPH, PRINCIPAL * elements[0].prose)
     for e in elements[1:]:
         x, e.article = e.up.says, e.up.article
+        principal = e.prose >= least
         if e.tag not in ("html", "body"):
-            if e.names & STRONG_WORDS or e.tag == "head":
+            if e.names & STRONG_WORDS and not (principal and e.wraps) or e.names & JUDGED_WORDS and not principal or e.tag == "head":
                 x += STRONG
             if e.tag in ("article", "main") and not e.article:
                 e.article = True
                 x += IN_ARTICLE
             if not e.wraps:
-                if e.tag in BAD_TAGS:
+                if e.tag in BAD_TAGS and not principal:
                     x += BAD_TAG
-                if not e.article and e.tag == "header":
+                if not e.article and e.tag == "header" and not principal:
                     x += HEADER
-                if e.names & WEAK_WORDS and not (e.article and e.names & WEAK_WORDS == {"header"}):
+                if e.names & WEAK_WORDS and not principal and not (e.article and e.names & WEAK_WORDS == {"header"}):
                     x += WEAK
             if e.names & GOOD_WORDS and not e.names & WEAK_WORDS:
                 x = min(x + GOOD, 1.0) if x <= 1.0 else x
@@ -214,6 +241,8 @@ def content_score(text: str, element: Element, links: float) -> float:
     x = BIAS + min(WORDS * math.log(text.count(" ") + 1), TEXT_MOST) + LINKS * links
     if text[-1] in ".!?…:;\"'”’)":
         x += PROSE
+    if not element.article and CONSENT_WORDS.search(text) and CONSENT_ACTS.search(text):
+        x += CONSENT
     return x + element.says
 
 
@@ -234,6 +263,9 @@ def min_cut(parent: list[int], weight: list[float], evidence: list[float]) -> li
 def label_blocks(page: str) -> list[tuple[str, float, bool]]:
     """(text, log odds, whether the cut leaves it with the content) of each block of a page."""
     tree = read_page(page)
+    if len(tree.elements) == 1:  # no element parts the text, so it is all there is
+        return [(text, ARTICLE, True) for _, text, _, _ in tree.blocks]
+    count_prose(tree)
     weigh_elements(tree.elements)
     evidence = [0.0] * len(tree.parent)
     for e in tree.elements:

@@ -167,3 +167,35 @@ def test_table(spark, sf):
     rows = [(r.page_id, r.url, expected(r.html), len(expected(r.html))) for r in every.collect()]
     assert sorted(map(tuple, hx.extract_main_text(every).collect()), key=repr) == sorted(rows, key=repr)
     assert hx.extract_main_text(pages.limit(0)).collect() == []
+
+
+STORY = "".join(f"<p>Paragraph {i} tells what happened on that day in the old town, and who was there to see it all.</p>" for i in range(6))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body><div class="share-price-story">{STORY}</div></body>',
+        f'<body><article class="related-research">{STORY}</article></body>',
+        f'<body><aside class="sidebar"><a href=x>Links</a></aside><div class="banner side">{STORY}</div></body>',
+        f'<body><article>{STORY}</article><div class="kommentare"><p>Das ist ein langer Kommentar einer Leserin, der hier nicht hingehört.</p></div></body>',
+        f'<body><article>{STORY}</article><div class="rail"><p>Buy the best shoes in town today, for half the price of last week.</p></div></body>',
+        f'<body><article>{STORY}</article><div><p>We use cookies to improve your visit; please accept them or change your preferences.</p></div></body>',
+        f'<body><div id="comments-layout"><article>{STORY}</article></div></body>',
+        f'<body><div class="post">{STORY}</div><section class="commentaires">{STORY * 3}</section></body>',
+    ],
+)
+def test_names_are_judged_by_what_elements_hold(page):
+    want = " ".join(re.findall(r"<p>(.*?)</p>", STORY))
+    assert hx.main_text(page) == want
+
+
+def test_a_page_without_markup_is_one_block():
+    assert hx.main_text("hello   world") == "hello world"
+    assert hx.main_text("a &amp; b") == "a & b"
+    assert hx.main_text(" ") == ""
+
+
+def test_consent_in_an_article_stays():
+    page = f"<article>{STORY}<p>The law on cookies asks that readers accept them before anything is stored on their machine.</p></article>"
+    assert "law on cookies" in hx.main_text(page)
