@@ -16,8 +16,12 @@
 
 from __future__ import annotations
 
+import functools
+import os
 import re
-from collections.abc import Iterator
+from array import array
+from collections import ChainMap
+from collections.abc import Iterator, Mapping
 from hashlib import sha256
 from itertools import chain
 
@@ -33,8 +37,8 @@ from leafloom.llm.common import stored
 
 #: Characters of distinct texts in a chunk, and what a text counts besides.
 CHUNK_CHARS, TEXT_CHARS = 24_000_000, 200
-#: Cells of up to this many characters are kept, and so many of them.
-CELL_CHARS, KEPT_CELLS = 48, 300_000
+#: Cells of up to this many characters are kept, and about so many of them, twice.
+CELL_CHARS, KEPT_CELLS = 48, 200_000
 
 _CUTS = re.compile(r"(?<=\S)(?= +[^ ])")
 
@@ -47,29 +51,36 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-def join_tokens(a: list[int], b: list[int], a_ends: list[int], b_ends: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
-    """(groups of ids between common ends, links of ids whose ranges overlap) of two runs of tokens with the
-    offsets at which they end; both end at the same."""
+def join_tokens(a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int]) -> tuple[list[str], list[int]]:
+    """(groups of ids between common ends, as text; links of ids whose ranges overlap, as numbers) of two runs of
+    tokens with their sizes in bytes; both cover the same bytes."""
     groups, links, i, j = [], [], 0, 0
-    own: tuple[list[int], list[int]] = ([a[0]], [b[0]]) if a else ([], [])
-    while i < len(a):
-        links.append((a[i], b[j]))
-        one, two = a_ends[i], b_ends[j]
-        i, j = i + (one <= two), j + (two <= one)
-        if one == two:
-            groups.append(own)
-            own = ([a[i]], [b[j]]) if i < len(a) else ([], [])
-        elif one < two:
-            own[0].append(a[i])
+    x, y, one_end, two_end = a[0], b[0], a_sizes[0], b_sizes[0]
+    one, two = str(x), str(y)
+    while True:
+        links.append((x << 32) | y)
+        if one_end == two_end:
+            groups.append(f"{one}|{two}")
+            i, j = i + 1, j + 1
+            if i == len(a):
+                return groups, links
+            x, y = a[i], b[j]
+            one, two, one_end, two_end = str(x), str(y), one_end + a_sizes[i], two_end + b_sizes[j]
+        elif one_end < two_end:
+            i += 1
+            x = a[i]
+            one, one_end = f"{one},{x}", one_end + a_sizes[i]
         else:
-            own[1].append(b[j])
-    return groups, links
+            j += 1
+            y = b[j]
+            two, two_end = f"{two},{y}", two_end + b_sizes[j]
 
 
 class Pair:
     """Both tokenizers, from the bytes of their files: a byte-level BPE and a piece model."""
 
     def __init__(self, byte_level: bytes, pieces: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -85,42 +96,60 @@ class Pair:
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
             self.cuts &= "▁" not in piece.lstrip("▁")
         self.kept: dict[str, tuple | None] = {}
+        self.older: dict[str, tuple | None] = {}  # what was kept before that
 
     def cells(self, text: str) -> list[str]:
-        return _CUTS.split(" " + text) if self.cuts else [" " + text]
-
-    def ids(self, cell: str) -> tuple[list[int], list[int]]:
-        return self.a.encode(cell, add_special_tokens=False).ids, self.b.encode(cell[1:])
-
-    def align(self, cell: str) -> tuple[int, int, int, int, str, list[int]] | None:
-        """(tokens of either, groups, links, the groups as text, the links as numbers) of a cell, which begins
-        with a space; None where the tokens' bytes aren't those of the cell."""
-        done = self.kept.get(cell, False)
-        if done is not False:
-            return done
-        a, b = self.ids(cell)
+        """The cells of a text; none for an empty one."""
+        return [] if not text else _CUTS.split(" " + text) if self.cuts else [" " + text]
+
+    def ids(self, cells: list[str]) -> list[tuple[list[int], list[int]]]:
+        """The ids of either tokenizer for each cell; a cell begins with a space."""
+        one = self.a.encode_batch_fast(cells, add_special_tokens=False)
+        return list(zip((e.ids for e in one), self.b.encode([c[1:] for c in cells], num_threads=1)))
+
+    def _align(self, cell: str, a: list[int], b: list[int]) -> tuple[int, int, int, int, str, bytes] | None:
         one, two = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        done, whole = None, cell.encode("utf-8", "surrogatepass")
-        if b"".join(one) == whole == b"".join(two):
-            groups, links = join_tokens(a, b, np.cumsum([len(x) for x in one]).tolist(), np.cumsum([len(x) for x in two]).tolist())
-            written = ";".join(f"{','.join(map(str, g))}|{','.join(map(str, h))}" for g, h in groups)
-            done = len(a), len(b), len(groups), len(links), written, [(x << 32) | y for x, y in links]
-        if len(cell) <= CELL_CHARS:
-            if len(self.kept) >= KEPT_CELLS:
-                self.kept.clear()
-            self.kept[cell] = done
-        return done
-
-    def __call__(self, text: str) -> tuple[int, int, int, int, str, np.ndarray] | None:
-        """``align`` for a whole text; None for an empty one, too."""
-        if not text:
-            return None
-        found = [self.align(c) for c in self.cells(text)]
-        if None in found:
+        whole = cell.encode("utf-8", "surrogatepass")
+        if b"".join(one) != whole or b"".join(two) != whole:
             return None
-        n_a, n_b, n_groups, n_links, written, links = zip(*found)
-        codes = np.fromiter(chain.from_iterable(links), dtype=np.int64, count=sum(n_links))
-        return sum(n_a), sum(n_b), sum(n_groups), sum(n_links), sha256(";".join(written).encode()).hexdigest(), codes
+        groups, links = join_tokens(a, b, [len(x) for x in one], [len(x) for x in two])
+        return len(a), len(b), len(groups), len(links), ";".join(groups), array("q", links).tobytes()
+
+    def align(self, texts: list[list[str]]) -> Mapping[str, tuple | None]:
+        """For each cell of the texts: tokens of either, groups, links, the groups as text and the links as
+        numbers in bytes; None where the tokens' bytes aren't those of the cell. Short cells are kept for later
+        calls, as numbers and strings only, which the garbage collector doesn't walk through."""
+        cells = set(chain.from_iterable(texts))
+        if len(self.kept) >= KEPT_CELLS:
+            self.kept, self.older = {}, self.kept
+        kept, older = self.kept, self.older
+        new = [c for c in cells if c not in kept]
+        again = [c for c in new if c in older]
+        kept.update((c, older[c]) for c in again)
+        new = [c for c in new if c not in kept]
+        found = {c: self._align(c, a, b) for c, (a, b) in zip(new, self.ids(new))} if new else {}
+        long = {c: x for c, x in found.items() if len(c) > CELL_CHARS}
+        kept.update((c, x) for c, x in found.items() if c not in long)
+        return ChainMap(long, kept) if long else kept
+
+    def __call__(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, str, np.ndarray] | None]:
+        """For each text what ``align`` gives for a cell; None for a text that has no tokens."""
+        cut = [self.cells(t) for t in texts]
+        known = self.align(cut)
+        for cells in cut:
+            found = [known[c] for c in cells]
+            if not found or None in found:
+                yield None
+                continue
+            n_a, n_b, n_groups, n_links, written, links = zip(*found)
+            codes = np.frombuffer(b"".join(links), dtype=np.int64)
+            yield sum(n_a), sum(n_b), sum(n_groups), sum(n_links), sha256(";".join(written).encode()).hexdigest(), codes
+
+
+@functools.lru_cache(maxsize=1)
+def _pair(files: _Files) -> Pair:
+    """The tokenizers of a worker: one task after another goes on with the cells that it has met."""
+    return Pair(*files.value)
 
 
 _TEXT = [("chunk", pa.int64()), ("digest", pa.binary()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string())]
@@ -140,9 +169,26 @@ def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(both[:n]), both[n:]
 
 
-def _tokenise(files, chunk_chars: int):
+class _Files:
+    """A broadcast of both files; two of one digest are the same."""
+
+    def __init__(self, digest: str, files):
+        self.digest, self.files = digest, files
+
+    @property
+    def value(self) -> tuple[bytes, bytes]:
+        return self.files.value
+
+    def __hash__(self) -> int:
+        return hash(self.digest)
+
+    def __eq__(self, other) -> bool:
+        return self.digest == other.digest
+
+
+def _tokenise(files: _Files, chunk_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, part, closed = Pair(*files.value), TaskContext.get().partitionId(), 0
+        pair, part, closed = _pair(files), TaskContext.get().partitionId(), 0
         rows: list[tuple] = []
         held = 0
 
@@ -172,8 +218,8 @@ def _tokenise(files, chunk_chars: int):
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 some = batch.slice(low, 256)
-                for text, copies in zip(some.column("text").to_pylist(), some.column("copies").to_pylist()):
-                    found = pair(text)
+                texts = some.column("text").to_pylist()
+                for text, copies, found in zip(texts, some.column("copies").to_pylist(), pair(texts)):
                     if found is None:
                         continue
                     own, times = np.unique(found[5], return_counts=True)
@@ -222,7 +268,8 @@ def align_tokenizers(
     repeated; an empty table gives an empty table. Other columns aren't read, whatever their names.
     """
     with open(byte_level, "rb") as one, open(pieces, "rb") as two:
-        files = spark.sparkContext.broadcast((one.read(), two.read()))
+        read = one.read(), two.read()
+    files = _Files(sha256(b"".join(read)).hexdigest(), spark.sparkContext.broadcast(read))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     distinct = rows.where("text <> ''").groupBy("text").agg(F.count(F.lit(1)).alias("copies"))
     chunks = stored(spark, distinct.mapInArrow(_tokenise(files, chunk_chars), _DDL), "alignment-chunks")

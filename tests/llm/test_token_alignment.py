@@ -106,11 +106,11 @@ def test_cells_are_encoded_as_in_their_text(plain):
         cells, whole = pair.cells(text), plain(text)
         assert "".join(cells) == " " + text
         if whole:
-            ids = [pair.ids(c) for c in cells]
+            ids = pair.ids(cells)
             assert [i for a, _ in ids for i in a] == [x[0] for x in whole[0]]
             assert [i for _, b in ids for i in b] == [x[0] for x in whole[1]]
         else:
-            assert pair(text) is None
+            assert list(pair([text])) == [None]
 
 
 def test_long_text_without_a_space(spark, plain):
