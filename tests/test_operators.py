@@ -361,6 +361,21 @@ def test_reachability_over_many_rounds(spark, monkeypatch):
     assert got == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (5, 3), (6, 4), (7, 5), (8, 6)]
 
 
+@pytest.mark.parametrize("hops", [1, 2, 5])
+def test_reachability_by_random_edges(spark, hops):
+    import random
+
+    rnd = random.Random(hops)
+    edges = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(150)] + [(3, None), (None, 4)]
+    want, layer, depth = {7: 0}, {7}, 0
+    while layer:
+        depth += 1
+        layer = {b for a, b in edges if a in layer and b is not None and b not in want}
+        want |= dict.fromkeys(layer, depth)
+    got = graph.reachable(spark, spark.createDataFrame(edges, "src long, dst long"), [7], hops=hops).collect()
+    assert len(got) == len(want) > 1 and {r.node: r.depth for r in got} == want
+
+
 def test_candidates_stop_at_the_first_within_target(spark):
     rows = [("a", 1, 90, 100, 50), ("a", 2, 40, 100, 50), ("a", 3, 10, 100, 50), ("b", 1, 90, 100, 50), ("b", 2, 80, 100, 50), ("c", 1, 120, 100, 50)]
     got = {r.key: (r.rank, r.size, r.tried, r.met) for r in rules.select_candidate(spark.createDataFrame(rows, "key string, rank int, size long, original long, target long")).collect()}
