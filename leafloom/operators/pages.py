@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from leafloom.functions.lineage import cut
 from leafloom.functions.markup import Cleaner
 from leafloom.functions.text import SPACE, is_letter_spaced, latin1_fold, normalize, tokens
 
@@ -163,8 +164,8 @@ def valid_regions(regions: DataFrame) -> DataFrame:
     return own.select("doc_id", "page_no", edge("x").alias("x"), edge("y").alias("y"), size("x", "w").alias("w"), size("y", "h").alias("h")).where("w > 0 AND h > 0")
 
 
-#: Cells of a page along each side, for finding what lies near a word.
-GRID = 32
+#: Cells of a page along each side, for finding what lies near a word; words that may be broadcast (some 100 bytes each).
+GRID, BROADCAST_HITS = 32, 200_000
 
 
 def _cells(x: Column, y: Column, w: Column, h: Column) -> Column:
@@ -180,16 +181,20 @@ def _cells(x: Column, y: Column, w: Column, h: Column) -> Column:
 def region_redaction(words: DataFrame, regions: DataFrame) -> DataFrame:
     """Words (doc_id, page_no, idx, x, y, w, h, ..) with ``hit``: whether their box meets a valid region of
     their page. Words and regions are dealt to the cells of a grid over the page, so a word is held against
-    the regions in its own cells only, and a crowded page is split by cells. A word without numbers isn't hit."""
+    the regions in its own cells only, and a crowded page is split by cells. A word without numbers isn't hit.
+    Words on pages without regions are passed by; what is hit is written once, counted, and joined to all words."""
     boxed = valid_regions(regions).select("doc_id", "page_no", F.struct("x", "y", "w", "h").alias("r"))
     near = boxed.select("doc_id", "page_no", F.explode(_cells(F.col("r.x"), F.col("r.y"), F.col("r.w"), F.col("r.h"))).alias("cell"), "r").distinct()
     key = F.struct("doc_id", "page_no", "idx", "x", "y", "w", "h")
-    dealt = words.select(key.alias("k"), F.explode(_cells(F.col("x"), F.col("y"), F.col("w"), F.col("h"))).alias("cell"))
+    on_pages = words.join(boxed.select("doc_id", "page_no").distinct(), ["doc_id", "page_no"], "left_semi")
+    dealt = on_pages.select(key.alias("k"), F.explode(_cells(F.col("x"), F.col("y"), F.col("w"), F.col("h"))).alias("cell"))
     across = (F.col("k.x") < F.col("r.x") + F.col("r.w")) & (F.col("k.x") + F.col("k.w") > F.col("r.x"))
     down = (F.col("k.y") < F.col("r.y") + F.col("r.h")) & (F.col("k.y") + F.col("k.h") > F.col("r.y"))
     place = F.struct(F.col("k.doc_id").alias("doc_id"), F.col("k.page_no").alias("page_no"), "cell")
     met = dealt.withColumn("place", place).join(near.select(F.struct("doc_id", "page_no", "cell").alias("place"), "r"), "place").where(across & down)
-    hits = met.select("k").distinct().withColumn("hit", F.lit(True))
+    hits = cut(met.select("k").distinct().withColumn("hit", F.lit(True)))
+    if hits.count() <= BROADCAST_HITS:
+        hits = F.broadcast(hits)  # else all words would be dealt anew to meet a few of them
     return words.withColumn("k", key).join(hits, "k", "left").withColumn("hit", F.coalesce("hit", F.lit(False))).drop("k")
 
 
