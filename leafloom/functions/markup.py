@@ -37,7 +37,7 @@ SAFE_SCHEMES = frozenset("http https ftp ftps mailto tel sms cid xmpp".split())
 
 _NAME = re.compile(r"[A-Za-z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""[\s/]*(?:([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?)?""")
-_IGNORED = re.compile(r"[\x00-\x20\x7f-\xa0 ᠎ -‏ -  -⁤　﻿]")
+_IGNORED = re.compile(r"[\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
 _SCHEME = re.compile(r"([^/?#:]*):")
 
 
