@@ -97,9 +97,14 @@ def output_name(number: Column, stem: Column, suffix: str) -> Column:
     return F.concat(F.when(F.length(digits) < 3, F.lpad(digits, 3, "0")).otherwise(digits), F.lit("-"), stem, F.lit(suffix))
 
 
+# The patterns of letter-spaced texts, and the words of bold and italic fonts.
+LETTER_SPACED, CAPITAL_PAIR = r"^(\S ){2,}\S$", r"^\p{Lu} \p{Lu}$"
+BOLD, ITALIC = "bold|black|heavy|semibold|demi", "italic|oblique"
+
+
 def is_letter_spaced(text: Column) -> Column:
     """Whether a text is three or more single signs parted by single spaces, or two capital letters so."""
-    return F.coalesce(text.rlike(r"^(\S ){2,}\S$") | text.rlike(r"^\p{Lu} \p{Lu}$"), F.lit(False))
+    return F.coalesce(text.rlike(LETTER_SPACED) | text.rlike(CAPITAL_PAIR), F.lit(False))
 
 
 # Words of font names, words that rule them out, and the font that stands for them; of
@@ -121,7 +126,7 @@ def font_class(name: Column, family: Column) -> Column:
     for pattern, unless, label in FONTS:
         met = words.rlike(pattern) if unless is None else words.rlike(pattern) & ~words.rlike(unless)
         font = F.when(met, label).otherwise(font)
-    return F.struct(font.alias("font"), words.rlike("bold|black|heavy|semibold|demi").alias("bold"), words.rlike("italic|oblique").alias("italic"))
+    return F.struct(font.alias("font"), words.rlike(BOLD).alias("bold"), words.rlike(ITALIC).alias("italic"))
 
 
 def setting_labels(settings: Column, labels: list[tuple[str, str]]) -> Column:

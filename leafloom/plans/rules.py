@@ -66,10 +66,10 @@ def category_dictionary(spark, sf_dir):
 
 @REGISTRY.add(
     "valid_identity",
-    r"""WITH i_ AS (SELECT doc_id, regexp_extract_all(text, '\S*@\S*') AS es, md5(doc_id::VARCHAR) AS h FROM documents),
+    rf"""WITH i_ AS (SELECT doc_id, regexp_extract_all(text, '\S*@\S*') AS es, md5(doc_id::VARCHAR) AS h FROM documents),
     e_ AS (SELECT doc_id, h, unnest(CASE WHEN len(es) > 0 THEN es ELSE [NULL] END) AS email, unnest(range(greatest(len(es), 1))) AS pos FROM i_),
     u_ AS (SELECT doc_id, pos, email, CASE WHEN doc_id % 4 = 0 THEN h ELSE h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] END AS uid FROM e_)
-    SELECT doc_id, pos, uid, email, regexp_matches(uid, '(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$') AS uuid_ok, regexp_matches(email, '^[^\s@]+@[^\s@]+\.[^\s@]+$') AND length(email) <= 254 AS email_ok FROM u_""",
+    SELECT doc_id, pos, uid, email, regexp_matches(uid, '{ops.UUID}') AS uuid_ok, regexp_matches(email, '{ops.EMAIL}') AND length(email) <= 254 AS email_ok FROM u_""",
 )
 def valid_identity(spark, sf_dir):
     """Every word with an @ of every document, and the document's id in two spellings."""
