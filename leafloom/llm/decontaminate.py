@@ -1,13 +1,16 @@
 """Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
 
-1. The words and word pairs of the test items are counted over all texts. Those in few documents are
-   rare. The seed at a place of an item is the shortest run of words from there that is rare, or else
-   the run of ``n`` words whether it is rare or not: wherever ``n`` words in a row are left of an item,
-   a seed is, and a rare word or pair is enough.
-2. The seeds are looked up in every text. Around the places they point to, a window is taken that holds
-   every alignment over them of the least score; it is left out only if the words that it has in
-   common with its item can't reach that score.
-3. All others are aligned with their item, word by word, with gaps: edited and partly rewritten copies
+1. The runs of 1 to ``longest`` words of the test items are counted over all texts, in one walk from each
+   word of a text that goes on only while the run so far is one of an item.
+2. The seed at a place of an item is the shortest run of words from there that is rare: that few documents
+   hold beyond those that hold what is *typical* of the item. Of an item that many documents copy, every run
+   is common; so as many documents as hold its middling run of ``typical`` words are granted to each of its
+   runs. Where a run of ``longest`` words still isn't rare, no seed stands. Fewer places than
+   ``1 - min_score`` of an item are such, and a copy of the least score takes up more than they have.
+3. The seeds are looked up in every text by the same walk. Around the places they point to, a window is
+   taken that holds every alignment over them of the least score; it is left out only if the words that it
+   has in common with its item can't reach that score.
+4. All others are aligned with their item, word by word, with gaps: edited and partly rewritten copies
    keep a high score, chance hits a low one. Only hits leave the scan, texts are never shuffled.
 
 Items too short to tell an edited copy from chance are looked up as whole phrases.
@@ -28,12 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafloom.llm.common import LOWER_BYTES, discard, row_key, stored
-from leafloom.llm.shingles import ngrams, word_hashes
+from leafloom.llm.shingles import longer, mix, word_hashes
 
-BLOCK_WORDS = 1_000_000
-#: Windows a document, on average, that the rare runs of a block may point to, and words looked up at once.
+BLOCK_WORDS = 500_000
+#: Windows a document, on average, that the seeds of a block may point to beyond what is typical of their
+#: items, and words looked up at once.
 RARE_WINDOWS, PACK_WORDS = 0.25, 1_000_000
-#: Bits of the table that turns away most n-grams before the exact search.
+#: Bits of the table that turns away most runs before the exact search.
 SIEVE_BITS = 22
 #: Alignment: points for a match, a mismatch and a gap.
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -47,29 +51,51 @@ def plain_words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(LOWER_BYTES, _PUNCTUATION).split()
 
 
-class Grams:
-    """A set of n-gram hashes of one length, each with any number of values."""
+class Runs:
+    """The distinct runs of ``size`` words among ``hashes``, each with the numbers ``own`` that stand at it.
+    A walk goes on from those of them that are ``open``."""
 
-    def __init__(self, n: int, hashes: np.ndarray):
-        self.n = n
-        self.order = np.argsort(hashes, kind="stable")
-        self.hash = hashes[self.order]
+    def __init__(self, size: int, hashes: np.ndarray, own: np.ndarray | None = None, seed: np.ndarray | None = None):
+        self.size = size
+        self.hash, run = np.unique(hashes, return_inverse=True)
         self.sieve = np.zeros(2**SIEVE_BITS, dtype=bool)
-        self.sieve[(hashes >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)] = True
-
-    def hits(self, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places, numbers of the grams there), for every gram of equal hash in texts that stand one
-        after the other and end at ``ends``."""
-        own = ngrams(words, self.n)
-        at = np.flatnonzero(self.sieve[(own >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)])
-        if self.n > 1:
-            at = at[at + self.n <= ends[np.searchsorted(ends, at, "right")]]
-        low, high = np.searchsorted(self.hash, own[at], "left"), np.searchsorted(self.hash, own[at], "right")
-        times = high - low
-        if times.max(initial=0) <= 1:
-            return at[times > 0], self.order[low[times > 0]]
+        self.sieve[(self.hash >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)] = True
+        self.open = None
+        if own is not None:
+            seed = np.ones(len(own), dtype=bool) if seed is None else seed
+            self.open = np.bincount(run[~seed], minlength=len(self.hash)) > 0
+            self.own = own[seed][np.argsort(run[seed], kind="stable")]
+            self.first = np.concatenate([[0], np.cumsum(np.bincount(run[seed], minlength=len(self.hash)))])
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of ``hashes`` are runs here, their numbers)."""
+        at = np.flatnonzero(self.sieve[(hashes >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)])
+        run = np.searchsorted(self.hash, hashes[at])
+        same = self.hash[np.minimum(run, len(self.hash) - 1)] == hashes[at] if len(self.hash) else np.zeros(len(at), dtype=bool)
+        return at[same], run[same]
+
+    def spread(self, at: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each of ``at`` with every number that stands at its run."""
+        low, times = self.first[run], self.first[run + 1] - self.first[run]
         at, low = np.repeat(at, times), np.repeat(low, times)
-        return at, self.order[low + np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)]
+        return at, self.own[low + np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)]
+
+
+def walk(tables: list[Runs], words: np.ndarray, ends: np.ndarray) -> Iterator[tuple[Runs, np.ndarray, np.ndarray]]:
+    """(runs of one length, places, numbers of the runs there), by rising lengths, in texts that stand one
+    after the other and end at ``ends``. A place is left where its run isn't in a table or isn't open."""
+    at, run, size = np.arange(len(words)), words, 1
+    stop = np.repeat(ends, np.diff(ends, prepend=0))
+    for table in tables:
+        while size < table.size:
+            inside = at + size < stop[at]
+            at, run = at[inside], run[inside]
+            run, size = longer(run, words[at + size]), size + 1
+        which, number = table.find(mix(run))
+        yield table, at[which], number
+        if table.open is not None:
+            which = which[table.open[number]]
+        at, run = at[which], run[which]
 
 
 def packs(texts: list[bytes | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -88,50 +114,80 @@ def packs(texts: list[bytes | None]) -> Iterator[tuple[int, np.ndarray, np.ndarr
 class Seeds:
     """The seeds of a block of items, each with its item and its place there."""
 
-    def __init__(self, items: list[list[bytes]], n: int, min_score: float, min_words: int):
+    def __init__(self, items: list[list[bytes]], longest: int, typical: int, min_score: float, min_words: int):
         self.items = [word_hashes(ws) for ws in items]
         self.lists = [h.tolist() for h in self.items]
-        self.n, self.min_score, self.min_words = n, min_score, min_words
+        self.typical, self.min_score = typical, min_score
         # An alignment of the least score has so many words for a word of the item between its own at most.
         self.spare = MATCH * (1 - min_score) / -GAP
-        long = [i for i, h in enumerate(self.items) if len(h) >= min_words]
-        short = [i for i, h in enumerate(self.items) if 0 < len(h) < min_words]
-        self.of_item = np.repeat(np.array(long, np.int64), [len(self.items[i]) for i in long])
-        self.place = np.concatenate([*(np.arange(len(self.items[i])) for i in long), np.empty(0, np.int64)]).astype(np.int64)
-        # The run of k words from each place; 0 where the item ends before.
-        self.runs = {}
-        for k in range(1, n + 1):
-            parts = [np.concatenate([ngrams(self.items[i], k), np.zeros(k - 1, np.uint64)]) for i in long]
-            self.runs[k] = np.concatenate([*parts, np.empty(0, np.uint64)])
-        # Runs shorter than n that are counted, each once.
-        self.counted = [Grams(k, np.unique(self.runs[k][self.runs[k] != 0])) for k in range(1, n)]
-        self.whole: list[tuple[Grams, np.ndarray]] = []
-        for k in sorted({len(self.items[i]) for i in short}):
-            own = [i for i in short if len(self.items[i]) == k]
-            self.whole.append((Grams(k, np.concatenate([ngrams(self.items[i], k) for i in own])), np.array(own)))
-
-    def choose(self, frequent: set[tuple[int, int]]) -> None:
-        """Fix the seeds, given which counted runs (length, number) aren't rare."""
-        left = np.ones(len(self.place), dtype=bool)
-        self.seeds: list[tuple[Grams, np.ndarray, np.ndarray]] = []
-        for k in range(1, self.n + 1):
-            own = left & (self.runs[k] != 0)
-            if k < self.n:
-                grams = self.counted[k - 1].hash
-                often = grams[[i for length, i in frequent if length == k]]
-                own &= ~np.isin(self.runs[k], often)
-            left &= ~own
-            self.seeds.append((Grams(k, self.runs[k][own]), self.of_item[own], self.place[own]))
-        del self.runs, self.counted
+        sizes = np.array([len(h) for h in self.items], np.int64)
+        long, short = np.flatnonzero(sizes >= min_words), np.flatnonzero((sizes > 0) & (sizes < min_words))
+        self.of_item = np.repeat(long, sizes[long])
+        self.place = np.arange(len(self.of_item)) - np.repeat(np.cumsum(sizes[long]) - sizes[long], sizes[long])
+        left = sizes[self.of_item] - self.place
+        words = np.concatenate([*(self.items[i] for i in long), np.empty(0, np.uint64)])
+        # The places that have a run of each length, and those runs.
+        at, run = np.arange(len(words)), words
+        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
+        for size in range(1, longest + 1):
+            if size > 1:
+                inside = left[at] >= size
+                at, run = at[inside], run[inside]
+                run = longer(run, words[at + size - 1])
+            self.runs.append((at, mix(run)))
+        self.tables = [Runs(size, run) for size, (_, run) in enumerate(self.runs, 1)]
+        self.whole = []
+        for size in np.unique(sizes[short]).tolist():
+            own = short[sizes[short] == size]
+            words = np.stack([self.items[i] for i in own])
+            run = words[:, 0]
+            for k in range(1, size):
+                run = longer(run, words[:, k])
+            self.whole.append(Runs(size, mix(run), own))
+
+    def choose(self, held: list[np.ndarray], windows: float) -> int:
+        """Fix the seeds, given how many documents hold each run of each length, and return the limit of
+        rarity: the largest number of documents beyond the typical one for which the seeds point to so many
+        ``windows`` beyond it at most, and never less than one."""
+        beyond = [count[np.searchsorted(table.hash, run)] for table, count, (_, run) in zip(self.tables, held, self.runs)]
+        usual = np.zeros(len(self.items), np.int64)
+        at = self.runs[self.typical - 1][0]
+        counts, of = beyond[self.typical - 1], self.of_item[at]
+        if len(at):
+            order = np.lexsort((counts, of))
+            own, first, many = np.unique(of[order], return_index=True, return_counts=True)
+            usual[own] = counts[order][first + np.minimum(many - 1, np.floor(many * (1 - self.min_score)).astype(np.int64))]
+        beyond = [np.maximum(count - usual[self.of_item[at]], 0) for count, (at, _) in zip(beyond, self.runs)]
+
+        def lengths(limit: int) -> tuple[np.ndarray, int]:
+            chosen, cost = np.zeros(len(self.place), np.int64), 0
+            for size, (count, (at, _)) in enumerate(zip(beyond, self.runs), 1):
+                now = (chosen[at] == 0) & (count <= limit)
+                chosen[at[now]] = size
+                cost += int(count[now].sum())
+            return chosen, cost
+
+        # A longer run is never in more documents, so what the seeds cost only grows with the limit.
+        low, high = 1, max((int(count.max(initial=0)) for count in beyond), default=0) + 1
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if lengths(middle)[1] <= windows else (low, middle)
+        chosen = lengths(low)[0]
+        self.tables = []
+        for size, (at, run) in enumerate(self.runs, 1):
+            on = chosen[at] >= size
+            self.tables.append(Runs(size, run[on], at[on], chosen[at[on]] == size))
+        del self.runs
+        return low
 
     def windows(self, hashes: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(text, item, start, end) for each stretch of a text that seeds point to, with as many words to
         spare at both ends as an alignment of the least score can put in."""
         found = []
-        for grams, items, places in self.seeds:
-            at, which = grams.hits(hashes, ends)
+        for table, at, run in walk(self.tables, hashes, ends):
+            at, own = table.spread(at, run)
             if len(at):
-                found.append((np.searchsorted(ends, at, "right"), items[which], at - places[which]))
+                found.append((np.searchsorted(ends, at, "right"), self.of_item[own], at - self.place[own]))
         if not found:
             return
         text, item, start = (np.concatenate(x) for x in zip(*found))
@@ -155,10 +211,11 @@ class Seeds:
                 best, last = align(self.items[item], passage)
                 if best / whole >= self.min_score:
                     yield text, item, best / whole, start + last - first[text]
-        for grams, items in self.whole:
-            at, which = grams.hits(hashes, ends)
-            for a, t, w in zip(at.tolist(), np.searchsorted(ends, at, "right").tolist(), which.tolist()):
-                yield t, int(items[w]), 1.0, a + grams.n - first[t]
+        for phrases in self.whole:
+            for _, at, run in walk([phrases], hashes, ends):
+                at, own = phrases.spread(at, run)
+                for a, t, item in zip(at.tolist(), np.searchsorted(ends, at, "right").tolist(), own.tolist()):
+                    yield t, item, 1.0, a + phrases.size - first[t]
 
 
 def reach(a: list[int], b: set[int]) -> int:
@@ -192,22 +249,22 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def _count(seeds):
-    """How many documents hold each counted run; length 0 counts the documents."""
+def _count(tables):
+    """How many documents hold each run of an item; length 0 counts the documents."""
     schema = pa.schema([("length", pa.int32()), ("run", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Seeds = seeds.value
-        totals, docs = [np.zeros(len(g.hash), np.int64) for g in own.counted], 0
+        own: list[Runs] = tables.value
+        totals, docs = [np.zeros(len(t.hash), np.int64) for t in own], 0
         for batch in batches:
             docs += batch.num_rows
             for _, hashes, ends in packs(batch.column("text").cast(pa.binary()).to_pylist()):
-                for grams, total in zip(own.counted, totals):
-                    at, which = grams.hits(hashes, ends)
-                    once = np.unique(np.searchsorted(ends, at, "right") * len(grams.hash) + which) % len(grams.hash)
+                for total, (_, at, number) in zip(totals, walk(own, hashes, ends)):
+                    once = np.unique(np.searchsorted(ends, at, "right") * len(total) + number) % max(1, len(total))
                     total += np.bincount(once, minlength=len(total))
-        rows = [(0, 0, docs)] + [(k, i, int(total[i])) for k, total in enumerate(totals, 1) for i in np.flatnonzero(total).tolist()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        for length, total in enumerate([np.array([docs]), *totals]):
+            held = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), length), pa.int32()), pa.array(held, pa.int32()), pa.array(total[held], pa.int64())], schema=schema)
 
     return run
 
@@ -251,12 +308,13 @@ class Block:
 
 
 def item_blocks(
-    spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 3, min_score: float = 0.5, min_words: int = 8
+    spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", longest: int = 8, typical: int = 5, min_score: float = 0.5, min_words: int = 8
 ) -> Iterator[Block]:
-    """The items in blocks, with seeds chosen by a count over all of ``docs``. A run of fewer than ``n``
-    words is rare up to the largest number of documents for which all rare runs of the block together
-    point to ``RARE_WINDOWS`` windows a document at most, on average, or to as many as there are runs where
-    that is more: a run that a single document holds is rare in a corpus of any size."""
+    """The items in blocks, with seeds chosen by a count over all of ``docs``: the seeds of a block, of all
+    lengths, point to ``RARE_WINDOWS`` windows a document at most, on average, beyond those to what is typical
+    of their items. A run that a single document holds is rare in a corpus of any size."""
+    if not 1 <= typical <= min(longest, min_words):
+        raise ValueError("a typical run is as long as the longest one, and as the shortest item aligned, at most")
     texts = docs.select(F.col(text_col).alias("text"))
     tests = stored(spark, benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")), "leaks-items")
     words = tests.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0] or 0
@@ -265,18 +323,21 @@ def item_blocks(
     for b in range(blocks):
         table = tests.where(part == b).toArrow()
         items = [(i, ws) for i, ws in zip(table["item_id"].to_pylist(), (plain_words(t) for t in table["text"].cast(pa.binary()).to_pylist())) if ws]
-        seeds = Seeds([ws for _, ws in items], n, min_score, min_words)
-        counts = texts.mapInArrow(_count(spark.sparkContext.broadcast(seeds)), "length int, run int, n bigint").groupBy("length", "run").agg(F.sum("n").alias("n"))
+        seeds = Seeds([ws for _, ws in items], longest, typical, min_score, min_words)
+        tables = spark.sparkContext.broadcast(seeds.tables)
+        counts = texts.mapInArrow(_count(tables), "length int, run int, n bigint").groupBy("length", "run").agg(F.sum("n").alias("n"))
         counts = stored(spark, counts, "leaks-counts")
+        tables.unpersist()
         total = counts.where("length = 0").agg(F.sum("n")).first()[0] or 0
-        held = counts.where("length > 0")  # two runs a word of the block at most
-        sizes = held.groupBy("n").agg(F.count(F.lit(1)).alias("runs")).orderBy("n").toArrow()
-        held_by, runs = (sizes[c].to_numpy() for c in ("n", "runs"))
-        windows = max(RARE_WINDOWS * total, sum(len(g.hash) for g in seeds.counted))
-        limit = int(held_by[np.cumsum(held_by * runs) <= windows].max(initial=0))
-        often = held.where(F.col("n") > limit).select("length", "run").toArrow()
+        found = counts.where("length > 0").toArrow()  # ``longest`` runs a word of the block at most
         discard(counts)
-        seeds.choose(set(zip(often["length"].to_pylist(), often["run"].to_pylist())))
+        length, number, n = (found[c].to_numpy() for c in ("length", "run", "n"))
+        held = []
+        for size, runs in enumerate(seeds.tables, 1):
+            count, own = np.zeros(len(runs.hash), np.int64), length == size
+            count[number[own]] = n[own]
+            held.append(count)
+        seeds.choose(held, RARE_WINDOWS * total)
         yield Block([i for i, _ in items], spark.sparkContext.broadcast(seeds))
     discard(tests)
 
@@ -293,7 +354,7 @@ def find_leaks(
     """One row per row of ``docs`` and item that it holds a copy of: ``row`` (its key: id and hash of
     its text), ``item_id``, ``score`` (of the best alignment, 1 for a whole exact copy) and
     ``end_word`` (where that ends, in words). A copy scores ``min_score`` (0.5) or more and holds a seed
-    of its item: ``n`` (3) words in a row, or fewer if they are rare; without one it isn't looked at.
+    of its item: a run of up to ``longest`` (8) words that is rare; without one it isn't looked at.
     Items of fewer than ``min_words`` (8) words are found where all their words stand in a row.
 
     Defined cases: null and empty texts hold nothing; items without words (null ones too) match nothing;

@@ -27,6 +27,11 @@ def word_hashes(found: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, found), dtype=np.uint64, count=len(found))
 
 
+def longer(runs: np.ndarray, following: np.ndarray) -> np.ndarray:
+    """Runs of words with one more word each; ``mix`` of a run is the hash that ``ngrams`` gives it."""
+    return runs * _STEP + following
+
+
 def ngrams(hashes: np.ndarray, size: int) -> np.ndarray:
     """The hash of each ``size`` consecutive words, in order; empty if there are fewer."""
     n = len(hashes) - size + 1

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from leafloom.llm import decontaminate as dc
-from leafloom.llm.shingles import word_hashes
+from leafloom.llm.shingles import ngrams, word_hashes
 
 DOCS = "doc_id bigint, text string, item int, row string, score double"
 
@@ -40,15 +40,63 @@ def test_align_is_smith_waterman():
         assert dc.align(word_hashes(a), word_hashes(b))[0] == slow_align(a, b)
 
 
-def test_a_seed_stands_at_every_place_with_a_run_left():
-    """The shortest rare run from each place, or the whole run of three."""
-    item = [w.encode() for w in "a b c d e f g h i j".split()]
-    seeds = dc.Seeds([item], 3, 0.5, 8)
-    number = {(g.n, h): i for g in seeds.counted for i, h in enumerate(g.hash)}
-    words = word_hashes(item)
-    often = {(1, number[1, h]) for h in dc.ngrams(words, 1)[:6]} | {(2, number[2, h]) for h in dc.ngrams(words, 2)[:3]}
-    seeds.choose(often)
-    assert [sorted(places.tolist()) for _, _, places in seeds.seeds] == [[6, 7, 8, 9], [3, 4, 5], [0, 1, 2]]
+def chosen(words, held, windows):
+    """{place: length of its seed} in one item, given in how many documents each run of it is."""
+    seeds = dc.Seeds([[w.encode() for w in words]], 8, 5, 0.5, 8)
+    counts = []
+    for size, table in enumerate(seeds.tables, 1):
+        of = {h: held(k, size) for k, h in enumerate(ngrams(seeds.items[0], size).tolist())}
+        counts.append(np.array([of[h] for h in table.hash.tolist()]))
+    limit = seeds.choose(counts, windows)
+    return limit, {int(p): t.size for t in seeds.tables for p in seeds.place[t.own]}
+
+
+def test_a_seed_is_the_shortest_rare_run_of_its_place():
+    """a to f are common words and the pairs from a, b and c are; the seeds keep to their budget."""
+    held = lambda place, size: 90 if size == 1 and place < 6 or size == 2 and place < 3 else 1
+    assert chosen("abcdefghij", held, 50) == (88, {0: 3, 1: 3, 2: 3, 3: 2, 4: 2, 5: 2, 6: 1, 7: 1, 8: 1, 9: 1})
+    assert chosen("abcdefghij", held, 6 * 89) == (89, dict.fromkeys(range(10), 1))
+
+
+def test_a_part_that_many_texts_hold_has_no_seed_and_an_item_that_many_copy_has():
+    words = [f"w{k}" for k in range(30)]
+    part = lambda place, size: 400 if place + size <= 12 else 1
+    # From places 5 to 11 a run of 8 words leaves the common part.
+    assert chosen(words, part, 20)[1] == {**{k: 13 - k for k in range(5, 12)}, **dict.fromkeys(range(12, 30), 1)}
+    assert chosen(words, lambda place, size: 400, 20)[1] == dict.fromkeys(range(30), 1)
+    with_the = lambda place, size: 5000 if place == 3 and size == 1 else 400
+    assert chosen(words, with_the, 20)[1] == {**dict.fromkeys(range(30), 1), 3: 2}
+
+
+def test_walks_find_all_runs():
+    """The places of every run, against a search of the words themselves; also where one ends with its text."""
+    rnd = random.Random(8)
+    item = [rnd.choice("abc").encode() for _ in range(12)]
+    texts = [[rnd.choice("abcd").encode() for _ in range(rnd.randrange(0, 30))] for _ in range(40)]
+    seeds = dc.Seeds([item], 8, 5, 0.5, 8)
+    words, ends = word_hashes([w for t in texts for w in t]), np.cumsum([len(t) for t in texts])
+    own = {size: {tuple(item[k : k + size]) for k in range(len(item) - size + 1)} for size in range(1, 9)}
+    for table, at, _ in dc.walk(seeds.tables, words, ends):
+        first = [0, *ends.tolist()]
+        assert at.tolist() == [first[i] + k for i, t in enumerate(texts) for k in range(len(t) - table.size + 1) if tuple(t[k : k + table.size]) in own[table.size]]
+
+
+def test_edited_copies_of_an_item_that_many_texts_copy(spark):
+    """A third of the texts hold a copy of one item, each with other edits; common words stand in all."""
+    rnd = random.Random(21)
+    vocab = [f"w{i}" for i in range(300)] + ["the", "of", "and"] * 60
+    text = lambda n: [rnd.choice(vocab) for _ in range(n)]
+    item, docs = text(36), []
+    for k in range(450):
+        body = text(rnd.randrange(5, 25))
+        if k % 3 == 0:
+            own = [w for w in item if rnd.random() > 0.08]
+            body[3:3] = [rnd.choice(vocab) if rnd.random() < 0.12 else w for w in own]
+        docs.append((k, " ".join(body)))
+    tests = [(1, " ".join(item))]
+    frame, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(tests, "item_id bigint, text string")
+    found = {(r.row.id, r.item_id) for r in dc.find_leaks(spark, frame, bench).collect()}
+    assert len(found) > 130 and found == brute(docs, tests)
 
 
 def test_short_items_are_found_as_whole_phrases(spark):
@@ -107,8 +155,7 @@ def test_edited_copies_are_found_and_others_left(spark):
 
 
 def test_copies_with_many_edits_are_found(spark):
-    """Copies of which a fifth to a third of the words are edited, none exact: the rest of an item's
-    seeds occurs in no text. The first three words stay, so that each copy has a seed."""
+    """Copies of which a fifth to a third of the words are edited, first and last ones too, none exact."""
     rnd = random.Random(11)
     items = [(i, [f"i{i}w{k}" for k in range(rnd.randrange(15, 60))]) for i in range(40)]
     spread = [f"s{k}" for k in range(40)]
@@ -116,7 +163,7 @@ def test_copies_with_many_edits_are_found(spark):
     docs = []
     for i, ws in items:
         own = list(ws)
-        for p in sorted(rnd.sample(range(3, len(own)), round(len(own) * rnd.uniform(0.2, 0.33))), reverse=True):
+        for p in sorted(rnd.sample(range(len(own)), round(len(own) * rnd.uniform(0.2, 0.33))), reverse=True):
             rnd.choice([lambda: own.pop(p), lambda: own.insert(p, "new"), lambda: own.__setitem__(p, "other")])()
         docs.append((i, " ".join(["before"] * 70 + own + ["after"] * 70)))
     docs.append((100, " ".join(w + " new" * (k % 3 == 2) for k, w in enumerate(spread))))
