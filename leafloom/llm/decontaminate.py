@@ -308,7 +308,7 @@ class Block:
 
 
 def item_blocks(
-    spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", longest: int = 8, typical: int = 5, min_score: float = 0.5, min_words: int = 8
+    spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", longest: int = 8, typical: int = 3, min_score: float = 0.5, min_words: int = 8
 ) -> Iterator[Block]:
     """The items in blocks, with seeds chosen by a count over all of ``docs``: the seeds of a block, of all
     lengths, point to ``RARE_WINDOWS`` windows a document at most, on average, beyond those to what is typical

@@ -42,7 +42,7 @@ def test_align_is_smith_waterman():
 
 def chosen(words, held, windows):
     """{place: length of its seed} in one item, given in how many documents each run of it is."""
-    seeds = dc.Seeds([[w.encode() for w in words]], 8, 5, 0.5, 8)
+    seeds = dc.Seeds([[w.encode() for w in words]], 8, 3, 0.5, 8)
     counts = []
     for size, table in enumerate(seeds.tables, 1):
         of = {h: held(k, size) for k, h in enumerate(ngrams(seeds.items[0], size).tolist())}
@@ -73,7 +73,7 @@ def test_walks_find_all_runs():
     rnd = random.Random(8)
     item = [rnd.choice("abc").encode() for _ in range(12)]
     texts = [[rnd.choice("abcd").encode() for _ in range(rnd.randrange(0, 30))] for _ in range(40)]
-    seeds = dc.Seeds([item], 8, 5, 0.5, 8)
+    seeds = dc.Seeds([item], 8, 3, 0.5, 8)
     words, ends = word_hashes([w for t in texts for w in t]), np.cumsum([len(t) for t in texts])
     own = {size: {tuple(item[k : k + size]) for k in range(len(item) - size + 1)} for size in range(1, 9)}
     for table, at, _ in dc.walk(seeds.tables, words, ends):
