@@ -184,7 +184,8 @@ def page_labels(spark, sf_dir):
     SELECT *, EXISTS (SELECT 1 FROM r_ WHERE r_.doc_id = words_.doc_id AND r_.page_no = words_.page_no AND words_.x < r_.x + r_.w AND words_.x + words_.w > r_.x AND words_.y < r_.y + r_.h AND words_.y + words_.h > r_.y) AS hit FROM words_""",
 )
 def region_redaction(spark, sf_dir):
-    return ops.region_redaction(words(doc_pages(spark, sf_dir)), regions(spark, sf_dir))
+    marks = regions(spark, sf_dir)
+    return ops.region_redaction(words(ops.with_regions(doc_pages(spark, sf_dir), marks), "regions"), marks)
 
 
 @REGISTRY.add(
