@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from leafloom.functions.text import tokens
+from leafloom.operators import align
 from leafloom.operators import pages as ops
 from leafloom.sources.derived import doc_pages, words
 
@@ -24,7 +25,7 @@ def shuffled_rows(spark, df) -> int:
     return total() - before
 
 
-@pytest.mark.parametrize("name, pages", [("region_redaction", 1.5)])
+@pytest.mark.parametrize("name, pages", [("region_redaction", 1.5), ("word_delta", 5)])
 def test_rows_moved_by_page(spark, sf, name, pages):
     own = doc_pages(spark, sf)
     n, n_words = own.count(), own.agg(F.sum(F.size(tokens(F.col("text"))))).first()[0]
@@ -41,3 +42,13 @@ def test_regions_come_with_their_pages(spark, monkeypatch):
     hit = sorted((r.page_no, r.idx) for r in got.where("hit").collect())
     assert hit == [(1, 0), (2, 0), (2, 1), (2, 2)] and got.count() == 11
     assert hit == sorted((r.page_no, r.idx) for r in ops.region_redaction(words(pages), marks).where("hit").collect())
+
+
+def test_word_delta_of_odd_units(spark):
+    a = spark.createDataFrame([(1, 1, "b A a c"), (1, 2, ""), (1, 3, "x"), (None, 1, "q"), (2, 1, " ".join(f"w{i}" for i in range(40)))], "pair_id int, unit int, norm string")
+    b = spark.createDataFrame([(1, 1, "c C c d a"), (1, 2, " "), (1, 4, "y Y"), (None, 1, None), (2, 1, "z " * 30 + "y")], "pair_id int, unit int, norm string")
+    got = {(r.pair_id, r.unit): tuple(r)[2:] for r in align.word_delta(a, b).collect()}
+    assert got == {
+        (1, 1): (3, 2, "c c d", "b A"), (1, 3): (0, 1, "", "x"), (1, 4): (2, 0, "y y", ""), (None, 1): (0, 1, "", "q"),
+        (2, 1): (31, 40, " ".join(["z"] * 28), " ".join(f"w{i}" for i in range(28))),
+    }
