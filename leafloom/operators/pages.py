@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from leafloom.functions.batches import in_lines, starts, values
 from leafloom.functions.lineage import cut
 from leafloom.functions.markup import Cleaner
 from leafloom.functions.text import SPACE, is_letter_spaced, latin1_fold, normalize, tokens
@@ -259,59 +261,55 @@ def assemble_lines(words: DataFrame, line_height: float = 0.0083, low: float = -
     return own.groupBy("doc_id", "page_no", "line", "run").agg(text.alias("text"), F.min("x").alias("x0"), F.max(F.col("x") + F.col("w")).alias("x1"), F.max("h").alias("h"))
 
 
-def merge_runs(items: DataFrame, line_height: float) -> DataFrame:
+def merge_runs(items: DataFrame, line_height: float, by_page: bool = False) -> DataFrame:
     """Items (doc_id, page_no, idx, text, x, baseline, width, font, size) of one line joined to runs: those
     whose baselines round to the same step are taken in order of x, and an item goes to the open run if it has
     the run's font, a size within 0.5 of that of the run's first item, its baseline, and a gap from the right
     edge of the item before it between -0.3 and 0.9 sizes. A gap over 0.12 sizes becomes a space unless one is
     there. Letter-spaced items lose their spaces. Items without a text, place or size are left out.
 
-    The open run (its font, size, baseline and right edge) is all that is held: items are walked in sorted
-    batches, line by line. Gives (doc_id, page_no, line, run, items, text, x, width, baseline, font, size)."""
+    ``by_page``: the items of a page already stand together in a task; else they are dealt by line. The items of the
+    open page are held. Gives (doc_id, page_no, line, run, items, text, x, width, baseline, font, size)."""
     text = F.when(is_letter_spaced(F.col("text")), F.replace("text", F.lit(" "))).otherwise(F.col("text"))
     number = lambda c: F.col(c).cast("double").alias(c)
-    own = items.where("text IS NOT NULL").select("doc_id", "page_no", F.round(F.col("baseline") / line_height).alias("line"), "idx", text.alias("text"), number("x"), number("baseline"), number("width"), "font", number("size"))
+    own = items.where("text IS NOT NULL").select("doc_id", "page_no", F.round(F.col("baseline") / line_height).alias("line"), number("x"), "idx", text.alias("text"), number("baseline"), number("width"), "font", number("size"))
     total = F.col("x") + F.col("baseline") + F.col("width") + F.col("size")
     own = own.where(total.isNotNull() & ~F.isnan(total))
-    place = ["doc_id", "page_no", "line"]
-    sorted_ = own.repartition(*place).sortWithinPartitions(*place, "x", "idx")
+    if not by_page:
+        own = own.repartition("doc_id", "page_no", "line").sortWithinPartitions("doc_id", "page_no")
     types = dict(own.dtypes)
     ddl = f"doc_id {types['doc_id']}, page_no {types['page_no']}, line double, run int, items int, text string, x double, width double, baseline double, font {types['font']}, size double"
-    return sorted_.mapInArrow(_merge_runs, ddl)
-
-
-def _joins(run: dict, item: dict) -> bool:
-    """Whether an item of the run's line goes on with it."""
-    size = item["size"]
-    alike = run["font"] == item["font"] and abs(run["size"] - size) < 0.5 and abs(run["baseline"] - item["baseline"]) < 0.35 * size
-    return alike and -0.3 * size < item["x"] - run["right"] < 0.9 * size
+    return own.mapInArrow(_merge_runs, ddl)
 
 
 def _merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    place, run, schema = None, None, None
-    for batch in batches:
-        if schema is None:
-            kinds = [(n, batch.schema.field(n).type) for n in ("doc_id", "page_no", "line")] + [("run", pa.int32()), ("items", pa.int32()), ("text", pa.string())]
-            schema = pa.schema([*kinds, ("x", pa.float64()), ("width", pa.float64()), ("baseline", pa.float64()), ("font", batch.schema.field("font").type), ("size", pa.float64())])
-        done = []
-        for item in batch.to_pylist():
-            here, right = (item["doc_id"], item["page_no"], item["line"]), item["x"] + item["width"]
-            if run and here == place and _joins(run, item):
-                glue = item["x"] - run["right"] > 0.12 * item["size"] and not run["parts"][-1].endswith(" ") and not item["text"].startswith(" ")
-                run["parts"] += [" ", item["text"]] if glue else [item["text"]] if item["text"] else []
-                run |= {"right": right, "items": run["items"] + 1}
+    for rows, lines in in_lines(batches):
+        x, base, width, size = (rows.column(k).to_numpy() for k in ("x", "baseline", "width", "size"))
+        right, new_line = x + width, np.zeros(len(x), dtype=bool)
+        new_line[lines] = True
+        gap = x - np.concatenate([[np.nan], right[:-1]])
+        font = np.zeros(len(x), dtype=bool)
+        font[starts([rows.column("font")])] = True  # a run has one font, so that of the item before is the run's
+        near = ~new_line & ~font & (-0.3 * size < gap) & (gap < 0.9 * size)
+        firsts, numbers_, texts, parts, run = [], [], [], [], 0
+        for i, (starts_line, may, wide, s, at, text) in enumerate(zip(new_line.tolist(), near.tolist(), (gap > 0.12 * size).tolist(), size.tolist(), base.tolist(), values(rows.column("text")))):
+            if may and abs(own_size - s) < 0.5 and abs(own_base - at) < 0.35 * s:
+                if wide and not parts[-1].endswith(" ") and not text.startswith(" "):
+                    parts += (" ", text)
+                elif text:
+                    parts.append(text)
                 continue
-            if run:
-                done.append(_run_row(run))
-            run = item | {"run": run["run"] + 1 if run and here == place else 1, "items": 1, "parts": [item["text"]], "right": right}
-            place = here
-        yield pa.RecordBatch.from_pylist(done, schema)
-    if run:
-        yield pa.RecordBatch.from_pylist([_run_row(run)], schema)
-
-
-def _run_row(run: dict) -> dict:
-    return run | {"text": "".join(run["parts"]), "width": run["right"] - run["x"]}
+            if parts:
+                texts.append("".join(parts))
+            run = 1 if starts_line else run + 1
+            own_size, own_base, parts = s, at, [text]
+            firsts.append(i)
+            numbers_.append(run)
+        texts.append("".join(parts))
+        first, ends = np.array(firsts), np.array([*firsts[1:], len(x)])
+        head = rows.take(pa.array(first))
+        columns = [pa.array(numbers_, pa.int32()), pa.array(ends - first, pa.int32()), pa.array(texts, pa.string()), head.column("x"), pa.array(right[ends - 1] - x[first])]
+        yield pa.RecordBatch.from_arrays([*head.columns[:3], *columns, *(head.column(k) for k in ("baseline", "font", "size"))], [*rows.schema.names[:3], "run", "items", "text", "x", "width", "baseline", "font", "size"])
 
 
 def read_ocr_tsv(lines: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from leafloom.functions.text import SPACE
 from leafloom.operators import pages as ops
 from leafloom.plans import REGISTRY
 from leafloom.plans.sql import PAGES, REGIONS, WORDS, norm, tokens
-from leafloom.sources.derived import doc_pages, regions, table, words
+from leafloom.sources.derived import doc_pages, regions, table, together, words
 
 
 @REGISTRY.add("normalize_pages", f"SELECT doc_id, {norm('text')} AS text FROM documents")
@@ -262,7 +262,7 @@ def items(spark, sf_dir):
     """Words as items of a layout in points, with other fonts, sizes, gaps and letter-spaced ones by rule."""
     i = F.col("idx")
     text = F.when(i % 11 == 5, "A B C").when(i % 6 == 0, F.concat("text", F.lit(" "))).otherwise(F.col("text"))
-    return words(doc_pages(spark, sf_dir)).select(
+    return words(together(doc_pages(spark, sf_dir))).select(
         "doc_id", "page_no", "idx", text.alias("text"), ((i % 12) * F.lit(50.0) + ((i * i) % 5) * F.lit(3.0)).alias("x"), (F.floor(i / 12) * F.lit(10.0)).alias("baseline"),
         F.when(i % 4 == 1, 49.0).otherwise(36.0).alias("width"), F.when(i % 10 == 0, "Bold").otherwise("Plain").alias("font"), (F.lit(16.0) + F.lit(0.3) * (i % 3)).alias("size"),
     )
@@ -284,7 +284,7 @@ def items(spark, sf_dir):
     FROM w_ JOIN l_ ON l_.doc_id = w_.doc_id AND l_.page_no = w_.page_no AND l_.line = w_.line AND l_.rn = w_.rn GROUP BY ALL""",
 )
 def merge_runs(spark, sf_dir):
-    return ops.merge_runs(items(spark, sf_dir), line_height=5.0)
+    return ops.merge_runs(items(spark, sf_dir), line_height=5.0, by_page=True)
 
 
 @REGISTRY.add(

@@ -25,7 +25,7 @@ def shuffled_rows(spark, df) -> int:
     return total() - before
 
 
-@pytest.mark.parametrize("name, pages", [("region_redaction", 1.5), ("word_delta", 5), ("change_groups", 2.5)])
+@pytest.mark.parametrize("name, pages", [("region_redaction", 1.5), ("word_delta", 5), ("change_groups", 2.5), ("merge_runs", 1.5)])
 def test_rows_moved_by_page(spark, sf, name, pages):
     own = doc_pages(spark, sf)
     n, n_words = own.count(), own.agg(F.sum(F.size(tokens(F.col("text"))))).first()[0]
