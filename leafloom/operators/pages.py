@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from leafloom.functions.batches import in_lines, starts, values
+from leafloom.functions.batches import extent, in_lines, numbers, starts, values
 from leafloom.functions.lineage import cut
 from leafloom.functions.markup import Cleaner
 from leafloom.functions.text import SPACE, is_letter_spaced, latin1_fold, normalize, tokens
@@ -248,17 +248,43 @@ def leak_check(before: DataFrame, after: DataFrame, regions: DataFrame, secret:
     return both.withColumn("ok", (F.col("left_chars") == 0) & (F.col("secrets") == 0) & (F.col("pages_before") == F.col("pages_after")))
 
 
-def assemble_lines(words: DataFrame, line_height: float = 0.0083, low: float = -0.2, high: float = 1.6) -> DataFrame:
+def assemble_lines(words: DataFrame, line_height: float = 0.0083, low: float = -0.2, high: float = 1.6, by_page: bool = False) -> DataFrame:
     """Words joined into runs: words of one line (baselines that round to the same step) in order of x,
-    a new run where the gap to the furthest right edge so far is outside ``low`` to ``high`` heights."""
-    line = F.round(F.col("y") / line_height)
-    own = words.withColumn("line", line)
-    order = W.partitionBy("doc_id", "page_no", "line").orderBy("x", "idx")
-    gap = F.col("x") - F.max(F.col("x") + F.col("w")).over(order.rowsBetween(W.unboundedPreceding, -1))
-    split = F.coalesce((gap <= F.col("h") * low) | (gap >= F.col("h") * high), F.lit(True))
-    own = own.withColumn("new", split.cast("int")).withColumn("run", F.sum("new").over(order))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "idx", "text"))), lambda x: x["text"]), " ")
-    return own.groupBy("doc_id", "page_no", "line", "run").agg(text.alias("text"), F.min("x").alias("x0"), F.max(F.col("x") + F.col("w")).alias("x1"), F.max("h").alias("h"))
+    a new run where the gap to the furthest right edge so far is outside ``low`` to ``high`` heights.
+    ``by_page``: the words of a page already stand together in a task; else they are dealt by line."""
+    number = lambda c: F.col(c).cast("double").alias(c)
+    own = words.select("doc_id", "page_no", F.round(F.col("y") / line_height).alias("line"), number("x"), "idx", number("w"), number("h"), "text")
+    if not by_page:
+        own = own.repartition("doc_id", "page_no", "line").sortWithinPartitions("doc_id", "page_no")
+    types = dict(own.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, lines in in_lines(batches):
+            x, w, h = (numbers(rows.column(k)) for k in "xwh")
+            with np.errstate(invalid="ignore"):
+                right, none = x[0] + w[0], x[1] | w[1]
+            line = np.zeros(len(right), dtype=np.int64)
+            line[lines] = 1
+            line = np.cumsum(line)
+            # The furthest edge before a word, by ranks: that of a line starts above all of the line before.
+            order = np.argsort(np.where(none, -np.inf, right), kind="stable")
+            rank = np.empty(len(order), dtype=np.int64)
+            rank[order] = np.arange(len(order))
+            far = order[np.maximum.accumulate(rank + line * len(order)) % len(order)][:-1]
+            with np.errstate(invalid="ignore"):
+                gap = x[0][1:] - right[far]
+                near = (gap > h[0][1:] * low) & (gap < h[0][1:] * high) & ~none[far] & ~x[1][1:] & ~h[1][1:]
+            new = np.concatenate([[True], ~near])
+            new[lines] = True
+            first = np.flatnonzero(new)
+            head = rows.take(pa.array(first))
+            number = np.arange(len(first)) - np.searchsorted(first, lines)[line[first] - 1] + 1
+            texts, some = values(rows.column("text")), rows.column("text").null_count
+            texts = [" ".join([t for t in texts[i:j] if t is not None] if some else texts[i:j]) for i, j in zip(first.tolist(), [*first[1:].tolist(), len(texts)])]
+            edges = [extent(*x, first, True), extent(right, none, first, False), extent(*h, first, False)]
+            yield pa.RecordBatch.from_arrays([*head.columns[:3], pa.array(number), pa.array(texts, pa.string()), *edges], ["doc_id", "page_no", "line", "run", "text", "x0", "x1", "h"])
+
+    return own.mapInArrow(run, f"doc_id {types['doc_id']}, page_no {types['page_no']}, line double, run bigint, text string, x0 double, x1 double, h double")
 
 
 def merge_runs(items: DataFrame, line_height: float, by_page: bool = False) -> DataFrame:
@@ -291,7 +317,7 @@ def _merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         font = np.zeros(len(x), dtype=bool)
         font[starts([rows.column("font")])] = True  # a run has one font, so that of the item before is the run's
         near = ~new_line & ~font & (-0.3 * size < gap) & (gap < 0.9 * size)
-        firsts, numbers_, texts, parts, run = [], [], [], [], 0
+        firsts, runs, texts, parts, run = [], [], [], [], 0
         for i, (starts_line, may, wide, s, at, text) in enumerate(zip(new_line.tolist(), near.tolist(), (gap > 0.12 * size).tolist(), size.tolist(), base.tolist(), values(rows.column("text")))):
             if may and abs(own_size - s) < 0.5 and abs(own_base - at) < 0.35 * s:
                 if wide and not parts[-1].endswith(" ") and not text.startswith(" "):
@@ -304,11 +330,11 @@ def _merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             run = 1 if starts_line else run + 1
             own_size, own_base, parts = s, at, [text]
             firsts.append(i)
-            numbers_.append(run)
+            runs.append(run)
         texts.append("".join(parts))
         first, ends = np.array(firsts), np.array([*firsts[1:], len(x)])
         head = rows.take(pa.array(first))
-        columns = [pa.array(numbers_, pa.int32()), pa.array(ends - first, pa.int32()), pa.array(texts, pa.string()), head.column("x"), pa.array(right[ends - 1] - x[first])]
+        columns = [pa.array(runs, pa.int32()), pa.array(ends - first, pa.int32()), pa.array(texts, pa.string()), head.column("x"), pa.array(right[ends - 1] - x[first])]
         yield pa.RecordBatch.from_arrays([*head.columns[:3], *columns, *(head.column(k) for k in ("baseline", "font", "size"))], [*rows.schema.names[:3], "run", "items", "text", "x", "width", "baseline", "font", "size"])
 
 

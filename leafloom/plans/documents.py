@@ -229,7 +229,7 @@ def redaction_leak_check(spark, sf_dir):
 def assemble_lines(spark, sf_dir):
     """Every seventh word is moved to the right, so that lines fall into runs."""
     moved = F.when(F.col("idx") % 7 == 3, 0.02).otherwise(0.0)
-    return ops.assemble_lines(words(doc_pages(spark, sf_dir)).withColumn("x", F.col("x") + moved), high=2.0)
+    return ops.assemble_lines(words(together(doc_pages(spark, sf_dir))).withColumn("x", F.col("x") + moved), high=2.0, by_page=True)
 
 
 TSV = f"""{PAGES}, lines_ AS (SELECT doc_id, page_no, CASE WHEN page_no % 5 = 0 THEN '4' ELSE '5' END || chr(9) || '1' || chr(9) || '1' || chr(9) || '1' || chr(9) || '1' || chr(9) || page_no || chr(9)

@@ -25,7 +25,7 @@ def shuffled_rows(spark, df) -> int:
     return total() - before
 
 
-@pytest.mark.parametrize("name, pages", [("region_redaction", 1.5), ("word_delta", 5), ("change_groups", 2.5), ("merge_runs", 1.5)])
+@pytest.mark.parametrize("name, pages", [("region_redaction", 1.5), ("word_delta", 5), ("change_groups", 2.5), ("merge_runs", 1.5), ("assemble_lines", 1.5)])
 def test_rows_moved_by_page(spark, sf, name, pages):
     own = doc_pages(spark, sf)
     n, n_words = own.count(), own.agg(F.sum(F.size(tokens(F.col("text"))))).first()[0]
@@ -52,3 +52,14 @@ def test_word_delta_of_odd_units(spark):
         (1, 1): (3, 2, "c c d", "b A"), (1, 3): (0, 1, "", "x"), (1, 4): (2, 0, "y y", ""), (None, 1): (0, 1, "", "q"),
         (2, 1): (31, 40, " ".join(["z"] * 28), " ".join(f"w{i}" for i in range(28))),
     }
+
+
+def test_lines_with_nulls_and_nan(spark):
+    nan = float("nan")
+    rows = [
+        (1, 1, 0, "a", 0.0, 0.0, 0.1, 0.01), (1, 1, 1, "b", 0.11, 0.0, 0.02, 0.01), (1, 1, 2, None, 0.105, 0.0, 0.001, 0.01), (1, 1, 3, "d", 0.5, 0.0, 0.1, 0.01), (1, 1, 4, "e", 0.61, 0.0, None, 0.01),
+        (1, 1, 5, "f", None, 0.0, 0.1, 0.01), (1, 1, 6, "g", 0.2, nan, 0.1, 0.01), (1, 1, 7, "h", 0.3, nan, 0.1, nan), (1, 2, 0, "i", 0.0, 0.0, 0.1, 0.01), (None, 1, 0, "j", 0.0, None, 0.1, None),
+    ]
+    df = spark.createDataFrame(rows, "doc_id int, page_no int, idx int, text string, x double, y double, w double, h double")
+    got = sorted((r.doc_id or 0, r.page_no, str(r.line), r.run, r.text) for r in ops.assemble_lines(df).collect())
+    assert got == [(0, 1, "None", 1, "j"), (1, 1, "0.0", 1, "f"), (1, 1, "0.0", 2, "a b"), (1, 1, "0.0", 3, "d e"), (1, 1, "nan", 1, "g"), (1, 1, "nan", 2, "h"), (1, 2, "0.0", 1, "i")]
