@@ -25,7 +25,7 @@ def shuffled_rows(spark, df) -> int:
     return total() - before
 
 
-@pytest.mark.parametrize("name, pages", [("region_redaction", 1.5), ("word_delta", 5), ("change_groups", 2.5), ("merge_runs", 1.5), ("assemble_lines", 1.5)])
+@pytest.mark.parametrize("name, pages", [("region_redaction", 1.5), ("word_delta", 5), ("change_groups", 2.5), ("merge_runs", 1.5), ("assemble_lines", 1.5), ("multiset_except", 2.5)])
 def test_rows_moved_by_page(spark, sf, name, pages):
     own = doc_pages(spark, sf)
     n, n_words = own.count(), own.agg(F.sum(F.size(tokens(F.col("text"))))).first()[0]
@@ -63,3 +63,10 @@ def test_lines_with_nulls_and_nan(spark):
     df = spark.createDataFrame(rows, "doc_id int, page_no int, idx int, text string, x double, y double, w double, h double")
     got = sorted((r.doc_id or 0, r.page_no, str(r.line), r.run, r.text) for r in ops.assemble_lines(df).collect())
     assert got == [(0, 1, "None", 1, "j"), (1, 1, "0.0", 1, "f"), (1, 1, "0.0", 2, "a b"), (1, 1, "0.0", 3, "d e"), (1, 1, "nan", 1, "g"), (1, 1, "nan", 2, "h"), (1, 2, "0.0", 1, "i")]
+
+
+def test_tokens_beyond_those_of_the_other_version(spark):
+    a = spark.createDataFrame([(1, "a A b"), (1, "c a"), (2, None), (None, "x x"), (3, "q")], "pair_id int, text string")
+    b = spark.createDataFrame([(1, "a d"), (None, "X"), (4, "z")], "pair_id int, text string")
+    got = sorted((r.pair_id or 0, r.token) for r in align.tokens_except(a, b).collect())
+    assert got == [(0, "x"), (1, "a"), (1, "a"), (1, "b"), (1, "c"), (3, "q")]
