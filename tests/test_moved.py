@@ -1,10 +1,14 @@
 """Queries over words move pages, not words: rows shuffled, counted by Spark itself."""
 
+import tracemalloc
+import unicodedata
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from leafloom.functions.text import tokens
+from leafloom.functions.text import _nfkc, tokens
 from leafloom.operators import align
 from leafloom.operators import pages as ops
 from leafloom.sources.derived import doc_pages, words
@@ -70,3 +74,14 @@ def test_tokens_beyond_those_of_the_other_version(spark):
     b = spark.createDataFrame([(1, "a d"), (None, "X"), (4, "z")], "pair_id int, text string")
     got = sorted((r.pair_id or 0, r.token) for r in align.tokens_except(a, b).collect())
     assert got == [(0, "x"), (1, "a"), (1, "a"), (1, "b"), (1, "c"), (3, "q")]
+
+
+def test_folding_forms_holds_few_texts(spark):
+    text = "ﬁn… é" * 2_000
+    texts = pa.array([*[text] * 2_000, None, "Å"], pa.string())
+    tracemalloc.start()
+    got = next(_nfkc.func(iter([texts])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist() == [*[unicodedata.normalize("NFKC", text)] * 2_000, None, "Å"]
+    assert peak < 20_000_000  # all texts as Python strings: over 40 MB
