@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from leafloom.functions.batches import extent, in_lines, numbers, starts, values
 from leafloom.functions.lineage import cut
 from leafloom.functions.markup import Cleaner
-from leafloom.functions.text import SPACE, is_letter_spaced, latin1_fold, normalize, tokens
+from leafloom.functions.text import SPACE, is_letter_spaced, latin1_fold, normalize, plain_marks, tokens
 
 #: Separator of pages in a whole text; characters that make OCR needless; ink ratios of blank pages.
 PAGE_SEPARATOR, OCR_CHARS = "\n\n--- PAGE ---\n\n", 24
@@ -127,9 +127,10 @@ def wrap_chunks(docs: DataFrame, width: int = 94) -> DataFrame:
 
 def latin1_report(docs: DataFrame) -> DataFrame:
     """Texts in the three reduced character sets, and by row whether any of them changed it."""
-    forms = {mode: latin1_fold(F.col("text"), mode) for mode in ("mark", "drop", "ascii")}
-    own = docs.select("doc_id", *(F.md5(x).alias(f"{m}_md5") for m, x in forms.items()), *((x != F.col("text")).alias(f"{m}_changed") for m, x in forms.items()))
-    return own
+    modes = ("mark", "drop", "ascii")
+    own = docs.select("doc_id", "text", plain_marks(F.col("text")).alias("plain"))
+    own = own.select("doc_id", "text", *(latin1_fold(F.col("text"), m, F.col("plain")).alias(m) for m in modes))
+    return own.select("doc_id", *(F.md5(m).alias(f"{m}_md5") for m in modes), *((F.col(m) != F.col("text")).alias(f"{m}_changed") for m in modes))
 
 
 def document_text(pages: DataFrame, separator: str = PAGE_SEPARATOR) -> DataFrame:
