@@ -1,5 +1,6 @@
 """Comparing versions: what differs is told from as few texts as it takes; odd pages; texts read once."""
 
+import hashlib
 import random
 import re
 
@@ -44,3 +45,17 @@ def test_white_space_of_every_kind(spark):
     texts = ["".join(rnd.choice(white + "  ab\x1c\x85​‐‧⁠\xe9漢\U0001f600") for _ in range(12)) for _ in range(3000)]
     got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", "t", normalize("t").alias("n")).collect()
     assert [r.n for r in got] == [re.sub(f"[{white}]+", " ", r.t).strip(" ") for r in got]
+
+
+def test_common_pages_normalise_each_text_once(spark, sf):
+    plan = "\n".join(optimized(entry.queries()["common_pages"](spark, sf)))
+    assert len(re.findall(r"regexp_replace\([^\n]*\\x\{1680\}", plan)) == 2  # one a side
+
+
+def test_common_pages_of_odd_pairs(spark):
+    page = lambda *rows: spark.createDataFrame(list(rows), "pair_id int, page_no int, text string")
+    a = page((1, 1, "a long page"), (1, 2, "a  long\tpage"), (1, 3, "short"), (1, 4, None), (None, 1, "without an id"), (2, 1, "of one side only"), (3, 1, "of another pair"))
+    b = page((1, 7, " a long page "), (1, 8, "short"), (1, 9, None), (None, 5, "without an id"), (2, 1, "of the other only"), (4, 1, "of another pair"))
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    got = sorted((r.pair_id or 0, r.sig) for r in align.common_pages(a, b).collect())
+    assert got == [(0, digest("without an id")), (1, digest("a long page"))]
