@@ -59,3 +59,29 @@ def test_common_pages_of_odd_pairs(spark):
     digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
     got = sorted((r.pair_id or 0, r.sig) for r in align.common_pages(a, b).collect())
     assert got == [(0, digest("without an id")), (1, digest("a long page"))]
+
+
+def test_texts_that_differ_are_fetched_once_a_side(spark, sf):
+    assert "\n".join(optimized(entry.queries()["compare_documents"](spark, sf))).count("Generate posexplode") == 2
+
+
+def test_compared_pages_of_every_status(spark):
+    page = lambda *rows: spark.createDataFrame(list(rows), "pair_id int, page_no int, text string")
+    anchor = "the same page on both sides"
+    for pair in (1, None):
+        a = page((pair, 1, "old Old words x"), (pair, 2, anchor), (pair, 3, "gone gone Page"), (pair, 4, anchor + " 2"), (pair, 5, "emptied text"))
+        b = page((pair, 1, "x new NEW words"), (pair, 2, anchor), (pair, 3, anchor + " 2"), (pair, 4, " "), (pair, 5, "Late late page " * 12))
+        got = {(r.page_a, r.page_b): tuple(r)[3:4] + tuple(r)[6:] for r in align.compare_documents(a, b).collect()}
+        assert got == {
+            (1, 1): ("modified", 4, 4, 2, 2, "new new", "old old"), (2, 2): ("unchanged", 6, 6, 0, 0, "", ""), (3, None): ("removed", 3, 0, 0, 3, "", "gone gone Page"),
+            (4, 3): ("unchanged", 7, 7, 0, 0, "", ""), (5, 4): ("modified", 2, 0, 0, 2, "", "emptied text"), (None, 5): ("added", 0, 36, 36, 0, " ".join(["Late late page"] * 10)[:-10], ""),
+        }
+
+
+def test_report_needs_no_words_of_unchanged_pages(spark, sf):
+    from leafloom.plans.compare import versions
+
+    lean, whole = (align.compare_documents(*versions(spark, sf), unchanged_words=x) for x in (False, True))
+    assert lean.where("status = 'unchanged' AND (words_a IS NOT NULL OR words_b IS NOT NULL)").isEmpty()
+    assert lean.where("status <> 'unchanged'").exceptAll(whole).isEmpty() and lean.count() == whole.count()
+    assert align.difference_report(lean).exceptAll(align.difference_report(whole)).isEmpty()
