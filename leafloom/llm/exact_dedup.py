@@ -72,8 +72,10 @@ class DigestIndex:
     def add_digests(self, digests: DataFrame) -> None:
         """``add`` for rows of which (digest, id) are known."""
         new = self.candidates(digests).join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
+        # A bucket goes to one task as a whole, so it is one file: dealt by digest into more parts than
+        # buckets, each part would write a file for nearly every bucket.
         (
-            new.repartition(self.buckets, "digest")
+            new.repartitionById(self.buckets, F.pmod(F.hash("digest"), F.lit(self.buckets)))
             .sortWithinPartitions("digest")
             .write.insertInto(self.table)
         )

@@ -92,6 +92,20 @@ def test_empty_table(spark, how):
     assert got.collect() == []
 
 
+def test_a_bucket_is_one_file_however_many_parts_the_rows_are_dealt_to(spark, monkeypatch):
+    from pathlib import Path
+
+    kind = type(spark.range(0))
+    for name in ("repartition", "repartitionById"):
+        monkeypatch.setattr(kind, name, lambda self, n, *cols, deal=getattr(kind, name): deal(self, max(n, 13), *cols))
+    index = exact_dedup.DigestIndex(spark, buckets=4)
+    for low, files in ((0, 4), (500, 8)):  # a batch adds a file to each bucket
+        index.add(spark.range(low, low + 1000).selectExpr("id AS doc_id", "'t' || id AS text"))
+        assert len(list(Path(index.own.removeprefix("file:")).glob("*.parquet"))) == files
+    assert sorted(r.keep_id for r in index.rows().collect()) == list(range(1500))
+    index.drop()
+
+
 def test_plan_is_a_sort_merge_anti_join_on_buckets(spark):
     index = exact_dedup.DigestIndex(spark, buckets=4)
     index.add(frame(spark, [(1, "a")]))
