@@ -7,7 +7,9 @@ import string
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,17 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+#: Values of a batch that are Python objects at a time.
+PIECE_ROWS = 256
+
+
+def values(column: pa.Array) -> Iterator:
+    """The values of an Arrow column as Python objects, made ``PIECE_ROWS`` at a time: a worker never holds
+    the texts of a whole batch beside the batch itself."""
+    for at in range(0, len(column), PIECE_ROWS):
+        yield from column.slice(at, PIECE_ROWS).to_pylist()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or what the session's
     ``setCheckpointDir`` was given. A local session that names none gets a temporary one for its life;

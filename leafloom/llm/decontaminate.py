@@ -22,7 +22,7 @@ broadcast and counted has a bound however large the benchmark is.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,15 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm.common import LOWER_BYTES, discard, row_key, stored
+from leafloom.llm.common import LOWER_BYTES, discard, row_key, stored, values
 from leafloom.llm.shingles import longer, mix, word_hashes
 
 BLOCK_WORDS = 500_000
 #: Windows a document, on average, that the seeds of a block may point to beyond what is typical of their
-#: items, and words looked up at once.
-RARE_WINDOWS, PACK_WORDS = 0.25, 1_000_000
-#: Bits of the table that turns away most runs before the exact search.
-SIEVE_BITS = 22
+#: items, and words looked up at once: a worker holds some hundred bytes for each of them.
+RARE_WINDOWS, PACK_WORDS = 0.25, 100_000
+#: Places a run, and most bits, of the table that turns away most runs before the exact search.
+SIEVE_PLACES, SIEVE_BITS = 64, 22
 #: Alignment: points for a match, a mismatch and a gap.
 MATCH, MISMATCH, GAP = 2, -1, -1
 
@@ -58,8 +58,10 @@ class Runs:
     def __init__(self, size: int, hashes: np.ndarray, own: np.ndarray | None = None, seed: np.ndarray | None = None):
         self.size = size
         self.hash, run = np.unique(hashes, return_inverse=True)
-        self.sieve = np.zeros(2**SIEVE_BITS, dtype=bool)
-        self.sieve[(self.hash >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)] = True
+        bits = min(SIEVE_BITS, max(1, SIEVE_PLACES * len(self.hash)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.sieve = np.zeros(2**bits, dtype=bool)
+        self.sieve[(self.hash >> self.shift).astype(np.int64)] = True
         self.open = None
         if own is not None:
             seed = np.ones(len(own), dtype=bool) if seed is None else seed
@@ -69,7 +71,7 @@ class Runs:
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(which of ``hashes`` are runs here, their numbers)."""
-        at = np.flatnonzero(self.sieve[(hashes >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)])
+        at = np.flatnonzero(self.sieve[(hashes >> self.shift).astype(np.int64)])
         run = np.searchsorted(self.hash, hashes[at])
         same = self.hash[np.minimum(run, len(self.hash) - 1)] == hashes[at] if len(self.hash) else np.zeros(len(at), dtype=bool)
         return at[same], run[same]
@@ -98,7 +100,7 @@ def walk(tables: list[Runs], words: np.ndarray, ends: np.ndarray) -> Iterator[tu
         at, run = at[which], run[which]
 
 
-def packs(texts: list[bytes | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def packs(texts: Iterable[bytes | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(number of the first text, hashes of the words of some texts one after the other, their ends)."""
     first, found, ends = 0, [], []
     for i, text in enumerate(texts):
@@ -258,7 +260,7 @@ def _count(tables):
         totals, docs = [np.zeros(len(t.hash), np.int64) for t in own], 0
         for batch in batches:
             docs += batch.num_rows
-            for _, hashes, ends in packs(batch.column("text").cast(pa.binary()).to_pylist()):
+            for _, hashes, ends in packs(values(batch.column("text").cast(pa.binary()))):
                 for total, (_, at, number) in zip(totals, walk(own, hashes, ends)):
                     once = np.unique(np.searchsorted(ends, at, "right") * len(total) + number) % max(1, len(total))
                     total += np.bincount(once, minlength=len(total))
@@ -276,7 +278,7 @@ def _find(seeds):
         own: Seeds = seeds.value
         for batch in batches:
             at, cols = [], [[], [], []]
-            for first, hashes, ends in packs(batch.column("text").cast(pa.binary()).to_pylist()):
+            for first, hashes, ends in packs(values(batch.column("text").cast(pa.binary()))):
                 for text, *leak in own.leaks(hashes, ends):
                     at.append(first + text)
                     for c, v in zip(cols, leak):
@@ -293,7 +295,7 @@ def _clean(seeds):
     @F.arrow_udf("boolean")
     def clean(texts: pa.Array) -> pa.Array:
         own: Seeds = seeds.value
-        found = {first + text for first, hashes, ends in packs(texts.cast(pa.binary()).to_pylist()) for text, *_ in own.leaks(hashes, ends)}
+        found = {first + text for first, hashes, ends in packs(values(texts.cast(pa.binary()))) for text, *_ in own.leaks(hashes, ends)}
         return pa.array([i not in found for i in range(len(texts))], pa.bool_())
 
     return clean

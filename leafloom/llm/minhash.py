@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm.common import discard, drop_rows, row_key, stored, take_rows
+from leafloom.llm.common import discard, drop_rows, row_key, stored, take_rows, values
 from leafloom.llm.components import connected_components
 from leafloom.llm.shingles import MinHash, shingle_set
 
@@ -53,7 +53,7 @@ def _sketch(size: int, coordinates: int):
         minhash = MinHash(coordinates)
         for batch in batches:
             ns, keys, sigs = [], [], []
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
+            for text in values(batch.column("text").cast(pa.binary())):
                 found = shingle_set(text, size)
                 ns.append(len(found))
                 keys.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
@@ -143,12 +143,12 @@ def _confirm(size: int, percent: int, matches: int):
             links: list[tuple[int, int]] = []
             sigs = batch.column("sig").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             cols = [batch.column(c).to_pylist() for c in ("token", "low", "high", "nid", "side")]
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            for i, (token, low, high, nid, side) in enumerate(zip(*cols)):
+            texts = values(batch.column("text").cast(pa.binary()))
+            for i, (token, low, high, nid, side, text) in enumerate(zip(*cols, texts)):
                 if (token, low, high) != now:
                     links += done()
                     now, rows = (token, low, high), []
-                rows.append((nid, side, sigs[i], texts[i]))
+                rows.append((nid, side, sigs[i], text))
             yield out(links)
         yield out(done())
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm.common import discard, row_key, stored
+from leafloom.llm.common import discard, row_key, stored, values
 
 #: Bounds of the fit: labelled rows, and features among which the penalty chooses.
 SAMPLE_ROWS, MAX_FEATURES = 12_000, 3_000
@@ -122,7 +122,7 @@ def fit(rows: list[list[int]], grades: np.ndarray, features: list[str], *, l1: f
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: tuple[Counter, Counter] = (Counter(), Counter())
     for batch in batches:
-        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+        for text, toxic in zip(values(batch.column("text")), values(batch.column("toxic"))):
             found[int(toxic > 0)].update(features_of(plain(text)))
     both = list(found[0].keys() | found[1].keys())
     yield pa.RecordBatch.from_arrays([pa.array(both, pa.string()), *(pa.array([c[x] for x in both], pa.int64()) for c in found)], ["feature", "n0", "n1"])
@@ -132,7 +132,7 @@ def _encode(matcher):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Matcher = matcher.value
         for batch in batches:
-            held = [own(plain(t)) for t in batch.column("text").to_pylist()]
+            held = [own(plain(t)) for t in values(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(held, pa.list_(pa.int32()))], ["toxic", "held"])
 
     return run
@@ -192,7 +192,7 @@ def _score(model, matcher):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, find = model.value, matcher.value
         for batch in batches:
-            eta = np.array([m.weights[find(plain(t))].sum() for t in batch.column("text").to_pylist()])
+            eta = np.array([m.weights[find(plain(t))].sum() for t in values(batch.column("text"))])
             above = m.above(eta)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), pa.array(above.sum(axis=1)), pa.array(1 + (above[:, 1:] >= 0.5).sum(axis=1) - (above[:, 0] < 0.5), pa.int32()), pa.array(above[:, 0])],
@@ -227,7 +227,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, id_co
     @F.arrow_udf("double")
     def p_toxic(texts: pa.Array) -> pa.Array:
         m, find = held.value, matcher.value
-        eta = np.array([m.weights[find(plain(t))].sum() for t in texts.to_pylist()], float)
+        eta = np.array([m.weights[find(plain(t))].sum() for t in values(texts)], float)
         return pa.array(m.above(eta)[:, 0])
 
     return docs.where(p_toxic(F.col(text_col)) <= max_p)

@@ -1,11 +1,15 @@
 """Leaks against a full alignment of every text with every item."""
 
 import random
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from leafloom.llm import decontaminate as dc
+from leafloom.llm.common import PIECE_ROWS, values
 from leafloom.llm.shingles import ngrams, word_hashes
 
 DOCS = "doc_id bigint, text string, item int, row string, score double"
@@ -195,3 +199,43 @@ def test_blocks_of_items_give_the_same(spark, sf, monkeypatch):
     monkeypatch.setattr(dc, "PACK_WORDS", 300)
     assert whole and {(r.row.id, r.item_id) for r in dc.find_leaks(spark, docs, bench).collect()} == whole
     assert np.isfinite(len(whole))
+
+
+def test_values_are_those_of_the_whole_column():
+    texts = [None if k % 7 == 0 else f"t{k}" for k in range(2 * PIECE_ROWS + 3)]
+    assert list(values(pa.array(texts))) == texts and list(values(pa.array(texts).slice(5, 300))) == texts[5:305]
+    assert list(values(pa.array([], pa.string()))) == []
+
+
+def test_a_large_batch_is_counted_in_little_memory():
+    """A million words in a batch; its texts as one pack would take over 100 MB beside it."""
+    item = [f"w{k}".encode() for k in range(40)]
+    batch = pa.record_batch({"text": [" ".join(f"w{(i * k) % 5000}" for k in range(2000)) for i in range(500)]})
+    seeds = dc.Seeds([item], 8, 3, 0.5, 8)
+    assert sum(t.hash.nbytes + t.sieve.nbytes for t in seeds.tables) < 200_000
+    tracemalloc.start()
+    try:
+        counts = list(dc._count(SimpleNamespace(value=seeds.tables))(iter([batch])))
+        assert tracemalloc.get_traced_memory()[1] < 30e6
+    finally:
+        tracemalloc.stop()
+    held = {(r["length"], r["run"]): r["n"] for c in counts for r in c.to_pylist()}
+    texts, (single, pair) = [t.split() for t in batch.column("text").to_pylist()], seeds.tables[:2]
+    assert held[0, 0] == len(texts)
+    for number, h in enumerate(single.hash.tolist()):
+        word = item[ngrams(seeds.items[0], 1).tolist().index(h)].decode()
+        assert held[1, number] == sum(word in t for t in texts)
+    for number, h in enumerate(pair.hash.tolist()):
+        at = ngrams(seeds.items[0], 2).tolist().index(h)
+        two = (item[at].decode(), item[at + 1].decode())
+        assert held.get((2, number), 0) == sum(two in zip(t, t[1:]) for t in texts)
+
+
+def test_a_sieve_turns_away_no_run():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 63, 5000, 100_000):
+        own = rng.integers(0, 2**64, n, dtype=np.uint64)
+        runs, asked = dc.Runs(1, own), np.concatenate([own, rng.integers(0, 2**64, 1000, dtype=np.uint64)])
+        which, number = runs.find(asked)
+        assert which.tolist() == np.flatnonzero(np.isin(asked, own)).tolist() and (runs.hash[number] == asked[which]).all()
+        assert len(runs.sieve) <= min(2**22, max(2, 128 * n))
